@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000, rows: int
 
     A single longer value makes a part of its own.
     """
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = size = 0
     for i, n in enumerate(lengths):
         if i > start and (size + n > most or i - start >= rows):
@@ -66,3 +67,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def near(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``df``, marked to be broadcast if it has at most ``limit`` (narrow) rows; else joined by a shuffle.
+
+    For a written or otherwise cheap ``df``: its rows are counted.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, fresh
+from .common import WORD, checkpointed, fresh, near
 
 #: Bits of the hash used at each level, and levels.
 BITS, LEVELS = 12, 5
@@ -50,11 +50,6 @@ def targets(sizes: DataFrame, weights: Sequence[float] | None, share: float, mos
     ).select("source", "source_size", F.when(F.col("_full"), limit).otherwise(F.col("_final") * F.col("weight")).alias("target"))
 
 
-def _near(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """``df``, to be broadcast if it has at most ``limit`` rows; else joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def _hash(row_id: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(row_id.cast("string"), F.lit("mix")), 64 - BITS * LEVELS)
 
@@ -69,7 +64,7 @@ def _thresholds(base: DataFrame, weights: Sequence[float], share: float, most: f
     for level in range(LEVELS):
         here = base.select("source", "size", F.shiftrightunsigned(F.col("h"), BITS * (LEVELS - 1 - level)).alias("b"))
         if level:  # only the rows of a boundary bucket are summed again
-            here = here.join(_near(goal.select("gs", "prefix")), F.col("source").eqNullSafe(F.col("gs")) & (F.shiftrightunsigned(F.col("b"), BITS) == F.col("prefix"))).drop("gs", "prefix")
+            here = here.join(near(goal.select("gs", "prefix")), F.col("source").eqNullSafe(F.col("gs")) & (F.shiftrightunsigned(F.col("b"), BITS) == F.col("prefix"))).drop("gs", "prefix")
         running = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         summed = here.groupBy("source", "b").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(running))
         fits = F.col("upto") <= F.col("left")
@@ -100,7 +95,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     base = _base(docs, id_col, text_col, source_col, size)
     goal = _thresholds(base, weights, share, most)
-    out = base.join(_near(goal), F.col("source").eqNullSafe(F.col("gs")))
+    out = base.join(near(goal), F.col("source").eqNullSafe(F.col("gs")))
     out = out.withColumn("copies", F.col("whole") + F.coalesce(F.col("h") < F.col("threshold"), F.lit(False)).cast("int"))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -115,6 +110,6 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     names = fresh(docs, "mix_gs", "mix_whole", "mix_threshold", "mix_copy")
     goal = goal.select("gs", "whole", "threshold").toDF(*names[:3])
     gs, whole, threshold = (F.col(n) for n in names[:3])
-    out = docs.join(_near(goal), F.col(source_col).eqNullSafe(gs))
+    out = docs.join(near(goal), F.col(source_col).eqNullSafe(gs))
     copies = whole + (_hash(F.col(id_col)) < threshold).cast("int")
     return out.withColumn(names[3], F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
