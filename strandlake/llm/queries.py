@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality
+from . import mixing, packing, quality, simhash
 from .common import WORD, fold, load
 
 #: The tokenizer of the packing query. Tokenizer files are never part of this repository.
@@ -36,12 +36,18 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.classes(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
         op3_packing,
         op6_source_mixing,
+        op7_simhash_dedup,
     )
 }
 
