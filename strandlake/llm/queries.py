@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash
+from . import langid, mixing, packing, quality, simhash
 from .common import WORD, fold, load
 
 #: The tokenizer of the packing query. Tokenizer files are never part of this repository.
@@ -41,6 +41,13 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, fold(F.col("doc_id"), 4) != 2)
+    out = langid.identify(docs.select("doc_id", "text"), model, reject=False)
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -48,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_packing,
         op6_source_mixing,
         op7_simhash_dedup,
+        op9_language_id,
     )
 }
 
