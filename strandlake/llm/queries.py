@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, simhash
+from . import chunking, langid, mixing, packing, quality, simhash
 from .common import WORD, fold, load
 
 #: The tokenizer of the packing query. Tokenizer files are never part of this repository.
@@ -30,6 +30,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), packing.word_encoder(TOKENIZER))
 
 
+def op5_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.with_edits(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = mixing.mix(docs, weights=WEIGHTS, share=1.5, most=2.0)
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_classifier,
         op3_packing,
+        op5_chunk_fingerprints,
         op6_source_mixing,
         op7_simhash_dedup,
         op9_language_id,
