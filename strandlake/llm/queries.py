@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunking, langid, mixing, packing, quality, simhash
+from . import ann, chat, chunking, langid, mixing, packing, quality, simhash
 from .common import WORD, fold, load
 
 #: The tokenizer of the packing query. Tokenizer files are never part of this repository.
@@ -55,6 +55,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(load(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs, fold(F.col("doc_id"), 4) != 2)
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_chunk_fingerprints,
         op6_source_mixing,
         op7_simhash_dedup,
+        op8_nearest_neighbours,
         op9_language_id,
     )
 }
