@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the number of nodes. Edges to oneself and repeated edges do no harm; edges with
     a null end are dropped; no edges give no rows.
     """
-    e = edges.select("a", "b").dropna()
+    e = checkpointed(edges.select("a", "b").dropna())
     nodes = checkpointed(e.select(F.col("a").alias("node")).union(e.select("b")).distinct())
     total = nodes.withColumn("root", F.col("node"))
     e = checkpointed(e.filter("a != b").distinct())
