@@ -6,6 +6,7 @@ import os
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -127,7 +128,7 @@ class WordEncoder:
     different words are remembered, the others are encoded again in each call.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -224,5 +225,11 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[bytes]], list[byt
     return wanted.mapInArrow(task, schema).withColumnRenamed("doc_id", id_col)
 
 
+@lru_cache(maxsize=1)
+def _shared_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 def word_encoder(path: str) -> Callable[[], WordEncoder]:
-    return lambda: WordEncoder(path)
+    """Makes encoders; a Python worker keeps its encoder, with the words it knows, from task to task."""
+    return lambda: _shared_encoder(path)
