@@ -53,15 +53,16 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist() if not pa.types.is_binary(column.type) else column.to_pylist()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset, as in tests in one process, ``/tmp/checkpoints``."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests
-    in one process, a folder under ``/tmp/checkpoints`` is set.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's checkpoint folder, its lineage cut."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, chunking, langid, mixing, packing, quality, simhash
+from . import ann, chat, chunking, langid, mixing, packing, quality, simhash, substrings
 from .common import WORD, fold, load
 
 #: The tokenizer of the packing query. Tokenizer files are never part of this repository.
@@ -66,6 +66,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_simhash_dedup,
         op8_nearest_neighbours,
         op9_language_id,
+        op10_substring_dedup,
     )
 }
 
