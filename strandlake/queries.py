@@ -5,6 +5,7 @@ Sums are of whole numbers, times are milliseconds, bytes are hexadecimal text, s
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -402,3 +403,92 @@ def suppressed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id AS key, string_agg(event_type, '>' ORDER BY t, event_type) AS path FROM E GROUP BY user_id")
 def dsl_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, sf_dir).group_by_key().reduce(F.col("event_type"), lambda a, v: F.concat(a, F.lit(">"), v), "path").df
+
+
+_EVENT_AVRO = {"type": "record", "name": "Event", "fields": [
+    {"name": "event_id", "type": "long"}, {"name": "event_type", "type": {"type": "enum", "name": "Kind", "symbols": ["click", "error", "purchase", "signup", "view"]}},
+    {"name": "user_id", "type": ["null", "int"], "default": None}, {"name": "cents", "type": "long"}, {"name": "tags", "type": {"type": "array", "items": "string"}},
+]}
+
+
+@query("SELECT event_id, event_type, CAST(CASE WHEN user_id % 2 = 0 THEN user_id END AS INTEGER) AS user_id, cents, event_type || '/x' AS tags, t AS ts FROM E")
+def avro_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.avro import AvroCodec
+
+    rows = R.with_columns(events(spark, sf_dir), R.Derived("user_id", F.when(F.col("user_id") % 2 == 0, F.col("user_id")), T.IntegerType()), R.Derived("tags", F.array("event_type", F.lit("x"))))
+    rows = R.select(rows, "event_id", "event_type", "user_id", "cents", "tags")
+    sent = AvroCodec(_EVENT_AVRO, write_id=7).encode(rows)
+    back = AvroCodec(_EVENT_AVRO).decode(sent)
+    return back.select("event_id", "event_type", "user_id", "cents", F.array_join("tags", "/").alias("tags"), F.col("__timestamp").alias("ts"))
+
+
+@query("SELECT event_id, event_type, user_id, cents FROM E")
+def avro_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written with one more field and narrower types than the reader has."""
+    from .sources.avro import AvroCodec
+
+    written = {"type": "record", "name": "Event", "fields": [{"name": "event_id", "type": "int"}, {"name": "note", "type": "string"}, {"name": "event_type", "type": "string"}, {"name": "user_id", "type": "int"}, {"name": "cents", "type": "long"}]}
+    read = {"type": "record", "name": "Event", "fields": [{"name": "event_id", "type": "long"}, {"name": "event_type", "type": "string"}, {"name": "user_id", "type": "long"}, {"name": "cents", "type": "long"}]}
+    rows = R.with_columns(events(spark, sf_dir), R.Derived("note", F.concat(F.lit("n"), F.col("event_id"))))
+    back = AvroCodec(read, lambda i: json.dumps(written)).decode(AvroCodec(written, write_id=3).encode(R.select(rows, "event_id", "note", "event_type", "user_id", "cents")))
+    return back.select("event_id", "event_type", "user_id", "cents")
+
+
+def _event_descriptor():
+    from google.protobuf import descriptor_pb2 as d
+
+    from .sources.protobuf import load
+
+    f = d.FileDescriptorProto(name="event.proto", package="e", syntax="proto3")
+    m = f.message_type.add(name="Event")
+    for i, (name, kind) in enumerate((("event_id", 3), ("event_type", 9), ("user_id", 13), ("cents", 18)), 1):
+        m.field.add(name=name, number=i, type=kind, label=1)
+    return load([f.SerializeToString()], "e.Event")
+
+
+@query("SELECT event_id, event_type, user_id, cents, p AS part FROM E")
+def proto_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.protobuf import ProtobufCodec
+
+    codec = ProtobufCodec(_event_descriptor(), 5)
+    rows = R.select(events(spark, sf_dir), "event_id", "event_type", "user_id", "cents")
+    return codec.decode(codec.encode(rows)).select("event_id", "event_type", "user_id", "cents", F.col("__partition").alias("part"))
+
+
+@query("SELECT user_id AS key, count(*) FILTER (WHERE event_type = 'click') AS clicks, CASE WHEN count(*) FILTER (WHERE event_type = 'view') > 0 THEN CAST(sum(cents) FILTER (WHERE event_type = 'view') AS BIGINT) END AS viewed FROM E WHERE event_type IN ('click', 'view') GROUP BY user_id")
+def dsl_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _stream(spark, sf_dir)
+    clicks, views = s.filter(F.col("event_type") == "click").group_by_key(), s.filter(F.col("event_type") == "view").group_by_key()
+    out = clicks.cogroup([F.count(F.lit(1)).alias("clicks")], views, [F.sum("cents").alias("viewed")])
+    return out.df.select("key", F.coalesce("clicks", F.lit(0)).alias("clicks"), "viewed")
+
+
+@query("SELECT CASE WHEN value > 50 THEN 'high' WHEN event_type = 'click' THEN 'click' ELSE 'merged' END AS branch, event_id FROM E WHERE value > 50 OR event_type = 'click' UNION ALL SELECT 'merged' AS branch, event_id FROM E WHERE value > 50 OR event_type = 'click'")
+def dsl_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    high, clicks = _branches(spark, sf_dir)
+    both = high.merge(clicks)
+    tag = lambda s, n: s.df.select(F.lit(n).alias("branch"), "event_id")
+    return tag(high, "high").union(tag(clicks, "click")).union(tag(both, "merged"))
+
+
+def _branches(spark: SparkSession, sf_dir: str) -> list[dsl.Stream]:
+    df = events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("__timestamp").alias("ts"), "event_id", "event_type", "value")
+    return dsl.Stream(df).branch(F.col("value") > 50, F.col("event_type") == "click")
+
+
+@query("SELECT user_id AS key, n FROM (SELECT user_id, count(*) AS n FROM E GROUP BY user_id) WHERE user_id BETWEEN 10 AND 20")
+def store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream(spark, sf_dir).group_by_key().count("n").range(10, 20)
+
+
+@query("""SELECT user_id, CAST(sum(cents) AS BIGINT) AS total, p AS __partition FROM E WHERE batch <= 1 GROUP BY user_id, p
+ HAVING count(*) FILTER (WHERE batch = 1) > 0 OR p IN (SELECT p FROM E WHERE batch = 1)""")
+def topology_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches through one topology: what it shows after the second."""
+    t = Topology()
+    totals = t.add_group_by("totals", ["user_id"], [Aggregation("cents", "total", SUM)], t.add_source("events", "events", FrameCodec()))
+    t.add_sink("out", "totals", FrameCodec(), totals)
+    built, df = t.build(), events(spark, sf_dir)
+    for b in range(2):
+        out = built.run_batch("events", df.filter(F.expr(f"event_id div {REPLAY}L") == b))
+    return out["totals"]

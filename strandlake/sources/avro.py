@@ -11,7 +11,7 @@ import json
 import struct
 import uuid
 from collections.abc import Callable, Iterator
-from decimal import Decimal
+from decimal import Context, Decimal
 from typing import Any
 
 import pyarrow as pa
@@ -28,6 +28,8 @@ from .codecs import Codec
 PRIMITIVES = ("null", "boolean", "int", "long", "float", "double", "bytes", "string")
 EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 META = "strandlake.avro."
+#: Decimals of up to 76 digits stay exact.
+WIDE = Context(prec=90)
 
 
 def parse(schema: str | dict | list) -> Any:
@@ -336,7 +338,7 @@ def from_logical(raw: Any, s: Any) -> Any:
         return raw
     kind = _kind(s)
     if logical == "decimal" and kind in ("bytes", "fixed"):
-        return Decimal(int.from_bytes(raw, "big", signed=True)).scaleb(-s.get("scale", 0))
+        return Decimal(int.from_bytes(raw, "big", signed=True)).scaleb(-s.get("scale", 0), WIDE)
     if kind == "int" and logical == "date":
         return dt.date(1970, 1, 1) + dt.timedelta(days=raw)
     if logical in ("time-millis", "time-micros"):
@@ -352,8 +354,8 @@ def to_logical(value: Any, s: Any) -> Any:
     logical = _logical(s)
     if logical == "decimal" and _kind(s) in ("bytes", "fixed"):
         value = value if isinstance(value, Decimal) else Decimal(str(value))
-        scaled = value.scaleb(s.get("scale", 0))
-        if scaled != scaled.to_integral_value():
+        scaled = value.scaleb(s.get("scale", 0), WIDE)
+        if scaled != scaled.to_integral_value(context=WIDE):
             raise LakeError(f"{value} has more than {s.get('scale', 0)} places")
         n = int(scaled)
         if len(str(abs(n))) > s["precision"]:
@@ -560,7 +562,7 @@ class AvroCodec(Codec):
             writers = None
         fields = [T.StructField(ESCAPE + f.name if f.name in RESERVED else f.name, f.dataType, True, {**f.metadata, **({ORIGINAL: f.name} if f.name in RESERVED else {})}) for f in self.struct.fields]
         out = T.StructType([*[T.StructField(f.name, _loose(f.dataType), True) for f in fields], *[f for f in rows.schema.fields if f.name in RESERVED]])
-        arrow = to_arrow_schema(out, timezone="UTC")
+        arrow = to_arrow_schema(out)
         names = named(reader)
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
