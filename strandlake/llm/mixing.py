@@ -71,7 +71,9 @@ def _thresholds(base: DataFrame, weights: Sequence[float], share: float, most: f
         level_sums = goal.join(summed, F.col("gs").eqNullSafe(F.col("source")), "left").groupBy(*goal.columns).agg(F.min(F.when(~fits, F.col("b"))).alias("boundary"), F.max(F.when(fits, F.col("upto"))).alias("spent"))
         end = F.shiftleft(F.col("prefix") + 1, BITS) if level else F.lit(1 << BITS).cast("long")  # all rows fit
         goal = checkpointed(level_sums.select("gs", "source_size", "target", "whole", (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left"), F.coalesce("boundary", end).alias("prefix")))
-    return goal.select("gs", "source_size", "target", "whole", F.col("prefix").alias("threshold"))
+    # Nothing is left for a source whose target is whole passes: rows of size 0 aren't taken once more.
+    more = F.col("target") > F.col("whole") * F.col("source_size")
+    return goal.select("gs", "source_size", "target", "whole", F.when(more, F.col("prefix")).otherwise(F.lit(0)).alias("threshold"))
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str, source_col: str, size: Column | None) -> DataFrame:
