@@ -107,10 +107,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
     rows = checkpointed(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "fp"))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), bits))
-    linked = distinct.join(near(roots), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = checkpointed(linked)
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select(F.col("fp").alias("k"), "component_id")
+    # Most fingerprints have no link: only those that have one meet by their root.
+    linked = distinct.join(near(roots), F.col("fp") == F.col("node"), "left")
+    linked = checkpointed(linked.select("fp", "least", "root"))
+    smallest = near(checkpointed(linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("smallest"))))
+    with_link = linked.filter("root is not null").join(smallest, "root").select(F.col("fp").alias("k"), F.col("smallest").alias("component_id"))
+    named = with_link.union(linked.filter("root is null").select("fp", "least"))
     return rows.join(named, F.col("fp") == F.col("k")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
