@@ -229,8 +229,12 @@ def repeat_ranges(docs: DataFrame) -> DataFrame:
 
     dealt = worded.filter("not hot").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "id", "v", "start", "n", "words")
     searched = dealt.groupBy("shard").applyInArrow(shard, "id long, v long, start int, n int")
-    by_key = Window.partitionBy("key")
-    single = worded.filter("hot").withColumn("lead", F.min(place).over(by_key)).filter(place != F.col("lead")).select("id", "v", "start", "n")
+    # Single windows of hot anchors: their earliest places combine before the shuffle, and the join may be split.
+    single = worded.filter("hot")
+    lead = checkpointed(single.groupBy("key").agg(F.min("id").alias("lead_id"), F.count("*").alias("times")).filter("times > 1"))
+    at_lead = single.join(lead, "key").filter(F.col("id") == F.col("lead_id")).groupBy("key", "lead_id").agg(F.min("start").alias("lead_start"))
+    again = (F.col("id") != F.col("lead_id")) | (F.col("start") != F.col("lead_start"))
+    single = single.join(checkpointed(at_lead), "key").filter(again).select("id", "v", "start", "n")
     return known.union(searched).union(single)
 
 
