@@ -68,9 +68,12 @@ def _thresholds(base: DataFrame, weights: Sequence[float], share: float, most: f
         running = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         summed = here.groupBy("source", "b").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(running))
         fits = F.col("upto") <= F.col("left")
-        level_sums = goal.join(summed, F.col("gs").eqNullSafe(F.col("source")), "left").groupBy(*goal.columns).agg(F.min(F.when(~fits, F.col("b"))).alias("boundary"), F.max(F.when(fits, F.col("upto"))).alias("spent"))
+        level_sums = goal.join(summed, F.col("gs").eqNullSafe(F.col("source")), "left").groupBy(*goal.columns).agg(F.min(F.when(~fits, F.struct("b", "n"))).alias("over"), F.max(F.when(fits, F.col("upto"))).alias("spent"))
         end = F.shiftleft(F.col("prefix") + 1, BITS) if level else F.lit(1 << BITS).cast("long")  # all rows fit
-        goal = checkpointed(level_sums.select("gs", "source_size", "target", "whole", (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left"), F.coalesce("boundary", end).alias("prefix")))
+        left = F.col("left") - F.coalesce("spent", F.lit(0))
+        # The last boundary is one hash value: its rows are taken if that comes nearer to the target.
+        nearer = (F.col("over.n") < 2 * left).cast("long") if level == LEVELS - 1 else F.lit(0)
+        goal = checkpointed(level_sums.select("gs", "source_size", "target", "whole", left.alias("left"), F.coalesce(F.col("over.b") + nearer, end).alias("prefix")))
     # Nothing is left for a source whose target is whole passes: rows of size 0 aren't taken once more.
     more = F.col("target") > F.col("whole") * F.col("source_size")
     return goal.select("gs", "source_size", "target", "whole", F.when(more, F.col("prefix")).otherwise(F.lit(0)).alias("threshold"))
@@ -87,9 +90,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Returns ``id_col, size, source_size, target, copies, taken`` for every row (``taken`` is size
     times copies). A source whose target is r times its size gives each row floor(r) times, and
-    once more for the rows whose hash lies under the source's threshold. The running sum is
-    kept at or under the budget, so a source falls short by less than the rows of one 60-bit
-    hash value, and no row is taken more than ceil(``most``) times.
+    once more for the rows whose hash lies under the source's threshold. The rows at
+    the threshold are taken if that comes nearer to the budget, so a source misses it by at most half
+    of what the rows of one 60-bit hash value hold, and no row is taken more than ceil(``most``) times.
 
     Null text: size 0. Null source: a source of its own. Rows of size 0 follow their hash. Rows
     that share an id share the hash and are taken or left together; a null id is one id.
