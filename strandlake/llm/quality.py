@@ -138,9 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     with several labels count by their largest, null labels and texts don't count. With no rows
     at all the model is all zero. The model's size is fixed by ``BITS``.
     """
-    known = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("double").alias("y")).dropna()
-    if where is not None:
-        known = known.join(labels.filter(where).select(F.col(id_col).alias("lid")).distinct(), "lid", "left_semi")
+    known = labels if where is None else labels.filter(where)
+    known = known.select(F.col(id_col).alias("lid"), F.col(label_col).cast("double").alias("y")).dropna()
     known = known.groupBy("lid").agg(F.max("y").alias("y"))
     total = known.count()
     shards = max(1, round(min(total, settings.rows) / settings.shard_rows))
