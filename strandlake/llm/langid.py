@@ -153,7 +153,7 @@ def estimate(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
 class Scorer:
     """Scores of whole texts. The first ``most`` different words are remembered."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 250_000):
         self.model, self.most, self.known = model, most, {}
         self.table = np.zeros((0, len(model.languages) + 2), np.float32)
 

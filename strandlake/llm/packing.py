@@ -128,7 +128,7 @@ class WordEncoder:
     different words are remembered, the others are encoded again in each call.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -52,7 +52,7 @@ def shape(word: bytes) -> bytes:
 class Words:
     """Numbers of words, with the hash and the shape hash of each. The first ``most`` are remembered; 0 is no word."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         self.most, self.known = most, {}
         self.word, self.shape = np.zeros(1, np.uint32), np.zeros(1, np.uint32)
 

@@ -42,7 +42,7 @@ _M = np.uint64(0xBF58476D1CE4E5B9)
 class WordHashes:
     """64-bit hashes of words; the first ``most`` different ones are remembered."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         self.most, self.known = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
