@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
@@ -128,28 +128,65 @@ class BlobCodec(Codec):
         partition = F.col(PARTITION) if PARTITION in have else F.lit(0)
         offset = F.col(OFFSET) if OFFSET in have else F.lit(0).cast("long")
         rows = df.select(*names, key.alias("__k"), ts.alias("__t"), headers.alias("__h"), partition.cast("int").alias("__p"), offset.alias("__o"), F.monotonically_increasing_id().alias("__i"))
-        order = Window.partitionBy("__p").orderBy("__o", "__i")
-        same = F.struct("__k", "__t", "__h")
-        rows = rows.withColumn("__same", same.eqNullSafe(F.lag(same).over(order))).withColumn("__run", F.sum((~F.col("__same")).cast("long")).over(order))
-
-        def pack(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("__o", "ascending"), ("__i", "ascending")])
-            body = pa.table([table.column(n) for n in names], schema=arrow)
-            out, at = [], 0
-            while at < len(body):
-                low, high = 1, len(body) - at
-                while low < high:  # the most rows that fit
-                    mid = (low + high + 1) // 2
-                    low, high = (mid, high) if len(ipc_bytes(body.slice(at, mid))) <= most else (low, mid - 1)
-                data = ipc_bytes(body.slice(at, low))
-                if len(data) > most:
-                    raise LakeError(f"one row takes {len(data)} bytes, more than {most}")
-                out.append((data, at))
-                at += low
-            first = [i for _, i in out]
-            return pa.table({"key": table.column("__k").take(first), "value": pa.array([d for d, _ in out], pa.binary()), "timestamp": table.column("__t").take(first), "partition": table.column("__p").take(first), "offset": table.column("__o").take(first), "headers": table.column("__h").take(first)})
-
-        return rows.groupBy("__p", "__run").applyInArrow(pack, "key binary, value binary, timestamp long, partition int, offset long, headers array<struct<key:string,value:binary>>")
+        # A partition's rows lie in one task in their order, as its records must; runs are cut as they stream by.
+        rows = rows.repartition("__p").sortWithinPartitions("__p", "__o", "__i")
+        head = ["__k", "__t", "__p", "__o", "__h"]
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            run: list[pa.Table] = []  # rows of the run that are not sent yet
+            envelope: tuple | None = None
+
+            def records(body: pa.Table, last: bool) -> Iterator[tuple[bytes, int]]:
+                """Encoded prefixes with their row counts; the last one only if the run ends."""
+                at = 0
+                while at < len(body):
+                    low, high = 1, len(body) - at
+                    if len(ipc_bytes(body.slice(at))) <= most:
+                        low = high
+                    while low < high:  # the most rows that fit
+                        mid = (low + high + 1) // 2
+                        low, high = (mid, high) if len(ipc_bytes(body.slice(at, mid))) <= most else (low, mid - 1)
+                    if at + low == len(body) and not last:
+                        break
+                    data = ipc_bytes(body.slice(at, low))
+                    if len(data) > most:
+                        raise LakeError(f"one row takes {len(data)} bytes, more than {most}")
+                    yield data, low
+                    at += low
+
+            def send(last: bool) -> list[tuple]:
+                body = pa.concat_tables(run).combine_chunks()
+                done, out = 0, []
+                for data, n in records(body, last):
+                    out.append((data, *envelope))
+                    done += n
+                run[:] = [] if last else [body.slice(done)]
+                return out
+
+            def packed(out: list[tuple]) -> pa.RecordBatch:
+                value, k, t, p, o, h = zip(*out)
+                return pa.RecordBatch.from_pydict({"key": pa.array(k, pa.binary()), "value": pa.array(value, pa.binary()), "timestamp": pa.array(t, pa.int64()), "partition": pa.array(p, pa.int32()), "offset": pa.array(o, pa.int64()), "headers": pa.array(h, pa.list_(pa.struct([("key", pa.string()), ("value", pa.binary())])))})
+
+            for batch in batches:
+                body = pa.table([batch.column(n) for n in names], schema=arrow)
+                heads = list(zip(*(batch.column(c).to_pylist() for c in head)))
+                out, start = [], 0
+                for i, (k, t, p, o, h) in enumerate(heads):
+                    if envelope is None or (k, t, p, h) != (*envelope[:3], envelope[4]):
+                        if i > start:
+                            run.append(body.slice(start, i - start))
+                        if run:
+                            out += send(True)
+                        envelope, start = (k, t, p, o, h), i
+                run.append(body.slice(start))
+                if sum(r.nbytes for r in run) > 4 * most:
+                    out += send(False)
+                if out:
+                    yield packed(out)
+            if run:
+                yield packed(send(True))
+
+        return rows.mapInArrow(task, "key binary, value binary, timestamp long, partition int, offset long, headers array<struct<key:string,value:binary>>")
 
 
 class RowCodec(Codec):

@@ -91,3 +91,11 @@ def stateful_operator(df: DataFrame, factory: Callable, schema: T.StructType, ou
     """
     mode = "ProcessingTime" if every else "None"
     return df.groupBy(PARTITION).transformWithStateInPandas(_Blob(factory, schema.names, every), schema, output_mode, mode)
+
+
+def read_state(spark, checkpoint: str, **options) -> DataFrame:
+    """The state store of a streaming query, by its checkpoint: keys and values of an operator (interactive queries).
+
+    Options as the state reader has them: operatorId, batchId, storeName, joinSide, stateVarName.
+    """
+    return spark.read.format("statestore").options(**{k: str(v) for k, v in options.items()}).load(checkpoint)
