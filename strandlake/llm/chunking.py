@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes, slices
 
@@ -94,8 +95,6 @@ def containment(a: dict[int, int], b: dict[int, int]) -> float:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint", cuts: Cuts = Cuts()) -> DataFrame:
     """``docs``, all columns kept, with each text's fingerprint in ``out`` (null text: as empty)."""
-    from pyspark.sql import types as T
-
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +124,7 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     k = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(k.alias("k"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    quantiles = rows.approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    quantiles = rows.approxQuantile("k", [i / n for i in range(1, n)], max(0.1 / n, 2e-5)) if n > 1 else []
     bounds = sorted({int(q) for q in quantiles}, reverse=True)
     rows = rows.withColumn("part", _tree(F.col("k"), bounds, 0, len(bounds)))
     heads = {r["part"]: r["k"] for r in rows.groupBy("part").agg(F.max("k").alias("k")).collect()}
