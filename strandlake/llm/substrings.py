@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpointed, fresh, slices
+from .common import as_bytes, checkpointed, fresh, near, slices
 from .fmindex import FMIndex
 
 WINDOW, GRAM = 20, 6
@@ -232,9 +232,9 @@ def repeat_ranges(docs: DataFrame) -> DataFrame:
     # Single windows of hot anchors: their earliest places combine before the shuffle, and the join may be split.
     single = worded.filter("hot")
     lead = checkpointed(single.groupBy("key").agg(F.min("id").alias("lead_id"), F.count("*").alias("times")).filter("times > 1"))
-    at_lead = single.join(lead, "key").filter(F.col("id") == F.col("lead_id")).groupBy("key", "lead_id").agg(F.min("start").alias("lead_start"))
+    at_lead = single.join(near(lead), "key").filter(F.col("id") == F.col("lead_id")).groupBy("key", "lead_id").agg(F.min("start").alias("lead_start"))
     again = (F.col("id") != F.col("lead_id")) | (F.col("start") != F.col("lead_start"))
-    single = single.join(checkpointed(at_lead), "key").filter(again).select("id", "v", "start", "n")
+    single = single.join(near(checkpointed(at_lead)), "key").filter(again).select("id", "v", "start", "n")
     return known.union(searched).union(single)
 
 
