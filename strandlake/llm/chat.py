@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, near
 
 USER, USER_END, ASSISTANT, ASSISTANT_END = "<s>[INST] ", " [/INST]", " ", "</s>"
 ROLE, ROLE_END, OTHER_END = "<|", "<|>", "<|end|>"
@@ -145,14 +145,13 @@ def dealt(distinct: DataFrame, most: int) -> DataFrame:
     """
     starts = distinct.select("key", F.posexplode("chain").alias("depth", "prefix"))
     counts = starts.groupBy("prefix").agg(F.count("*").alias("n"))
-    sized = starts.join(counts, "prefix")
-    per = sized.groupBy("key").agg(
-        F.min(F.when(F.col("n") <= most, F.struct("depth", "prefix"))).alias("small"),
-        F.max(F.when(F.col("n") > most, F.struct("depth", "prefix", "n"))).alias("large"),
-    )
-    slot = F.pmod(F.xxhash64(F.coalesce("small.prefix", "key")), F.ceil(F.col("large.n") / most)).cast("string")
-    tree = F.when(F.col("large").isNull(), F.col("small.prefix")).otherwise(F.concat_ws("-", F.col("large.prefix"), slot))
-    return distinct.join(per.select("key", tree.alias("tree")), "key")
+    # Only turns that begin many conversations matter here, and a conversation's are its first ones.
+    common = near(checkpointed(counts.filter(F.col("n") > most)))
+    last = starts.join(common, "prefix").groupBy("key").agg(F.max(F.struct("depth", "prefix", "n")).alias("last"))
+    following = F.coalesce(F.get("chain", F.col("last.depth") + 1), F.col("key"))
+    slot = F.pmod(F.xxhash64(following), F.ceil(F.col("last.n") / most)).cast("string")
+    tree = F.when(F.col("last").isNull(), F.get("chain", F.lit(0))).otherwise(F.concat_ws("-", F.col("last.prefix"), slot))
+    return distinct.join(last, "key", "left").withColumn("tree", tree).drop("last")
 
 
 def trees(distinct: DataFrame, most: int = 64, encode: Callable[[], Callable[[str], list[int]]] | None = None) -> DataFrame:
