@@ -45,8 +45,8 @@ def interval_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
 class _Blob(StatefulProcessor):
     """A partition's custom operator with its snapshot in a state variable, and timers if asked."""
 
-    def __init__(self, factory: Callable, columns: list[str], every: int | None):
-        self.factory, self.columns, self.every = factory, columns, every
+    def __init__(self, factory: Callable, columns: list[str], every: int | None, wall: bool):
+        self.factory, self.columns, self.every, self.wall = factory, columns, every, wall
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -58,15 +58,17 @@ class _Blob(StatefulProcessor):
             processor.restore(bytes(self.state.get()[0]))
         return processor
 
+    def _now(self, timer_values) -> int:
+        return timer_values.getCurrentProcessingTimeInMs() if self.wall else timer_values.getCurrentWatermarkInMs()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frames = list(rows)  # the whole micro-batch of the partition, before anything is processed
         processor = self._own()
         outs = processor.process(pd.concat(frames, ignore_index=True)) if frames else []
         self.state.update((processor.snapshot(),))
         if self.every:
-            now = timerValues.getCurrentProcessingTimeInMs()
             if not list(self.handle.listTimers()):
-                self.handle.registerTimer(now + self.every)
+                self.handle.registerTimer(max(self._now(timerValues), 0) + self.every)
         for o in outs:
             yield o[self.columns]
 
@@ -74,7 +76,7 @@ class _Blob(StatefulProcessor):
         processor = self._own()
         outs = processor.punctuate(expiredTimerInfo.getExpiryTimeInMs()) if hasattr(processor, "punctuate") else []
         self.state.update((processor.snapshot(),))
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.every)
+        self.handle.registerTimer(max(self._now(timerValues), 0) + self.every)
         for o in outs:
             yield o[self.columns]
 
@@ -82,15 +84,16 @@ class _Blob(StatefulProcessor):
         return None
 
 
-def stateful_operator(df: DataFrame, factory: Callable, schema: T.StructType, output_mode: str = "append", every: int | None = None) -> DataFrame:
+def stateful_operator(df: DataFrame, factory: Callable, schema: T.StructType, output_mode: str = "append", every: int | None = None, wall_clock: bool = True) -> DataFrame:
     """A custom operator with state for each logical partition of a streaming frame.
 
     ``factory`` makes objects with process(frame) -> frames, snapshot() -> bytes, restore(bytes) and, with
-    timers ``every`` so many milliseconds of wall-clock time, punctuate(ms) -> frames. Needs the RocksDB
-    state store provider.
+    timers ``every`` so many milliseconds, punctuate(ms) -> frames. Timers go by wall-clock time, or by
+    stream time (then ``df`` needs a watermark, as :func:`with_event_time` sets it). Needs the RocksDB state
+    store provider.
     """
-    mode = "ProcessingTime" if every else "None"
-    return df.groupBy(PARTITION).transformWithStateInPandas(_Blob(factory, schema.names, every), schema, output_mode, mode)
+    mode = "None" if not every else "ProcessingTime" if wall_clock else "EventTime"
+    return df.groupBy(PARTITION).transformWithStateInPandas(_Blob(factory, schema.names, every, wall_clock), schema, output_mode, mode)
 
 
 def read_state(spark, checkpoint: str, **options) -> DataFrame:

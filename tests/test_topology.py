@@ -10,7 +10,7 @@ from strandlake.operators.stateful import IntervalJoin
 from strandlake.records import RAW
 from strandlake.sources.codecs import BlobCodec, FrameCodec, GzipCodec, JsonCodec, ipc_batch, ipc_bytes, string_codec
 from strandlake.streaming.native import interval_join as native_join
-from strandlake.streaming.native import stateful_operator
+from strandlake.streaming.native import stateful_operator, with_event_time
 from strandlake.streaming.native import windowed_group_by as native_windows
 from strandlake.streaming.runner import PREFIX, ErrorPolicy, Metrics, Runner, TestDriver, memory_sink, parquet_sink, with_defaults
 
@@ -252,6 +252,20 @@ def test_stateful_operator(spark, tmp_path):
     assert [r["n"] for r in run_memory(out, "append", "stateful")] == [2]
 
 
+class Ticks(Totals):
+    def punctuate(self, at):
+        import pandas as pd
+
+        return [pd.DataFrame({"n": [-at]})]
+
+
+def test_stream_time_punctuator(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", with_defaults({})["spark.sql.streaming.stateStore.providerClass"])
+    df = with_event_time(stream(spark, tmp_path, "t", [(tx("a", 5), 1_000, 0), (tx("a", 5), 20_000, 0)]), 0)
+    out = stateful_operator(df, Ticks, T.StructType([T.StructField("n", T.LongType())]), every=5_000, wall_clock=False)
+    assert sorted(r["n"] for r in run_memory(out, "append", "ticks")) == [-5_000, 2]
+
+
 def test_driver(spark):
     driver = TestDriver(spark, pipeline().build())
     driver.pipe("tx", b'{"user":"a","amount":5}')
