@@ -89,6 +89,11 @@ def group_by(df: DataFrame, keys: Sequence[str], *aggregations: Aggregation) ->
     return states.select(*keys, *[a.result(F.col(f"__s{i}"), df.schema).alias(a.output) for i, a in enumerate(aggregations)], *rest)
 
 
+def event_time() -> Column:
+    """The timestamp; null is an error."""
+    return F.when(F.col(TIMESTAMP).isNull(), F.raise_error(F.lit("event timestamp is null"))).otherwise(F.col(TIMESTAMP))
+
+
 def windowed(df: DataFrame, size: int) -> DataFrame:
     """``df`` with the start and end of each row's tumbling window; a null timestamp is an error."""
     if size < 1:
@@ -97,7 +102,7 @@ def windowed(df: DataFrame, size: int) -> DataFrame:
     taken = {WINDOW_START, WINDOW_END} & set(df.columns)
     if taken:
         raise LakeError(f"column exists: {sorted(taken)[0]}")
-    ts = F.when(F.col(TIMESTAMP).isNull(), F.raise_error(F.lit("event timestamp is null"))).otherwise(F.col(TIMESTAMP))
+    ts = event_time()
     start = ts - F.pmod(ts, F.lit(size))
     return df.withColumn(WINDOW_START, start).withColumn(WINDOW_END, F.col(WINDOW_START) + size)
 
@@ -118,12 +123,22 @@ def windowed_group_by(df: DataFrame, keys: Sequence[str], size: int, *aggregatio
         raise LakeError("windowed_group_by needs at least one key")
     rest = [c for c in scope if c not in keys]
     groups = [*keys, WINDOW_START, WINDOW_END, *rest]
-    states = rows.groupBy(*groups).agg(F.max(TIMESTAMP).alias("__latest"), *[a.partial(df.schema).alias(f"__s{i}") for i, a in enumerate(aggregations)])
-    # The latest timestamp comes out of the groups: the input is read once. Partial maxima first, so no row of groups is shuffled for it.
-    own = F.col(PARTITION) if scope else F.lit(0)
-    latest = states.groupBy(own.alias("__p")).agg(F.max("__latest").alias("__st"))
-    kept = states.join(latest, own.eqNullSafe(F.col("__p"))).filter(F.col(WINDOW_END) >= F.col("__st") - keep)
-    return kept.select(*groups[: len(keys) + 2], *[a.result(F.col(f"__s{i}"), df.schema).alias(a.output) for i, a in enumerate(aggregations)], *rest)
+    kept = rows.join(F.broadcast(stream_time(df)), _own(df).eqNullSafe(F.col("__p"))).filter(F.col(WINDOW_END) >= F.col("__st") - keep)
+    states = kept.groupBy(*groups).agg(*[a.partial(df.schema).alias(f"__s{i}") for i, a in enumerate(aggregations)])
+    return states.select(*groups[: len(keys) + 2], *[a.result(F.col(f"__s{i}"), df.schema).alias(a.output) for i, a in enumerate(aggregations)], *rest)
+
+
+def _own(df: DataFrame) -> Column:
+    return F.col(PARTITION) if PARTITION in df.columns else F.lit(0)
+
+
+def stream_time(df: DataFrame) -> DataFrame:
+    """``__p, __st``: each logical partition's latest timestamp.
+
+    One row a partition, and a topic has few thousand partitions at most, so this may be broadcast: rows of
+    windows that are over are then dropped before anything is shuffled, for a second look at two columns.
+    """
+    return df.groupBy(_own(df).cast("int").alias("__p")).agg(F.max(event_time()).alias("__st"))
 
 
 def _sides(left: DataFrame, right: DataFrame, left_key: str, right_key: str, window: int, left_prefix: str, right_prefix: str) -> tuple[list[str], list[str]]:
@@ -155,8 +170,7 @@ def interval_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     left_names, right_names = _sides(left, right, left_key, right_key, window, left_prefix, right_prefix)
 
     def timed(df: DataFrame) -> DataFrame:
-        ts = F.col(TIMESTAMP)
-        return df.withColumn("__ts", F.when(ts.isNull(), F.raise_error(F.lit("event timestamp is null"))).otherwise(ts))
+        return df.withColumn("__ts", event_time())
 
     width = max(window, 1)
     bucket = F.expr(f"(__ts - pmod(__ts, {width}L)) div {width}L")

@@ -13,14 +13,14 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import LakeError
 from ..functions.aggregates import Aggregation
-from ..records import PARTITION, TIMESTAMP, metadata, payload, require
-from .relational import WINDOW_END, WINDOW_START, _sides, interval_join, windowed
+from ..records import PARTITION, require
+from .relational import WINDOW_END, WINDOW_START, _own, _sides, interval_join, stream_time, windowed
 
 State = dict[str, DataFrame]
 
@@ -78,25 +78,25 @@ class GroupBy(Operator):
         rows = windowed(df, self.size) if self.size else df
         groups = [*self.keys, *([WINDOW_START, WINDOW_END] if self.size else []), *[c for c in scope if c not in self.keys]]
         names = [f"__s{i}" for i in range(len(self.aggregations))]
-        partial = rows.groupBy(*groups).agg(*[a.partial(df.schema).alias(n) for a, n in zip(self.aggregations, names)], *([F.max(TIMESTAMP).alias("__latest")] if self.size else []))
+        partial = rows.groupBy(*groups).agg(*[a.partial(df.schema).alias(n) for a, n in zip(self.aggregations, names)])
         new = partial.withColumn("__new", F.lit(True))
         if "groups" in state:
             new = new.unionByName(state["groups"].withColumn("__new", F.lit(False)))
-        merged = new.groupBy(*groups).agg(*[a.merged(n).alias(n) for a, n in zip(self.aggregations, names)], *([F.max("__latest").alias("__latest")] if self.size else []), F.max("__new").alias("__new"))
+        merged = new.groupBy(*groups).agg(*[a.merged(n).alias(n) for a, n in zip(self.aggregations, names)], F.max("__new").alias("__new"))
         keep: State = {}
         if self.size:
             own = F.col(PARTITION) if scope else F.lit(0)
-            time = merged.groupBy(own.cast("int").alias("__p")).agg(F.max("__latest").alias("__st"))
+            time = stream_time(df)
             if "time" in state:
                 time = time.union(state["time"]).groupBy("__p").agg(F.max("__st").alias("__st"))
             keep["time"] = time
-            merged = merged.join(time, own.eqNullSafe(F.col("__p"))).filter(F.col(WINDOW_END) >= F.col("__st") - self.retention).drop("__p", "__st")
+            merged = merged.join(F.broadcast(time), own.eqNullSafe(F.col("__p"))).filter(F.col(WINDOW_END) >= F.col("__st") - self.retention).drop("__p", "__st")
         keep["groups"] = merged.drop("__new")
         shown = merged.filter("__new") if self.changed_only else merged
         # A partition without rows in this batch is not evaluated, and shows nothing.
-        if scope:
+        if scope and "groups" in state:
             here = df.select(F.col(PARTITION).alias("__here")).distinct()
-            shown = shown.join(here, F.col(PARTITION).eqNullSafe(F.col("__here")), "left_semi")
+            shown = shown.join(F.broadcast(here), F.col(PARTITION).eqNullSafe(F.col("__here")), "left_semi")
         out = shown.select(*self.keys, *([WINDOW_START, WINDOW_END] if self.size else []), *[a.result(F.col(n), self._schema).alias(a.output) for a, n in zip(self.aggregations, names)], *[c for c in scope if c not in self.keys])
         return out, keep
 
@@ -125,24 +125,18 @@ class IntervalJoin(Operator):
         left, right = batches
         _sides(left, right, self.left_key, self.right_key, self.window, self.left_prefix, self.right_prefix)
 
-        def own(df: DataFrame) -> Column:
-            return F.col(PARTITION) if PARTITION in df.columns else F.lit(0)
-
-        def latest(df: DataFrame) -> DataFrame:
-            return df.groupBy(own(df).cast("int").alias("__p")).agg(F.max(TIMESTAMP).alias("__st"))
-
-        new_left, new_right = latest(left), latest(right)
+        new_left, new_right = stream_time(left), stream_time(right)
         times = [new_left, new_right, *([state["time"]] if "time" in state else [])]
         time = reduce(DataFrame.union, times).groupBy("__p").agg(F.max("__st").alias("__st"))
 
         def stamped(df: DataFrame, its: DataFrame) -> DataFrame:
-            return df.join(its.withColumnRenamed("__st", "__batch_max"), own(df).eqNullSafe(F.col("__p"))).drop("__p")
+            return df.join(F.broadcast(its.withColumnRenamed("__st", "__batch_max")), _own(df).eqNullSafe(F.col("__p"))).drop("__p")
 
         def retained(name: str) -> DataFrame | None:
             if name not in state:
                 return None
             old = state[name]
-            return old.join(time, own(old).eqNullSafe(F.col("__p")), "left").filter(F.coalesce(F.col("__batch_max") >= F.col("__st") - self.window, F.lit(True))).drop("__p", "__st")
+            return old.join(F.broadcast(time), _own(old).eqNullSafe(F.col("__p")), "left").filter(F.coalesce(F.col("__batch_max") >= F.col("__st") - self.window, F.lit(True))).drop("__p", "__st")
 
         old_left, old_right = retained("left"), retained("right")
 
@@ -215,5 +209,3 @@ class Custom(Operator):
         done = written(df.groupBy(F.col(PARTITION).alias("__p")).cogroup(old.groupBy("__p")).applyInArrow(run, loose))
         return done.filter("__snapshot is null").select(*names), {"snapshots": done.filter("__snapshot is not null").select("__p", "__snapshot")}
 
-
-__all__ = ["Custom", "GroupBy", "IntervalJoin", "Operator", "Processor", "State", "Stateless", "metadata", "payload"]

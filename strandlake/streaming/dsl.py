@@ -187,10 +187,13 @@ class Grouped:
         """
         s = self.stream
         by = Window.partitionBy(s.key).orderBy(s.time)
-        left = s.df.select(s.key, (F.col(s.time) - difference).alias(START), measure(by.rangeBetween(-difference, 0)).alias(name))
         later = by.rangeBetween(1, difference + 1)
-        right = s.df.select(s.key, (F.col(s.time) + 1).alias(START), measure(later).alias(name), F.count(F.lit(1)).over(later).alias("__n")).filter("__n > 0").drop("__n")
-        return left.union(right).dropDuplicates([s.key, START]).select(s.key, START, (F.col(START) + difference).alias(END), name)
+        # Both windows of a record come out of one shuffle and one sort.
+        both = s.df.select(s.key, F.col(s.time).alias("__t"), measure(by.rangeBetween(-difference, 0)).alias("__a"), measure(later).alias("__b"), F.count(F.lit(1)).over(later).alias("__n"))
+        ends = F.struct((F.col("__t") - difference).alias(START), F.col("__a").alias(name))
+        begins = F.struct((F.col("__t") + 1).alias(START), F.col("__b").alias(name))
+        rows = both.select(s.key, F.explode(F.when(F.col("__n") > 0, F.array(ends, begins)).otherwise(F.array(ends))).alias("__w"))
+        return rows.select(s.key, "__w.*").dropDuplicates([s.key, START]).select(s.key, START, (F.col(START) + difference).alias(END), name)
 
 
 @dataclass(frozen=True)
