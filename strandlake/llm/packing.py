@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -122,31 +123,47 @@ def _binary(seq: list[Piece], used: int) -> Iterator[list[Piece]]:
 class WordEncoder:
     """Token ids of texts, remembered by their words.
 
-    Only for tokenizers that drop white space and never join across it (their normaliser maps
-    white space to a space and the pre-tokenizer leaves it out): the ids of a text are then those
-    of its parts between spaces. Parts are cut at ASCII white space only. The first ``most``
-    different words are remembered, the others are encoded again in each call.
+    Only for tokenizers that lower ASCII letters, drop white space, and split words into runs of letters,
+    single digits and runs of other characters before they encode each by itself: the ids of a text
+    are then those of its parts between ASCII white space, and those of a word that ends in a letter or
+    digit and then stops, commas and the like are those of both. About ``most`` different words are
+    remembered, the others are encoded again in each call.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    STOPS = b".,!?;:"
+
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {b"": b""}
+
+    def parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word in lower case if it is ASCII, and the stops behind it."""
+        core = word.rstrip(self.STOPS)
+        if not core[-1:].isalnum():
+            return word, b""
+        return core.lower() if core.isascii() else core, word[len(core) :]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        known = self.known
         split = [t.split() for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        rare = list({w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None})
+        rare = set(chain.from_iterable(split)).difference(known)
+        new: dict[bytes, bytes] = {}
         if rare:
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rare], add_special_tokens=False)
-            extra = {w: np.array(c.ids, dtype="<u4").tobytes() for w, c in zip(rare, coded)}
-            for words, ids in zip(split, found):
-                if None in ids:
-                    ids[:] = [extra[w] if x is None else x for w, x in zip(words, ids)]
-            if len(self.known) < self.most:
-                self.known.update((w, x) for w, x in extra.items() if len(w) <= 64)
-        return list(map(b"".join, found))
+            parts = {w: self.parts(w) for w in rare}
+            wanted = list({p for both in parts.values() for p in both}.difference(known))
+            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in wanted], add_special_tokens=False)
+            new.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(wanted, coded))
+            known.update(new)
+            whole = {w: known[core] + known[stops] for w, (core, stops) in parts.items()}
+            new.update(whole)
+            known.update(whole)
+        out = [b"".join(map(known.get, words)) for words in split]
+        if len(known) > self.most:
+            for w in new:
+                del known[w]
+        return out
 
 
 def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[bytes]], list[bytes]]], id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), end_id: int | None = 2, chunk_rows: int = 4096, chunk_tokens: int = 4_000_000, with_ids: bool = False, prompt_tokens: str | None = None) -> DataFrame:
