@@ -233,5 +233,5 @@ def formatted(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     conversation is held in one task, as is a tree of at most about twice ``most`` conversations.
     """
     ids, distinct = distinct_conversations(turns, id_col, turn_col, role_col, text_col)
-    said = read_back(trees(distinct, most))
+    said = near(checkpointed(read_back(trees(distinct, most))))  # a few hundred bytes for each different conversation
     return ids.join(said, "key").drop("key").withColumnRenamed("id", id_col)
