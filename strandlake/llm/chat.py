@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, near
+from .common import checkpointed, map_texts, near
 
 USER, USER_END, ASSISTANT, ASSISTANT_END = "<s>[INST] ", " [/INST]", " ", "</s>"
 ROLE, ROLE_END, OTHER_END = "<|", "<|>", "<|end|>"
@@ -130,7 +130,7 @@ def distinct_conversations(turns: DataFrame, id_col: str, turn_col: str, role_co
                 chains.append(chain)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chains, pa.list_(pa.string()))], [*batch.schema.names, "chain"])
 
-    chained = whole.mapInArrow(task, f"id {id_field.dataType.simpleString()}, roles array<string>, texts array<string>, chain array<string>")
+    chained = map_texts(whole, task, f"id {id_field.dataType.simpleString()}, roles array<string>, texts array<string>, chain array<string>")
     chained = checkpointed(chained.withColumn("key", F.element_at("chain", -1)))
     ids = chained.select("id", "key")
     return ids, chained.groupBy("key").agg(F.first("roles").alias("roles"), F.first("texts").alias("texts"), F.first("chain").alias("chain"))
@@ -222,7 +222,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             columns = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("text", "segments", "conversations").mapInArrow(task, "key string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_texts(formatted.select("text", "segments", "conversations"), task, "key string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def formatted(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", most: int = 64) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, slices
+from .common import as_bytes, map_texts, slices
 
 #: One number for each byte, made by a rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([i]), seed=0x67656172) for i in range(256)], np.uint32)
@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprin
                 fps = [text_form(fingerprint(t or b"", cuts)) for t in as_bytes(part.column(text_col))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps, pa.string())], [*part.schema.names, out])
 
-    return docs.mapInArrow(task, schema)
+    return map_texts(docs, task, schema)
 
 
 def _tree(k: Column, bounds: list[int], low: int, high: int) -> Column:
@@ -174,4 +174,4 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 types = [piece.schema.field("id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return beside_next(docs, id_col, text_col).mapInArrow(task, schema).withColumnRenamed("id", id_col)
+    return map_texts(beside_next(docs, id_col, text_col), task, schema).withColumnRenamed("id", id_col)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, for Java, Spark and DuckDB regular expressions. ``bytes.split()`` cuts at the same bytes.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -30,7 +31,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000, rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """``batch`` cut so that ``column`` (string or binary) holds about ``most`` bytes in each part.
 
     A single longer value makes a part of its own.
@@ -46,6 +47,23 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000, rows: int
         yield batch.slice(start)
 
 
+#: Largest Arrow batch of texts that a Python worker gets; a single longer row is a batch of its own.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
+def map_texts(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` in batches that stay small however long the texts are.
+
+    Spark takes the size from the session when the plan runs, so the session's own setting is lowered
+    if it is larger. Executors may hold several Python workers at once, each with a batch of its own.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(task, schema)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The values of a string column as UTF-8 bytes."""
     if isinstance(column, pa.ChunkedArray):

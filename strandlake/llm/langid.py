@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, slices
+from .common import as_bytes, map_texts, slices
 
 ORDER = 4
 START, END = "\x02", "\x03"
@@ -153,7 +153,7 @@ def estimate(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
 class Scorer:
     """Scores of whole texts. The first ``most`` different words are remembered."""
 
-    def __init__(self, model: Model, most: int = 250_000):
+    def __init__(self, model: Model, most: int = 150_000):
         self.model, self.most, self.known = model, most, {}
         self.table = np.zeros((0, len(model.languages) + 2), np.float32)
 
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str =
                     out[lang, g] += n
         yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in out], pa.string()), "gram": pa.array([k[1] for k in out], pa.string()), "n": pa.array(list(out.values()), pa.int64())})
 
-    counted = sample.filter("h % 5 > 0").select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    counted = map_texts(sample.filter("h % 5 > 0").select("text", "lang"), count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, gram, n in zip(counted["lang"], counted["gram"], counted["n"]):
         counts[lang][gram] = n
@@ -233,7 +233,7 @@ def _calibrate(model: Model, held: DataFrame, bound: float) -> None:
                 ce, _, _ = scorer(as_bytes(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(list(ce), pa.list_(pa.float64()))], ["lang", "ce"])
 
-    got = [r for r in held.mapInArrow(task, "lang string, ce array<double>").collect() if r["lang"] in model.languages]
+    got = [r for r in map_texts(held, task, "lang string, ce array<double>").collect() if r["lang"] in model.languages]
     model.bounds = np.full(len(model.languages), np.inf)
     if not got:
         return
@@ -278,4 +278,4 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", rejec
                     columns = [pa.array([UNKNOWN] * n), pa.array(np.zeros(n)), pa.nulls(n, pa.float64()), pa.array(np.zeros(n, bool))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *[a for a, _ in added]])
 
-    return docs.mapInArrow(task, schema)
+    return map_texts(docs, task, schema)

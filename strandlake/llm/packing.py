@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, map_texts, slices
 
 SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, padding long, ids binary"
 
@@ -132,7 +132,7 @@ class WordEncoder:
 
     STOPS = b".,!?;:"
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -239,7 +239,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[bytes]], list[byt
         if ids:
             yield flush()
 
-    return wanted.mapInArrow(task, schema).withColumnRenamed("doc_id", id_col)
+    return map_texts(wanted, task, schema).withColumnRenamed("doc_id", id_col)
 
 
 @lru_cache(maxsize=1)

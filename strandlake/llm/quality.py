@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, fresh, slices
+from .common import as_bytes, fresh, map_texts, slices
 
 BITS = 18
 TEMPLATES = 5
@@ -52,7 +52,7 @@ def shape(word: bytes) -> bytes:
 class Words:
     """Numbers of words, with the hash and the shape hash of each. The first ``most`` are remembered; 0 is no word."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.known = most, {}
         self.word, self.shape = np.zeros(1, np.uint32), np.zeros(1, np.uint32)
 
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
                 z = bias + dots(weights, idx, first, n)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-z)))], [*part.schema.names, score_col])
 
-    return docs.mapInArrow(task, schema)
+    return map_texts(docs, task, schema)
 
 
 def keep(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = 0.3) -> DataFrame:

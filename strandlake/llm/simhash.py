@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpointed, near, slices
+from .common import as_bytes, checkpointed, map_texts, near, slices
 from .components import components
 
 SEED = 42
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", width
                 fps = np.array([fingerprint(t, width) for t in as_bytes(part.column(text_col))], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps)], [*part.schema.names, out])
 
-    return docs.mapInArrow(task, schema)
+    return map_texts(docs, task, schema)
 
 
 #: Sets of four of the eight byte positions. For each: the bits of its bytes, and a bit for each

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpointed, fresh, near, slices
+from .common import as_bytes, checkpointed, fresh, map_texts, near, slices
 from .fmindex import FMIndex
 
 WINDOW, GRAM = 20, 6
@@ -42,7 +42,7 @@ _M = np.uint64(0xBF58476D1CE4E5B9)
 class WordHashes:
     """64-bit hashes of words; the first ``most`` different ones are remembered."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.known = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -144,7 +144,7 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
                 anchor = np.where(own, alone, anchor[keep])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.int64()), pa.array(start.astype(np.int32)), pa.array(runs.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(own)], ["id", "v", "start", "n", "anchor", "content", "own"])
 
-    return docs.mapInArrow(task, ROWS)
+    return map_texts(docs, task, ROWS)
 
 
 def _with_words(todo: DataFrame, docs: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def _with_words(todo: DataFrame, docs: DataFrame) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "v", "start", "n", "key", "hot", "words"])
 
-    return joined.mapInArrow(task, "id long, v long, start int, n int, key long, hot boolean, words binary")
+    return map_texts(joined, task, "id long, v long, start int, n int, key long, hot boolean, words binary")
 
 
 def repeats_of_shard(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, words: list[bytes]) -> np.ndarray:
@@ -287,7 +287,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(words_, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
 
-    out = joined.mapInArrow(task, "id long, n_words long, n_removed long, kept_sha256 string")
+    out = map_texts(joined, task, "id long, n_words long, n_removed long, kept_sha256 string")
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept_sha256")
 
 
@@ -317,4 +317,4 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays(columns, docs_columns)
 
     docs_columns = docs.columns
-    return joined.mapInArrow(task, schema)
+    return map_texts(joined, task, schema)
