@@ -120,6 +120,9 @@ def _binary(seq: list[Piece], used: int) -> Iterator[list[Piece]]:
             yield part
 
 
+MARK, MARK_BETWEEN = b"\x01", b" \x01 "
+
+
 class WordEncoder:
     """Token ids of texts, remembered by their words.
 
@@ -132,11 +135,13 @@ class WordEncoder:
 
     STOPS = b".,!?;:"
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {b"": b""}
+        mark = self._ids(MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
 
     def parts(self, word: bytes) -> tuple[bytes, bytes]:
         """A word in lower case if it is ASCII, and the stops behind it."""
@@ -145,6 +150,25 @@ class WordEncoder:
             return word, b""
         return core.lower() if core.isascii() else core, word[len(core) :]
 
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. Many words make one text, a mark that is one token by itself between any two."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            if self.mark is not None and not any(MARK in w for w in some):
+                ids = self._ids(MARK_BETWEEN.join(some))
+                ends = np.flatnonzero(ids == self.mark)
+                data = ids.tobytes()
+                parts = [data[4 * a : 4 * b] for a, b in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)])]
+                if len(parts) == len(some):
+                    out += parts
+                    continue
+            out += [self._ids(w).tobytes() for w in some]
+        return out
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype="<u4")
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         known = self.known
         split = [t.split() for t in texts]
@@ -153,8 +177,7 @@ class WordEncoder:
         if rare:
             parts = {w: self.parts(w) for w in rare}
             wanted = list({p for both in parts.values() for p in both}.difference(known))
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in wanted], add_special_tokens=False)
-            new.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(wanted, coded))
+            new.update(zip(wanted, self.encode(wanted)))
             known.update(new)
             whole = {w: known[core] + known[stops] for w, (core, stops) in parts.items()}
             new.update(whole)
