@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -133,9 +134,9 @@ class WordEncoder:
     remembered, the others are encoded again in each call.
     """
 
-    STOPS = b".,!?;:"
+    STOPS = re.compile(rb"(?<=[0-9A-Za-z])[.,!?;:]+$", re.MULTILINE)
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -143,12 +144,12 @@ class WordEncoder:
         mark = self._ids(MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
 
-    def parts(self, word: bytes) -> tuple[bytes, bytes]:
-        """A word in lower case if it is ASCII, and the stops behind it."""
-        core = word.rstrip(self.STOPS)
-        if not core[-1:].isalnum():
-            return word, b""
-        return core.lower() if core.isascii() else core, word[len(core) :]
+    def cores(self, words: list[bytes]) -> list[bytes]:
+        """Each word with ASCII letters lowered, without the stops behind a last letter or digit. Words that may hold special tokens stay as they are."""
+        blob = b"\n".join(words)
+        if b"<|" not in blob:
+            return self.STOPS.sub(b"", blob.lower()).split(b"\n")
+        return [w if b"<|" in w else self.STOPS.sub(b"", w.lower()) for w in words]
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word. Many words make one text, a mark that is one token by itself between any two."""
@@ -175,11 +176,14 @@ class WordEncoder:
         rare = set(chain.from_iterable(split)).difference(known)
         new: dict[bytes, bytes] = {}
         if rare:
-            parts = {w: self.parts(w) for w in rare}
-            wanted = list({p for both in parts.values() for p in both}.difference(known))
+            words = list(rare)
+            cores = self.cores(words)
+            whole = {w: (c, w[len(c) :]) for w, c in zip(words, cores) if len(w) != len(c)}
+            wanted = list(set(cores).union([stops for _, stops in whole.values()]).difference(known))
             new.update(zip(wanted, self.encode(wanted)))
             known.update(new)
-            whole = {w: known[core] + known[stops] for w, (core, stops) in parts.items()}
+            whole = {w: known[c] + known[stops] for w, (c, stops) in whole.items()}
+            whole.update((w, known[c]) for w, c in zip(words, cores) if w not in whole)
             new.update(whole)
             known.update(whole)
         out = [b"".join(map(known.get, words)) for words in split]

@@ -52,7 +52,7 @@ def test_little_padding():
 
 def test_words_encode_as_whole_texts():
     t, e = Tokenizer.from_file(PATH), WordEncoder(PATH, most=3)
-    texts = ["Hello  wörld\tDON'T x\n", "", "a\x1cb c d", "<|endoftext|> x<|startoftext|>y", "É é ΟΔΟΣ 12345", "日本語 テキスト", "w" * 5000, "Word. word, WORD! a\". it's, É. x_. 12, ?! ...", "<|endoftext|>. x<|endoftext|>", "A" * 300 + ".", "a\x01b \x01 c"]
+    texts = ["Hello  wörld\tDON'T x\n", "", "a\x1cb c d", "<|endoftext|> x<|startoftext|>y", "É é ΟΔΟΣ 12345", "日本語 テキスト", "w" * 5000, "Word. word, WORD! a\". it's, É. x_. 12, ?! ...", "<|endoftext|>. x<|endoftext|>", "A" * 300 + ".", "a\x01b \x01 c", "x<|ENDOFTEXT|>y. A<|endoftext|>B, I\u0307x E\u0301"]
     for _ in range(2):
         assert e([s.encode() for s in texts]) == [np.array(t.encode(s, add_special_tokens=False).ids, "<u4").tobytes() for s in texts]
 
