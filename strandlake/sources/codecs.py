@@ -44,7 +44,7 @@ def ipc_bytes(table: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         if isinstance(table, pa.Table):
-            out.write_table(table.combine_chunks(), max_chunksize=max(1, len(table)))
+            out.write_table(table, max_chunksize=max(1, len(table)))
         else:
             out.write_batch(table)
     return sink.getvalue().to_pybytes()
@@ -140,22 +140,23 @@ class BlobCodec(Codec):
                 """Encoded prefixes with their row counts; the last one only if the run ends."""
                 at = 0
                 while at < len(body):
-                    low, high = 1, len(body) - at
-                    if len(ipc_bytes(body.slice(at))) <= most:
-                        low = high
-                    while low < high:  # the most rows that fit
-                        mid = (low + high + 1) // 2
-                        low, high = (mid, high) if len(ipc_bytes(body.slice(at, mid))) <= most else (low, mid - 1)
+                    low = len(body) - at
+                    data = ipc_bytes(body.slice(at))
+                    if len(data) > most:
+                        low, high = 1, low - 1
+                        while low < high:  # the most rows that fit
+                            mid = (low + high + 1) // 2
+                            low, high = (mid, high) if len(ipc_bytes(body.slice(at, mid))) <= most else (low, mid - 1)
+                        data = ipc_bytes(body.slice(at, low))
+                        if len(data) > most:
+                            raise LakeError(f"one row takes {len(data)} bytes, more than {most}")
                     if at + low == len(body) and not last:
                         break
-                    data = ipc_bytes(body.slice(at, low))
-                    if len(data) > most:
-                        raise LakeError(f"one row takes {len(data)} bytes, more than {most}")
                     yield data, low
                     at += low
 
             def send(last: bool) -> list[tuple]:
-                body = pa.concat_tables(run).combine_chunks()
+                body = run[0] if len(run) == 1 else pa.concat_tables(run).combine_chunks()
                 done, out = 0, []
                 for data, n in records(body, last):
                     out.append((data, *envelope))
