@@ -44,6 +44,8 @@ def ipc_bytes(table: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         if isinstance(table, pa.Table):
+            if any(c.num_chunks > 1 for c in table.columns):  # one batch
+                table = table.combine_chunks()
             out.write_table(table, max_chunksize=max(1, len(table)))
         else:
             out.write_batch(table)
