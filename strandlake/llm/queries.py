@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, chunking, langid, mixing, packing, quality, simhash, substrings
+from . import ann, chat, chunking, langid, lmscore, mixing, packing, quality, simhash, substrings
 from .common import WORD, fold, load
 
 #: The tokenizer of the packing query. Tokenizer files are never part of this repository.
@@ -40,6 +40,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), packing.word_encoder(TOKENIZER))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by cross-entropy difference; the target is what is labelled as of quality."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    models = lmscore.fit(docs, load(spark, sf_dir, "labels").filter("quality = 1"))
+    return lmscore.score(docs, models).drop("text")
+
+
 def op5_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.with_edits(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_classifier,
         op2_chat_format,
         op3_packing,
+        op4_lm_scoring,
         op5_chunk_fingerprints,
         op6_source_mixing,
         op7_simhash_dedup,
