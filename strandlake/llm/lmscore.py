@@ -1,9 +1,11 @@
 """Language-model scoring by cross-entropy difference.
 
 Two word bigram models, one of a target corpus and one of all documents (the background), are matched:
-same order, same smoothing, and one vocabulary, whose words and pairs lie in hash buckets. A document's
-score is the mean over its words of log p(target) - log p(background): above 0 it is more like the target.
-Counts are taken over all documents: each task sums its own, and the sums are added up by bucket.
+same order, same smoothing. A document's score is the mean over its words of log p(target) - log p(background):
+above 0 it is more like the target. Words, last words and pairs are counted over all documents by 64-bit
+hash; a word is a context as often as it is not the last of a text. The counts are a table in buckets of hash ranges, whose number follows the amount of text, and are
+never gathered in one place: documents are scored by blocks of bounded size, each of which asks every bucket
+for the counts of its different hashes. Hashes and counts travel packed, many in a row.
 """
 
 from __future__ import annotations
@@ -13,79 +15,151 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import as_bytes, checkpointed, map_texts, near, slices
-from .quality import Words
 
-#: Bits of the word table and of the pair table; weight of the pair model.
+#: log2 of what smoothing adds to the number of words; weight of the pair model.
 BITS, PAIR = 18, 0.6
-_C = np.uint32(0x9E3779B1)
+#: Bytes of text in a block of documents, and for each bucket of the counts; rows of a block.
+BLOCK, BUCKET, ROWS = 8_000_000, 16_000_000, 100_000
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTE = np.random.default_rng(42).integers(1 << 64, size=256, dtype=np.uint64)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_START = np.uint64(0x27D4EB2F165667C5)
 
-def buckets(words: Words, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word, of the word before it (the start of a text: bucket 0), of the pair; words of each text."""
-    numbers, table, _, n = words(texts)
-    own = numbers > 0
-    h = np.where(own, (table[numbers] * _C >> np.uint32(32 - BITS)) | np.uint32(1), np.uint32(0))
-    before = np.concatenate([[np.uint32(0)], h[:-1]]) if len(h) else h
-    full = np.where(own, table[numbers], np.uint32(0))
-    last = np.concatenate([[np.uint32(0)], full[:-1]]) if len(full) else full
-    pair = (full * np.uint32(0x85EBCA6B)) ^ (last * np.uint32(0xC2B2AE35) + np.uint32(0x27D4EB2F))
-    pair = (pair ^ pair >> np.uint32(15)) * _C >> np.uint32(32 - BITS)
-    return h[own].astype(np.int64), before[own].astype(np.int64), pair[own].astype(np.int64), n
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def ngrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of each word, of its pair with the word before it (or the start of a text), of each text's last word; words of each text.
+
+    Words are what ``bytes.split()`` finds. A word's hash is the sum of its bytes' random numbers times
+    powers of a base, taken from running sums, then mixed.
+    """
+    lengths = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
+    raw = np.frombuffer(b" ".join([b"", *[t or b"" for t in texts], b""]), np.uint8)
+    edge = np.diff(_SPACE[raw].view(np.int8))
+    first, end = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
+    sums = np.full(len(raw), _BASE, np.uint64)
+    sums[0] = 1
+    np.cumprod(sums, out=sums)
+    sums *= _BYTE[raw]
+    np.cumsum(sums, out=sums)
+    word = sums[end - 1] - sums[first - 1]
+    sums = np.full(len(raw), _INVERSE, np.uint64)
+    sums[0] = 1
+    word = _mix(word * np.cumprod(sums)[first])
+    starts = np.cumsum(lengths + 1) - lengths
+    text = np.searchsorted(starts, first, side="right") - 1
+    n = np.bincount(text, minlength=len(texts)).astype(np.int64)
+    before = np.concatenate([[_START], word[:-1]])[: len(word)]
+    before[np.diff(text, prepend=-1) != 0] = _START
+    last = word[np.cumsum(n)[n > 0] - 1]
+    return word, _mix(_mix(before + np.uint64(1)) + word), _mix(last + np.uint64(2)), n
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each hash: ranges of equal width, so sorted hashes lie in the order of their buckets."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """Length, and the bytes by place, compressed, of small numbers or of the steps between ``rising`` ones."""
+    x = x.astype(np.uint64)
+    planes = np.ascontiguousarray((np.diff(x, prepend=np.uint64(0)) if rising else x).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def _unpack(data: bytes, rising: bool = False) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = pa.Codec("zstd").decompress(data[8:], 8 * n, asbytes=True)
+    x = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(x) if rising else x
+
+
+def _totals(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """The different hashes, ascending, and the sums of their counts."""
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return [keys[at], *[np.add.reduceat(c[by], at) if len(at) else c for c in counts]]
 
 
 @dataclass
 class Models:
-    """Counts by bucket, (target, background) by column: words, contexts, pairs."""
+    """The counts, a row for each bucket (hashes, target, background), packed; the number of buckets; words of each model."""
+
+    table: DataFrame
+    buckets: int
+    words: tuple[int, int]
 
-    word: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
 
-    def log_probabilities(self, w: np.ndarray, v: np.ndarray, p: np.ndarray, side: int) -> np.ndarray:
-        """log of PAIR * c(v, w) / c(v) + (1 - PAIR) * (c(w) + 1) / (N + buckets)."""
-        word, context, pair = self.word[:, side], self.context[:, side], self.pair[:, side]
-        single = (word[w] + 1) / (word.sum() + (1 << BITS))
-        # Pairs that share a bucket count together; no pair is more frequent than either of its words.
-        both = np.minimum(np.minimum(pair[p], context[v]), word[w])
-        return np.log(PAIR * both / np.maximum(context[v], 1) + (1 - PAIR) * single)
+_TABLE = "bucket long, keys binary, t binary, b binary, words_t long, words_b long"
 
 
 def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
     """Both models: the target's from the rows whose id is in ``targets`` (column ``id_col``), the background's from all rows."""
     ids = near(checkpointed(targets.select(F.col(id_col).alias("tid")).dropna().distinct()))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id") == F.col("tid"), "left").select("text", F.col("tid").isNotNull().alias("target"))
+    buckets = 1 + (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // BUCKET
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, size = Words(), 1 << BITS
-        sums = np.zeros((3 * size, 2), np.int64)
+        held: list[list[np.ndarray]] = []
+        size, words = 0, [0, 0]
+
+        def flush() -> pa.RecordBatch:
+            keys, t, b = _totals(*[np.concatenate(x) for x in zip(*held)])
+            ends = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
+            parts = [(k, slice(*ends[k : k + 2])) for k in range(buckets) if ends[k] < ends[k + 1]]
+            # The words are told once, with the first bucket.
+            told = [words if i == 0 else (0, 0) for i in range(len(parts))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in parts], pa.int64()), *[pa.array([_pack(x[s], x is keys) for _, s in parts], pa.binary()) for x in (keys, t, b)], *[pa.array([w[i] for w in told], pa.int64()) for i in (0, 1)]],
+                ["bucket", "keys", "t", "b", "words_t", "words_b"],
+            )
+
         for batch in batches:
             for part in slices(batch, "text"):
-                w, v, p, n = buckets(words, as_bytes(part.column("text")))
-                chosen = np.repeat(part.column("target").to_numpy(zero_copy_only=False).astype(bool), n)
-                for k, x in enumerate((w, v, p)):
-                    at = slice(k * size, (k + 1) * size)
-                    sums[at, 0] += np.bincount(x[chosen], minlength=size)
-                    sums[at, 1] += np.bincount(x, minlength=size)
-        keep = np.flatnonzero(sums[:, 1])
-        for a in range(0, len(keep), 100_000):
-            k = keep[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sums[k, 0]), pa.array(sums[k, 1])], ["k", "t", "b"])
-
-    got = map_texts(rows, task, "k long, t long, b long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
-    sums = np.zeros((3 << BITS, 2))
-    at = got.column("k").to_numpy()
-    sums[at, 0], sums[at, 1] = got.column("t").to_numpy(), got.column("b").to_numpy()
-    return Models(*np.split(sums, 3))
+                w, p, last, n = ngrams(as_bytes(part.column("text")))
+                target = part.column("target").to_numpy(zero_copy_only=False).astype(np.int64)
+                chosen, full = np.repeat(target, n), target[n > 0]
+                # The start of a text is counted like a word.
+                keys = np.concatenate([w, p, last, np.full(len(last), _START)])
+                held.append(_totals(keys, np.concatenate([chosen, chosen, full, full]), np.ones(len(keys), np.int64)))
+                words = [words[0] + int(chosen.sum()), words[1] + len(w)]
+                size += part.column("text").nbytes
+                if size >= BLOCK:
+                    yield flush()
+                    held, size, words = [], 0, [0, 0]
+        if held:
+            yield flush()
+
+    def merge(table: pa.Table) -> pa.Table:
+        got = [np.concatenate([_unpack(x, c == "keys") for x in table.column(c).to_pylist()]) for c in ("keys", "t", "b")]
+        counts = [[_pack(x, i == 0)] for i, x in enumerate(_totals(*got))]
+        words = [[sum(table.column(c).to_pylist())] for c in ("words_t", "words_b")]
+        return pa.Table.from_arrays([table.column("bucket").combine_chunks()[:1], *[pa.array(c, pa.binary()) for c in counts], *[pa.array(w, pa.int64()) for w in words]], names=["bucket", "keys", "t", "b", "words_t", "words_b"])
+
+    table = checkpointed(map_texts(rows, task, _TABLE).groupBy("bucket").applyInArrow(merge, _TABLE))
+    words = table.agg(F.sum("words_t"), F.sum("words_b")).first()
+    docs.sparkSession._jvm.System.gc()  # lets Spark remove the shuffle's files, which are as large as the table
+    return Models(table.select("bucket", "keys", "t", "b"), buckets, (words[0] or 0, words[1] or 0))
 
 
 def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     """``docs``, all columns kept, with n_words, target_loss, background_loss (nats a word) and lm_score, their difference.
 
+    The loss of a word w after v is -log of PAIR * c(v, w) / c(v) + (1 - PAIR) * (c(w) + 1) / (N + 2**BITS).
     A text without words (null, empty, blank) has no losses (null) and the score 0. Whole texts are scored, each on its own, so
     repeated rows score alike; ids play no part. Columns so named must not exist. An empty table gives no rows.
     """
@@ -93,20 +167,76 @@ def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     clash = {c.lower() for c in docs.columns} & {n for n, _ in added}
     if clash:
         raise ValueError(f"columns exist: {sorted(clash)}")
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    buckets, total, place = models.buckets, models.words, docs.columns.index(text_col)
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = rows = 0
+        number = TaskContext.get().partitionId() << 32
+
+        def flush() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for x in held:
+                    out.write_batch(x)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, words = shared.value, Words()
         for batch in batches:
             for part in slices(batch, text_col):
-                w, v, p, n = buckets(words, as_bytes(part.column(text_col)))
-                ends = np.cumsum(n)
-                loss = []
-                for side in (0, 1):
-                    sums = np.concatenate([[0.0], np.cumsum(m.log_probabilities(w, v, p, side))])
-                    loss.append(-(sums[ends] - sums[ends - n]) / np.maximum(n, 1))
-                none = n == 0
-                columns = [pa.array(n), pa.array(loss[0], mask=none), pa.array(loss[1], mask=none), pa.array(np.where(none, 0.0, loss[1] - loss[0]))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *[a for a, _ in added]])
-
-    return map_texts(docs, task, T.StructType([*docs.schema.fields, *[T.StructField(a, t) for a, t in added]]))
+                held.append(part)
+                size, rows = size + part.column(place).nbytes, rows + len(part)
+                if size >= BLOCK or rows >= ROWS:
+                    yield flush()
+                    held, size, rows, number = [], 0, 0, number + 1
+        if held:
+            yield flush()
+
+    def hashes(data: bytes) -> tuple[pa.Table, list[np.ndarray], np.ndarray]:
+        """A block's rows; its words, pairs, contexts' words and contexts as last words, by hash; words of each text."""
+        table = pa.ipc.open_stream(data).read_all()
+        parts = [ngrams(as_bytes(part.column(place))) for batch in table.to_batches() for part in slices(batch, text_col)]
+        w, p, _, n = [np.concatenate(x) for x in zip(*parts)]
+        before = np.concatenate([[_START], w[:-1]])[: len(w)]
+        before[(np.cumsum(n) - n)[n > 0]] = _START
+        return table, [w, p, before, _mix(before + np.uint64(2))], n
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                keys = np.unique(np.concatenate(hashes(data)[1]))
+                ends = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
+                parts = [(k, _pack(keys[ends[k] : ends[k + 1]], True)) for k in range(buckets) if ends[k] < ends[k + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([number] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())], ["bucket", "block", "keys"])
+
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        known, *counts = [np.concatenate([np.zeros(0, np.uint64), *[_unpack(x, c == "keys") for x in table.column(c).to_pylist()]]) for c in ("keys", "t", "b")]
+        out: list[list[bytes]] = [[], []]
+        for data in asked.column("keys").to_pylist():
+            keys = _unpack(data, True)
+            at = np.searchsorted(known, keys)
+            found = at < len(known)
+            found[found] = known[at[found]] == keys[found]
+            for x, c in zip(out, counts):
+                got = np.zeros(len(keys), np.uint64)
+                got[found] = c[at[found]]
+                x.append(_pack(got))
+        return pa.Table.from_arrays([asked.column("block"), asked.column("bucket"), *[pa.array(x, pa.binary()) for x in out]], names=["block", "bucket", "t", "b"])
+
+    def finish(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        table, keys, n = hashes(blocks.column("data")[0].as_py())
+        at = np.unique(np.concatenate(keys), return_inverse=True)[1].reshape(4, -1)
+        answers, text, none, loss = answers.sort_by("bucket"), np.repeat(np.arange(len(n)), n), n == 0, []
+        for side, c in enumerate(("t", "b")):
+            counts = np.concatenate([np.zeros(0, np.uint64), *[_unpack(x) for x in answers.column(c).to_pylist()]]).astype(np.float64)
+            word, pair, begun, ended = counts[at]
+            context = begun - ended
+            single = (word + 1) / (total[side] + (1 << BITS))
+            logs = np.log(PAIR * pair / np.maximum(context, 1) + (1 - PAIR) * single)
+            loss.append(-np.bincount(text, logs, len(n)) / np.maximum(n, 1))
+        columns = [pa.array(n), pa.array(loss[0], mask=none), pa.array(loss[1], mask=none), pa.array(np.where(none, 0.0, loss[1] - loss[0]))]
+        return pa.Table.from_arrays([*table.columns, *columns], names=[*table.column_names, *[a for a, _ in added]])
+
+    # Blocks are written, so that what they ask and what is finished with the answers are the same rows.
+    blocks = checkpointed(map_texts(docs, block, "block long, data binary"))
+    answers = blocks.mapInArrow(ask, "bucket long, block long, keys binary").groupBy("bucket").cogroup(models.table.groupBy("bucket")).applyInArrow(answer, "block long, bucket long, t binary, b binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, T.StructType([*docs.schema.fields, *[T.StructField(a, t) for a, t in added]]))

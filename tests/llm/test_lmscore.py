@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -48,3 +49,19 @@ def test_query_tells_good_from_bad(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     mean = {q: sum(got[i] for i, y in labels.items() if y == q) / sum(y == q for y in labels.values()) for q in (0, 1)}
     assert len(got) == 10_000 and mean[1] > mean[0]
+
+
+def test_many_different_pairs_are_counted_apart(make, spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.choice((int(rng.paretovariate(2)), rng.randrange(90_000)))}" for _ in range(6_000))) for i in range(100)]
+    texts = [t.split() for _, t in rows]
+    word, context = Counter(x for w in texts for x in w), Counter(x for w in texts for x in (None, *w[:-1]))
+    pair = Counter(p for w in texts for p in zip([None, *w], w))
+    assert len(pair) > 1 << BITS
+    docs, total = make(*rows), word.total()
+    got = score(docs, fit(docs, spark.createDataFrame([(0,)], "doc_id long"))).select("doc_id", "n_words", "background_loss").collect()
+    assert len(got) == 100
+    for i, n, loss in got:
+        w = texts[i]
+        want = [PAIR * pair[v, x] / context[v] + (1 - PAIR) * (word[x] + 1) / (total + (1 << BITS)) for v, x in zip([None, *w], w)]
+        assert n == 6_000 and loss == pytest.approx(-sum(map(math.log, want)) / n, abs=1e-9)
