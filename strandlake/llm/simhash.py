@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpointed, map_texts, near, slices
+from .common import as_bytes, checkpointed, fresh, map_texts, near, slices
 from .components import components
 
 SEED = 42
@@ -124,8 +124,17 @@ def hex16(fp: Column) -> Column:
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
     """One row of each class of near-duplicates, all columns kept: the one with the smallest id.
 
-    Of several rows with that id, one stays. Rows without an id: one stays of a class that has no
-    other.
+    Of its rows with that id, one stays, whatever classes other rows with the id are in. Rows without
+    an id: one stays of each class that has no other.
     """
-    chosen = classes(docs, id_col, text_col, bits).select(F.col("component_id").alias("c")).distinct()
-    return docs.join(chosen, docs[id_col].eqNullSafe(F.col("c")), "left_semi").dropDuplicates([id_col])
+    # Rows with the same id and text are of the same class, so the two tell which class's row it is.
+    key, chosen_hash, text_hash = fresh(docs, "chosen_id", "chosen_hash", "text_hash")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    rows = checkpointed(fingerprints(rows, "text").select("id", "h", "fp"))
+    first = checkpointed(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")))
+    roots = near(components(links(first.select("fp"), bits)))
+    first = first.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
+    chosen = first.select(F.col("first.id").alias(key), F.col("first.h").alias(chosen_hash))
+    docs = docs.withColumn(text_hash, F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(text_hash) == F.col(chosen_hash))
+    return docs.join(chosen, same, "left_semi").dropDuplicates([id_col, text_hash]).drop(text_hash)

@@ -86,3 +86,9 @@ def test_odd_rows(make, spark):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "7", "8", "None"]
     assert classes(docs.limit(0)).collect() == [] and first_of_each(docs.limit(0)).collect() == []
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_one_row_of_each_class_whatever_the_ids(make):
+    a, b, c, d = "one text without an id", "another that is unlike it", "the third one under an id", "and a fourth under the same"
+    docs = make((None, a), (None, a), (None, b), (5, c), (5, d), (None, c), (6, d), (5, c))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in first_of_each(docs).collect()) == sorted([("None", a), ("None", b), ("5", c), ("5", d)])
