@@ -110,22 +110,30 @@ def calibrate(fitted: Orderings, sample: np.ndarray, rows: int, k: int) -> None:
 
 
 def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` nearest of ``rows`` for each query, its own id left out: query ids, ids, cosines.
+    """The ``k`` nearest ids of ``rows`` for each query, its own left out: query ids, ids, cosines. An id counts once, by its nearest row.
 
     A matrix product preselects; the cosines are then computed pair by pair, always in the same
     order of operations, so equal vectors have equal cosines and ties go to the smaller id.
     """
     norm = np.sqrt((rows * rows).sum(axis=1))
     qnorm = np.sqrt((queries * queries).sum(axis=1))
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.diff(ids[order], prepend=ids[order[:1]] - 1))
+    repeated = len(starts) < len(ids)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a in range(0, len(queries), 256):
         rough = (queries[a : a + 256] / qnorm[a : a + 256, None]) @ (rows / norm[:, None]).T
         for i, r in enumerate(rough, a):
             r[ids == query_ids[i]] = -2
-            least = np.partition(r, -k)[-k] if len(r) > k else -1.5
+            # Repeats of an id must not take others' places: an id's best row stands for it.
+            top = np.maximum.reduceat(r[order], starts) if repeated else r
+            least = np.partition(top, -k)[-k] if len(top) > k else -1.5
             at = np.flatnonzero(r >= max(least - 1e-9, -1.5))
             exact = (rows[at] * queries[i]).sum(axis=1) / (norm[at] * qnorm[i])
-            by = np.lexsort((ids[at], -exact))[:k]
+            by = np.lexsort((ids[at], -exact))
+            if repeated:
+                by = by[np.sort(np.unique(ids[at][by], return_index=True)[1])]
+            by = by[:k]
             out.append((np.full(len(by), query_ids[i]), ids[at][by], exact[by]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)

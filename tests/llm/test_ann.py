@@ -66,3 +66,17 @@ def test_hot_cells_are_split(spark):
     for r in search(df, F.col("id") % 50 == 0, curves=Curves(cell_rows=8)).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
     assert [i for _, i in sorted(got[1050])] == [1000, 1001, 1002, 1003, 1004]
+
+
+def test_repeated_rows_leave_room_for_other_ids(spark):
+    rng = np.random.default_rng(1)
+    once = [(i, rng.standard_normal(4).tolist()) for i in range(40)]
+    df = spark.createDataFrame(once * 5 + [(3, [9.0, 1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    every = once + [(3, [9.0, 1.0, 0.0, 0.0])]
+    got = {}
+    for r in search(df, F.col("id") == 0, curves=Curves(cell_rows=4096)).collect():
+        got[r["rank"]] = (r["vec_id"], pytest.approx(r["score"], abs=1e-12))
+    best = {}
+    for i, v in every[1:]:
+        best[i] = max(best.get(i, -2), cosine(once[0][1], v))
+    assert [got[k] for k in range(1, 6)] == sorted(best.items(), key=lambda x: -x[1])[:5]
