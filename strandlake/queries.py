@@ -492,3 +492,16 @@ def topology_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     for b in range(2):
         out = built.run_batch("events", df.filter(F.expr(f"event_id div {REPLAY}L") == b))
     return out["totals"]
+
+
+@query("SELECT user_id, CAST(sum(cents) AS BIGINT) AS total, p AS __partition FROM E GROUP BY user_id, p HAVING p IN (SELECT p FROM E WHERE coalesce(event_id % 2 = 1, false))")
+def topology_whole_in_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event, in two batches through one topology: what it shows after the second."""
+    t = Topology()
+    totals = t.add_group_by("totals", ["user_id"], [Aggregation("cents", "total", SUM)], t.add_source("events", "events", FrameCodec()))
+    t.add_sink("out", "totals", FrameCodec(), totals)
+    built, df = t.build(), events(spark, sf_dir)
+    odd = F.coalesce(F.col("event_id") % 2 == 1, F.lit(False))
+    for batch in (~odd, odd):
+        out = built.run_batch("events", df.filter(batch))
+    return out["totals"]
