@@ -6,8 +6,8 @@ byte positions, the fingerprints with the same four bytes there; a pair sharing
 bytes meets in C(m, 4) lists, and is kept only in the first of them, so each pair comes out once.
 Its shared bytes are tallied, and the pairs that reach the minimum are verified bit by bit.
 
-Only different fingerprints are indexed, so copies cost nothing. A list is joined to itself by
-sub-keys, never as all pairs of an unbounded group (see :func:`links`).
+Only different fingerprints are indexed, so copies cost nothing. All pairs of a list are compared, so a
+list of very many different fingerprints costs its square (see :func:`links`).
 """
 
 from __future__ import annotations
