@@ -5,15 +5,17 @@ at an earlier place (a smaller id, or earlier in the same text). All words under
 
 1. Each window has an anchor: its least hash of ``GRAM`` consecutive words, the leftmost if tied. Equal
    windows have equal anchors at equal places, so only windows with a common anchor need comparing.
-   Neighbouring windows with one anchor make a segment. Segments are dealt by anchor; anchors that
-   occur once fall away there, and later copies of a whole segment are repeats at once.
-2. What is left, the different segments of an anchor, lies where copies begin, end or differ. These
-   segments are dealt to shards by anchor. Each shard has an FM-index of its segments' words (a
-   byte a word), and backward search over its wavelet matrix gives each window's matching
-   statistic; windows that match over their whole length elsewhere are compared by 64-bit hashes of
-   their words, and all but the earliest are repeats. An anchor with very many different segments
-   is dealt out by single windows instead.
-3. The repeats' ranges meet their texts, and the words under them are left out.
+   Neighbouring windows with one anchor make a segment. Anchors are counted, combined before the
+   shuffle; the segments of an anchor that occurs once fall away. Hashes only rule out, here and below.
+2. What is left is read again with its words. The different segments, each with its earliest place,
+   are dealt to shards by anchor, and each shard has a compressed FM-index of them over its own numbers
+   of words. All segments left are streamed against the index of their shard: backward search gives
+   the matching statistics, and where they reach ``WINDOW``, the index locates the earliest of the equal
+   word sequences. A window that starts anywhere else is a repeat. A shard with very many segments
+   to be searched has several tasks with the same index.
+3. An anchor with very many different segments would fill a shard: its windows are segments of their own,
+   with a hash of all their words as anchor, and those whose hash occurs once fall away first.
+4. The repeats' ranges meet their texts, and the words under them are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +34,12 @@ from .common import as_bytes, checkpointed, fresh, map_texts, near, slices
 from .fmindex import FMIndex
 
 WINDOW, GRAM = 20, 6
-#: Different segments of one anchor beyond which its windows are dealt out singly; segments of a shard.
-HOT, SHARD = 512, 4096
+#: Different segments of one anchor beyond which its windows are dealt out singly.
+HOT = 512
+#: Bytes of words in an index, and of words searched in one task.
+SHARD, STREAM = 500_000, 4_000_000
+#: Anchors (8 bytes each) that may be broadcast.
+ANCHORS = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -46,7 +52,6 @@ class WordHashes:
         self.most, self.known = most, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Signed 64-bit numbers."""
         got = list(map(self.known.get, words))
         if None in got:
             digest, known = xxhash.xxh3_64_intdigest, self.known
@@ -114,11 +119,8 @@ def segments(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return text[begin], start - first[text[begin]], count, grams[anchor[begin]], content
 
 
-ROWS = "id long, v long, start int, n int, anchor long, content long, own boolean"
-
-
-def _segment_rows(docs: DataFrame) -> DataFrame:
-    """Rows of ``ROWS`` for docs(id, v, text). A segment that its own text has earlier is a repeat already (own); neighbouring ones are one row."""
+def _segments_of(docs: DataFrame, places: bool) -> DataFrame:
+    """Segments of docs(nn, id, v, text): anchor and how often it occurs in a part of the texts or, with ``places``, each by itself."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -129,119 +131,145 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     h = hashes([w for x in split for w in x])
                     text, start, count, anchor, content = segments(h, n)
-                    mark = _mixed(content ^ (text.astype(np.uint64) + np.uint64(1)) * _P)
-                _, firsts = np.unique(mark, return_index=True)
-                own = np.ones(len(text), bool)
-                own[firsts] = False
-                # A run of own repeats becomes one row, its anchor made up so that it meets no other.
-                go = np.concatenate([[False], own[1:] & own[:-1] & (text[1:] == text[:-1]) & (start[1:] == start[:-1] + count[:-1])]) if len(own) else own
-                keep = np.flatnonzero(~go)
-                runs = np.add.reduceat(count, keep) if len(keep) else count
-                text, start, own, content = text[keep], start[keep], own[keep], content[keep]
-                ids, vs = part.column("id").to_numpy(zero_copy_only=False)[text], part.column("v").to_numpy(zero_copy_only=False)[text]
-                with np.errstate(over="ignore"):
-                    alone = _mixed((ids.astype(np.int64).view(np.uint64) * _P ^ vs.astype(np.int64).view(np.uint64)) * _P + start.astype(np.uint64))
-                anchor = np.where(own, alone, anchor[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.int64()), pa.array(start.astype(np.int32)), pa.array(runs.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(own)], ["id", "v", "start", "n", "anchor", "content", "own"])
+                if not places:
+                    anchor, times = np.unique(anchor, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(times)], ["anchor", "times"])
+                    continue
+                own = [part.column(c).take(pa.array(text)) for c in ("nn", "id", "v")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], ["nn", "id", "v", "start", "n", "anchor", "content"])
 
-    return map_texts(docs, task, ROWS)
+    return map_texts(docs, task, "nn boolean, id long, v long, start int, n int, anchor long, content long" if places else "anchor long, times long")
 
 
 def _with_words(todo: DataFrame, docs: DataFrame) -> DataFrame:
-    """The segments with their words' hashes (8 bytes a word); those of hot anchors as single windows, then key is the window's hash."""
-    lists = todo.groupBy("id", "v").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("s"))
-    joined = docs.join(lists.hint("shuffle_hash"), ["id", "v"]).select("id", "v", "text", "s")
+    """The segments with their words, joined by spaces: nn, id, v, key (the anchor), starts, single, words.
+
+    A text's equal segments are one row. Those of hot anchors become single windows; key is then a hash of all words.
+    """
+    lists = todo.groupBy("nn", "id", "v").agg(F.collect_set(F.struct("start", "n", "anchor", "hot")).alias("s"))
+    joined = docs.join(lists.hint("shuffle_hash"), ["nn", "id", "v"]).select("nn", "id", "v", "text", "s")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for part in slices(batch, "text"):
-                out = []
-                for id_, v, text, wanted in zip(part.column("id").to_pylist(), part.column("v").to_pylist(), as_bytes(part.column("text")), part.column("s").to_pylist()):
-                    h = hashes(text.split())
+                row, keys, starts, single, said = [], [], [], [], []
+                for i, (text, wanted) in enumerate(zip(as_bytes(part.column("text")), part.column("s").to_pylist())):
+                    words = text.split()
+                    joined_ = b" ".join(words)
+                    end = np.cumsum([len(w) + 1 for w in words]).tolist()
+                    begin = [0, *end]
+                    own: dict[tuple[int, bytes], list[int]] = {}
                     for s in wanted:
+                        at, n = s["start"], s["n"]
                         if s["hot"]:
-                            with np.errstate(over="ignore"):
-                                at = np.arange(s["start"], s["start"] + s["n"])
-                                keys = range_hashes(h[s["start"] : s["start"] + s["n"] + WINDOW - 1], at - s["start"], np.full(s["n"], WINDOW)).view(np.int64)
-                            out += [(id_, v, int(a), 1, int(k), True, None) for a, k in zip(at, keys)]
+                            for a in range(at, at + n):
+                                w = joined_[begin[a] : end[a + WINDOW - 1] - 1]
+                                own.setdefault((digest(w) - (1 << 63), w), [True]).append(a)
                         else:
-                            out.append((id_, v, s["start"], s["n"], s["anchor"], False, h[s["start"] : s["start"] + s["n"] + WINDOW - 1].tobytes()))
-                columns = list(zip(*out)) if out else [[]] * 7
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "v", "start", "n", "key", "hot", "words"])
-
-    return map_texts(joined, task, "id long, v long, start int, n int, key long, hot boolean, words binary")
-
-
-def repeats_of_shard(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """Marks of the windows (all segments', one after the other) that occur earlier in the shard."""
-    lengths = counts + WINDOW - 1
-    h = np.frombuffer(b"".join(words), np.uint64)
-    first = np.cumsum(lengths) - lengths
-    # One byte a word, and a 0 after each segment.
-    symbols = np.zeros(len(h) + len(words), np.uint8)
-    where = np.arange(len(h)) + np.repeat(np.arange(len(words)), lengths)
-    symbols[where] = h % np.uint64(255) + np.uint64(1)
-    segment = np.repeat(np.arange(len(words)), counts)
-    offset = np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts)
-    ends = first[segment] + segment + offset + WINDOW
-    index = FMIndex(symbols)
-    reached, _, _ = index.matches(symbols, ends, WINDOW)
-    out = np.zeros(len(segment), bool)
+                            own.setdefault((s["anchor"], joined_[begin[at] : end[at + n + WINDOW - 2] - 1]), [False]).append(at)
+                    for (key, w), (alone, *places) in own.items():
+                        row.append(i)
+                        keys.append(key)
+                        starts.append(sorted(places))
+                        single.append(alone)
+                        said.append(w)
+                    # Hot anchors may give many windows: batches stay small.
+                    if sum(map(len, said)) > 4_000_000:
+                        yield made(part, row, keys, starts, single, said)
+                        row, keys, starts, single, said = [], [], [], [], []
+                yield made(part, row, keys, starts, single, said)
+
+    def made(part: pa.RecordBatch, row: list, keys: list, starts: list, single: list, said: list) -> pa.RecordBatch:
+        own = [part.column(c).take(pa.array(row, pa.int64())) for c in ("nn", "id", "v")]
+        return pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(single, pa.bool_()), pa.array(said, pa.binary())], ["nn", "id", "v", "key", "starts", "single", "words"])
+
+    return map_texts(joined, task, "nn boolean, id long, v long, key long, starts array<int>, single boolean, words binary")
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.int64)
+
+
+def search_shard(index: pa.Table, stream: pa.Table) -> pa.Table:
+    """Runs of windows of ``stream`` (nn, id, v, starts, words) that start elsewhere earlier: nn, id, v, start, n.
+
+    ``index`` (nn, id, start, words) has every segment that ``stream`` has, with its earliest place.
+    """
+    index = index.sort_by([("nn", "ascending"), ("id", "ascending"), ("start", "ascending")])
+    nn, ids, begins = (_column(index, c) for c in ("nn", "id", "start"))
+
+    def split(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        return b" ".join(words).split(b" ") if words else [], np.array([w.count(b" ") + 1 for w in words], np.int64)
+
+    flat, lengths = split(index.column("words").to_pylist())
+    number: dict[bytes, int] = {}
+    texts = np.array([number.setdefault(w, len(number)) for w in flat], np.int64)
+    fm = FMIndex(texts, lengths, len(number))
+    # Equal segments are searched once.
+    said: dict[bytes, int] = {}
+    content = np.array([said.setdefault(w, len(said)) for w in stream.column("words").to_pylist()], np.int64)
+    flat, lengths = split(list(said))
+    words = np.array([number.get(w, -1) for w in flat], np.int64)
+    windows = lengths - WINDOW + 1
+    first = np.cumsum(windows) - windows
+    offset = np.arange(windows.sum()) - np.repeat(first, windows)
+    ends = np.repeat(np.cumsum(lengths) - lengths, windows) + offset + WINDOW
+    reached, low, high = fm.matches(words, ends, WINDOW)
     found = np.flatnonzero(reached == WINDOW)
-    if len(found):
-        with np.errstate(over="ignore"):
-            true = range_hashes(h, first[segment[found]] + offset[found], np.full(len(found), WINDOW))
-        i, s = ids[segment[found]], starts[segment[found]] + offset[found]
-        by = np.lexsort((s, i, true))
-        same = true[by][1:] == true[by][:-1]
-        head = np.flatnonzero(np.concatenate([[True], ~same]))
-        lead = np.repeat(by[head], np.diff(np.append(head, len(by))))
-        out[found[by]] = (i[by] != i[lead]) | (s[by] != s[lead])
-    return out
+    lead = np.full((3, len(ends)), -1, np.int64)
+    at = fm.earliest(low[found], high[found])
+    text = np.searchsorted(fm.begins, at, side="right") - 1
+    lead[:, found] = nn[text], ids[text], begins[text] + at - fm.begins[text]
+    # Each start of each row, and each window there.
+    starts = stream.column("starts").combine_chunks()
+    row = np.repeat(np.arange(len(stream)), starts.value_lengths().to_numpy())
+    start = starts.flatten().to_numpy().astype(np.int64)
+    many = windows[content[row]]
+    place = np.repeat(np.arange(len(row)), many)
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    window = first[content[row]][place] + step
+    own_nn, own_id = _column(stream, "nn")[row][place], _column(stream, "id")[row][place]
+    again = (reached[window] == WINDOW) & ((lead[0, window] != own_nn) | (lead[1, window] != own_id) | (lead[2, window] != start[place] + step))
+    edge = np.diff(place, prepend=-1, append=-1) != 0
+    head = np.flatnonzero(again & (edge[:-1] | ~np.concatenate([[False], again[:-1]])[: len(again)]))
+    tail = np.flatnonzero(again & (edge[1:] | ~np.append(again[1:], False)[: len(again)]))
+    of = pa.array(row[place[head]], pa.int64())
+    columns = [stream.column(c).combine_chunks().take(of) for c in ("nn", "id", "v")]
+    return pa.table([*columns, pa.array((start[place[head]] + step[head]).astype(np.int32)), pa.array((tail - head + 1).astype(np.int32))], names=["nn", "id", "v", "start", "n"])
+
+
+RANGES = "nn boolean, id long, v long, start int, n int"
 
 
 def repeat_ranges(docs: DataFrame) -> DataFrame:
-    """Runs of repeated windows of docs(id, v, text), no nulls: id, v, start, n."""
-    by_anchor, by_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
-    place = F.struct("id", "start")
-    rows = _segment_rows(docs).repartition(F.col("anchor"))
-    rows = rows.withColumn("lead", F.min(place).over(by_content)).withColumn("first", place == F.col("lead"))
-    rows = rows.withColumn("kinds", F.sum((F.col("first") & ~F.col("own")).cast("int")).over(by_anchor)).filter(F.col("own") | ~F.col("first") | (F.col("kinds") > 1))
-    rows = checkpointed(rows.select("id", "v", "start", "n", "anchor", (F.col("own") | ~F.col("first")).alias("known"), (F.col("kinds") > HOT).alias("hot")))
-    known = rows.filter("known").select("id", "v", "start", "n")
-    todo = rows.filter("not known")
+    """Runs of repeated windows of docs(nn, id, v, text), no nulls: nn, id, v, start, n."""
+    times = _segments_of(docs, False).groupBy("anchor").agg(F.sum("times").alias("times"))
+    again = near(checkpointed(times.filter("times > 1").select("anchor")), ANCHORS)
+    todo = checkpointed(_segments_of(docs, True).join(again, "anchor"))
+    kinds = todo.select("anchor", "content").distinct().groupBy("anchor").count()
+    hot = near(checkpointed(kinds.filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))))
+    todo = todo.join(hot, "anchor", "left").select("nn", "id", "v", "start", "n", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
     worded = checkpointed(_with_words(todo, docs))
-    shards = worded.filter("not hot").count() // SHARD + 1
-
-    def shard(table: pa.Table) -> pa.Table:
-        ids, starts, counts = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "start", "n"))
-        marks = repeats_of_shard(ids, starts, counts, table.column("words").to_pylist())
-        segment = np.repeat(np.arange(len(ids)), counts)
-        offset = np.arange(len(segment)) - np.repeat(np.cumsum(counts) - counts, counts)
-        # Runs of marked windows of one segment.
-        edge = np.concatenate([[True], segment[1:] != segment[:-1]]) if len(segment) else np.zeros(0, bool)
-        begin = np.flatnonzero(marks & (edge | ~np.concatenate([[False], marks[:-1]])))
-        stop = np.flatnonzero(marks & (np.append(edge[1:], True) | ~np.append(marks[1:], False)))
-        own = segment[begin]
-        return pa.table({"id": pa.array(ids[own], pa.int64()), "v": table.column("v").combine_chunks().take(pa.array(own, pa.int64())), "start": pa.array((starts[own] + offset[begin]).astype(np.int32)), "n": pa.array((stop - begin + 1).astype(np.int32))})
-
-    dealt = worded.filter("not hot").select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "id", "v", "start", "n", "words")
-    searched = dealt.groupBy("shard").applyInArrow(shard, "id long, v long, start int, n int")
-    # Single windows of hot anchors: their earliest places combine before the shuffle, and the join may be split.
-    single = worded.filter("hot")
-    lead = checkpointed(single.groupBy("key").agg(F.min("id").alias("lead_id"), F.count("*").alias("times")).filter("times > 1"))
-    at_lead = single.join(near(lead), "key").filter(F.col("id") == F.col("lead_id")).groupBy("key", "lead_id").agg(F.min("start").alias("lead_start"))
-    again = (F.col("id") != F.col("lead_id")) | (F.col("start") != F.col("lead_start"))
-    single = single.join(near(checkpointed(at_lead)), "key").filter(again).select("id", "v", "start", "n")
-    return known.union(searched).union(single)
+    single = worded.filter("single")
+    more = single.groupBy("key").agg(F.sum(F.size("starts")).alias("times")).filter("times > 1").select("key")
+    stream = worded.filter("not single").union(single.join(near(checkpointed(more)), "key", "left_semi").select(worded.columns))
+    place = F.struct("nn", "id", F.get("starts", F.lit(0)).alias("start"))
+    index = checkpointed(stream.groupBy("key", F.xxhash64("words").alias("content")).agg(F.min(place).alias("at"), F.first("words").alias("words")).select("key", "at.*", "words"))
+    shards = 1 + (index.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // SHARD
+    of_key = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+    index = index.select(of_key, "nn", "id", "start", "words")
+    stream = stream.select(of_key, "nn", "id", "v", "starts", "words")
+    tasks = near(checkpointed(stream.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("words") + 4 * F.size("starts")) / STREAM).cast("int").alias("tasks"))))
+    index = index.join(tasks, "shard").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    stream = stream.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("nn", "id", "v", "starts"), F.col("tasks"))).drop("tasks")
+    return index.groupBy("shard", "task").cogroup(stream.groupBy("shard", "task")).applyInArrow(search_shard, RANGES)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, v, text) without nulls: null ids last, v a hash that tells texts under one id apart."""
+    """(nn, id, v, text) without nulls: nn marks null ids, which are last; v is a hash that tells texts under one id apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(text).alias("v"), text.alias("text"))
+    return docs.select(F.col(id_col).isNull().alias("nn"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("v"), text.alias("text"))
 
 
 def _covered(n: int, ranges: list[dict]) -> np.ndarray:
@@ -253,11 +281,9 @@ def _covered(n: int, ranges: list[dict]) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _each(docs: DataFrame, ranges: DataFrame, extra: list[Column]) -> DataFrame:
-    """docs(id, v, text and what ``extra`` names) with the list of each text's ranges, r (null: none)."""
-    lists = ranges.groupBy(F.col("id").alias("rid"), F.col("v").alias("rv")).agg(F.collect_list(F.struct("start", "n")).alias("r"))
-    joined = docs.join(lists.hint("shuffle_hash"), (F.col("id") == F.col("rid")) & (F.col("v") == F.col("rv")), "left")
-    return joined.select("text", "r", *extra)
+def _lists(ranges: DataFrame, names: list[str]) -> DataFrame:
+    """The set of each text's ranges: nn, id, v, r by ``names``. It is smaller than the texts it meets, so it is hashed."""
+    return ranges.groupBy("nn", "id", "v").agg(F.collect_set(F.struct("start", "n")).alias("r")).toDF(*names).hint("shuffle_hash")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +294,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     integers. An empty table gives no rows.
     """
     plain = _keyed(docs, id_col, text_col)
-    joined = _each(plain.alias("d"), checkpointed(repeat_ranges(plain)), [F.when(F.col("id") < (1 << 63) - 1, F.col("id")).alias("id")])
+    ranges = _lists(checkpointed(repeat_ranges(plain)), ["r_nn", "r_id", "r_v", "r"])
+    same = (F.col("nn") == F.col("r_nn")) & (F.col("id") == F.col("r_id")) & (F.col("v") == F.col("r_v"))
+    joined = plain.join(ranges, same, "left").select("text", "r", F.when(~F.col("nn"), F.col("id")).alias("id"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,12 +325,12 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     A text without repeats stays as it is; any other becomes its kept words, joined by a space
     (perhaps none). Null texts stay null. Otherwise as :func:`report`.
     """
-    plain = _keyed(docs, id_col, text_col)
-    ranges = checkpointed(repeat_ranges(plain))
-    i, v, r = fresh(docs, "sub_id", "sub_v", "sub_r")
-    lists = ranges.groupBy(F.col("id").alias(i), F.col("v").alias(v)).agg(F.collect_list(F.struct("start", "n")).alias(r))
-    own = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    joined = docs.join(lists.hint("shuffle_hash"), (own == F.col(i)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(v)), "left").drop(i, v)
+    own = _keyed(docs, id_col, text_col)
+    names = fresh(docs, "sub_nn", "sub_id", "sub_v", "sub_r")
+    lists = _lists(checkpointed(repeat_ranges(own)), names)
+    nn, i, v, r = names
+    same = (F.col(id_col).isNull() == F.col(nn)) & (F.coalesce(F.col(id_col).cast("long"), F.lit(0)) == F.col(i)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(v))
+    joined = docs.join(lists, same, "left").drop(nn, i, v)
     schema = T.StructType(list(docs.schema.fields))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,24 +10,36 @@ from strandlake.llm.substrings import WINDOW, remove, report
 from tests.conftest import DATA
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_fm_index_matching_statistics(seed):
+@pytest.mark.parametrize("seed", range(6))
+def test_fm_index(seed):
     rng = np.random.default_rng(seed)
-    texts = [rng.integers(1, 4 if seed else 2, rng.integers(1, 40)).astype(np.uint8) for _ in range(rng.integers(1, 9))]
-    s = np.concatenate([np.append(t, 0) for t in texts]).astype(np.uint8)
-    data = s.tobytes()
-    order = suffix_array(s, 8)
-    assert [data[i : i + 8].ljust(8, b"\0") for i in order] == sorted(data[i : i + 8].ljust(8, b"\0") for i in range(len(s)))
-    index = FMIndex(s, 64)
-    ends = np.array([i for i in range(8, len(s)) if 0 not in s[i - 8 : i]], np.int64)
-    reached, low, high = index.matches(s, ends, 8)
-
-    def times(p):
-        return sum(data.startswith(p, i) for i in range(len(data)))
+    kinds = [1, 2, 3, 300, 5000, 2][seed]
+    lengths = rng.integers(1, 60, rng.integers(1, 9))
+    texts = [rng.integers(0, kinds, n) for n in lengths]
+    index = FMIndex(np.concatenate(texts), lengths, kinds)
+    stream = np.concatenate([*texts, rng.integers(-1, kinds, 50)])
+    ends = np.arange(8, len(stream) + 1)
+    reached, low, high = index.matches(stream, ends, 8)
+
+    def places(p):
+        return [int(b) + i for t, b in zip(texts, index.begins) for i in range(len(t) - len(p) + 1) if (t[i : i + len(p)] == p).all()]
 
     for e, n, a, b in zip(ends, reached, low, high):
-        want = max([k for k in range(1, 9) if times(data[e - k : e]) >= 2], default=0)
-        assert n == want and (not n or b - a == times(data[e - n : e]))
+        want = max([k for k in range(1, 9) if places(stream[e - k : e])], default=0)
+        assert n == want
+        if n:
+            at = places(stream[e - n : e])
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == at
+            assert index.earliest(np.array([a]), np.array([b])).tolist() == at[:1]
+    symbols = np.append(texts[0], 0)
+    assert suffix_array(symbols).tolist() == sorted(range(len(symbols)), key=lambda i: symbols[i:].tolist())
+
+
+def test_fm_index_is_compressed():
+    rng = np.random.default_rng(0)
+    index = FMIndex(rng.integers(0, 1000, 100_000), np.full(1000, 100), 1000)
+    held = sum(b.words.nbytes + b.counts.nbytes for b in (index.marks, *index.matrix.planes)) + index.samples.nbytes
+    assert held < 3 * 100_000  # 11 planes; a suffix array of 8 bytes a place and the words themselves are not kept
 
 
 def brute(rows):
@@ -78,23 +90,58 @@ def corpus(seed, n=40):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("hot", [512, 1])
-def test_random_corpora(make, monkeypatch, seed, hot):
+@pytest.mark.parametrize("hot,shard,stream", [(512, 500_000, 4_000_000), (1, 2_000, 1_000)])
+def test_random_corpora(make, monkeypatch, seed, hot, shard, stream):
     monkeypatch.setattr(substrings, "HOT", hot)  # 1: all anchors with several segments go by single windows
-    monkeypatch.setattr(substrings, "SHARD", 16)
+    monkeypatch.setattr(substrings, "SHARD", shard)
+    monkeypatch.setattr(substrings, "STREAM", stream)  # a shard's segments are searched in several tasks
     rows = corpus(seed)
     assert rows_of(report(make(*rows))) == brute(rows)
 
 
+@pytest.mark.parametrize("broken", ["matches", "earliest"])
+def test_the_index_decides(make, monkeypatch, broken):
+    """With an index that finds everything everywhere, or locates wrongly, other words go."""
+    rows = corpus(1)
+    real = substrings.search_shard
+    index, stream = parts(rows)
+    want = real(index, stream)
+    if broken == "matches":
+        monkeypatch.setattr(FMIndex, "matches", lambda self, w, e, n, least=1: (np.full(len(e), n), np.zeros(len(e), np.int64), np.full(len(e), self.n)))
+    else:
+        monkeypatch.setattr(FMIndex, "earliest", lambda self, low, high: np.zeros(len(low), np.int64))
+    assert real(index, stream) != want
+
+
+def parts(rows):
+    """Index and stream tables of whole texts as segments."""
+    import pyarrow as pa
+
+    rows = [(i, b" ".join(t.encode().split())) for i, t in rows if len(t.split()) >= WINDOW]
+    ids, words, n = [i for i, _ in rows], [w for _, w in rows], len(rows)
+    index = pa.table({"nn": [False] * n, "id": ids, "start": pa.array([0] * n, pa.int32()), "words": pa.array(words, pa.binary())})
+    stream = pa.table({"nn": [False] * n, "id": ids, "v": ids, "starts": pa.array([[0]] * n, pa.list_(pa.int32())), "words": pa.array(words, pa.binary())})
+    return index, stream
+
+
+def test_hot_passage(make, monkeypatch):
+    """One passage in every document, different words around it: no shard and no task takes it whole."""
+    monkeypatch.setattr(substrings, "HOT", 16)
+    monkeypatch.setattr(substrings, "STREAM", 2_000)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join([*(f"a{i}-{k}" for k in range(8)), passage, *(f"b{i}-{k}" for k in range(25))])) for i in range(300)]
+    assert rows_of(report(make(*rows))) == brute(rows)
+
+
 def test_odd_rows(make):
     twenty = " ".join(f"w{i}" for i in range(20))
-    rows = [(3, twenty), (1, twenty + " more"), (2, None), (4, ""), (5, "short text"), (5, "short text"), (6, twenty + "\n" + twenty), (6, twenty), (7, "x " * 60_000), (None, twenty), (None, "other " + twenty)]
+    rows = [(3, twenty), (1, twenty + " more"), (2, None), (4, ""), (5, "short text"), (5, "short text"), (6, twenty + "\n" + twenty), (6, twenty), (7, "x " * 60_000), (None, twenty), (None, "other " + twenty), (2**63 - 1, twenty + " last"), (-(2**63), "first " + twenty)]
     docs = make(*rows)
     assert rows_of(report(docs)) == brute(rows)
     out = remove(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
     by = sorted(((str(r["doc_id"]), r["text"]) for r in out.collect()), key=repr)
-    assert ("1", twenty + " more") in by and ("3", "") in by and ("2", None) in by and ("None", "other") in by and ("6", "") in by
+    assert ("1", "more") in by and ("-9223372036854775808", "first " + twenty) in by and ("3", "") in by and ("2", None) in by and ("None", "other") in by and ("6", "") in by
     # Repeated rows under one id are at one place: neither is earlier.
     assert [t for i, t in by if i == "5"] == ["short text"] * 2
     assert report(docs.limit(0)).collect() == [] and remove(docs.limit(0)).collect() == []
