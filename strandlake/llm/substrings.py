@@ -6,16 +6,19 @@ at an earlier place (a smaller id, or earlier in the same text). All words under
 1. Each window has an anchor: its least hash of ``GRAM`` consecutive words, the leftmost if tied. Equal
    windows have equal anchors at equal places, so only windows with a common anchor need comparing.
    Neighbouring windows with one anchor make a segment. Anchors are counted, combined before the
-   shuffle; the segments of an anchor that occurs once fall away. Hashes only rule out, here and below.
-2. What is left is read again with its words. The different segments, each with its earliest place,
-   are dealt to shards by anchor, and each shard has a compressed FM-index of them over its own numbers
-   of words. All segments left are streamed against the index of their shard: backward search gives
-   the matching statistics, and where they reach ``WINDOW``, the index locates the earliest of the equal
-   word sequences. A window that starts anywhere else is a repeat. A shard with very many segments
-   to be searched has several tasks with the same index.
-3. An anchor with very many different segments would fill a shard: its windows are segments of their own,
-   with a hash of all their words as anchor, and those whose hash occurs once fall away first.
-4. The repeats' ranges meet their texts, and the words under them are left out.
+   shuffle; the segments of an anchor that occurs once fall away.
+2. Segments of one anchor with the same content (anchor and content are 64-bit hashes each, together as
+   good as 128 bits) are copies of the one at the earliest place, whose words stand for all of them:
+   every window of the others starts elsewhere earlier.
+3. Where an anchor has different segments, copies begin, end or differ. These segments are read again with their
+   words and dealt to shards by anchor. Each shard has a compressed FM-index of them over its own numbers
+   of words, and they are streamed against it: backward search gives the matching statistics, and where
+   they reach ``WINDOW``, the index locates the earliest of the equal word sequences. A window that
+   starts anywhere else is a repeat. This is decided by the words alone.
+4. An anchor with very many different segments would fill a shard: its windows are segments of their own,
+   with a hash of all their words as anchor, and those whose hash occurs once fall away first. A shard with
+   very many windows to be searched has several tasks with the same index.
+5. The repeats' ranges meet their texts, and the words under them are left out.
 """
 
 from __future__ import annotations
@@ -25,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpointed, fresh, map_texts, near, slices
+from .common import as_bytes, checkpointed, fresh, map_texts, near, slices, written
 from .fmindex import FMIndex
 
 WINDOW, GRAM = 20, 6
@@ -39,7 +43,7 @@ HOT = 512
 #: Bytes of words in an index, and of words searched in one task.
 SHARD, STREAM = 500_000, 4_000_000
 #: Anchors (8 bytes each) that may be broadcast.
-ANCHORS = 1_000_000
+ANCHORS = 2_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -191,12 +195,15 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(np.int64)
 
 
-def search_shard(index: pa.Table, stream: pa.Table) -> pa.Table:
-    """Runs of windows of ``stream`` (nn, id, v, starts, words) that start elsewhere earlier: nn, id, v, start, n.
+def search_shard(rows: pa.Table) -> pa.Table:
+    """Runs of windows of the rows (nn, id, v, starts, words, lead, own) that start elsewhere earlier: nn, id, v, start, n.
 
-    ``index`` (nn, id, start, words) has every segment that ``stream`` has, with its earliest place.
+    The index holds the words of the rows with ``lead`` (of equal words, those at the earliest place have it),
+    those with ``own`` are searched.
     """
-    index = index.sort_by([("nn", "ascending"), ("id", "ascending"), ("start", "ascending")])
+    rows = rows.append_column("start", pc.list_element(rows.column("starts"), 0))
+    index = rows.filter(rows.column("lead")).sort_by([("nn", "ascending"), ("id", "ascending"), ("start", "ascending")])
+    stream = rows.filter(rows.column("own"))
     nn, ids, begins = (_column(index, c) for c in ("nn", "id", "start"))
 
     def split(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -246,24 +253,30 @@ def repeat_ranges(docs: DataFrame) -> DataFrame:
     """Runs of repeated windows of docs(nn, id, v, text), no nulls: nn, id, v, start, n."""
     times = _segments_of(docs, False).groupBy("anchor").agg(F.sum("times").alias("times"))
     again = near(checkpointed(times.filter("times > 1").select("anchor")), ANCHORS)
-    todo = checkpointed(_segments_of(docs, True).join(again, "anchor"))
-    kinds = todo.select("anchor", "content").distinct().groupBy("anchor").count()
-    hot = near(checkpointed(kinds.filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))))
-    todo = todo.join(hot, "anchor", "left").select("nn", "id", "v", "start", "n", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
-    worded = checkpointed(_with_words(todo, docs))
+    todo = written(_segments_of(docs, True).join(again, "anchor"))
+    place = F.struct("nn", "id", "start", "v", "n")
+    kinds = written(todo.groupBy("anchor", "content").agg(F.min(place).alias("at"), F.count("*").alias("times")))
+    # Copies of a segment: the join may split the rows of one content.
+    several = kinds.filter("times > 1").select("anchor", "content", F.col("at.nn").alias("l_nn"), F.col("at.id").alias("l_id"), F.col("at.start").alias("l_start"))
+    elsewhere = (F.col("nn") != F.col("l_nn")) | (F.col("id") != F.col("l_id")) | (F.col("start") != F.col("l_start"))
+    copies = written(todo.join(several, ["anchor", "content"]).filter(elsewhere).select("nn", "id", "v", "start", "n"))
+    # Different segments of an anchor, each at its earliest place.
+    hot = F.col("kinds") > HOT
+    differ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor", hot.alias("hot"))
+    worded = written(_with_words(kinds.join(differ, "anchor").select("anchor", "at.*", "hot"), docs))
     single = worded.filter("single")
-    more = single.groupBy("key").agg(F.sum(F.size("starts")).alias("times")).filter("times > 1").select("key")
-    stream = worded.filter("not single").union(single.join(near(checkpointed(more)), "key", "left_semi").select(worded.columns))
-    place = F.struct("nn", "id", F.get("starts", F.lit(0)).alias("start"))
-    index = checkpointed(stream.groupBy("key", F.xxhash64("words").alias("content")).agg(F.min(place).alias("at"), F.first("words").alias("words")).select("key", "at.*", "words"))
-    shards = 1 + (index.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // SHARD
-    of_key = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
-    index = index.select(of_key, "nn", "id", "start", "words")
-    stream = stream.select(of_key, "nn", "id", "v", "starts", "words")
-    tasks = near(checkpointed(stream.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("words") + 4 * F.size("starts")) / STREAM).cast("int").alias("tasks"))))
-    index = index.join(tasks, "shard").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
-    stream = stream.join(tasks, "shard").withColumn("task", F.pmod(F.xxhash64("nn", "id", "v", "starts"), F.col("tasks"))).drop("tasks")
-    return index.groupBy("shard", "task").cogroup(stream.groupBy("shard", "task")).applyInArrow(search_shard, RANGES)
+    start = F.get("starts", F.lit(0)).alias("start")
+    first = single.groupBy("key").agg(F.sum(F.size("starts")).alias("times"), F.min(F.struct("nn", "id", start)).alias("at")).filter("times > 1").select("key", "at")
+    repeated = single.join(near(checkpointed(first)), "key").withColumn("lead", F.struct("nn", "id", start) == F.col("at")).select(*worded.columns, "lead")
+    every = worded.filter("not single").withColumn("lead", F.lit(True)).union(repeated)
+    size = F.sum(F.octet_length("words") + 4 * F.size("starts"))
+    shards = 1 + (every.filter("lead").agg(size).first()[0] or 0) // SHARD
+    every = every.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    tasks = near(checkpointed(every.groupBy("shard").agg(F.ceil(size / STREAM).cast("int").alias("tasks"))))
+    every = every.join(tasks, "shard").withColumn("mine", F.pmod(F.xxhash64("nn", "id", "v", "starts"), F.col("tasks")).cast("int"))
+    every = every.withColumn("task", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array("mine"))))
+    dealt = every.select("shard", "task", "nn", "id", "v", "starts", "words", "lead", (F.col("task") == F.col("mine")).alias("own"))
+    return copies.union(dealt.groupBy("shard", "task").applyInArrow(lambda rows: search_shard(rows.drop_columns(["shard", "task"])), RANGES))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -294,7 +307,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     integers. An empty table gives no rows.
     """
     plain = _keyed(docs, id_col, text_col)
-    ranges = _lists(checkpointed(repeat_ranges(plain)), ["r_nn", "r_id", "r_v", "r"])
+    ranges = _lists(written(repeat_ranges(plain)), ["r_nn", "r_id", "r_v", "r"])
     same = (F.col("nn") == F.col("r_nn")) & (F.col("id") == F.col("r_id")) & (F.col("v") == F.col("r_v"))
     joined = plain.join(ranges, same, "left").select("text", "r", F.when(~F.col("nn"), F.col("id")).alias("id"))
 
@@ -327,7 +340,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     own = _keyed(docs, id_col, text_col)
     names = fresh(docs, "sub_nn", "sub_id", "sub_v", "sub_r")
-    lists = _lists(checkpointed(repeat_ranges(own)), names)
+    lists = _lists(written(repeat_ranges(own)), names)
     nn, i, v, r = names
     same = (F.col(id_col).isNull() == F.col(nn)) & (F.coalesce(F.col(id_col).cast("long"), F.lit(0)) == F.col(i)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(v))
     joined = docs.join(lists, same, "left").drop(nn, i, v)
