@@ -1,10 +1,12 @@
 """Approximate nearest neighbours (largest cosine) with shifted space-filling curves.
 
 Unit vectors are projected by several random maps onto few dimensions, shifted, and laid along a
-Hilbert curve each. Every ordering is cut into cells of consecutive keys; a query looks into its own
-cell and its neighbours on both sides, in all orderings, and the finds are merged and ranked by the
-exact cosine. How wide the windows are is calibrated on a bounded sample: the least share of
-the rows that finds ``recall`` of the sample's true neighbours.
+Hilbert curve each. Every ordering is range-partitioned by the curve's keys, and rows get their ranks in
+it. A query looks at the rows within a window of ranks around its own place, in all orderings, and the
+finds are merged and ranked by the exact cosine. How wide the windows are is calibrated: a bounded sample
+of rows gets its true neighbours among all rows, and the window is the least distance in ranks that
+holds ``recall`` of them. So a window is a number of rows that depends on how the vectors lie, and
+grows with the table only where they lie without structure.
 """
 
 from __future__ import annotations
@@ -14,22 +16,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, near
 
 
 @dataclass(frozen=True)
 class Curves:
-    """Number of orderings, dimensions and bits of each curve, rows of a cell, rows of the sample, recall aimed at."""
+    """Number of orderings, dimensions and bits of each curve; rows of a sample that fits the curves' ranges,
+    and of one whose neighbours calibrate the window; recall aimed at; most rows and queries of a block.
+    """
 
     orderings: int = 8
     dims: int = 6
     bits: int = 8
-    cell_rows: int = 1024
     sample: int = 4096
+    asked: int = 256
     recall: float = 0.95
+    block: int = 4096
     seed: int = 42
 
 
@@ -68,18 +74,17 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class Orderings:
-    """The fitted projections, with the quantiles that cut each ordering into cells, and the window's half width in cells."""
+    """The fitted projections of each ordering."""
 
     curves: Curves
     maps: np.ndarray  # (orderings, dims, vector dims)
     low: np.ndarray  # (orderings, dims)
     step: np.ndarray
-    cuts: np.ndarray | None = None  # (orderings, cells - 1)
-    reach: int = 0
 
-    def keys(self, unit: np.ndarray, t: int) -> np.ndarray:
-        cells = np.floor((unit @ self.maps[t].T - self.low[t]) / self.step[t])
-        return hilbert(np.clip(cells, 0, (1 << self.curves.bits) - 1), self.curves.bits)
+    def keys(self, unit: np.ndarray) -> np.ndarray:
+        """(rows, orderings) places on the curves."""
+        most = (1 << self.curves.bits) - 1
+        return np.stack([hilbert(np.clip(np.floor((unit @ m.T - low) / step), 0, most), self.curves.bits) for m, low, step in zip(self.maps, self.low, self.step)], axis=1)
 
 
 def prepare(sample: np.ndarray, curves: Curves) -> Orderings:
@@ -92,23 +97,6 @@ def prepare(sample: np.ndarray, curves: Curves) -> Orderings:
     return Orderings(curves, maps, low - shift, width / (1 << curves.bits))
 
 
-def calibrate(fitted: Orderings, sample: np.ndarray, rows: int, k: int) -> None:
-    """Cuts the orderings into cells and sets the window, from the sample's own true neighbours."""
-    c = fitted.curves
-    cells = int(np.clip(rows // (c.cell_rows // 4), 1, 64))
-    share = np.arange(1, cells) / cells
-    keys = np.stack([fitted.keys(sample, t) for t in range(c.orderings)])
-    fitted.cuts = np.quantile(keys, share, axis=1, method="lower").T.astype(np.int64).reshape(c.orderings, cells - 1)
-    cell = np.stack([np.searchsorted(fitted.cuts[t], keys[t], side="right") for t in range(c.orderings)])
-    q = np.arange(0, len(sample), max(1, len(sample) // 512))
-    cos = sample[q] @ sample.T
-    cos[np.arange(len(q)), q] = -2
-    near = np.argsort(-cos, axis=1)[:, : min(k, len(sample) - 1)]
-    if near.size:
-        apart = np.abs(cell[:, near] - cell[:, q][:, :, None]).min(axis=0)
-        fitted.reach = int(np.quantile(apart, c.recall, method="higher"))
-
-
 def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` nearest ids of ``rows`` for each query, its own left out: query ids, ids, cosines. An id counts once, by its nearest row.
 
@@ -140,8 +128,17 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(pa.array(column).flatten() if not isinstance(column, pa.ChunkedArray) else column.combine_chunks().flatten(), np.float64).reshape(-1, dim)
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors as rows of doubles, each times a power of two, so that no square overflows or vanishes; cosines stay the same."""
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    m = np.asarray(flat, np.float64).reshape(-1, dim)
+    _, exponent = np.frexp(np.abs(m).max(axis=1, initial=0))
+    half = exponent // 2  # twice, for a power of two may itself be out of range
+    return np.ldexp(np.ldexp(m, -half[:, None]), (half - exponent)[:, None])
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.sqrt((m * m).sum(axis=1))[:, None]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
@@ -151,7 +148,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
     and those of another dimension than the most frequent one (ties: the larger).
     """
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    own = vectors.schema[vector_col].dataType.simpleString()
+    kind = own if own in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).filter("id is not null and v is not null")
     fine = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
     rows = rows.filter(fine)
     top = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
@@ -159,61 +158,122 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
     return rows.filter(F.size("v") == dim), dim
 
 
+ENTRIES = "t int, d boolean, id long, h long, rank long"
+
+
+def _ranked(placed: DataFrame, orderings: int) -> DataFrame:
+    """``ENTRIES`` for placed(d, id, h, keys): how many rows with ``d`` lie before each row in each ordering.
+
+    The keys are range-partitioned and counted in each partition; the partitions' counts, a row for each
+    partition and ordering, make the places in the whole.
+    """
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = placed.select("d", "id", "h", F.posexplode("keys").alias("t", "key"))
+    sorted_ = entries.repartitionByRange(n, "t", "key", "id", "h", "d").sortWithinPartitions("t", "key", "id", "h", "d")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part = np.zeros(orderings, np.int64), TaskContext.get().partitionId()
+        for batch in batches:
+            t, d = batch.column("t").to_numpy(), batch.column("d").to_numpy(zero_copy_only=False)
+            rank = np.zeros(len(t), np.int64)
+            for k in np.unique(t):
+                own = t == k
+                rank[own] = at[k] + np.cumsum(d[own]) - d[own]
+                at[k] += d[own].sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), part, np.int32)), *[batch.column(c) for c in ("t", "d", "id", "h")], pa.array(rank)], ["part", "t", "d", "id", "h", "rank"])
+
+    local = checkpointed(sorted_.mapInArrow(count, "part int, t int, d boolean, id long, h long, rank long"))
+    before = Window.partitionBy("t").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = local.groupBy("t", "part").agg(F.sum(F.col("d").cast("long")).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = near(checkpointed(starts.select("t", "part", "start")))
+    return local.join(starts, ["t", "part"]).select("t", "d", "id", "h", (F.col("rank") + F.col("start")).alias("rank"))
+
+
+def _reach(data: DataFrame, ranked: DataFrame, asked: tuple[np.ndarray, np.ndarray], k: int, curves: Curves, dim: int) -> int:
+    """The window: the ranks within which ``curves.recall`` of the true neighbours of ``asked`` (ids, vectors) lie in some ordering."""
+    spark = data.sparkSession
+    shared = spark.sparkContext.broadcast(asked)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = shared.value
+        for batch in batches:
+            q_, ids, s = best(q_ids, q, batch.column("id").to_numpy(), _matrix(batch.column("v"), dim), k)
+            yield pa.RecordBatch.from_arrays([pa.array(q_), pa.array(ids), pa.array(s)], ["q", "id", "s"])
+
+    order = Window.partitionBy("q").orderBy(F.desc("s"), "id")
+    pairs = data.mapInArrow(task, "q long, id long, s double").groupBy("q", "id").agg(F.max("s").alias("s"))
+    true = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("q", "id").toArrow()
+    q, ids = true.column("q").to_numpy(), true.column("id").to_numpy()
+    if not len(q):
+        return 1
+    named = spark.createDataFrame([(int(i),) for i in sorted({*q.tolist(), *ids.tolist()})], "id long")
+    got = ranked.filter("d").join(F.broadcast(named), "id").groupBy("id", "t").agg(F.min("rank").alias("rank")).toArrow()
+    rank = {(i, t): r for i, t, r in zip(*(got.column(c).to_pylist() for c in ("id", "t", "rank")))}
+    apart = [min(abs(rank[a, t] - rank[b, t]) for t in range(curves.orderings)) for a, b in zip(q.tolist(), ids.tolist())]
+    return max(1, int(np.quantile(apart, curves.recall, method="higher")))
+
+
 def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, curves: Curves = Curves()) -> DataFrame:
     """The ``k`` nearest rows found for each row that ``queries`` (a condition on ``id``) selects.
 
     Columns: query_id, rank (from 1), vec_id, score (cosine in double precision); nearest first,
     ties to the smaller id. Rows that can't take part (see :func:`usable`) are neither queries nor
     found. Rows with the query's id are its own; other repeated ids count once, by their
-    nearest row. Equal vectors are all indexed. An empty table gives no rows.
+    nearest row. Of equal vectors the k + 1 with the smallest ids are indexed: no query can
+    return another. Ids are cast to long. An empty table gives no rows.
 
-    A cell's rows and its queries are dealt to blocks of bounded size, whatever share of the rows
-    lies in one cell.
+    Windows are made of cells of as many ranks as the window is wide, at least a 16th of the rows or 1,024:
+    a query sees its own cell and both neighbours. Cells and their queries are dealt to blocks of bounded size.
     """
     rows, dim = usable(vectors, id_col, vector_col)
     spark = vectors.sparkSession
-    total = rows.count()
+    rows = checkpointed(rows.withColumn("h", F.xxhash64("v")).dropDuplicates(["id", "h"]))
+    first = Window.partitionBy("h").orderBy("id")
+    data = checkpointed(rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).select("id", "h", "v"))
+    total = data.count()
     if total < 2:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    chosen = F.shiftrightunsigned(F.xxhash64("id", F.lit(curves.seed)), 34) < F.lit(round(min(1.0, curves.sample / total) * (1 << 30)))
-    sample = _matrix(rows.filter(chosen).select("v").toArrow().column("v"), dim)
-    if len(sample) < 2:
-        sample = _matrix(rows.limit(2).select("v").toArrow().column("v"), dim)
-    sample = sample / np.sqrt((sample * sample).sum(axis=1))[:, None]
-    fitted = prepare(sample, curves)
-    calibrate(fitted, sample, total, k)
+
+    def some(most: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """About ``most`` rows, chosen by hash, at least two."""
+        h = F.shiftrightunsigned(F.xxhash64("id", F.lit(salt)), 34)
+        got = data.filter(h < F.lit(round(min(1.0, most / total) * (1 << 30)))).select("id", "v").toArrow()
+        got = got if len(got) > 1 else data.select("id", "v").limit(2).toArrow()
+        return got.column("id").to_numpy(), _matrix(got.column("v"), dim)
+
+    fitted = prepare(_unit(some(curves.sample, curves.seed)[1]), curves)
     shared = spark.sparkContext.broadcast(fitted)
-    cells, reach = fitted.cuts.shape[1] + 1, fitted.reach
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o = shared.value
         for batch in batches:
-            v = _matrix(batch.column("v"), dim)
-            unit = v / np.sqrt((v * v).sum(axis=1))[:, None]
-            at = np.stack([np.searchsorted(o.cuts[t], o.keys(unit, t), side="right") for t in range(o.curves.orderings)], axis=1).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1]), pa.int32()), pa.array(at.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "cells"])
-
-    placed = checkpointed(rows.mapInArrow(locate, "id long, v array<double>, cells array<int>").withColumn("q", F.coalesce(queries, F.lit(False))))
-    entries = placed.select("id", "v", F.posexplode("cells").alias("t", "cell"))
-    asked = placed.filter("q").select("id", "v", F.posexplode("cells").alias("t", "own"))
-    asked = asked.withColumn("cell", F.explode(F.sequence(F.greatest(F.col("own") - reach, F.lit(0)), F.least(F.col("own") + reach, F.lit(cells - 1))))).drop("own")
-    # Blocks by cell: at most orderings x 64 rows.
-    n_rows = entries.groupBy("t", "cell").agg(F.ceil(F.count("*") / (4 * curves.cell_rows)).cast("int").alias("rb"))
-    n_asked = asked.groupBy("t", "cell").agg(F.ceil(F.count("*") / (4 * curves.cell_rows)).cast("int").alias("qb"))
-    blocks = F.broadcast(checkpointed(n_rows.join(n_asked, ["t", "cell"])))
-    one = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    data = entries.join(blocks, ["t", "cell"]).withColumn("r", one("rb")).withColumn("b", every("qb")).select("t", "cell", "r", "b", F.lit(False).alias("q"), "id", "v")
-    ask = asked.join(blocks, ["t", "cell"]).withColumn("b", one("qb")).withColumn("r", every("rb")).select("t", "cell", "r", "b", F.lit(True).alias("q"), "id", "v")
+            at = shared.value.keys(_unit(_matrix(batch.column("v"), dim)))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1]), pa.int32()), pa.array(at.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("id"), batch.column("h"), keys], ["d", "id", "h", "keys"])
+
+    asked = rows.filter(F.coalesce(queries, F.lit(False)))
+    both = data.select(F.lit(True).alias("d"), "id", "h", "v").union(asked.select(F.lit(False).alias("d"), "id", "h", "v"))
+    ranked = checkpointed(_ranked(both.mapInArrow(locate, "d boolean, id long, h long, keys array<long>"), curves.orderings))
+    cell = max(_reach(data, ranked, some(curves.asked, curves.seed + 1), k, curves, dim), min(1024, total // 16), 4 * k)
+    cells = (total - 1) // cell + 1
+    # Blocks: the rows of a cell by rank, the queries of an ordering by rank among themselves.
+    of_data = ranked.filter("d").select("t", "id", "h", F.floor(F.col("rank") / cell).alias("cell"), F.floor(F.col("rank") % cell / curves.block).alias("r"))
+    of_asked = ranked.filter("not d").select("t", "id", "h", F.least(F.floor(F.col("rank") / cell), F.lit(cells - 1)).alias("own"))
+    of_asked = of_asked.withColumn("cell", F.explode(F.sequence(F.greatest(F.col("own") - 1, F.lit(0)), F.least(F.col("own") + 1, F.lit(cells - 1))))).drop("own")
+    many = of_asked.groupBy("t", "cell").agg(F.ceil(F.count("*") / curves.block).cast("int").alias("parts"))
+    many = near(checkpointed(many))
+    upto = (cell - 1) // curves.block
+    of_data = of_data.join(many, ["t", "cell"]).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("t", "cell", "r", "b", "id", "h")
+    of_asked = of_asked.join(many, ["t", "cell"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(upto)))).select("t", "cell", "r", "b", "id", "h")
+    of_data = of_data.join(data, ["id", "h"]).select("t", "cell", F.col("r").cast("int").alias("r"), "b", F.lit(False).alias("q"), "id", "v")
+    of_asked = of_asked.join(asked, ["id", "h"]).select("t", "cell", "r", "b", F.lit(True).alias("q"), "id", "v")
 
     def block(table: pa.Table) -> pa.Table:
         q = table.column("q").to_numpy()
         ids, v = table.column("id").to_numpy(), _matrix(table.column("v"), dim)
-        a, b, s = best(ids[q], v[q], ids[~q], v[~q], k)
+        a, b, s = best(ids[q], v[q], ids[~q], v[~q], k) if not q.all() else best(ids[:0], v[:0], ids, v, k)
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    found = data.union(ask).groupBy("t", "cell", "r", "b").applyInArrow(block, "query_id long, vec_id long, score double")
+    found = of_data.union(of_asked).groupBy("t", "cell", "r", "b").applyInArrow(block, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

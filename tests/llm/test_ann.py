@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import queries
+from strandlake.llm import ann, queries
 from strandlake.llm.ann import Curves, hilbert, search
 from tests.conftest import DATA
 
@@ -63,7 +63,7 @@ def test_hot_cells_are_split(spark):
     rows = [(i, rng.standard_normal(8).tolist()) for i in range(300)] + [(1000 + i, [1.0] * 8) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {}
-    for r in search(df, F.col("id") % 50 == 0, curves=Curves(cell_rows=8)).collect():
+    for r in search(df, F.col("id") % 50 == 0, curves=Curves(block=8)).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
     assert [i for _, i in sorted(got[1050])] == [1000, 1001, 1002, 1003, 1004]
 
@@ -74,9 +74,51 @@ def test_repeated_rows_leave_room_for_other_ids(spark):
     df = spark.createDataFrame(once * 5 + [(3, [9.0, 1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
     every = once + [(3, [9.0, 1.0, 0.0, 0.0])]
     got = {}
-    for r in search(df, F.col("id") == 0, curves=Curves(cell_rows=4096)).collect():
+    for r in search(df, F.col("id") == 0, curves=Curves()).collect():
         got[r["rank"]] = (r["vec_id"], pytest.approx(r["score"], abs=1e-12))
     best = {}
     for i, v in every[1:]:
         best[i] = max(best.get(i, -2), cosine(once[0][1], v))
     assert [got[k] for k in range(1, 6)] == sorted(best.items(), key=lambda x: -x[1])[:5]
+
+
+def clustered(n, seed=2):
+    """Vectors around many centers, 20 each."""
+    rng = np.random.default_rng(seed)
+    centers = rng.standard_normal((n // 20, 32))
+    return (np.repeat(centers, 20, axis=0) + 0.05 * rng.standard_normal((n, 32))).astype(np.float32)
+
+
+def test_windows_follow_the_vectors_and_not_the_table(spark, monkeypatch):
+    """Where vectors have structure the window is a number of rows that stays, and recall is kept; what blocks hold grows in proportion."""
+    reach, held = [], []
+    for n in (2_000, 8_000):
+        v = clustered(n)
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+        seen, real = [], ann._reach
+        monkeypatch.setattr(ann, "_reach", lambda *a: seen.append(real(*a)) or seen[-1])
+        got = search(df, F.col("id") % 50 == 0).collect()
+        monkeypatch.setattr(ann, "_reach", real)
+        m = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+        found = {(r["query_id"], r["vec_id"]) for r in got}
+        hits = 0
+        for q in range(0, n, 50):
+            s = m @ m[q]
+            s[q] = -2
+            hits += sum((q, int(i)) in found for i in np.argsort(-s)[:5])
+        assert hits >= 0.9 * 5 * (n // 50)
+        reach += seen
+        held.append(len(got))
+    assert reach[0] < 200 and reach[1] < 2 * reach[0] + 50 and held[1] == 4 * held[0]
+
+
+def test_ranks(spark):
+    df = spark.range(500).withColumnRenamed("id", "vec_id")
+    ranked = ann._ranked(df.selectExpr("true AS d", "vec_id AS id", "vec_id AS h", "array(vec_id * 7 % 500, -vec_id) AS keys"), 2).collect()
+    assert {(r["t"], r["id"]): r["rank"] for r in ranked} == {(0, i): i * 7 % 500 for i in range(500)} | {(1, i): 499 - i for i in range(500)}
+
+
+def test_large_and_tiny_components(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [2.0, 1.0]), (4, [5e-324, 0.0]), (5, [1.7e308, 1.7e308])]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 1).collect()
+    assert [(r["vec_id"], round(r["score"], 9)) for r in sorted(got, key=lambda r: r["rank"])] == [(2, 1.0), (5, 0.948683298), (3, 0.8), (4, 0.447213595)]
