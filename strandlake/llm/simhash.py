@@ -1,18 +1,23 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most ``4`` bits agree in at least 4 of their 8 bytes: so
-many shared positional bytes a pair is guaranteed to have. The index lists, for each set of four
-byte positions, the fingerprints with the same four bytes there; a pair sharing m positional
-bytes meets in C(m, 4) lists, and is kept only in the first of them, so each pair comes out once.
-Its shared bytes are tallied, and the pairs that reach the minimum are verified bit by bit.
-
-Only different fingerprints are indexed, so copies cost nothing. All pairs of a list are compared, so a
-list of very many different fingerprints costs its square (see :func:`links`).
+Two 64-bit fingerprints that differ in at most ``4`` bits agree in at least 4 of their 8 bytes: so many
+shared positional bytes a pair is guaranteed to have. A posting list holds the fingerprints that share the
+bytes at three positions, for 20 sets of three such that any four of the eight positions hold one of
+them. Every pair that meets in a list has its shared positional bytes counted, is kept if they reach the
+guaranteed minimum, and is then verified bit by bit. (Lists of single bytes would be 2**16 times as
+long: each pair of fingerprints meets in them with a chance of 8 in 256.)
+
+Only different fingerprints are indexed, so copies cost nothing. Links are never written out as pairs: a
+fingerprint keeps one partner, classes are merged, and what had a link is searched again for links to
+other classes until there are none, so nothing is lost. Long lists are split by a further byte, those
+whose fingerprints are all of one class fall away, and else only what is not of a list's main class is compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -62,39 +67,130 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", width
     return map_texts(docs, task, schema)
 
 
-#: Sets of four of the eight byte positions. For each: the bits of its bytes, and a bit for each
-#: position below its last that it leaves out.
-_SETS = list(combinations(range(8), 4))
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-_MASKS = [_signed(sum(255 << 8 * p for p in s)) for s in _SETS]
-_SKIPPED = [sum(1 << 8 * p for p in range(s[-1]) if p not in s) for s in _SETS]
+def _bytes_mask(positions: Sequence[int]) -> int:
+    return _signed(sum(255 << 8 * p for p in positions))
+
+
+def _triples() -> list[tuple[int, ...]]:
+    """20 sets of three of the eight positions: any four positions hold one of them.
+
+    The positions lie in three groups on a circle. A set is a whole group, or two of a group and one of the
+    next: of four positions some group holds three, or two groups hold two each, or one two and both others one.
+    """
+    groups = [(0, 1, 2), (3, 4, 5), (6, 7)]
+    out = [g for g in groups if len(g) == 3]
+    for i, g in enumerate(groups):
+        out += [(*two, p) for two in combinations(g, 2) for p in groups[(i + 1) % 3]]
+    return out
 
 
-def links(fps: DataFrame, bits: int = 4) -> DataFrame:
-    """Pairs (a, b), a < b, of the different numbers in ``fps.fp`` that differ in at most ``bits`` <= 4 bits.
+@dataclass(frozen=True)
+class Design:
+    """Posting lists over fingerprints of several 64-bit words, and what a pair must reach.
 
-    Each pair comes out once. The join's condition tallies the shared positional bytes and verifies,
-    so what does not link is never emitted; a long list is split by Spark's skew join.
+    ``lists``: (word, positions of the bytes in it) of each kind of list. A list of over ``long`` entries is
+    split by each further byte of that word. ``shared``, ``bits``: least number of shared positional
+    bytes, largest number of different bits.
     """
+
+    words: int
+    lists: tuple[tuple[int, tuple[int, ...]], ...]
+    shared: int
+    bits: int
+    long: int = 2000
+
+
+def exact_design(bits: int = 4) -> Design:
+    """For 64-bit fingerprints; it loses no pair of at most ``bits`` <= 4 different bits."""
     if not 0 <= bits <= 4:
         raise ValueError("four shared bytes are guaranteed for at most 4 bits")
-    entries = F.array(*[F.struct(F.lit(i).alias("set"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(_MASKS)])
-    index = fps.select("fp", F.explode(entries).alias("e")).select("fp", F.col("e.set").alias("set"), F.col("e.bytes").alias("bytes"))
-    left, right = index.alias("l"), index.alias("r")
-    x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-    spread = x
-    for shift in (4, 2, 1):
-        spread = spread.bitwiseOR(F.shiftrightunsigned(spread, shift))
-    differ = spread.bitwiseAND(F.lit(0x0101010101010101))  # a bit for each byte that differs
-    skipped = F.get(F.array(*[F.lit(v).cast("long") for v in _SKIPPED]), F.col("l.set"))
-    found = (F.bit_count(x) <= bits) & (8 - F.bit_count(differ) >= 8 - bits) & (differ.bitwiseAND(skipped) == skipped)
-    same_list = (F.col("l.set") == F.col("r.set")) & (F.col("l.bytes") == F.col("r.bytes"))
-    return left.join(right, same_list & (F.col("l.fp") < F.col("r.fp")) & found).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    return Design(1, tuple((0, t) for t in _triples()), 8 - bits, bits)
+
+
+def _kept(design: Design) -> Column:
+    """The count filter and the verification of a pair (l, r)."""
+    shared = different = F.lit(0)
+    for k in range(design.words):
+        x = F.col(f"l.w{k}").bitwiseXOR(F.col(f"r.w{k}"))
+        spread = x
+        for shift in (4, 2, 1):
+            spread = spread.bitwiseOR(F.shiftrightunsigned(spread, shift))
+        shared = shared + 8 - F.bit_count(spread.bitwiseAND(F.lit(0x0101010101010101)))  # a bit for each byte that differs
+        different = different + F.bit_count(x)
+    return (shared >= design.shared) & (different <= design.bits)
+
+
+def _postings(nodes: DataFrame, design: Design) -> tuple[DataFrame, DataFrame | None]:
+    """Entries (list, bytes, node, root, words) of the lists, and those of long lists, with the list's main class, after splitting."""
+    words = [f"w{k}" for k in range(design.words)]
+    entries = [F.struct(F.lit(i).alias("list"), F.col(f"w{w}").bitwiseAND(F.lit(_bytes_mask(at))).alias("bytes")) for i, (w, at) in enumerate(design.lists)]
+    every = nodes.select("node", "root", *words, F.explode(F.array(*entries)).alias("e")).select("e.list", "e.bytes", "node", "root", *words)
+    long = checkpointed(every.groupBy("list", "bytes").agg(F.count("*").alias("n")).filter(F.col("n") > design.long).select("list", "bytes", F.lit(True).alias("long")))
+    if long.isEmpty():
+        return every, None
+    marked = every.join(near(long), ["list", "bytes"], "left")
+    rest = marked.filter("long is null").drop("long")
+    finer = F.lit(None)
+    for i, (w, at) in enumerate(design.lists):
+        further = [p for p in range(8) if p not in at]
+        cut = F.array(*[F.struct(F.lit(8 * i + p + len(design.lists)).alias("list"), F.col(f"w{w}").bitwiseAND(F.lit(_bytes_mask((*at, p)))).alias("bytes")) for p in further])
+        finer = F.when(F.col("list") == i, cut).otherwise(finer) if i else F.when(F.col("list") == i, cut)
+    split = marked.filter("long").select("node", "root", *words, F.explode(finer).alias("e")).select("e.list", "e.bytes", "node", "root", *words)
+    of_class = split.groupBy("list", "bytes", "root").agg(F.count("*").alias("n"))
+    main = of_class.groupBy("list", "bytes").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
+    return rest, split.join(near(checkpointed(main)), ["list", "bytes"])
+
+
+def _partners(nodes: DataFrame, design: Design) -> DataFrame:
+    """(node, root, other) for every node with a link to a node of another class: other is one such class."""
+    found = []
+    for k, entries in enumerate(_postings(nodes, design)):
+        if entries is not None:
+            left = entries.filter("root != main") if k else entries
+            left, right = left.alias("l"), entries.alias("r")
+            once = F.col("l.node") < F.col("r.node")
+            once = once | (F.col("r.root") == F.col("r.main")) if k else once
+            same = (F.col("l.list") == F.col("r.list")) & (F.col("l.bytes") == F.col("r.bytes"))
+            pairs = left.join(right, same & once & (F.col("l.root") != F.col("r.root")) & _kept(design))
+            ends = [F.struct(F.col(f"{a}.node").alias("node"), F.col(f"{a}.root").alias("root"), F.col(f"{b}.root").alias("other")) for a, b in ("lr", "rl")]
+            found.append(pairs.select(F.inline(F.array(*ends))))
+    return reduce(DataFrame.union, found).groupBy("node", "root").agg(F.min("other").alias("other"))
+
+
+def _merged(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """``state`` with the classes that edges(a, b) of roots connect merged."""
+    moved = components(edges).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    joined = state.join(near(moved), F.col("root") == F.col("was"), "left")
+    return checkpointed(joined.select("node", *[c for c in state.columns if c.startswith("w")], F.coalesce("now", "root").alias("root"), (F.col("linked") | F.col("now").isNotNull()).alias("linked")))
+
+
+def linked_classes(fps: DataFrame, bits: int = 4) -> DataFrame:
+    """node, root, linked for the different numbers in ``fps.fp``: roots are equal if and only if links of at most ``bits`` <= 4 bits connect them.
+
+    ``linked``: whether it has a link. First come the links within groups of ``bits`` neighbouring bits, of
+    which a fingerprint has at most 15 a group: dense classes are merged by them before any list is searched.
+    """
+    design = exact_design(bits)
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = checkpointed(fps.select(F.col("fp").alias("node"), F.col("fp").alias("w0"), F.col("fp").alias("root"), F.lit(False).alias("linked")).repartition(n, "node"))
+    if not bits:
+        return state.select("node", "root", "linked")
+    masks = [_signed(~(((1 << bits) - 1) << at) & (1 << 64) - 1) for at in range(0, 64, bits)]
+    near_ones = state.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("node").bitwiseAND(F.lit(m)).alias("rest")) for i, m in enumerate(masks)])).alias("g"))
+    groups = checkpointed(near_ones.groupBy("g").agg(F.collect_list("node").alias("all")).filter(F.size("all") > 1).select("all"))
+    if not groups.isEmpty():
+        state = _merged(state, groups.select(F.array_min("all").alias("a"), F.explode("all").alias("b")))
+    active = state
+    while True:
+        found = checkpointed(_partners(active, design))
+        if found.isEmpty():
+            return state.select("node", "root", "linked")
+        state = _merged(state, found.select(F.col("root").alias("a"), F.col("other").alias("b")))
+        active = checkpointed(state.join(near(found.select(F.col("node").alias("again"))), F.col("node") == F.col("again"), "left_semi"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
@@ -106,10 +202,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
     """
     rows = checkpointed(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "fp"))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    roots = components(links(distinct.select("fp"), bits))
     # Most fingerprints have no link: only those that have one meet by their root.
-    linked = distinct.join(near(roots), F.col("fp") == F.col("node"), "left")
-    linked = checkpointed(linked.select("fp", "least", "root"))
+    linked = linked_classes(distinct.select("fp"), bits).filter("linked").select("node", "root")
+    linked = checkpointed(distinct.join(near(linked), F.col("fp") == F.col("node"), "left").select("fp", "least", "root"))
     smallest = near(checkpointed(linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("smallest"))))
     with_link = linked.filter("root is not null").join(smallest, "root").select(F.col("fp").alias("k"), F.col("smallest").alias("component_id"))
     named = with_link.union(linked.filter("root is null").select("fp", "least"))
@@ -132,7 +227,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     rows = checkpointed(fingerprints(rows, "text").select("id", "h", "fp"))
     first = checkpointed(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")))
-    roots = near(components(links(first.select("fp"), bits)))
+    roots = near(linked_classes(first.select("fp"), bits).filter("linked"))
     first = first.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
     chosen = first.select(F.col("first.id").alias(key), F.col("first.h").alias(chosen_hash))
     docs = docs.withColumn(text_hash, F.xxhash64(text_col))

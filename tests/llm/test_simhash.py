@@ -1,11 +1,15 @@
+import dataclasses
+import itertools
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
 from strandlake.llm import queries
 from strandlake.llm.components import components
-from strandlake.llm.simhash import classes, fingerprint, first_of_each, links
+from strandlake.llm.simhash import _partners, classes, exact_design, fingerprint, first_of_each, linked_classes
 from tests.conftest import DATA
 
 
@@ -56,15 +60,55 @@ def test_query(spark):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
-def test_links_find_exactly_the_near_pairs(spark):
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def same_classes(got, want):
+    assert set(got) == set(want)
+    assert len({(got[n], want[n]) for n in want}) == len(set(got.values())) == len(set(want.values()))
+
+
+def test_any_four_positions_hold_a_list():
+    triples = [set(at) for _, at in exact_design().lists]
+    assert len(triples) == 20 and all(any(t <= set(four) for t in triples) for four in itertools.combinations(range(8), 4))
+
+
+def near_fingerprints():
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(8)]
-    fps = set(base) | {b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in base for n in (1, 2, 3, 4, 4, 5, 6) for _ in range(4)} | {b ^ 0x0101010100000000 for b in base} | {0, (1 << 64) - 1}
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
-    got = sorted((r["a"], r["b"]) for r in links(df).collect())
-    want = sorted(tuple(sorted((signed(a), signed(b)))) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4)
-    assert got == want  # each once
+    return set(base) | {b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in base for n in (1, 2, 3, 4, 4, 5, 6) for _ in range(4)} | {b ^ 0x0101010100000000 for b in base} | {0, (1 << 64) - 1}
+
+
+@pytest.mark.parametrize("long", [2000, 3])
+def test_every_fingerprint_with_a_link_is_found(spark, long):
+    fps = near_fingerprints()
+    df = spark.createDataFrame([(signed(x),) for x in fps], "node long").selectExpr("node", "node AS w0", "node AS root")
+    got = _partners(df, dataclasses.replace(exact_design(), long=long)).collect()
+    linked = {signed(a) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 4}
+    assert {r["node"] for r in got} == linked and len(got) == len(linked)
+    assert all(0 < ((r["node"] ^ r["other"]) & (1 << 64) - 1).bit_count() <= 4 for r in got)
+
+
+@pytest.mark.parametrize("bits", [4, 3, 1, 0])
+def test_linked_classes(spark, bits):
+    fps = near_fingerprints()
+    got = linked_classes(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), bits).collect()
+    pairs = [(signed(a), signed(b)) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= bits]
+    same_classes({r["node"]: r["root"] for r in got}, union(pairs, [signed(x) for x in fps]))
+    assert {r["node"] for r in got if r["linked"]} == {x for p in pairs for x in p}
+
+
+def test_many_variants_of_one_fingerprint(spark):
+    """100,000 fingerprints within four bits of one: far over 10**8 links, none written out, one class."""
+    rng = np.random.default_rng(1)
+    flips = (np.uint64(1) << rng.integers(64, size=(200_000, 4), dtype=np.uint64))
+    flips[rng.random(flips.shape) < 0.2] = 0
+    center = np.uint64(0x0123456789ABCDEF)
+    fps = np.unique(np.append(np.bitwise_xor.reduce(flips, axis=1) ^ center, [center, ~center]))
+    assert len(fps) > 100_000
+    got = linked_classes(spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)})))
+    assert sorted(r["count"] for r in got.groupBy("root").count().collect()) == [1, len(fps) - 1]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -73,8 +117,7 @@ def test_components(spark, seed):
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200 + i) for i in range(20)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = union(edges, {x for e in edges for x in e})
-    assert set(got) == set(want)
-    assert len({(got[n], want[n]) for n in want}) == len(set(got.values())) == len(set(want.values()))
+    same_classes(got, want)
 
 
 def test_odd_rows(make, spark):
