@@ -6,6 +6,10 @@ positions that follow those of its parent, and the intervals of the written text
 attend to besides their own segment: its ancestors. Following those intervals gives back each
 conversation as if it were written alone.
 
+A tree is written in pieces of bounded size. A turn that begins very many conversations is a piece by
+itself, written once however many they are; what follows it is written in other pieces, whose segments
+name it, and the interval in it, among their ancestors.
+
 Template: a user's turn is ``<s>[INST] text [/INST]``, an assistant's `` text</s>``, any other
 ``<|role<|>text<|end|>``. Within texts and role names each ``<`` and ``[`` is followed by an inserted
 backslash, so no mark can occur in them, and taking these backslashes out gives them back.
@@ -15,19 +19,23 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts, near
+from .common import checkpointed, map_texts, near, written
 
 USER, USER_END, ASSISTANT, ASSISTANT_END = "<s>[INST] ", " [/INST]", " ", "</s>"
 ROLE, ROLE_END, OTHER_END = "<|", "<|>", "<|end|>"
 
-TREE = "tree string, text string, segments array<struct<start:long,end:long,position:long,parent:int,ancestors:array<struct<start:long,end:long>>,loss_start:long,loss_end:long>>, conversations array<struct<key:string,segment:int>>, tokens array<int>, position_ids array<int>"
+TREE = "tree string, piece string, text string, segments array<struct<start:long,end:long,position:long,parent:int,ancestors:array<struct<piece:string,start:long,end:long>>,loss_start:long,loss_end:long>>, conversations array<struct<key:string,segment:int>>, tokens array<int>, position_ids array<int>"
+
+Encoder = Callable[[str], list[int]]
 
 
 def escape(text: str) -> str:
@@ -68,11 +76,22 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def write_tree(conversations: list[tuple[str, list[str], list[str]]]) -> tuple[str, list[dict], list[dict]]:
-    """One text for conversations (key, roles, texts), its segments, and the last segment of each key.
+def _parts(role: str, text: str) -> tuple[str, str, str]:
+    """A written turn, cut at the ends of the range that bears loss."""
+    body, a, b = write_turn(role, text)
+    return body[:a], body[a:b], body[b:]
+
+
+def turn_length(role: str, text: str, encode: Encoder | None = None) -> int:
+    """Tokens of a written turn; code points without ``encode``."""
+    return sum(len(encode(x)) if encode else len(x) for x in _parts(role, text))
 
-    Turns are shared as long as role and text are equal from the start; siblings follow in the order
-    of their first conversation.
+
+def write_piece(name: str, conversations: list[tuple[str, list[str], list[str]]], above: Sequence[tuple[str, int]] = (), encode: Encoder | None = None) -> dict[str, Any]:
+    """A piece of a tree (columns of ``TREE``) for conversations (key, roles, texts) that follow the turns ``above``.
+
+    ``above`` names the pieces that hold the turns before, from the root, and their lengths. Turns are shared
+    as long as role and text are equal; siblings follow in the order of their first conversation.
     """
     children: list[dict[tuple[str, str], int]] = [{}]
     turns: list[tuple[str, str]] = [("", "")]
@@ -88,23 +107,32 @@ def write_tree(conversations: list[tuple[str, list[str], list[str]]]) -> tuple[s
             node = children[node][turn]
         leaves[node].append(key)
     out: list[str] = []
+    tokens: list[int] = []
+    positions: list[np.ndarray] = []
     segments: list[dict] = []
-    ends: list[dict] = [{"key": k, "segment": -1} for k in leaves[0]]
+    ends: list[dict] = []
+    outside = [{"piece": p, "start": 0, "end": n} for p, n in above]
     length = 0
-    stack = [(n, -1, 0, ()) for n in reversed(children[0].values())]
+    stack = [(n, -1, sum(n for _, n in above), ()) for n in reversed(children[0].values())]
     while stack:  # depth first
-        node, parent, position, above = stack.pop()
-        body, a, b = write_turn(*turns[node])
-        own = {"start": length, "end": length + len(body)}
+        node, parent, position, path = stack.pop()
+        parts = _parts(*turns[node])
+        out += parts
+        coded = [encode(x) for x in parts] if encode else parts
+        if encode:
+            tokens += [t for x in coded for t in x]
+        bare, loss, rest = map(len, coded)
+        end = length + bare + loss + rest
         number = len(segments)
-        segments.append(own | {"position": position, "parent": parent, "ancestors": list(above), "loss_start": length + a, "loss_end": length + b})
+        segments.append({"start": length, "end": end, "position": position, "parent": parent, "ancestors": [*outside, *path], "loss_start": length + bare, "loss_end": length + bare + loss})
         ends += [{"key": k, "segment": number} for k in leaves[node]]
-        out.append(body)
-        length += len(body)
+        positions.append(np.arange(position, position + end - length, dtype=np.int32))
         # Neighbouring intervals are one.
-        path = (*above[:-1], {"start": above[-1]["start"], "end": own["end"]}) if above and above[-1]["end"] == own["start"] else (*above, own)
-        stack += [(n, number, position + len(body), path) for n in reversed(children[node].values())]
-    return "".join(out), segments, ends
+        first = path[-1]["start"] if path and path[-1]["end"] == length else length
+        path = (*(path[:-1] if first < length else path), {"piece": name, "start": first, "end": end})
+        stack += [(n, number, position + end - length, path) for n in reversed(children[node].values())]
+        length = end
+    return {"piece": name, "text": "".join(out), "segments": segments, "conversations": ends, "tokens": tokens, "position_ids": np.concatenate(positions) if positions else np.zeros(0, np.int32)}
 
 
 def distinct_conversations(turns: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -131,98 +159,106 @@ def distinct_conversations(turns: DataFrame, id_col: str, turn_col: str, role_co
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chains, pa.list_(pa.string()))], [*batch.schema.names, "chain"])
 
     chained = map_texts(whole, task, f"id {id_field.dataType.simpleString()}, roles array<string>, texts array<string>, chain array<string>")
-    chained = checkpointed(chained.withColumn("key", F.element_at("chain", -1)))
+    chained = written(chained.withColumn("key", F.element_at("chain", -1)))
     ids = chained.select("id", "key")
-    return ids, chained.groupBy("key").agg(F.first("roles").alias("roles"), F.first("texts").alias("texts"), F.first("chain").alias("chain"))
+    return ids, written(chained.groupBy("key").agg(F.first("roles").alias("roles"), F.first("texts").alias("texts"), F.first("chain").alias("chain")))
 
 
 def dealt(distinct: DataFrame, most: int) -> DataFrame:
-    """``distinct`` with the tree that each conversation goes to, in column tree.
+    """The conversations of each piece: piece, trunk, above, key, roles, texts, chain.
 
     Conversations with a common first turn make a tree. A turn that begins more than ``most``
-    different conversations is the root of several trees: its conversations are dealt out by
-    their next turns, so no tree grows with the input, and the shared turns are written once in each.
+    different conversations is a piece of its own (trunk: one row, a conversation with that turn cut after it, its key
+    null unless one ends there). The conversations behind it are dealt out by their next turns. ``above``: how many
+    first turns have pieces of their own.
     """
     starts = distinct.select("key", F.posexplode("chain").alias("depth", "prefix"))
     counts = starts.groupBy("prefix").agg(F.count("*").alias("n"))
-    # Only turns that begin many conversations matter here, and a conversation's are its first ones.
     common = near(checkpointed(counts.filter(F.col("n") > most)))
-    last = starts.join(common, "prefix").groupBy("key").agg(F.max(F.struct("depth", "prefix", "n")).alias("last"))
-    following = F.coalesce(F.get("chain", F.col("last.depth") + 1), F.col("key"))
-    slot = F.pmod(F.xxhash64(following), F.ceil(F.col("last.n") / most)).cast("string")
-    tree = F.when(F.col("last").isNull(), F.get("chain", F.lit(0))).otherwise(F.concat_ws("-", F.col("last.prefix"), slot))
-    return distinct.join(last, "key", "left").withColumn("tree", tree).drop("last")
-
-
-def trees(distinct: DataFrame, most: int = 64, encode: Callable[[], Callable[[str], list[int]]] | None = None) -> DataFrame:
-    """One row for each prefix tree (schema ``TREE``) over (key, roles, texts, chain).
-
-    Without ``encode`` a token is a code point: segments and intervals count code points of ``text``,
-    positions run on within a segment, and the arrays tokens and position_ids stay empty. With it
-    (called once a group, it gives a function from a segment's text to token ids) they are filled,
-    each segment encoded by itself, and segments, intervals and loss ranges count tokens; the
-    loss range is then encoded apart from the marks around it.
+    shared = starts.join(common, "prefix")
+    last = shared.groupBy("key").agg(F.max(F.struct("depth", "prefix", "n")).alias("last"))
+    rest = distinct.join(last, "key", "left").withColumn("above", F.coalesce(F.col("last.depth") + 1, F.lit(0))).filter(F.size("chain") > F.col("above"))
+    slot = F.pmod(F.xxhash64(F.get("chain", F.col("above"))), F.ceil(F.col("last.n") / most)).cast("string")
+    piece = F.when(F.col("last").isNull(), F.get("chain", F.lit(0))).otherwise(F.concat_ws("-", F.col("last.prefix"), slot))
+    rest = rest.select(piece.alias("piece"), F.lit(False).alias("trunk"), "above", "key", "roles", "texts", "chain")
+    one = near(checkpointed(shared.groupBy("prefix").agg(F.min("key").alias("key"), F.max(F.col("key") == F.col("prefix")).alias("ends"), F.max("depth").alias("depth"))))
+    cut = [F.slice(c, 1, F.col("depth") + 1).alias(c) for c in ("roles", "texts", "chain")]
+    trunks = distinct.join(one, "key").select(F.col("prefix").alias("piece"), F.lit(True).alias("trunk"), F.col("depth").alias("above"), F.when(F.col("ends"), F.col("prefix")).alias("key"), *cut)
+    return rest.union(trunks)
+
+
+def trees(distinct: DataFrame, most: int = 64, encode: Callable[[], Encoder] | None = None) -> DataFrame:
+    """One row for each piece of the prefix trees (schema ``TREE``) over (key, roles, texts, chain).
+
+    Without ``encode`` a token is a code point of ``text`` and the array tokens stays empty. With it
+    (called once a piece, it gives a function from a text to token ids) each segment is encoded by itself, the
+    range that bears loss apart from the marks around it. Segments, intervals and positions count tokens; position_ids has each token's position.
     """
 
     def build(table: pa.Table) -> pa.Table:
-        rows = table.select(["tree", "chain", "key", "roles", "texts"]).to_pylist()
-        rows.sort(key=lambda r: (r["chain"], r["key"]))
-        text, segments, ends = write_tree([(r["key"], r["roles"], r["texts"]) for r in rows])
-        tokens: list[int] = []
-        positions: list[int] = []
-        if encode:
-            run = encode()
-            at: dict[int, tuple[int, int]] = {}
-            for s in segments:
-                start = len(tokens)
-                parts = [run(text[s["start"] : s["loss_start"]]), run(text[s["loss_start"] : s["loss_end"]]), run(text[s["loss_end"] : s["end"]])]
-                position = segments[s["parent"]]["position"] + at[s["parent"]][1] - at[s["parent"]][0] if s["parent"] >= 0 else 0
-                for p in parts:
-                    tokens += p
-                at[len(at)] = start, len(tokens)
-                positions += range(position, position + len(tokens) - start)
-                s |= {"position": position, "loss_start": start + len(parts[0]), "loss_end": start + len(parts[0]) + len(parts[1])}
-            for i, s in enumerate(segments):
-                above, p = [], s["parent"]
-                while p >= 0:
-                    above.append({"start": at[p][0], "end": at[p][1]})
-                    p = segments[p]["parent"]
-                s |= {"start": at[i][0], "end": at[i][1], "ancestors": above[::-1]}
-        interval = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        rows = table.select(["piece", "trunk", "above", "chain", "key", "roles", "texts"]).to_pylist()
+        rows.sort(key=lambda r: (r["chain"], r["key"] or ""))
+        run, first = encode() if encode else None, rows[0]
+        n = first["above"]
+        above = [(p, turn_length(r, t, run)) for p, r, t in zip(first["chain"][:n], first["roles"], first["texts"])]
+        made = write_piece(first["piece"], [(r["key"], r["roles"][n:], r["texts"][n:]) for r in rows], above, run)
+        if first["trunk"] and first["key"] is None:
+            made["conversations"] = []
+        interval = pa.list_(pa.struct([("piece", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         segment = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("position", pa.int64()), ("parent", pa.int32()), ("ancestors", interval), ("loss_start", pa.int64()), ("loss_end", pa.int64())]))
         conversation = pa.list_(pa.struct([("key", pa.string()), ("segment", pa.int32())]))
-        return pa.table({"tree": pa.array([rows[0]["tree"]], pa.string()), "text": pa.array([text], pa.string()), "segments": pa.array([segments], segment), "conversations": pa.array([ends], conversation), "tokens": pa.array([tokens], pa.list_(pa.int32())), "position_ids": pa.array([positions], pa.list_(pa.int32()))})
+        types = {"tree": pa.string(), "piece": pa.string(), "text": pa.string(), "segments": segment, "conversations": conversation, "tokens": pa.list_(pa.int32()), "position_ids": pa.list_(pa.int32())}
+        made["tree"] = first["chain"][0]
+        return pa.table({c: pa.array([made[c]], t) for c, t in types.items()})
+
+    return dealt(distinct, most).groupBy("piece").applyInArrow(build, TREE)
+
 
-    return dealt(distinct, most).groupBy("tree").applyInArrow(build, TREE)
+SAID = "key string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, position_sum long"
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """What each conversation of the trees (in code points) says, read from the written text alone.
+def read_back(pieces: DataFrame) -> DataFrame:
+    """What each conversation of the pieces (in code points) says, read from the written text alone, along the intervals.
 
-    Columns: key, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    Columns: key, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, position_sum (of the position ids of its tokens).
     """
+    names = F.array_distinct(F.flatten(F.transform("segments", lambda s: s["ancestors"]["piece"])))
+    wanted = pieces.select("piece", F.explode(names).alias("at")).filter("at != piece")
+    one = F.get("segments", F.lit(0))
+    told = pieces.select(F.col("piece").alias("at"), F.struct(F.col("piece").alias("piece"), "text", "position_ids", one["loss_start"].alias("loss_start"), one["loss_end"].alias("loss_end")).alias("trunk"))
+    trunks = wanted.join(told, "at").groupBy("piece").agg(F.collect_list("trunk").alias("trunks"))
+    joined = pieces.join(trunks, "piece", "left").select("piece", "text", "segments", "conversations", "position_ids", "trunks")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, segments, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "segments", "conversations"))):
-                for end in ends:
+            for name, text, segments, ends, ids, trunks in zip(*(batch.column(c) for c in batch.schema.names)):
+                segments, ids = segments.as_py(), ids.values.to_numpy()
+                texts = {name.as_py(): (text.as_py(), ids, 0, 0)}
+                for t in trunks if trunks.is_valid else ():
+                    texts[t["piece"].as_py()] = t["text"].as_py(), t["position_ids"].values.to_numpy(), t["loss_start"].as_py(), t["loss_end"].as_py()
+                own = texts[name.as_py()][0]
+                for end in ends.as_py():
                     path, at = [], end["segment"]
                     while at >= 0:
                         path.append(segments[at])
                         at = segments[at]["parent"]
                     path.reverse()
-                    last = path[-1] if path else {"ancestors": [], "start": 0, "end": 0}
-                    alone = "".join(text[i["start"] : i["end"]] for i in (*last["ancestors"], last))
+                    last = path[-1]
+                    outside = [texts[i["piece"]] for i in last["ancestors"] if i["piece"] != name.as_py()]
+                    said = [texts[i["piece"]][0][i["start"] : i["end"]] for i in last["ancestors"]] + [own[last["start"] : last["end"]]]
+                    positions = [texts[i["piece"]][1][i["start"] : i["end"]] for i in last["ancestors"]] + [ids[last["start"] : last["end"]]]
+                    loss = "".join(unescape(x) for x in [*(t[a:b] for t, _, a, b in outside), *(own[s["loss_start"] : s["loss_end"]] for s in path)])
+                    alone = "".join(said)
                     turns = read_turns(alone)
-                    loss = "".join(unescape(text[s["loss_start"] : s["loss_end"]]) for s in path)
-                    said = "".join(f"{role}\n{t}\n" for role, t in turns)
-                    out.append((end["key"], len(turns), hashlib.sha256(said.encode("utf-8")).hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8")).hexdigest(), len(alone)))
-            types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            columns = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                    total = sum(int(p.sum(dtype=np.int64)) for p in positions)
+                    words = "".join(f"{role}\n{t}\n" for role, t in turns)
+                    out.append((end["key"], len(turns), hashlib.sha256(words.encode("utf-8")).hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8")).hexdigest(), len(alone), total))
+            types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            columns = list(zip(*out)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [f.split()[0] for f in SAID.split(", ")])
 
-    return map_texts(formatted.select("text", "segments", "conversations"), task, "key string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_texts(joined, task, SAID)
 
 
 def formatted(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", most: int = 64) -> DataFrame:
@@ -230,8 +266,8 @@ def formatted(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
 
     Equal conversations are written once. Null roles and texts are as empty ones, null ids are one
     conversation, repeated rows are turns of their own, and an empty table gives no rows. A
-    conversation is held in one task, as is a tree of at most about twice ``most`` conversations.
+    conversation is held in one task, as is a piece of at most about twice ``most`` conversations.
     """
     ids, distinct = distinct_conversations(turns, id_col, turn_col, role_col, text_col)
-    said = near(checkpointed(read_back(trees(distinct, most))))  # a few hundred bytes for each different conversation
+    said = near(checkpointed(read_back(written(trees(distinct, most)))))  # a few hundred bytes for each different conversation
     return ids.join(said, "key").drop("key").withColumnRenamed("id", id_col)

@@ -101,7 +101,8 @@ SQL: dict[str, str] = {
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
             CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-            CAST(sum(body + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 5 ELSE name + 12 END) AS BIGINT) AS formatted_chars
+            CAST(sum(body + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 5 ELSE name + 12 END) AS BIGINT) AS formatted_chars,
+            CAST(formatted_chars * (formatted_chars - 1) // 2 AS BIGINT) AS position_sum
         FROM f GROUP BY conv_id""",
     "op10_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strandlake.llm import chat, queries
-from strandlake.llm.chat import escape, formatted, read_turns, unescape, write_tree, write_turn
+from strandlake.llm.chat import escape, formatted, read_turns, unescape, write_piece, write_turn
 from tests.conftest import DATA
 
 TEXT = st.text(alphabet=st.sampled_from(list("ab<[/]>\\|s \nINST")), max_size=20)
@@ -30,15 +30,20 @@ def test_no_mark_in_escaped_text(text):
 @given(st.lists(st.lists(TURN, min_size=1, max_size=4), min_size=1, max_size=6))
 def test_tree_shares_prefixes_and_its_intervals_give_each_conversation(conversations):
     rows = [(str(i), [r for r, _ in c], [t for _, t in c]) for i, c in enumerate(conversations)]
-    text, segments, ends = write_tree(rows)
+    above = [("root", 7), ("next", 5)] if len(rows) % 2 else []
+    made = write_piece("p", rows, above)
+    text, segments, ends = made["text"], made["segments"], made["conversations"]
     assert len(segments) == len({tuple(c[: k + 1]) for c in conversations for k in range(len(c))})
     assert sorted(e["key"] for e in ends) == sorted(k for k, _, _ in rows)
     for e in ends:
         s = segments[e["segment"]]
-        alone = "".join(text[i["start"] : i["end"]] for i in (*s["ancestors"], s))
+        assert [(i["piece"], i["end"]) for i in s["ancestors"][: len(above)]] == above
+        inside = [*s["ancestors"][len(above) :], s]
+        alone = "".join(text[i["start"] : i["end"]] for i in inside)
+        assert sum((made["position_ids"][i["start"] : i["end"]].tolist() for i in inside), []) == list(range(12 if above else 0, (12 if above else 0) + len(alone)))
         assert read_turns(alone) == conversations[int(e["key"])]
         # Positions run as if the conversation were alone, and intervals lie before the segment.
-        assert s["position"] == len(alone) - (s["end"] - s["start"]) and all(i["end"] <= s["start"] for i in s["ancestors"])
+        assert s["position"] == len(alone) - (s["end"] - s["start"]) + (12 if above else 0) and all(i["end"] <= s["start"] for i in inside[:-1])
 
 
 def expected(rows):
@@ -52,11 +57,11 @@ def expected(rows):
         said = "".join(f"{r}\n{t}\n" for _, _, r, t in turns)
         loss = "".join(t for _, _, r, t in turns if r == "assistant")
         length = sum(len(write_turn(r, t)[0]) for _, _, r, t in turns)
-        out[c] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), length)
+        out[c] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), length, length * (length - 1) // 2)
     return out
 
 
-FIELDS = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+FIELDS = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "position_sum")
 
 
 def test_query(spark):
@@ -75,15 +80,21 @@ def test_odd_rows_and_hot_turns(spark, most):
     assert formatted(df.limit(0)).collect() == []
 
 
-def test_trees_are_bounded_and_tokens_align(spark):
-    rows = [(i, t, r, x) for i in range(40) for t, r, x in ((0, "user", "common start"), (1, "assistant", f"a{i}"))]
+def test_shared_turns_are_written_once_in_bounded_pieces(spark):
+    rows = [(i, t, r, x) for i in range(40) for t, r, x in ((0, "user", "common start"), (1, "assistant", f"a{i % 3}"), (2, "user", f"b{i}"))]
+    rows += [(100, 0, "user", "common start"), (101, 0, "user", "common start"), (101, 1, "assistant", "a0")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     _, distinct = chat.distinct_conversations(df, "conv_id", "turn", "role", "text")
-    made = chat.trees(distinct, 8, lambda: lambda s: [ord(c) for c in s]).collect()
-    assert len(made) > 1 and sum(len(t["conversations"]) for t in made) == 40 and max(len(t["conversations"]) for t in made) < 24
-    for t in made:
-        assert "".join(map(chr, t["tokens"])) == t["text"] and t["text"].count("common start") == 1
-        for s in t["segments"]:
-            assert list(t["position_ids"][s["start"] : s["end"]]) == list(range(s["position"], s["position"] + s["end"] - s["start"]))
+    made = {p["piece"]: p for p in chat.trees(distinct, 8, lambda: lambda s: [ord(c) for c in s]).collect()}
+    assert len({p["tree"] for p in made.values()}) == 1 and sum(len(p["conversations"]) for p in made.values()) == 42
+    assert max(len(p["conversations"]) for p in made.values()) <= 16 and len(made) > 6
+    every = "".join(p["text"] for p in made.values())
+    assert every.count("common start") == 1 and all(every.count(f" a{k}</s>") == 1 for k in range(3))
+    for p in made.values():
+        assert "".join(map(chr, p["tokens"])) == p["text"]
+        for s in p["segments"]:
+            assert list(p["position_ids"][s["start"] : s["end"]]) == list(range(s["position"], s["position"] + s["end"] - s["start"]))
+            before = [list(made[i["piece"]]["position_ids"][i["start"] : i["end"]]) for i in s["ancestors"]]
+            assert sum(before, []) == list(range(s["position"]))
             if s["loss_end"] > s["loss_start"]:
-                assert "".join(map(chr, t["tokens"][s["loss_start"] : s["loss_end"]])).startswith("a")
+                assert "".join(map(chr, p["tokens"][s["loss_start"] : s["loss_end"]])).startswith("a")
