@@ -1,17 +1,19 @@
 """Language-model scoring by cross-entropy difference.
 
 Two word bigram models, one of a target corpus and one of all documents (the background), are matched:
-same order, same smoothing. A document's score is the mean over its words of log p(target) - log p(background):
-above 0 it is more like the target. Words, last words and pairs are counted over all documents by 64-bit
-hash; a word is a context as often as it is not the last of a text. The counts are a table in buckets of hash ranges, whose number follows the amount of text, and are
-never gathered in one place: documents are scored by blocks of bounded size, each of which asks every bucket
-for the counts of its different hashes. Hashes and counts travel packed, many in a row.
+same order, same smoothing, one vocabulary. A document's score is the mean over its words of log p(target) -
+log p(background): above 0 it is more like the target. Both models leave out the document that is scored, so
+a target document isn't judged by itself, and a text that occurs nowhere else isn't known to the background.
+
+Words, contexts and pairs are counted over all documents by 64-bit hash. The texts are written in blocks of
+bounded size; a block sends its different hashes with their counts to buckets of hash ranges, whose
+number follows the amount of text, and each bucket answers every block with the totals. Nothing is
+gathered in one place. Hashes and counts travel packed, many in a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpointed, map_texts, near, slices
+from .common import as_bytes, checkpointed, fresh, map_texts, near, slices, written
 
-#: log2 of what smoothing adds to the number of words; weight of the pair model.
-BITS, PAIR = 18, 0.6
+#: Weight of the pair model where the word before is known.
+PAIR = 0.6
 #: Bytes of text in a block of documents, and for each bucket of the counts; rows of a block.
 BLOCK, BUCKET, ROWS = 8_000_000, 16_000_000, 100_000
 
@@ -31,17 +33,20 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(42).integers(1 << 64, size=256, dtype=np.uint64)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_START = np.uint64(0x27D4EB2F165667C5)
+#: What a hash counts, in its lowest bits.
+WORD_, PAIR_, START_ = (np.uint64(i) for i in range(3))
+_KIND = np.uint64(3)
+_START = np.uint64(0x27D4EB2F165667C4) | START_
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def _mix(x: np.ndarray, kind: np.uint64) -> np.ndarray:
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
+    return (x ^ x >> np.uint64(31)) & ~_KIND | kind
 
 
 def ngrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash of each word, of its pair with the word before it (or the start of a text), of each text's last word; words of each text.
+    """Hash of each word, of the word before it (or the start of a text), of their pair; words of each text.
 
     Words are what ``bytes.split()`` finds. A word's hash is the sum of its bytes' random numbers times
     powers of a base, taken from running sums, then mixed.
@@ -58,14 +63,13 @@ def ngrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     word = sums[end - 1] - sums[first - 1]
     sums = np.full(len(raw), _INVERSE, np.uint64)
     sums[0] = 1
-    word = _mix(word * np.cumprod(sums)[first])
+    word = _mix(word * np.cumprod(sums)[first], WORD_)
     starts = np.cumsum(lengths + 1) - lengths
     text = np.searchsorted(starts, first, side="right") - 1
     n = np.bincount(text, minlength=len(texts)).astype(np.int64)
     before = np.concatenate([[_START], word[:-1]])[: len(word)]
     before[np.diff(text, prepend=-1) != 0] = _START
-    last = word[np.cumsum(n)[n > 0] - 1]
-    return word, _mix(_mix(before + np.uint64(1)) + word), _mix(last + np.uint64(2)), n
+    return word, before, _mix(_mix(before + np.uint64(1), WORD_) + word, PAIR_), n
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -95,79 +99,33 @@ def _totals(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
     return [keys[at], *[np.add.reduceat(c[by], at) if len(at) else c for c in counts]]
 
 
-@dataclass
-class Models:
-    """The counts, a row for each bucket (hashes, target, background), packed; the number of buckets; words of each model."""
+#: Counts of a hash: occurrences in the target and in all rows, those of them at the end of a text.
+COUNTS = ("t", "b", "ends_t", "ends_b")
+ADDED = [("n_words", T.LongType()), ("target_loss", T.DoubleType()), ("background_loss", T.DoubleType()), ("lm_score", T.DoubleType())]
 
-    table: DataFrame
-    buckets: int
-    words: tuple[int, int]
 
+def _own(text: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often each token's key (a small number) occurs in its text."""
+    _, at, times = np.unique(text * (int(key.max(initial=0)) + 1) + key, return_inverse=True, return_counts=True)
+    return times[at]
 
-_TABLE = "bucket long, keys binary, t binary, b binary, words_t long, words_b long"
 
-
-def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
-    """Both models: the target's from the rows whose id is in ``targets`` (column ``id_col``), the background's from all rows."""
-    ids = near(checkpointed(targets.select(F.col(id_col).alias("tid")).dropna().distinct()))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id") == F.col("tid"), "left").select("text", F.col("tid").isNotNull().alias("target"))
-    buckets = 1 + (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // BUCKET
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size, words = 0, [0, 0]
-
-        def flush() -> pa.RecordBatch:
-            keys, t, b = _totals(*[np.concatenate(x) for x in zip(*held)])
-            ends = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
-            parts = [(k, slice(*ends[k : k + 2])) for k in range(buckets) if ends[k] < ends[k + 1]]
-            # The words are told once, with the first bucket.
-            told = [words if i == 0 else (0, 0) for i in range(len(parts))]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in parts], pa.int64()), *[pa.array([_pack(x[s], x is keys) for _, s in parts], pa.binary()) for x in (keys, t, b)], *[pa.array([w[i] for w in told], pa.int64()) for i in (0, 1)]],
-                ["bucket", "keys", "t", "b", "words_t", "words_b"],
-            )
-
-        for batch in batches:
-            for part in slices(batch, "text"):
-                w, p, last, n = ngrams(as_bytes(part.column("text")))
-                target = part.column("target").to_numpy(zero_copy_only=False).astype(np.int64)
-                chosen, full = np.repeat(target, n), target[n > 0]
-                # The start of a text is counted like a word.
-                keys = np.concatenate([w, p, last, np.full(len(last), _START)])
-                held.append(_totals(keys, np.concatenate([chosen, chosen, full, full]), np.ones(len(keys), np.int64)))
-                words = [words[0] + int(chosen.sum()), words[1] + len(w)]
-                size += part.column("text").nbytes
-                if size >= BLOCK:
-                    yield flush()
-                    held, size, words = [], 0, [0, 0]
-        if held:
-            yield flush()
-
-    def merge(table: pa.Table) -> pa.Table:
-        got = [np.concatenate([_unpack(x, c == "keys") for x in table.column(c).to_pylist()]) for c in ("keys", "t", "b")]
-        counts = [[_pack(x, i == 0)] for i, x in enumerate(_totals(*got))]
-        words = [[sum(table.column(c).to_pylist())] for c in ("words_t", "words_b")]
-        return pa.Table.from_arrays([table.column("bucket").combine_chunks()[:1], *[pa.array(c, pa.binary()) for c in counts], *[pa.array(w, pa.int64()) for w in words]], names=["bucket", "keys", "t", "b", "words_t", "words_b"])
-
-    table = checkpointed(map_texts(rows, task, _TABLE).groupBy("bucket").applyInArrow(merge, _TABLE))
-    words = table.agg(F.sum("words_t"), F.sum("words_b")).first()
-    docs.sparkSession._jvm.System.gc()  # lets Spark remove the shuffle's files, which are as large as the table
-    return Models(table.select("bucket", "keys", "t", "b"), buckets, (words[0] or 0, words[1] or 0))
-
-
-def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns kept, with n_words, target_loss, background_loss (nats a word) and lm_score, their difference.
 
-    The loss of a word w after v is -log of PAIR * c(v, w) / c(v) + (1 - PAIR) * (c(w) + 1) / (N + 2**BITS).
-    A text without words (null, empty, blank) has no losses (null) and the score 0. Whole texts are scored, each on its own, so
-    repeated rows score alike; ids play no part. Columns so named must not exist. An empty table gives no rows.
+    The background model counts all rows, the target model those whose id is in ``targets`` (column ``id_col``, nulls
+    and repeats don't matter); for each row both leave out its own text, once. The loss of a word w after v is -log of
+    PAIR * c(v, w) / c(v) + (1 - PAIR) * (c(w) + 1) / (N + V + 1), without the first term and its weight where
+    c(v) = 0. N: words of the model; V: different words of all rows, for both models. v is the start of the text for its first
+    word, and c(v) how often it is followed by a word.
+    A text without words (null, empty, blank) has no losses (null) and the score 0. Repeated rows count each, and score
+    alike. Columns of ``docs`` with these names are replaced. An empty table gives no rows.
     """
-    added = [("n_words", T.LongType()), ("target_loss", T.DoubleType()), ("background_loss", T.DoubleType()), ("lm_score", T.DoubleType())]
-    clash = {c.lower() for c in docs.columns} & {n for n, _ in added}
-    if clash:
-        raise ValueError(f"columns exist: {sorted(clash)}")
-    buckets, total, place = models.buckets, models.words, docs.columns.index(text_col)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {n for n, _ in ADDED}])
+    place = docs.columns.index(text_col)
+    (mark,) = fresh(docs, "lm_target")
+    ids = near(checkpointed(targets.select(F.col(id_col).alias("lm_tid")).dropna().distinct()))
+    marked = docs.join(ids, F.col(id_col) == F.col("lm_tid"), "left").select(*[docs[c] for c in docs.columns], F.col("lm_tid").isNotNull().alias(mark))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -175,11 +133,13 @@ def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
         number = TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
+            sink, words = pa.BufferOutputStream(), np.zeros(2, np.int64)
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 for x in held:
                     out.write_batch(x)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
+                    n = np.array([len(t.split()) if t else 0 for t in as_bytes(x.column(place))], np.int64)
+                    words += n[x.column(mark).to_numpy(zero_copy_only=False)].sum(), n.sum()
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), *[pa.array([int(w)]) for w in (*words, size)]], ["block", "data", "words_t", "words_b", "bytes"])
 
         for batch in batches:
             for part in slices(batch, text_col):
@@ -191,52 +151,67 @@ def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
         if held:
             yield flush()
 
-    def hashes(data: bytes) -> tuple[pa.Table, list[np.ndarray], np.ndarray]:
-        """A block's rows; its words, pairs, contexts' words and contexts as last words, by hash; words of each text."""
+    # Written, so that what the blocks ask and what is finished with the answers are the same rows.
+    blocks = written(map_texts(marked, block, "block long, data binary, words_t long, words_b long, bytes long"))
+    sums = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words_t", "words_b", "bytes")]).first()
+    total, buckets = (sums[0], sums[1]), 1 + sums[2] // BUCKET
+
+    def hashes(data: bytes) -> tuple[pa.Table, list[np.ndarray]]:
+        """A block's rows, and :func:`ngrams` of its texts."""
         table = pa.ipc.open_stream(data).read_all()
-        parts = [ngrams(as_bytes(part.column(place))) for batch in table.to_batches() for part in slices(batch, text_col)]
-        w, p, _, n = [np.concatenate(x) for x in zip(*parts)]
-        before = np.concatenate([[_START], w[:-1]])[: len(w)]
-        before[(np.cumsum(n) - n)[n > 0]] = _START
-        return table, [w, p, before, _mix(before + np.uint64(2))], n
+        parts = [ngrams(as_bytes(x.column(place))) for batch in table.to_batches() for x in slices(batch, text_col)]
+        return table, [np.concatenate(x) for x in zip(*parts)]
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
-                keys = np.unique(np.concatenate(hashes(data)[1]))
+                table, (word, _, pair, n) = hashes(data)
+                target = table.column(mark).to_numpy().astype(np.int64)
+                chosen, full = np.repeat(target, n), target[n > 0]
+                last = np.zeros(len(word), np.int64)
+                last[np.cumsum(n)[n > 0] - 1] = 1
+                # The start of a text is counted like a word.
+                keys = np.concatenate([word, pair, np.full(len(full), _START)])
+                t, b = np.concatenate([chosen, chosen, full]), np.ones(len(keys), np.int64)
+                ends_t, ends_b = (np.concatenate([x, np.zeros(len(keys) - len(x), np.int64)]) for x in (last * chosen, last))
+                keys, *counts = _totals(keys, t, b, ends_t, ends_b)
                 ends = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
-                parts = [(k, _pack(keys[ends[k] : ends[k + 1]], True)) for k in range(buckets) if ends[k] < ends[k + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([number] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())], ["bucket", "block", "keys"])
-
-    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
-        known, *counts = [np.concatenate([np.zeros(0, np.uint64), *[_unpack(x, c == "keys") for x in table.column(c).to_pylist()]]) for c in ("keys", "t", "b")]
-        out: list[list[bytes]] = [[], []]
-        for data in asked.column("keys").to_pylist():
-            keys = _unpack(data, True)
-            at = np.searchsorted(known, keys)
-            found = at < len(known)
-            found[found] = known[at[found]] == keys[found]
-            for x, c in zip(out, counts):
-                got = np.zeros(len(keys), np.uint64)
-                got[found] = c[at[found]]
-                x.append(_pack(got))
-        return pa.Table.from_arrays([asked.column("block"), asked.column("bucket"), *[pa.array(x, pa.binary()) for x in out]], names=["block", "bucket", "t", "b"])
+                parts = [(k, slice(*ends[k : k + 2])) for k in range(buckets) if ends[k] < ends[k + 1]]
+                packed = [pa.array([_pack(x[s], x is keys) for _, s in parts], pa.binary()) for x in (keys, *counts)]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([number] * len(parts), pa.int64()), *packed], ["bucket", "block", "keys", *COUNTS])
+
+    def answer(parts: pa.Table) -> pa.Table:
+        asked = [_unpack(x, True) for x in parts.column("keys").to_pylist()]
+        known, *counts = _totals(np.concatenate(asked), *[np.concatenate([_unpack(x) for x in parts.column(c).to_pylist()]) for c in COUNTS])
+        at = [np.searchsorted(known, keys) for keys in asked]
+        different = int((known & _KIND == WORD_).sum())
+        kinds = pa.array([different, *[0] * (len(asked) - 1)], pa.int64())
+        return pa.Table.from_arrays([parts.column("block"), parts.column("bucket"), kinds, *[pa.array([_pack(c[i]) for i in at], pa.binary()) for c in counts]], names=["block", "bucket", "kinds", *COUNTS])
+
+    binaries = ", ".join(f"{c} binary" for c in COUNTS)
+    answers = written(blocks.select("block", "data").mapInArrow(count, f"bucket long, block long, keys binary, {binaries}").groupBy("bucket").applyInArrow(answer, f"block long, bucket long, kinds long, {binaries}"))
+    vocabulary = answers.agg(F.sum("kinds")).first()[0] or 0
 
     def finish(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        table, keys, n = hashes(blocks.column("data")[0].as_py())
-        at = np.unique(np.concatenate(keys), return_inverse=True)[1].reshape(4, -1)
-        answers, text, none, loss = answers.sort_by("bucket"), np.repeat(np.arange(len(n)), n), n == 0, []
+        table, (word, before, pair, n) = hashes(blocks.column("data")[0].as_py())
+        mine = table.column(mark).to_numpy().astype(np.int64)
+        text, none = np.repeat(np.arange(len(n)), n), n == 0
+        at = np.unique(np.concatenate([word, before, pair]), return_inverse=True)[1].reshape(3, -1)
+        own_word, own_before, own_pair = (_own(text, x) for x in at)
+        answers, loss = answers.sort_by("bucket"), []
+        counts = {c: np.concatenate([np.zeros(0, np.uint64), *[_unpack(x) for x in answers.column(c).to_pylist()]]).astype(np.float64) for c in COUNTS}
         for side, c in enumerate(("t", "b")):
-            counts = np.concatenate([np.zeros(0, np.uint64), *[_unpack(x) for x in answers.column(c).to_pylist()]]).astype(np.float64)
-            word, pair, begun, ended = counts[at]
-            context = begun - ended
-            single = (word + 1) / (total[side] + (1 << BITS))
-            logs = np.log(PAIR * pair / np.maximum(context, 1) + (1 - PAIR) * single)
+            less = np.ones(len(n)) if side else mine.astype(np.float64)  # a row's own text is left out
+            own = less[text]
+            words, begun, pairs = counts[c][at]
+            context = begun - counts[f"ends_{c}"][at[1]] - own * own_before
+            words, pairs = words - own * own_word, pairs - own * own_pair
+            single = (words + 1) / (total[side] - own * n[text] + vocabulary + 1)
+            logs = np.log(np.where(context > 0, PAIR * pairs / np.maximum(context, 1) + (1 - PAIR) * single, single))
             loss.append(-np.bincount(text, logs, len(n)) / np.maximum(n, 1))
         columns = [pa.array(n), pa.array(loss[0], mask=none), pa.array(loss[1], mask=none), pa.array(np.where(none, 0.0, loss[1] - loss[0]))]
-        return pa.Table.from_arrays([*table.columns, *columns], names=[*table.column_names, *[a for a, _ in added]])
+        table = table.drop_columns([mark])
+        return pa.Table.from_arrays([*table.columns, *columns], names=[*table.column_names, *[a for a, _ in ADDED]])
 
-    # Blocks are written, so that what they ask and what is finished with the answers are the same rows.
-    blocks = checkpointed(map_texts(docs, block, "block long, data binary"))
-    answers = blocks.mapInArrow(ask, "bucket long, block long, keys binary").groupBy("bucket").cogroup(models.table.groupBy("bucket")).applyInArrow(answer, "block long, bucket long, t binary, b binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, T.StructType([*docs.schema.fields, *[T.StructField(a, t) for a, t in added]]))
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(a, t) for a, t in ADDED]])
+    return blocks.select("block", "data").groupBy("block").cogroup(answers.select("block", "bucket", *COUNTS).groupBy("block")).applyInArrow(finish, schema)

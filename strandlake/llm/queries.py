@@ -43,8 +43,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by cross-entropy difference; the target is what is labelled as of quality."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    models = lmscore.fit(docs, load(spark, sf_dir, "labels").filter("quality = 1"))
-    return lmscore.score(docs, models).drop("text")
+    return lmscore.score(docs, load(spark, sf_dir, "labels").filter("quality = 1")).drop("text")
 
 
 def op5_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
