@@ -7,6 +7,7 @@ is a list of what is incompatible, empty if nothing is.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from enum import Enum
 from typing import Any
 
@@ -66,68 +67,162 @@ def _avro(r: Any, w: Any, rn: dict, wn: dict, path: str, seen: set) -> list[str]
     return []
 
 
+_KINDS = ("null", "boolean", "integer", "number", "string", "array", "object")
+_LEAST, _MOST = (("minimum", 1), ("exclusiveMinimum", 1), ("minLength", 1), ("minItems", 1), ("minProperties", 1)), (("maximum", -1), ("exclusiveMaximum", -1), ("maxLength", -1), ("maxItems", -1), ("maxProperties", -1))
+
+
 def json_schema(previous: str, candidate: str, mode: Mode) -> list[str]:
-    """Types are compared as sets: integer is not part of number here."""
+    """Whether the reader's schema admits every document that the writer's schema describes.
+
+    Writers are taken to write declared properties only, so a new optional property does no harm. An integer is a
+    number. ``allOf`` is joined, ``anyOf`` and ``oneOf`` are read as alternatives, local references are followed; of
+    other keywords that restrict, a reader may not have one that the writer hasn't just so.
+    """
     try:
-        a, b = json.loads(previous), json.loads(candidate)
+        documents = [json.loads(x) for x in (previous, candidate)]
     except json.JSONDecodeError as e:
-        raise ValueError("invalid JSON Schema") from e
-    return [f"{d}: {e}" for d, r, w in _pairs(a, b, mode) for e in _json(r, w, "")]
+        raise ValueError("a schema is no JSON") from e
+    out = []
+    for direction, reader, writer in _pairs(*documents, mode):
+        out += [f"{direction}: {e}" for e in _Containment(reader, writer).of(reader, writer, "$")]
+    return out
 
 
-def _json(r: dict, w: dict, path: str) -> list[str]:
-    def kinds(s: dict) -> set[str]:
-        t = s.get("type", [])
-        return {t} if isinstance(t, str) else set(t)
+class _Containment:
+    """Search for documents that a writer's schema describes and a reader's doesn't."""
+
+    def __init__(self, reader_root: Any, writer_root: Any):
+        self.roots = {True: reader_root, False: writer_root}
+        self.open: set[tuple[int, int]] = set()
+
+    def plain(self, schema: Any, reads: bool) -> dict:
+        """A schema as an object, its reference followed and its ``allOf`` joined."""
+        hops = 0
+        while isinstance(schema, dict) and "$ref" in schema:
+            target: Any = self.roots[reads]
+            for step in schema["$ref"].removeprefix("#").strip("/").split("/"):
+                target = target[step.replace("~1", "/").replace("~0", "~")] if step else target
+            schema, hops = target, hops + 1
+            if hops > 50:
+                raise ValueError("a reference leads back to itself")
+        if isinstance(schema, bool):
+            return {} if schema else {"enum": []}
+        for part in schema.get("allOf", []):
+            part = self.plain(part, reads)
+            joined = {**part, **{k: v for k, v in schema.items() if k != "allOf"}}
+            joined["properties"] = {**part.get("properties", {}), **schema.get("properties", {})}
+            joined["required"] = [*part.get("required", []), *schema.get("required", [])]
+            schema = {k: v for k, v in joined.items() if v or k not in ("properties", "required")}
+        return schema
+
+    @staticmethod
+    def kinds(schema: dict) -> set[str]:
+        """JSON types that a schema admits."""
+        if "enum" in schema or "const" in schema:
+            values = schema["enum"] if "enum" in schema else [schema["const"]]
+            names = {type(None): "null", bool: "boolean", int: "integer", float: "number", str: "string", list: "array", dict: "object"}
+            return {names[type(v)] for v in values}
+        named = schema.get("type", list(_KINDS))
+        named = {named} if isinstance(named, str) else set(named)
+        return named | {"integer"} if "number" in named else named
+
+    def of(self, reader: Any, writer: Any, at: str) -> list[str]:
+        key = (id(reader), id(writer))
+        if key in self.open:  # a recursive schema: what holds above holds here
+            return []
+        self.open.add(key)
+        try:
+            return self._compared(self.plain(reader, True), self.plain(writer, False), at)
+        finally:
+            self.open.discard(key)
+
+    def _compared(self, r: dict, w: dict, at: str) -> list[str]:
+        for word in ("anyOf", "oneOf"):
+            if word in w:
+                return [e for x in w[word] for e in self.of(r, x, at)]
+        for word in ("anyOf", "oneOf"):
+            if word in r:
+                return [] if any(not self.of(x, w, at) for x in r[word]) else [f"{at} fits no alternative of the reader"]
+        out = []
+        strange = self.kinds(w) - self.kinds(r)
+        if strange:
+            out.append(f"{at} may be {' or '.join(sorted(strange))}, which the reader does not take")
+        if "enum" in r or "const" in r:
+            taken = r["enum"] if "enum" in r else [r["const"]]
+            given = w.get("enum", [w["const"]] if "const" in w else None)
+            if given is None or any(v not in taken for v in given):
+                out.append(f"{at} may have values that the reader does not list")
+        for word, sign in (*_LEAST, *_MOST):
+            if word in r and not (word in w and sign * w[word] >= sign * r[word]):
+                out.append(f"{at} may lie beyond the reader's {word}")
+        for word in ("pattern", "format", "multipleOf", "uniqueItems", "not"):
+            if r.get(word) and r[word] != w.get(word):
+                out.append(f"{at} need not meet the reader's {word}")
+        if "object" in self.kinds(w) & self.kinds(r):
+            out += self._objects(r, w, at)
+        if "array" in self.kinds(w) & self.kinds(r) and "items" in r:
+            out += self.of(r["items"], w.get("items", True), at + "[]")
+        return out
 
-    rt, wt = kinds(r), kinds(w)
-    if rt and (not wt or not wt <= rt):
-        return [f"{path or '/'}: type narrows from {sorted(wt)} to {sorted(rt)}"]
-    out = []
-    if "object" in rt or "properties" in r:
-        out += [f"{path}/{n}: became required" for n in r.get("required", []) if n not in w.get("required", [])]
-        own = r.get("properties", {})
-        for n, s in w.get("properties", {}).items():
-            if n in own:
-                out += _json(own[n], s, f"{path}/{n}")
-            elif r.get("additionalProperties") is False:
-                out.append(f"{path}/{n}: is no longer allowed")
-    return out
+    def _objects(self, r: dict, w: dict, at: str) -> list[str]:
+        always = set(w.get("required", []))
+        out = [f"{at}.{name} may be left out, but the reader needs it" for name in r.get("required", []) if name not in always]
+        declared, others = r.get("properties", {}), r.get("additionalProperties", True)
+        for name, schema in w.get("properties", {}).items():
+            if name in declared:
+                out += self.of(declared[name], schema, f"{at}.{name}")
+            elif others is not True:
+                out += self.of(others, schema, f"{at}.{name}")
+        return out
+
+
+#: Types that a parser takes for one another, by how they are written (Protobuf's rules for updating a message type).
+_WIRE = (
+    ("INT32", "INT64", "UINT32", "UINT64", "BOOL", "ENUM"), ("SINT32", "SINT64"), ("FIXED32", "SFIXED32"), ("FIXED64", "SFIXED64"),
+    ("FLOAT",), ("DOUBLE",), ("STRING", "BYTES"), ("MESSAGE",), ("GROUP",),
+)
 
 
 def protobuf(previous: Any, candidate: Any, mode: Mode) -> list[str]:
-    """File descriptors; messages are matched by full name, fields by number."""
-    from google.protobuf.descriptor import FieldDescriptor as D
+    """File descriptors. The writer's top messages must be in the reader's file, and all fields that both have be readable.
 
-    from .protobuf import _repeated
+    Fields are the same by their number. Messages inside fields are compared by what they hold, not by name.
+    """
+    return [f"{direction}: {e}" for direction, reader, writer in _pairs(previous, candidate, mode) for e in _files(reader, writer)]
 
-    varint = {D.TYPE_INT32, D.TYPE_INT64, D.TYPE_UINT32, D.TYPE_UINT64, D.TYPE_BOOL, D.TYPE_ENUM}
-    classes = {**dict.fromkeys(varint, "varint"), D.TYPE_SINT32: "zigzag", D.TYPE_SINT64: "zigzag", D.TYPE_FIXED32: "fixed32", D.TYPE_SFIXED32: "fixed32", D.TYPE_FIXED64: "fixed64", D.TYPE_SFIXED64: "fixed64", D.TYPE_FLOAT: "float", D.TYPE_DOUBLE: "double", D.TYPE_STRING: "bytes", D.TYPE_BYTES: "bytes", D.TYPE_MESSAGE: "message", D.TYPE_GROUP: "group"}
 
-    def messages(f: Any) -> dict[str, Any]:
-        out, todo = {}, list(f.message_types_by_name.values())
-        while todo:
-            m = todo.pop()
-            out[m.full_name] = m
-            todo += m.nested_types
-        return out
+def _files(reader: Any, writer: Any) -> Iterator[str]:
+    done: set[tuple[str, str]] = set()
+    for name, message in writer.message_types_by_name.items():
+        if name in reader.message_types_by_name:
+            yield from _messages(reader.message_types_by_name[name], message, name, done)
+        else:
+            yield f"{name} is not known to the reader"
 
-    out = []
-    for direction, r, w in _pairs(previous, candidate, mode):
-        readers = messages(r)
-        for name, wm in messages(w).items():
-            rm = readers.get(name)
-            if rm is None:
-                out.append(f"{direction}: message {name} is gone")
-                continue
-            own = {f.number: f for f in rm.fields}
-            for f in wm.fields:
-                g = own.get(f.number)
-                if g is not None and (classes[g.type] != classes[f.type] or _repeated(g) != _repeated(f)):
-                    out.append(f"{direction}: {name} field {f.number} is encoded in another way")
-            required = getattr(D, "LABEL_REQUIRED", 2)
-            for g in rm.fields:
-                need = g.is_required if hasattr(g, "is_required") else g.label == required
-                if need and g.number not in wm.fields_by_number:
-                    out.append(f"{direction}: {name}.{g.name} is required and was not written")
-    return out
+
+def _messages(reader: Any, writer: Any, at: str, done: set[tuple[str, str]]) -> Iterator[str]:
+    from google.protobuf.descriptor import FieldDescriptor
+
+    from .protobuf import _repeated
+
+    if (reader.full_name, writer.full_name) in done:
+        return
+    done.add((reader.full_name, writer.full_name))
+    family = {getattr(FieldDescriptor, f"TYPE_{t}"): names[0] for names in _WIRE for t in names}
+    for number, field in reader.fields_by_number.items():
+        place = f"{at}.{field.name}"
+        written = writer.fields_by_number.get(number)
+        if written is None:
+            if field.is_required if hasattr(field, "is_required") else field.label == FieldDescriptor.LABEL_REQUIRED:
+                yield f"{place} must be there, and no writer sets number {number}"
+        elif family[field.type] != family[written.type]:
+            yield f"{place} (number {number}) is written as {family[written.type].lower()} and read as {family[field.type].lower()}"
+        elif _repeated(field) != _repeated(written):
+            yield f"{place} (number {number}) is {'one value' if _repeated(field) else 'many values'} at the writer"
+        elif field.message_type is not None:
+            yield from _messages(field.message_type, written.message_type, place, done)
+    for nested in writer.nested_types:
+        if nested.name in reader.nested_types_by_name:
+            yield from _messages(reader.nested_types_by_name[nested.name], nested, f"{at}.{nested.name}", done)
+        elif not nested.GetOptions().map_entry:
+            yield f"{at}.{nested.name} is not known to the reader"

@@ -279,79 +279,176 @@ class ProtobufCodec(Codec):
 
 
 _NAMES = {v: k.removeprefix("TYPE_").lower() for k, v in vars(FieldDescriptor).items() if k.startswith("TYPE_")}
+#: Options that a printed schema keeps, by where they stand.
+_OPTIONS = {
+    "file": ("java_package", "java_outer_classname", "java_multiple_files", "optimize_for", "go_package", "cc_enable_arenas", "objc_class_prefix", "csharp_namespace", "swift_prefix", "php_namespace", "ruby_package", "deprecated"),
+    "message": ("message_set_wire_format", "no_standard_descriptor_accessor", "deprecated"),
+    "enum": ("allow_alias", "deprecated"), "value": ("deprecated",), "field": ("ctype", "packed", "jstype", "lazy", "deprecated"), "service": ("deprecated",), "method": ("deprecated", "idempotency_level"),
+}
 
 
-def print_schema(file: Any) -> str:
-    """A file descriptor as .proto text: syntax, package, imports, messages with oneofs, maps and reserved ranges, enums."""
-    proto = descriptor_pb2.FileDescriptorProto()
-    file.CopyToProto(proto)
-    proto3 = proto.syntax == "proto3"
-    out = [f'syntax = "{proto.syntax or "proto2"}";']
-    if proto.package:
-        out.append(f"package {proto.package};")
-    public = set(proto.public_dependency)
-    out += [f'import {"public " if i in public else ""}"{d}";' for i, d in enumerate(proto.dependency)]
-
-    def field(f: Any, pad: str, maps: dict[str, Any], in_oneof: bool) -> str:
-        kind = f.type_name if f.type_name else _NAMES[f.type]
-        label = {1: "optional ", 2: "required ", 3: "repeated "}[f.label]
-        if f.type_name in maps and f.label == 3:
-            entry = maps[f.type_name]
-            k, v = entry.field
-            kind, label = f"map<{_NAMES[k.type]}, {v.type_name or _NAMES[v.type]}>", ""
-        elif in_oneof or proto3 and f.label == 1 and not f.proto3_optional:
-            label = ""
-        options = []
+def _quoted(text: str, escaped: bool = False) -> str:
+    """Text as a quoted literal; ``escaped`` if it holds escapes already, as defaults of bytes do."""
+    if not escaped:
+        text = text.replace("\\", "\\\\").replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
+        text = text.replace('"', '\\"')
+    return f'"{text}"'
+
+
+def _options(options: Any, place: str) -> list[str]:
+    """``name = value`` of the options that are set."""
+    out = []
+    for name in _OPTIONS[place]:
+        if not options.HasField(name):
+            continue
+        field, value = options.DESCRIPTOR.fields_by_name[name], getattr(options, name)
+        if field.enum_type is not None:
+            value = field.enum_type.values_by_number[value].name
+        elif isinstance(value, bool):
+            value = str(value).lower()
+        elif isinstance(value, str):
+            value = _quoted(value)
+        out.append(f"{name} = {value}")
+    return out
+
+
+class _Printer:
+    """Lines of a .proto file."""
+
+    def __init__(self, proto3: bool):
+        self.proto3, self.lines, self.depth = proto3, [], 0
+
+    def say(self, text: str) -> None:
+        self.lines.append("  " * self.depth + text)
+
+    def open(self, text: str) -> None:
+        self.say(text + " {")
+        self.depth += 1
+
+    def close(self) -> None:
+        self.depth -= 1
+        self.say("}")
+
+    def options(self, options: Any, place: str) -> None:
+        for o in _options(options, place):
+            self.say(f"option {o};")
+
+    def reserved(self, ranges: list[tuple[int, int]], names: Any, most: int) -> None:
+        """Ranges with both ends in them."""
+        if ranges:
+            self.say(f"reserved {self.ranges(ranges, most)};")
+        if names:
+            self.say("reserved " + ", ".join(map(_quoted, names)) + ";")
+
+    @staticmethod
+    def ranges(ranges: list[tuple[int, int]], most: int) -> str:
+        return ", ".join(str(a) if a == b else f"{a} to {'max' if b >= most else b}" for a, b in ranges)
+
+    def enum(self, e: Any) -> None:
+        self.open(f"enum {e.name}")
+        self.options(e.options, "enum")
+        self.reserved([(r.start, r.end) for r in e.reserved_range], e.reserved_name, 2**31 - 1)
+        for v in e.value:
+            own = _options(v.options, "value")
+            self.say(f"{v.name} = {v.number}{' [' + ', '.join(own) + ']' if own else ''};")
+        self.close()
+
+    def field(self, f: Any, inner: dict[str, Any], plain: bool = False) -> None:
+        """A field; ``inner``: the nested messages of its message by full name, for maps and groups. ``plain``: in a oneof."""
+        nested = inner.get(f.type_name)
+        label = {1: "" if self.proto3 and not f.proto3_optional else "optional ", 2: "required ", 3: "repeated "}[f.label]
+        kind = f.type_name or _NAMES[f.type]
+        if nested is not None and nested.options.map_entry:
+            label, kind = "", "map<{}, {}>".format(*(x.type_name or _NAMES[x.type] for x in nested.field))
+        own = _options(f.options, "field")
         if f.HasField("default_value"):
-            quoted = f.type in (FieldDescriptor.TYPE_STRING, FieldDescriptor.TYPE_BYTES)
-            options.append(f'default = "{f.default_value}"' if quoted else f"default = {f.default_value}")
-        if f.options.HasField("packed"):
-            options.append(f"packed = {str(f.options.packed).lower()}")
-        if f.options.deprecated:
-            options.append("deprecated = true")
-        return f"{pad}{label}{kind} {f.name} = {f.number}{' [' + ', '.join(options) + ']' if options else ''};"
-
-    def ranges(rs: list[tuple[int, int]]) -> str:
-        return ", ".join(str(a) if a == b else f"{a} to {'max' if b >= 536870911 else b}" for a, b in rs)
-
-    def enum(e: Any, pad: str) -> None:
-        out.append(f"{pad}enum {e.name} {{")
-        if e.options.allow_alias:
-            out.append(f"{pad}  option allow_alias = true;")
-        out.extend(f"{pad}  {v.name} = {v.number};" for v in e.value)
-        out.append(pad + "}")
-
-    def message(m: Any, pad: str, full: str) -> None:
-        out.append(f"{pad}message {m.name} {{")
-        inner = pad + "  "
-        if m.reserved_range:
-            out.append(f"{inner}reserved {ranges([(r.start, r.end - 1) for r in m.reserved_range])};")
-        if m.reserved_name:
-            out.append(inner + "reserved " + ", ".join(f'"{n}"' for n in m.reserved_name) + ";")
-        maps = {f"{full}.{n.name}": n for n in m.nested_type if n.options.map_entry}
+            text = f.type in (FieldDescriptor.TYPE_STRING, FieldDescriptor.TYPE_BYTES)
+            own.insert(0, "default = " + (_quoted(f.default_value, f.type == FieldDescriptor.TYPE_BYTES) if text else f.default_value))
+        tail = f" = {f.number}{' [' + ', '.join(own) + ']' if own else ''}"
+        label = "" if plain else label
+        if f.type == FieldDescriptor.TYPE_GROUP and nested is not None:
+            self.open(f"{label}group {nested.name}{tail}")
+            self.body(nested, f.type_name)
+            self.close()
+        else:
+            self.say(f"{label}{kind} {f.name}{tail};")
+
+    def extensions(self, fields: Any, inner: dict[str, Any]) -> None:
+        for target in dict.fromkeys(f.extendee for f in fields):
+            self.open(f"extend {target}")
+            for f in fields:
+                if f.extendee == target:
+                    self.field(f, inner)
+            self.close()
+
+    def message(self, m: Any, full: str) -> None:
+        self.open(f"message {m.name}")
+        self.body(m, full)
+        self.close()
+
+    def body(self, m: Any, full: str) -> None:
+        self.options(m.options, "message")
+        self.reserved([(r.start, r.end - 1) for r in m.reserved_range], m.reserved_name, 2**29 - 1)
+        if m.extension_range:
+            self.say(f"extensions {self.ranges([(r.start, r.end - 1) for r in m.extension_range], 2**29 - 1)};")
+        inner = {f"{full}.{n.name}": n for n in m.nested_type}
+        groups = {f.type_name for f in (*m.field, *m.extension) if f.type == FieldDescriptor.TYPE_GROUP}
         for e in m.enum_type:
-            enum(e, inner)
-        for n in m.nested_type:
-            if not n.options.map_entry:
-                message(n, inner, f"{full}.{n.name}")
-        real = {i for i in range(len(m.oneof_decl)) if not any(f.proto3_optional and f.HasField("oneof_index") and f.oneof_index == i for f in m.field)}
-        begun = set()
+            self.enum(e)
+        for name, n in inner.items():
+            if not n.options.map_entry and name not in groups:
+                self.message(n, name)
+        # A lone member that stands for "optional" makes a oneof that isn't written.
+        members: dict[int, list[Any]] = {}
+        for f in m.field:
+            if f.HasField("oneof_index") and not f.proto3_optional:
+                members.setdefault(f.oneof_index, []).append(f)
         for f in m.field:
-            if f.HasField("oneof_index") and f.oneof_index in real:
-                if f.oneof_index not in begun:
-                    begun.add(f.oneof_index)
-                    out.append(f"{inner}oneof {m.oneof_decl[f.oneof_index].name} {{")
-                    out.extend(field(g, inner + "  ", maps, True) for g in m.field if g.HasField("oneof_index") and g.oneof_index == f.oneof_index)
-                    out.append(inner + "}")
+            own = members.get(f.oneof_index) if f.HasField("oneof_index") else None
+            if not own:
+                self.field(f, inner)
+            elif own[0] is f or own[0].number == f.number:
+                self.open(f"oneof {m.oneof_decl[f.oneof_index].name}")
+                for g in own:
+                    self.field(g, inner, plain=True)
+                self.close()
+        self.extensions(m.extension, inner)
+
+    def service(self, s: Any) -> None:
+        self.open(f"service {s.name}")
+        self.options(s.options, "service")
+        for r in s.method:
+            sides = [("stream " if streams else "") + name for streams, name in ((r.client_streaming, r.input_type), (r.server_streaming, r.output_type))]
+            head, own = f"rpc {r.name} ({sides[0]}) returns ({sides[1]})", _options(r.options, "method")
+            if own:
+                self.open(head)
+                self.options(r.options, "method")
+                self.close()
             else:
-                out.append(field(f, inner, maps, False))
-        if m.extension_range:
-            out.append(f"{inner}extensions {ranges([(r.start, r.end - 1) for r in m.extension_range])};")
-        out.append(pad + "}")
+                self.say(head + ";")
+        self.close()
 
-    space = f".{proto.package}" if proto.package else ""
+
+def print_schema(file: Any) -> str:
+    """A file descriptor as .proto text: syntax, package, imports, options, enums, messages, extensions, services.
+
+    Options of Protobuf itself are kept; custom ones are not.
+    """
+    proto = descriptor_pb2.FileDescriptorProto()
+    file.CopyToProto(proto)
+    out = _Printer(proto.syntax == "proto3")
+    out.say(f"syntax = {_quoted(proto.syntax or 'proto2')};")
+    if proto.package:
+        out.say(f"package {proto.package};")
+    for i, name in enumerate(proto.dependency):
+        out.say(f"import {'public ' if i in proto.public_dependency else 'weak ' if i in proto.weak_dependency else ''}{_quoted(name)};")
+    out.options(proto.options, "file")
     for e in proto.enum_type:
-        enum(e, "")
+        out.enum(e)
+    space = f".{proto.package}" if proto.package else ""
     for m in proto.message_type:
-        message(m, "", f"{space}.{m.name}")
-    return "\n".join(out) + "\n"
+        out.message(m, f"{space}.{m.name}")
+    out.extensions(proto.extension, {})
+    for s in proto.service:
+        out.service(s)
+    return "\n".join(out.lines) + "\n"
