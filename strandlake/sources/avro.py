@@ -6,7 +6,6 @@ The binary work runs over Arrow batches in Python, for no Avro reader is built i
 from __future__ import annotations
 
 import datetime as dt
-import io
 import json
 import struct
 import uuid
@@ -204,131 +203,226 @@ def to_struct(schema: str | dict) -> T.StructType:
     return t if isinstance(t, T.StructType) and _kind(parsed) == "record" else T.StructType([T.StructField("value", t, n, m)])
 
 
-class _Reader:
-    """Values of the writer's schema, resolved to the reader's."""
+def _long(b: bytes, at: int) -> tuple[int, int]:
+    """The zig-zag varint at ``at`` and the place after it."""
+    u = shift = 0
+    while at < len(b):
+        c = b[at]
+        at += 1
+        u |= (c & 0x7F) << shift
+        if c < 0x80:
+            return (u >> 1) ^ -(u & 1), at
+        shift += 7
+        if shift > 63:
+            raise LakeError("Avro number is too long")
+    raise LakeError("Avro value is cut off")
 
-    def __init__(self, writer: Any, reader: Any):
-        self.writer_names, self.reader_names = named(writer), named(reader)
-        self.writer, self.reader = writer, reader
+
+def _bytes(b: bytes, at: int, n: int) -> tuple[bytes, int]:
+    if n < 0 or at + n > len(b):
+        raise LakeError("Avro value is cut off")
+    return b[at : at + n], at + n
+
+
+def fits(w: Any, r: Any, strict: bool) -> bool:
+    """Whether a value written as ``w`` may be read as ``r``; ``strict``: without promotion, by full name."""
+    a, b = _kind(w), _kind(r)
+    if a == b:
+        if a in ("record", "enum", "fixed"):
+            same = w["name"] == r["name"] or w["name"] in r.get("aliases", []) or (not strict and w["name"].rpartition(".")[2] == r["name"].rpartition(".")[2])
+            return same and (a != "fixed" or w["size"] == r["size"])
+        return True
+    return not strict and (a, b) in {("int", "long"), ("int", "float"), ("int", "double"), ("long", "float"), ("long", "double"), ("float", "double"), ("string", "bytes"), ("bytes", "string")}
+
+
+#: Reads a value: from bytes and a place in them to the value and the place after it.
+Read = Callable[[bytes, int], tuple[Any, int]]
+
+
+class _Compiled:
+    """Functions made once for each part of a schema; a part that holds itself is reached through its cell."""
+
+    def __init__(self) -> None:
+        self.made: dict[tuple, list[Callable]] = {}
+
+    def once(self, key: tuple, make: Callable[[], Callable]) -> Callable:
+        cell = self.made.get(key)
+        if cell is None:
+            cell = self.made[key] = []
+            cell.append(make())
+        return cell[0] if cell else lambda *a: cell[0](*a)
+
+
+class _Reader(_Compiled):
+    """Values of the writer's schema, resolved to the reader's. The schemas are interpreted once, not for each value."""
+
+    def __init__(self, writer: Any, reader: Any, names: dict[str, dict] | None = None):
+        super().__init__()
+        self.writer_names = named(writer) if names is None else names
+        self.reader_names = named(reader) if names is None else names
+        self.skipping = self if names is not None else _Reader("null", "null", self.writer_names)
+        self.read = self.of(writer, reader)
 
     def __call__(self, data: bytes) -> Any:
-        self.b = io.BytesIO(data)
-        value = self.read(self.writer, self.reader)
-        if self.b.read(1):
+        value, at = self.read(data, 0)
+        if at != len(data):
             raise LakeError("bytes left over after the Avro value")
         return value
 
-    def take(self, n: int) -> bytes:
-        out = self.b.read(n) if n >= 0 else b""
-        if len(out) != n:
-            raise LakeError("Avro value is cut off")
-        return out
-
-    def long(self) -> int:
-        u = shift = 0
-        while True:
-            c = self.take(1)[0]
-            u |= (c & 0x7F) << shift
-            if not c & 0x80:
-                return (u >> 1) ^ -(u & 1)
-            shift += 7
-            if shift > 63:
-                raise LakeError("Avro number is too long")
-
-    def read(self, w: Any, r: Any) -> Any:
+    def of(self, w: Any, r: Any) -> Read:
         w = self.writer_names.get(w, w) if isinstance(w, str) else w
         r = self.reader_names.get(r, r) if isinstance(r, str) else r
+        return self.once((id(w), id(r)), lambda: self.make(w, r))
+
+    def make(self, w: Any, r: Any) -> Read:
+        def fail(message: str) -> Read:
+            def read(b: bytes, at: int) -> tuple[Any, int]:
+                raise LakeError(message)
+
+            return read
+
         if isinstance(w, list):
-            i = self.long()
-            if not 0 <= i < len(w):
-                raise LakeError(f"union branch {i} does not exist")
-            return self.read(w[i], r)
+            branches = [self.of(x, r) for x in w]
+
+            def union(b: bytes, at: int) -> tuple[Any, int]:
+                i, at = _long(b, at)
+                if not 0 <= i < len(branches):
+                    raise LakeError(f"union branch {i} does not exist")
+                return branches[i](b, at)
+
+            return union
         if isinstance(r, list):
+            several = len([x for x in r if x != "null"]) > 1
             for strict in (True, False):
                 for branch in r:
                     full = self.reader_names.get(branch, branch) if isinstance(branch, str) else branch
-                    if self.fits(w, full, strict):
-                        value = self.read(w, branch)
-                        several = len([x for x in r if x != "null"]) > 1
-                        return (_branch(full), value) if several and full != "null" else value
-            raise LakeError(f"no branch for a written {_branch(w)}")
-        if not self.fits(w, r, False):
-            raise LakeError(f"written {_branch(w)} can't be read as {_branch(r)}")
+                    if fits(w, full, strict):
+                        inner, name = self.of(w, branch), _branch(full)
+                        if not several or full == "null":
+                            return inner
+
+                        def marked(b: bytes, at: int) -> tuple[Any, int]:
+                            value, at = inner(b, at)
+                            return (name, value), at
+
+                        return marked
+            return fail(f"no branch for a written {_branch(w)}")
+        if not fits(w, r, False):
+            return fail(f"written {_branch(w)} can't be read as {_branch(r)}")
         return self.same(w, r)
 
-    def fits(self, w: Any, r: Any, strict: bool) -> bool:
-        a, b = _kind(w), _kind(r)
-        if a == b:
-            if a in ("record", "enum", "fixed"):
-                same = w["name"] == r["name"] or w["name"] in r.get("aliases", []) or (not strict and w["name"].rpartition(".")[2] == r["name"].rpartition(".")[2])
-                return same and (a != "fixed" or w["size"] == r["size"])
-            return True
-        return not strict and (a, b) in {("int", "long"), ("int", "float"), ("int", "double"), ("long", "float"), ("long", "double"), ("float", "double"), ("string", "bytes"), ("bytes", "string")}
-
-    def same(self, w: Any, r: Any) -> Any:
-        kind = _kind(w)
+    def same(self, w: Any, r: Any) -> Read:
+        kind, wide, meaning = _kind(w), _kind(r), _logical(r) is not None
         if kind == "null":
-            return None
+            return lambda b, at: (None, at)
         if kind == "boolean":
-            return bool(self.take(1)[0])
+            def boolean(b: bytes, at: int) -> tuple[Any, int]:
+                data, at = _bytes(b, at, 1)
+                return data != b"\x00", at
+
+            return boolean
         if kind in ("int", "long"):
-            n = self.long()
-            return float(n) if _kind(r) in ("float", "double") else from_logical(n, r)
-        if kind == "float":
-            return struct.unpack("<f", self.take(4))[0]
-        if kind == "double":
-            return struct.unpack("<d", self.take(8))[0]
+            if wide in ("float", "double"):
+                def real(b: bytes, at: int) -> tuple[Any, int]:
+                    n, at = _long(b, at)
+                    return float(n), at
+
+                return real
+            if not meaning:
+                return _long
+
+            def number(b: bytes, at: int) -> tuple[Any, int]:
+                n, at = _long(b, at)
+                return from_logical(n, r), at
+
+            return number
+        if kind in ("float", "double"):
+            form = struct.Struct("<f" if kind == "float" else "<d")
+
+            def floating(b: bytes, at: int) -> tuple[Any, int]:
+                data, at = _bytes(b, at, form.size)
+                return form.unpack(data)[0], at
+
+            return floating
         if kind in ("bytes", "string"):
-            data = self.take(self.long())
-            return data.decode("utf-8") if _kind(r) == "string" else from_logical(data, r)
+            text = wide == "string"
+
+            def data(b: bytes, at: int) -> tuple[Any, int]:
+                n, at = _long(b, at)
+                got, at = _bytes(b, at, n)
+                return got.decode("utf-8") if text else from_logical(got, r) if meaning else got, at
+
+            return data
         if kind == "fixed":
-            return from_logical(self.take(w["size"]), r)
+            def fixed(b: bytes, at: int) -> tuple[Any, int]:
+                got, at = _bytes(b, at, w["size"])
+                return from_logical(got, r), at
+
+            return fixed
         if kind == "enum":
-            i = self.long()
-            symbol = w["symbols"][i] if 0 <= i < len(w["symbols"]) else None
-            if symbol not in r["symbols"]:
-                if "default" in r:
-                    return r["default"]
-                raise LakeError(f"symbol {symbol} is unknown")
-            return symbol
+            known = {i: x for i, x in enumerate(w["symbols"]) if x in r["symbols"]}
+
+            def enum(b: bytes, at: int) -> tuple[Any, int]:
+                i, at = _long(b, at)
+                if i not in known:
+                    if "default" in r:
+                        return r["default"], at
+                    raise LakeError(f"symbol {w['symbols'][i] if 0 <= i < len(w['symbols']) else i} is unknown")
+                return known[i], at
+
+            return enum
         if kind in ("array", "map"):
-            out: Any = [] if kind == "array" else {}
-            while n := self.long():
-                if n < 0:
-                    n = -n
-                    self.long()
-                for _ in range(n):
-                    if kind == "array":
-                        out.append(self.read(w["items"], r["items"]))
-                    else:
-                        key = self.take(self.long()).decode("utf-8")
-                        out[key] = self.read(w["values"], r["values"])
-            return out
-        wanted = {}
+            inner = self.of(w["items"], r["items"]) if kind == "array" else self.of(w["values"], r["values"])
+
+            def several(b: bytes, at: int) -> tuple[Any, int]:
+                out: Any = [] if kind == "array" else {}
+                while True:
+                    n, at = _long(b, at)
+                    if n == 0:
+                        return out, at
+                    if n < 0:  # the block's size in bytes follows
+                        n = -n
+                        _, at = _long(b, at)
+                    for _ in range(n):
+                        if kind == "array":
+                            value, at = inner(b, at)
+                            out.append(value)
+                        else:
+                            size, at = _long(b, at)
+                            key, at = _bytes(b, at, size)
+                            out[key.decode("utf-8")], at = inner(b, at)
+
+            return several
+        return self.record(w, r)
+
+    def record(self, w: dict, r: dict) -> Read:
+        wanted: dict[str, dict] = {}
         for f in r["fields"]:
             wanted[f["name"]] = f
             for a in f.get("aliases", []):
                 wanted.setdefault(a, f)
-        out = {}
+        steps: list[tuple[str | None, Read]] = []
         for f in w["fields"]:
             target = wanted.get(f["name"])
-            if target is None:
-                self.skip(f["type"])
-            else:
-                out[target["name"]] = self.read(f["type"], target["type"])
-        for f in r["fields"]:
-            if f["name"] not in out:
-                if "default" not in f:
-                    raise LakeError(f"field {f['name']} was not written and has no default")
+            steps.append((None, self.skipping.of(f["type"], f["type"])) if target is None else (target["name"], self.of(f["type"], target["type"])))
+        filled = {name for name, _ in steps}
+        absent = [f for f in r["fields"] if f["name"] not in filled]
+        lost = next((f["name"] for f in absent if "default" not in f), None)
+        order = [f["name"] for f in r["fields"]]
+
+        def record(b: bytes, at: int) -> tuple[Any, int]:
+            out = dict.fromkeys(order)
+            for name, read in steps:
+                value, at = read(b, at)
+                if name is not None:
+                    out[name] = value
+            if lost is not None:
+                raise LakeError(f"field {lost} was not written and has no default")
+            for f in absent:
                 out[f["name"]] = default_value(f["default"], f["type"], self.reader_names)
-        return {f["name"]: out[f["name"]] for f in r["fields"]}
+            return out, at
 
-    def skip(self, s: Any) -> None:
-        keep, self.reader_names = self.reader_names, self.writer_names
-        try:
-            self.read(s, s)
-        finally:
-            self.reader_names = keep
+        return record
 
 
 def from_logical(raw: Any, s: Any) -> Any:
@@ -397,58 +491,109 @@ def encode_long(n: int) -> bytes:
     return framing.zigzag(n)
 
 
-def encode(value: Any, s: Any, names: dict[str, dict]) -> bytes:
-    """The binary form of a value; null where the schema has none is an error."""
-    s = names.get(s, s) if isinstance(s, str) else s
-    kind = _kind(s)
-    if kind == "union":
+class _Writer(_Compiled):
+    """The binary form of values of a schema, which is interpreted once; null where the schema has none is an error."""
+
+    def __init__(self, schema: Any):
+        super().__init__()
+        self.names = named(schema)
+        self.write = self.of(schema)
+
+    def __call__(self, value: Any) -> bytes:
+        return self.write(value)
+
+    def of(self, s: Any) -> Callable[[Any], bytes]:
+        s = self.names.get(s, s) if isinstance(s, str) else s
+        return self.once((id(s),), lambda: self.make(s))
+
+    def make(self, s: Any) -> Callable[[Any], bytes]:
+        kind = _kind(s)
+        if kind == "union":
+            return self.union(s)
+        if kind == "null":
+            return lambda value: b""
+        inner, logical, name = self.plain(s, kind), _logical(s) is not None, _branch(s)
+
+        def write(value: Any) -> bytes:
+            if value is None:
+                raise LakeError(f"null for a required {name}")
+            return inner(to_logical(value, s) if logical or isinstance(value, (dt.date, dt.time)) else value)
+
+        return write
+
+    def union(self, s: list) -> Callable[[Any], bytes]:
         rest = [x for x in s if x != "null"]
-        if value is None:
-            if "null" not in s:
-                raise LakeError("null for a union without null")
-            return encode_long(s.index("null"))
-        if len(rest) > 1:
-            name, value = value if isinstance(value, tuple) else next(((k, v) for k, v in value.items() if v is not None), (None, None))
-            if name is None:
-                return encode(None, s, names)
-            for i, x in enumerate(s):
-                if x != "null" and _branch(names.get(x, x) if isinstance(x, str) else x) == name:
-                    return encode_long(i) + encode(value, x, names)
-            raise LakeError(f"no union branch {name}")
-        return encode_long(s.index(rest[0])) + encode(value, rest[0], names)
-    if kind == "null":
-        return b""
-    if value is None:
-        raise LakeError(f"null for a required {_branch(s)}")
-    value = to_logical(value, s)
-    if kind == "boolean":
-        return b"\x01" if value else b"\x00"
-    if kind in ("int", "long"):
-        bits = 31 if kind == "int" else 63
-        if not -(1 << bits) <= value < 1 << bits:
-            raise LakeError(f"{value} does not fit {kind}")
-        return encode_long(int(value))
-    if kind == "float":
-        return struct.pack("<f", value)
-    if kind == "double":
-        return struct.pack("<d", value)
-    if kind in ("bytes", "string"):
-        data = value.encode("utf-8") if isinstance(value, str) else bytes(value)
-        return encode_long(len(data)) + data
-    if kind == "fixed":
-        if len(value) != s["size"]:
-            raise LakeError(f"{len(value)} bytes for fixed {s['name']} of {s['size']}")
-        return bytes(value)
-    if kind == "enum":
-        if value not in s["symbols"]:
-            raise LakeError(f"symbol {value} is unknown")
-        return encode_long(s["symbols"].index(value))
-    if kind == "array":
-        return (encode_long(len(value)) + b"".join(encode(v, s["items"], names) for v in value) if value else b"") + b"\x00"
-    if kind == "map":
-        items = list(value.items()) if isinstance(value, dict) else list(value)
-        return (encode_long(len(items)) + b"".join(encode(k, "string", names) + encode(v, s["values"], names) for k, v in items) if items else b"") + b"\x00"
-    return b"".join(encode(value.get(f["name"]), f["type"], names) for f in s["fields"])
+        null = encode_long(s.index("null")) if "null" in s else None
+        places = {_branch(self.names.get(x, x) if isinstance(x, str) else x): (encode_long(i), self.of(x)) for i, x in enumerate(s) if x != "null"}
+        only = next(iter(places.values())) if len(rest) == 1 else None
+
+        def write(value: Any) -> bytes:
+            if value is not None and not only:
+                name, value = value if isinstance(value, tuple) else next(((k, v) for k, v in value.items() if v is not None), (None, None))
+                if name is not None and name not in places:
+                    raise LakeError(f"no union branch {name}")
+                value = None if name is None else (places[name], value)
+            elif value is not None:
+                value = (only, value)
+            if value is None:
+                if null is None:
+                    raise LakeError("null for a union without null")
+                return null
+            (head, inner), own = value
+            return head + inner(own)
+
+        return write
+
+    def plain(self, s: Any, kind: str) -> Callable[[Any], bytes]:
+        if kind == "boolean":
+            return lambda value: b"\x01" if value else b"\x00"
+        if kind in ("int", "long"):
+            most = 1 << (31 if kind == "int" else 63)
+
+            def whole(value: Any) -> bytes:
+                if not -most <= value < most:
+                    raise LakeError(f"{value} does not fit {kind}")
+                return encode_long(int(value))
+
+            return whole
+        if kind in ("float", "double"):
+            return struct.Struct("<f" if kind == "float" else "<d").pack
+        if kind in ("bytes", "string"):
+            def data(value: Any) -> bytes:
+                value = value.encode("utf-8") if isinstance(value, str) else bytes(value)
+                return encode_long(len(value)) + value
+
+            return data
+        if kind == "fixed":
+            def fixed(value: Any) -> bytes:
+                if len(value) != s["size"]:
+                    raise LakeError(f"{len(value)} bytes for fixed {s['name']} of {s['size']}")
+                return bytes(value)
+
+            return fixed
+        if kind == "enum":
+            symbols = {x: encode_long(i) for i, x in enumerate(s["symbols"])}
+
+            def enum(value: Any) -> bytes:
+                if value not in symbols:
+                    raise LakeError(f"symbol {value} is unknown")
+                return symbols[value]
+
+            return enum
+        if kind in ("array", "map"):
+            inner, key = self.of(s["items"] if kind == "array" else s["values"]), self.of("string")
+
+            def several(value: Any) -> bytes:
+                if not value:
+                    return b"\x00"
+                if kind == "array":
+                    return encode_long(len(value)) + b"".join([inner(v) for v in value]) + b"\x00"
+                items = list(value.items()) if isinstance(value, dict) else list(value)
+                return encode_long(len(items)) + b"".join([key(k) + inner(v) for k, v in items]) + b"\x00"
+
+            return several
+        fields = [(f["name"], self.of(f["type"])) for f in s["fields"]]
+        return lambda value: b"".join([write(value.get(name)) for name, write in fields])
 
 
 def _jsonable(v: Any) -> Any:
@@ -489,6 +634,18 @@ def to_columns(value: Any, s: Any, names: dict, open_: tuple[str, ...] = ()) ->
     return value
 
 
+def _as_is(s: Any, names: dict) -> bool:
+    """Whether a column holds decoded values just so."""
+    s = names.get(s, s) if isinstance(s, str) else s
+    kind = _kind(s)
+    if kind == "union":
+        rest = [x for x in s if x != "null"]
+        return len(rest) == 1 and _as_is(rest[0], names)
+    if kind == "array":
+        return _as_is(s["items"], names)
+    return kind not in ("map", "record") and not (_logical(s) == "decimal" and s["precision"] > 38)
+
+
 def from_columns(value: Any, s: Any, names: dict, open_: tuple[str, ...] = ()) -> Any:
     """The other way round."""
     s = names.get(s, s) if isinstance(s, str) else s
@@ -564,12 +721,13 @@ class AvroCodec(Codec):
         out = T.StructType([*[T.StructField(f.name, _loose(f.dataType), True) for f in fields], *[f for f in rows.schema.fields if f.name in RESERVED]])
         arrow = to_arrow_schema(out)
         names = named(reader)
+        as_is = {f["name"]: _as_is(f["type"], names) for f in reader["fields"]}
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             readers: dict[int, _Reader] = {}
             for batch in batches:
                 values = []
-                for data in batch.column("__value").to_pylist():
+                for data in batch.column("__value").to_pylist():  # each an own record, parsed by functions made once
                     if data is None:
                         raise LakeError("an Avro record has no value")
                     if len(data) < 5 or data[0]:
@@ -577,8 +735,13 @@ class AvroCodec(Codec):
                     i = int.from_bytes(data[1:5], "big")
                     if i not in readers:
                         readers[i] = _Reader(writers[i] if writers is not None else reader, reader)
-                    values.append(to_columns(readers[i](data[5:]), reader, names))
-                columns = [pa.array([v[f["name"]] for v in values], arrow.field(k).type) for k, f in enumerate(reader["fields"])]
+                    values.append(readers[i](data[5:]))
+                columns = []
+                for k, f in enumerate(reader["fields"]):
+                    column = [v[f["name"]] for v in values]
+                    if not as_is[f["name"]]:
+                        column = [to_columns(v, f["type"], names, (reader["name"],)) for v in column]
+                    columns.append(pa.array(column, arrow.field(k).type))
                 yield pa.RecordBatch.from_arrays([*columns, *[batch.column(f.name) for f in out.fields[len(columns) :]]], schema=arrow)
 
         decoded = rows.mapInArrow(task, out)
@@ -601,12 +764,15 @@ class AvroCodec(Codec):
         out = T.StructType([T.StructField("__value", T.BinaryType()), *[df.schema[c] for c in kept]])
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            write = _Writer(schema)
+            fields = [(f["name"], write.of(f["type"]), None if _as_is(f["type"], names) else f["type"]) for f in schema["fields"]]
             for batch in batches:
                 columns = {n: batch.column(c).to_pylist() for c, n in zip(own, original)}
-                values = []
-                for i in range(batch.num_rows):
-                    row = {f["name"]: columns[f["name"]][i] for f in schema["fields"]}
-                    values.append(head + encode(from_columns(row, schema, names), schema, names))
+                parts = []
+                for name, encode, kind in fields:
+                    column = columns[name] if kind is None else [from_columns(v, kind, names, (schema["name"],)) for v in columns[name]]
+                    parts.append(map(encode, column))
+                values = [head + b"".join(x) for x in zip(*parts)] if parts else [head] * batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), *[batch.column(c) for c in kept]], ["__value", *kept])
 
         return to_raw(df.select(*own, *kept).mapInArrow(task, out))
@@ -631,6 +797,4 @@ def decode_value(data: bytes, reader: str | dict, writer: str | dict | None = No
 
 def encode_value(value: Any, schema: str | dict) -> bytes:
     """One unframed value."""
-    parsed = parse(schema)
-    return encode(value, parsed, named(parsed))
-
+    return _Writer(parse(schema))(value)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,10 @@ from ..records import ESCAPE, HEADERS, KEY, OFFSET, ORIGINAL, PARTITION, RESERVE
 
 #: Largest Arrow record by default, and largest inflated gzip record (fixed values).
 BLOB_BYTES, GZIP_BYTES = 900 * 1024, 16 * 1024 * 1024
+#: Bytes of decoded rows after which a batch of them goes on.
+DECODED_BYTES = 16 * 1024 * 1024
+#: What ends an Arrow IPC stream (fixed value of the format).
+IPC_END = b"\xff\xff\xff\xff\x00\x00\x00\x00"
 
 
 class Codec:
@@ -96,20 +101,32 @@ class BlobCodec(Codec):
         wanted = [f.name for f in schema.fields]
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def made(batch: pa.RecordBatch, parts: list[pa.RecordBatch], first: int) -> pa.RecordBatch:
+                """The rows of records from number ``first`` on, as one batch."""
+                columns = [pa.concat_arrays([p.column(k).cast(arrow.field(k).type) for p in parts]) for k in range(len(fields))]
+                at = pa.array(np.repeat(np.arange(first, first + len(parts)), [p.num_rows for p in parts]))
+                columns += [batch.column(f.name).take(at) for f in envelope]
+                return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
             for batch in batches:
-                for i in range(batch.num_rows):
+                parts: list[pa.RecordBatch] = []
+                size = 0
+                for i, value in enumerate(batch.column("__value")):
                     try:
-                        part = ipc_batch(batch.column("__value")[i].as_py())
+                        part = ipc_batch(value.as_buffer() if value.is_valid else None)
                     except LakeError as e:
                         raise LakeError(f"record {i} of the batch: {e}") from e
                     if part is None:
                         raise LakeError(f"record {i} of the batch has no value")
                     if part.schema.names != wanted:
                         raise LakeError(f"record {i} of the batch has another schema: {part.schema.names}")
-                    n = part.num_rows
-                    columns = [c.cast(arrow.field(k).type) for k, c in enumerate(part.columns)]
-                    columns += [pa.array([batch.column(f.name)[i].as_py()] * n, arrow.field(len(fields) + k).type) for k, f in enumerate(envelope)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                    parts.append(part)
+                    size += part.nbytes
+                    if size > DECODED_BYTES:
+                        yield made(batch, parts, i + 1 - len(parts))
+                        parts, size = [], 0
+                if parts:
+                    yield made(batch, parts, batch.num_rows - len(parts))
 
         decoded = rows.mapInArrow(task, out)
         for f in fields:
@@ -135,21 +152,26 @@ class BlobCodec(Codec):
         head = ["__k", "__t", "__p", "__o", "__h"]
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            run: list[pa.Table] = []  # rows of the run that are not sent yet
+            run: list[pa.RecordBatch] = []  # rows of the run that are not sent yet
             envelope: tuple | None = None
+            head_bytes = arrow.serialize().to_pybytes()
+
+            def stream(body: pa.RecordBatch) -> bytes:
+                """What :func:`ipc_bytes` makes, the schema's message made once."""
+                return b"".join((head_bytes, body.serialize().to_pybytes(), IPC_END))
 
-            def records(body: pa.Table, last: bool) -> Iterator[tuple[bytes, int]]:
+            def records(body: pa.RecordBatch, last: bool) -> Iterator[tuple[bytes, int]]:
                 """Encoded prefixes with their row counts; the last one only if the run ends."""
                 at = 0
                 while at < len(body):
                     low = len(body) - at
-                    data = ipc_bytes(body.slice(at))
+                    data = stream(body.slice(at))
                     if len(data) > most:
                         low, high = 1, low - 1
                         while low < high:  # the most rows that fit
                             mid = (low + high + 1) // 2
-                            low, high = (mid, high) if len(ipc_bytes(body.slice(at, mid))) <= most else (low, mid - 1)
-                        data = ipc_bytes(body.slice(at, low))
+                            low, high = (mid, high) if len(stream(body.slice(at, mid))) <= most else (low, mid - 1)
+                        data = stream(body.slice(at, low))
                         if len(data) > most:
                             raise LakeError(f"one row takes {len(data)} bytes, more than {most}")
                     if at + low == len(body) and not last:
@@ -158,7 +180,7 @@ class BlobCodec(Codec):
                     at += low
 
             def send(last: bool) -> list[tuple]:
-                body = run[0] if len(run) == 1 else pa.concat_tables(run).combine_chunks()
+                body = run[0] if len(run) == 1 else pa.concat_batches(run)
                 done, out = 0, []
                 for data, n in records(body, last):
                     out.append((data, *envelope))
@@ -171,7 +193,7 @@ class BlobCodec(Codec):
                 return pa.RecordBatch.from_pydict({"key": pa.array(k, pa.binary()), "value": pa.array(value, pa.binary()), "timestamp": pa.array(t, pa.int64()), "partition": pa.array(p, pa.int32()), "offset": pa.array(o, pa.int64()), "headers": pa.array(h, pa.list_(pa.struct([("key", pa.string()), ("value", pa.binary())])))})
 
             for batch in batches:
-                body = pa.table([batch.column(n) for n in names], schema=arrow)
+                body = pa.RecordBatch.from_arrays([batch.column(n) for n in names], schema=arrow)
                 heads = list(zip(*(batch.column(c).to_pylist() for c in head)))
                 out, start = [], 0
                 for i, (k, t, p, o, h) in enumerate(heads):

@@ -46,7 +46,7 @@ def _avro(r: Any, w: Any, rn: dict, wn: dict, path: str, seen: set) -> list[str]
         if key in seen:
             return []
         seen.add(key)
-    if not A._Reader(w, r).fits(w, r, False):
+    if not A.fits(w, r, False):
         return [f"{path or '/'}: {A._branch(w)} can't be read as {A._branch(r)}"]
     if rk == "record":
         written, out = {f["name"]: f for f in w["fields"]}, []
