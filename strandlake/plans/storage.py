@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or where that is unset, as in tests in one process, ``/tmp/checkpoints``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """``spark.checkpoint.dir``. Only a master in one process, as in tests, may leave it unset (``/tmp/checkpoints``)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "/tmp/checkpoints"
+    return folder
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -142,15 +142,12 @@ class BuiltTopology:
         result is lazy except for state, which is written to the shared folder.
         """
         outputs: dict[str, list[DataFrame]] = {}
-        decoded: dict[str, list[tuple[DataFrame, DataFrame]]] = {}
-        for node in self.nodes:
-            if node.kind == "source":
-                decoded[node.name] = [(raw[t], None) for t in node.topics if t in raw]
+        given = {node.name: [(t, raw[t]) for t in node.topics if t in raw] for node in self.nodes if node.kind == "source"}
         frames: dict[str, list[DataFrame]] = {}
         for node in self.nodes:
             if node.kind == "source":
                 # Decoding is part of the lazy plan: a source that feeds pass-through sinks alone is never decoded.
-                frames[node.name] = [node.codec.decode(r) for r, _ in decoded[node.name]] if self._decodes(node) else []
+                frames[node.name] = [node.codec.for_topic(t).decode(r) for t, r in given[node.name]] if self._decodes(node) else []
             elif node.kind == "operator":
                 frames[node.name] = [self._run(node, [b]) for b in frames[node.parents[0].name]]
             elif node.kind == "join":
@@ -160,9 +157,9 @@ class BuiltTopology:
                 batches = [b for p in node.parents for b in frames[p.name]]
                 frames[node.name] = [R.merge(*batches)] if len(batches) > 1 else batches
             elif node.codec is None:
-                outputs.setdefault(node.topics[0], []).extend(r.select("key", "value", F.col("timestamp"), "partition", "offset", "headers") for r, _ in decoded[node.parents[0].name])
+                outputs.setdefault(node.topics[0], []).extend(r.select("key", "value", F.col("timestamp"), "partition", "offset", "headers") for _, r in given[node.parents[0].name])
             else:
-                outputs.setdefault(node.topics[0], []).extend(node.codec.encode(b) for b in frames[node.parents[0].name])
+                outputs.setdefault(node.topics[0], []).extend(node.codec.for_topic(node.topics[0]).encode(b) for b in frames[node.parents[0].name])
         return {t: _union(fs) for t, fs in outputs.items() if fs}
 
     def frames_of(self, name: str, raw: Mapping[str, DataFrame]) -> DataFrame:
@@ -201,11 +198,25 @@ class BuiltTopology:
             for part, df in state.items():
                 df.write.mode("overwrite").parquet(f"{path}/{name}/{part}")
 
-    def restore(self, spark, path: str, parts: Mapping[str, Sequence[str]]) -> None:
-        """State read again from ``path``: the parts of each node; names of nodes that aren't here are ignored."""
+    def restore(self, spark, path: str, parts: Mapping[str, Sequence[str]], partition: int | None = None) -> None:
+        """State read again from ``path``: the parts of each node; names of nodes that aren't here are ignored.
+
+        With ``partition`` only that partition's state is taken from there, in place of what is here; other partitions keep theirs.
+        """
         for name, state in parts.items():
-            if name in self.operators:
-                self.state[name] = {p: spark.read.parquet(f"{path}/{name}/{p}") for p in state}
+            if name not in self.operators:
+                continue
+            read = {p: spark.read.parquet(f"{path}/{name}/{p}") for p in state}
+            if partition is None:
+                self.state[name] = read
+                continue
+            here = self.state.setdefault(name, {})
+            for part, df in read.items():
+                column = _partition_of(df)
+                taken = df.filter(F.col(column).eqNullSafe(F.lit(partition))) if column else df
+                if column and part in here:
+                    taken = here[part].filter(~F.col(column).eqNullSafe(F.lit(partition))).unionByName(taken)
+                here[part] = taken
 
     def parts(self) -> dict[str, list[str]]:
         """What :meth:`restore` needs to know of a snapshot."""
@@ -215,7 +226,7 @@ class BuiltTopology:
         """Forgets the state of one partition."""
         for name, state in self.state.items():
             for part, df in state.items():
-                column = PARTITION if PARTITION in df.columns else "__p" if "__p" in df.columns else None
+                column = _partition_of(df)
                 if column:
                     self.state[name][part] = df.filter(~F.col(column).eqNullSafe(F.lit(partition)))
 
@@ -223,6 +234,11 @@ class BuiltTopology:
         self.state.clear()
 
 
+def _partition_of(df: DataFrame) -> str | None:
+    """The column of a part of the state that holds the logical partition."""
+    return PARTITION if PARTITION in df.columns else "__p" if "__p" in df.columns else None
+
+
 class _Tap(Codec):
     def encode(self, df: DataFrame) -> DataFrame:
         return df

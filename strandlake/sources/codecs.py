@@ -27,6 +27,10 @@ IPC_END = b"\xff\xff\xff\xff\x00\x00\x00\x00"
 class Codec:
     """Raw records to columns (payload, then envelope) and back."""
 
+    def for_topic(self, topic: str) -> Codec:
+        """The codec of one topic's records; a topology asks for it by the topic it reads or writes."""
+        return self
+
     def decode(self, raw: DataFrame) -> DataFrame:
         raise NotImplementedError
 
@@ -427,6 +431,9 @@ class GzipCodec(Codec):
             raise LakeError("the inflated size must be at least 1 byte")
         self.inner, self.most = inner, most
 
+    def for_topic(self, topic: str) -> Codec:
+        return GzipCodec(self.inner.for_topic(topic), self.most)
+
     def decode(self, raw: DataFrame) -> DataFrame:
         return self.inner.decode(raw.withColumn("value", gunzip_value(F.col("value"), self.most)))
 

@@ -12,9 +12,29 @@ from ..plans.topology import Topology
 from ..records import HEADER_TYPE, millis
 
 
+#: Header with a record's event time, milliseconds in 8 bytes: Spark's Kafka writer leaves a record's own timestamp to the broker.
+EVENT_TIME = "event-time"
+
+
+def records(df: DataFrame, topic: str) -> DataFrame:
+    """Raw records as Spark's Kafka writer takes them: key, value, headers, partition, topic.
+
+    A timestamp goes along as a header and comes back from there; a null or negative one is left to the broker.
+    A negative partition is left to the partitioner, as is a null one.
+    """
+    stamp = F.struct(F.lit(EVENT_TIME).alias("key"), F.unhex(F.lpad(F.hex("timestamp"), 16, "0")).alias("value"))
+    own = F.coalesce(F.col("headers"), F.array().cast(HEADER_TYPE))
+    stamped = F.when(F.col("timestamp") >= 0, F.concat(own, F.array(stamp).cast(HEADER_TYPE))).otherwise(own)
+    return df.select("key", "value", stamped.alias("headers"), F.when(F.col("partition") >= 0, F.col("partition")).alias("partition"), F.lit(topic).alias("topic"))
+
+
 def _raw(df: DataFrame) -> DataFrame:
-    """Kafka's source schema as schema ``RAW``, the topic kept beside it. A null value stays null."""
-    return df.select("topic", "key", "value", millis(F.col("timestamp")).alias("timestamp"), "partition", "offset", F.col("headers").cast(HEADER_TYPE).alias("headers"))
+    """Kafka's source schema as schema ``RAW``, the topic kept beside it. A null value stays null. The header of :func:`records` is the timestamp."""
+    every = F.col("headers").cast(HEADER_TYPE)
+    sent = F.get(F.filter(every, lambda h: h["key"] == EVENT_TIME), F.lit(0))["value"]
+    told = F.conv(F.hex(sent), 16, 10).cast("long")
+    rest = F.filter(every, lambda h: ~h["key"].eqNullSafe(F.lit(EVENT_TIME)))
+    return df.select("topic", "key", "value", F.coalesce(told, millis(F.col("timestamp"))).alias("timestamp"), "partition", "offset", rest.alias("headers"))
 
 
 def subscription(topology: Topology) -> str:

@@ -18,10 +18,10 @@ from typing import Any
 
 from pyspark.sql import Column
 
-
 from ..errors import LakeError, RegistryError, SchemaPending
 from ..functions.jsonschema import valid_json
 from . import framing
+from .codecs import Codec
 
 
 class RegisterMode(Enum):
@@ -290,6 +290,27 @@ def protobuf_codec(cache: SchemaCache, topic: str, descriptor, subject: SubjectN
     return ProtobufCodec(descriptor, lambda: cache.id_for(name))
 
 
+@dataclass
+class TopicCodec(Codec):
+    """A registry codec whose subject follows the topic that a topology reads or writes.
+
+    ``make`` is :func:`avro_codec` or :func:`protobuf_codec`; the ids of the topics named must be known before they
+    are written (``intern`` them by name and prewarm the cache).
+    """
+
+    cache: SchemaCache
+    make: Callable[..., Codec]
+    schema: Any
+    subject: SubjectName = topic_name
+
+    def intern(self, *topics: str) -> None:
+        for t in topics:
+            self.for_topic(t)
+
+    def for_topic(self, topic: str) -> Codec:
+        return self.make(self.cache, topic, self.schema, self.subject)
+
+
 class RegistryStub:
     """A registry in memory behind HTTP, for tests: register, look up, latest version, schema by id. Counts its requests."""
 

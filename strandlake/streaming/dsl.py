@@ -110,9 +110,31 @@ class Stream:
         if self.df.isStreaming:
             lt, rt = F.col("left_event_time"), F.col("right_event_time")
             on &= (rt >= lt - F.expr(f"INTERVAL {before} MILLISECOND")) & (rt <= lt + F.expr(f"INTERVAL {after} MILLISECOND"))
-        else:
-            on &= F.col("right_" + other.time).between(F.col("left_" + self.time) - before, F.col("left_" + self.time) + after)
-        return a.join(b, on, {"inner": "inner", "left": "leftOuter", "full": "fullOuter"}[how])
+            return a.join(b, on, {"inner": "inner", "left": "leftOuter", "full": "fullOuter"}[how])
+        # A key's records meet by time bucket, so a hot key is spread over its time. One side lies in one bucket, the other in those it can meet.
+        lt, rt, width = F.col("left_" + self.time), F.col("right_" + other.time), max(1, before + after)
+        on &= rt.between(lt - before, lt + after) & (F.col("__l") == F.col("__r"))
+
+        def bucket(t: Column) -> Column:
+            return F.floor(t / width)
+
+        met = b.withColumn("__r", F.explode(F.sequence(bucket(rt - after), bucket(rt + before))))
+        out = a.withColumn("__l", bucket(lt)).join(met, on, "inner" if how == "inner" else "leftOuter").drop("__l", "__r")
+        if how != "full":
+            return out
+        met = a.withColumn("__l", F.explode(F.sequence(bucket(lt - before), bucket(lt + after))))
+        alone = b.withColumn("__r", bucket(rt)).join(met, on, "left_anti").drop("__r")
+        untimed = rt.isNull() | F.col("right_" + other.key).isNull()
+        return out.unionByName(alone.filter(~untimed).unionByName(b.filter(untimed)), allowMissingColumns=True)
+
+    def to(self, topic: str, sink: Callable[[str, DataFrame, int], None], batch: int = 0) -> None:
+        """Hands the records to a sink (of ``streaming.runner``, or any function of topic, frame and batch number)."""
+        sink(topic, self.df, batch)
+
+    def print(self, rows: int = 20) -> Stream:
+        """Shows the first records of a bounded stream, and goes on."""
+        self.df.show(rows, truncate=False)
+        return self
 
     def join_table(self, table: Table, how: str = "inner") -> DataFrame:
         """Each record with its key's current row of the table (payload columns prefixed table_)."""

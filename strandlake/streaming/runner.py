@@ -16,6 +16,7 @@ from ..errors import LakeError, RetriableError
 from ..plans.storage import shared_folder
 from ..plans.topology import BuiltTopology
 from ..records import HEADER_TYPE, no_headers
+from ..sources import kafka
 
 #: Prefix of the headers that a dead letter gets.
 PREFIX = "strandlake.error."
@@ -60,10 +61,10 @@ def parquet_sink(path: str) -> Sink:
 
 
 def kafka_sink(**options: str) -> Sink:
-    """Appends to Kafka topics (the connector must be on the class path); at least once."""
+    """Appends to Kafka topics (the connector must be on the class path), as :func:`..sources.kafka.records` says; at least once."""
 
     def send(topic: str, df: DataFrame, batch: int) -> None:
-        df.select("key", "value", "headers", F.lit(topic).alias("topic")).write.format("kafka").options(**options).save()
+        kafka.records(df, topic).write.format("kafka").options(**options).save()
 
     return send
 

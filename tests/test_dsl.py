@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,9 +27,31 @@ def run(df, name, mode="append", checkpoint=None):
 
 
 def test_filter_count(spark):
-    s = frame(spark, ("a", 1, "drop"), ("a", 2, "keep-one"), ("a", 3, "keep-two"))
-    counts = s.filter(F.col("v").startswith("keep")).map_values(v=F.upper("v")).group_by_key().count()
-    assert [tuple(r) for r in counts.df.collect()] == [("a", 2)] and counts.get("a")[0]["count"] == 2 and counts.get("b") == []
+    s = frame(spark, ("x", 7, "+1"), ("y", 8, "-2"), ("x", 9, "+3"), ("x", 9, "-4"), ("y", 10, "-5"))
+    counts = s.filter(F.col("v").startswith("+")).map_values(v=F.reverse("v")).group_by_key().count()
+    assert [tuple(r) for r in counts.df.collect()] == [("x", 2)] and counts.get("x")[0]["count"] == 2 and counts.get("y") == []
+
+
+@pytest.mark.parametrize("before,after", [(5, 5), (0, 7), (0, 0), (3, 0)])
+def test_bounded_stream_joins(spark, before, after):
+    """Against all pairs: a hot key over a long time, and null keys and times."""
+    rng = random.Random(before * 10 + after)
+    left = [("hot", rng.randint(-40, 40), f"l{i}") for i in range(40)] + [("k", 5, "l"), (None, 5, "l-null"), ("k", None, "l-late")]
+    right = [("hot", rng.randint(-40, 40), f"r{i}") for i in range(40)] + [("k", 5, "r"), (None, 5, "r-null"), ("k", None, "r-late"), ("other", 1, "r")]
+    pairs = [(a, b) for a in left for b in right if a[0] and a[0] == b[0] and None not in (a[1], b[1]) and a[1] - before <= b[1] <= a[1] + after]
+    alone = [(a, (None,) * 3) for a in left if a not in [x for x, _ in pairs]], [((None,) * 3, b) for b in right if b not in [y for _, y in pairs]]
+    for how, want in (("inner", pairs), ("left", pairs + alone[0]), ("full", pairs + alone[0] + alone[1])):
+        got = frame(spark, *left).join(frame(spark, *right), before, after, how)
+        assert got.columns == ["left_key", "left_ts", "left_v", "right_key", "right_ts", "right_v"]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((*a, *b)) for a, b in want)
+
+
+def test_to_and_print(spark, capfd):
+    sent = []
+    s = frame(spark, ("a", 1, "one"))
+    assert s.print(5) is s
+    s.to("topic", lambda topic, df, batch: sent.append((topic, batch, df.count())), 3)
+    assert sent == [("topic", 3, 1)]
 
 
 def test_versions_and_deletes(spark):
