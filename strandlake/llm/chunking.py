@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, map_texts, slices
+from .common import as_bytes, map_texts, slices, without
 
 #: One number for each byte, made by a rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([i]), seed=0x67656172) for i in range(256)], np.uint32)
@@ -94,7 +94,8 @@ def containment(a: dict[int, int], b: dict[int, int]) -> float:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint", cuts: Cuts = Cuts()) -> DataFrame:
-    """``docs``, all columns kept, with each text's fingerprint in ``out`` (null text: as empty)."""
+    """``docs``, all columns kept, with each text's fingerprint in ``out``, in place of a column so named (null text: as empty)."""
+    docs = without(docs, out)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

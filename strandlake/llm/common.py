@@ -32,6 +32,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns of these names, whatever their case: what an operator adds takes their place."""
+    gone = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in gone])
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000, rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """``batch`` cut so that ``column`` (string or binary) holds about ``most`` bytes in each part.
 

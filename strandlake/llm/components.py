@@ -14,24 +14,26 @@ def components(edges: DataFrame) -> DataFrame:
     Each round contracts the graph: every node is merged into the one of itself and its neighbours
     that comes first in a random order, new in each round. A minimum over neighbours combines before
     the shuffle, so a node with very many edges is no hot spot. The rounds needed grow with the
-    logarithm of the number of nodes. Edges to oneself and repeated edges do no harm; edges with
+    logarithm of the number of nodes; their merges are followed from node to root at the end. Edges to oneself and repeated edges do no harm; edges with
     a null end are dropped; no edges give no rows.
     """
-    e = checkpointed(edges.select("a", "b").dropna())
-    nodes = checkpointed(e.select(F.col("a").alias("node")).union(e.select("b")).distinct())
-    total = nodes.withColumn("root", F.col("node"))
-    e = checkpointed(e.filter("a != b").distinct())
-    turn = 0
-    while not e.isEmpty():
-        turn += 1
+    given = checkpointed(edges.select("a", "b").dropna().distinct())
+    e, steps = given.filter("a != b"), []
+    while True:
+        turn = len(steps)
 
         def order(c: str):
             return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
 
-        both = e.union(e.select("b", "a"))
-        first = both.groupBy("a").agg(F.min(order("b")).alias("m"))
+        first = e.union(e.select("b", "a")).groupBy("a").agg(F.min(order("b")).alias("m"))
         step = checkpointed(first.select("a", F.least("m", order("a"))["id"].alias("to")))
-        end = [near(step.select(F.col("a").alias(f"k{i}"), F.col("to").alias(f"to{i}"))) for i in range(3)]
-        total = checkpointed(total.join(end[2], F.col("root") == F.col("k2"), "left").select("node", F.coalesce("to2", "root").alias("root")))
+        if step.isEmpty():
+            break
+        step = near(step)
+        steps.append(step)
+        end = [step.select(F.col("a").alias(f"k{i}"), F.col("to").alias(f"to{i}")) for i in range(2)]
         e = checkpointed(e.join(end[0], F.col("a") == F.col("k0")).join(end[1], F.col("b") == F.col("k1")).select(F.col("to0").alias("a"), F.col("to1").alias("b")).filter("a != b").distinct())
-    return total
+    total = given.select(F.col("a").alias("node")).union(given.select("b")).distinct().withColumn("root", F.col("node"))
+    for step in steps:
+        total = total.join(step.withColumnRenamed("a", "k"), F.col("root") == F.col("k"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    return checkpointed(total)

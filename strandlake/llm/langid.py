@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, map_texts, slices
+from .common import as_bytes, map_texts, slices, without
 
 ORDER = 4
 START, END = "\x02", "\x03"
@@ -246,7 +246,7 @@ def _calibrate(model: Model, held: DataFrame, bound: float) -> None:
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", reject: bool = True) -> DataFrame:
-    """``docs``, all columns kept, with lang_pred, score, cross_entropy and rejected (drop columns so named before).
+    """``docs``, all columns kept, with lang_pred, score, cross_entropy and rejected, in place of columns so named.
 
     ``score``: probability of the winner, 0 to 1. A null text and one without a letter are ``und``
     with score 0 and no cross-entropy, as is every text if there is no model. Texts above the
@@ -254,9 +254,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", rejec
     language that comes first by code point. Each row is judged by its whole text alone.
     """
     added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cross_entropy", T.DoubleType()), ("rejected", T.BooleanType())]
-    clash = {c.lower() for c in docs.columns} & {n for n, _ in added}
-    if clash:
-        raise ValueError(f"columns exist: {sorted(clash)}")
+    docs = without(docs, *[n for n, _ in added])
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in added]])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

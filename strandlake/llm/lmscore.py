@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpointed, fresh, map_texts, near, slices, written
+from .common import as_bytes, checkpointed, fresh, map_texts, near, slices, without, written
 
 #: Weight of the pair model where the word before is known.
 PAIR = 0.6
@@ -121,7 +121,7 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     A text without words (null, empty, blank) has no losses (null) and the score 0. Repeated rows count each, and score
     alike. Columns of ``docs`` with these names are replaced. An empty table gives no rows.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in {n for n, _ in ADDED}])
+    docs = without(docs, *[n for n, _ in ADDED])
     place = docs.columns.index(text_col)
     (mark,) = fresh(docs, "lm_target")
     ids = near(checkpointed(targets.select(F.col(id_col).alias("lm_tid")).dropna().distinct()))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, fresh, map_texts, slices
+from .common import as_bytes, fresh, map_texts, slices, without
 
 BITS = 18
 TEMPLATES = 5
@@ -173,15 +173,15 @@ def dots(weights: np.ndarray, idx: np.ndarray, first: np.ndarray, n: np.ndarray)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs``, all columns kept, with the probability of label 1 in ``score_col`` (name it freshly).
+    """``docs``, all columns kept, with the probability of label 1 in ``score_col``, in place of a column so named.
 
     A null text scores as an empty one: by the bias alone. Texts are scored whole, on their own,
     wherever they lie, so repeated rows score alike and nothing is shuffled.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    if score_col.lower() in (c.lower() for c in docs.columns):
-        raise ValueError(f"column {score_col} exists")
+    if score_col.lower() == text_col.lower():
+        raise ValueError("the score can't take the place of the text")
+    docs = without(docs, score_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

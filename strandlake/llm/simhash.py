@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpointed, fresh, map_texts, near, slices
+from .common import as_bytes, checkpointed, fresh, map_texts, near, slices, without
 from .components import components
 
 SEED = 42
@@ -55,7 +55,8 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", width: int = 4) -> DataFrame:
-    """``docs``, all columns kept, with the fingerprint as a signed 64-bit number in ``out``."""
+    """``docs``, all columns kept, with the fingerprint as a signed 64-bit number in ``out``, in place of a column so named."""
+    docs = without(docs, out)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +102,7 @@ class Design:
     lists: tuple[tuple[int, tuple[int, ...]], ...]
     shared: int
     bits: int
-    long: int = 2000
+    long: int = 256
 
 
 def exact_design(bits: int = 4) -> Design:
@@ -124,40 +125,45 @@ def _kept(design: Design) -> Column:
     return (shared >= design.shared) & (different <= design.bits)
 
 
-def _postings(nodes: DataFrame, design: Design) -> tuple[DataFrame, DataFrame | None]:
-    """Entries (list, bytes, node, root, words) of the lists, and those of long lists, with the list's main class, after splitting."""
-    words = [f"w{k}" for k in range(design.words)]
-    entries = [F.struct(F.lit(i).alias("list"), F.col(f"w{w}").bitwiseAND(F.lit(_bytes_mask(at))).alias("bytes")) for i, (w, at) in enumerate(design.lists)]
-    every = nodes.select("node", "root", *words, F.explode(F.array(*entries)).alias("e")).select("e.list", "e.bytes", "node", "root", *words)
+def _long_lists(every: DataFrame, design: Design) -> DataFrame | None:
+    """(list, bytes) of the lists with over ``design.long`` entries; None if there are none."""
     long = checkpointed(every.groupBy("list", "bytes").agg(F.count("*").alias("n")).filter(F.col("n") > design.long).select("list", "bytes", F.lit(True).alias("long")))
-    if long.isEmpty():
-        return every, None
-    marked = every.join(near(long), ["list", "bytes"], "left")
-    rest = marked.filter("long is null").drop("long")
-    finer = F.lit(None)
+    return None if long.isEmpty() else near(long)
+
+
+def _postings(nodes: DataFrame, design: Design) -> DataFrame:
+    """Entries (list, bytes, node, root, words) of the lists."""
+    entries = [F.struct(F.lit(i).alias("list"), F.col(f"w{w}").bitwiseAND(F.lit(_bytes_mask(at))).alias("bytes")) for i, (w, at) in enumerate(design.lists)]
+    words = [f"w{k}" for k in range(design.words)]
+    return nodes.select("node", "root", *words, F.explode(F.array(*entries)).alias("e")).select("e.list", "e.bytes", "node", "root", *words)
+
+
+def _split(every: DataFrame, long: DataFrame, design: Design) -> tuple[DataFrame, DataFrame]:
+    """The entries of other lists, and those of ``long`` ones by a further byte, with the main class of each list that has several."""
+    words = [f"w{k}" for k in range(design.words)]
+    marked = every.join(long, ["list", "bytes"], "left")
+    finer = None
     for i, (w, at) in enumerate(design.lists):
-        further = [p for p in range(8) if p not in at]
-        cut = F.array(*[F.struct(F.lit(8 * i + p + len(design.lists)).alias("list"), F.col(f"w{w}").bitwiseAND(F.lit(_bytes_mask((*at, p)))).alias("bytes")) for p in further])
-        finer = F.when(F.col("list") == i, cut).otherwise(finer) if i else F.when(F.col("list") == i, cut)
+        cut = F.array(*[F.struct(F.lit(8 * i + p + len(design.lists)).alias("list"), F.col(f"w{w}").bitwiseAND(F.lit(_bytes_mask((*at, p)))).alias("bytes")) for p in range(8) if p not in at])
+        finer = F.when(F.col("list") == i, cut) if finer is None else finer.when(F.col("list") == i, cut)
     split = marked.filter("long").select("node", "root", *words, F.explode(finer).alias("e")).select("e.list", "e.bytes", "node", "root", *words)
     of_class = split.groupBy("list", "bytes", "root").agg(F.count("*").alias("n"))
     main = of_class.groupBy("list", "bytes").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
-    return rest, split.join(near(checkpointed(main)), ["list", "bytes"])
+    return marked.filter("long is null").drop("long"), split.join(near(checkpointed(main)), ["list", "bytes"])
 
 
-def _partners(nodes: DataFrame, design: Design) -> DataFrame:
+def _partners(nodes: DataFrame, design: Design, long: DataFrame | None = None) -> DataFrame:
     """(node, root, other) for every node with a link to a node of another class: other is one such class."""
-    found = []
-    for k, entries in enumerate(_postings(nodes, design)):
-        if entries is not None:
-            left = entries.filter("root != main") if k else entries
-            left, right = left.alias("l"), entries.alias("r")
-            once = F.col("l.node") < F.col("r.node")
-            once = once | (F.col("r.root") == F.col("r.main")) if k else once
-            same = (F.col("l.list") == F.col("r.list")) & (F.col("l.bytes") == F.col("r.bytes"))
-            pairs = left.join(right, same & once & (F.col("l.root") != F.col("r.root")) & _kept(design))
-            ends = [F.struct(F.col(f"{a}.node").alias("node"), F.col(f"{a}.root").alias("root"), F.col(f"{b}.root").alias("other")) for a, b in ("lr", "rl")]
-            found.append(pairs.select(F.inline(F.array(*ends))))
+    every, found = _postings(nodes, design), []
+    for k, entries in enumerate((every,) if long is None else _split(every, long, design)):
+        left = (entries.filter("root != main") if k else entries).alias("l")
+        right = entries.alias("r")
+        once = F.col("l.node") < F.col("r.node")
+        once = once | (F.col("r.root") == F.col("r.main")) if k else once
+        same = (F.col("l.list") == F.col("r.list")) & (F.col("l.bytes") == F.col("r.bytes"))
+        pairs = left.join(right, same & once & (F.col("l.root") != F.col("r.root")) & _kept(design))
+        ends = [F.struct(F.col(f"{a}.node").alias("node"), F.col(f"{a}.root").alias("root"), F.col(f"{b}.root").alias("other")) for a, b in ("lr", "rl")]
+        found.append(pairs.select(F.inline(F.array(*ends))))
     return reduce(DataFrame.union, found).groupBy("node", "root").agg(F.min("other").alias("other"))
 
 
@@ -171,22 +177,23 @@ def _merged(state: DataFrame, edges: DataFrame) -> DataFrame:
 def linked_classes(fps: DataFrame, bits: int = 4) -> DataFrame:
     """node, root, linked for the different numbers in ``fps.fp``: roots are equal if and only if links of at most ``bits`` <= 4 bits connect them.
 
-    ``linked``: whether it has a link. First come the links within groups of ``bits`` neighbouring bits, of
-    which a fingerprint has at most 15 a group: dense classes are merged by them before any list is searched.
+    ``linked``: whether it has a link. If there are long lists, the links within groups of ``bits`` neighbouring
+    bits come first, of which a fingerprint has at most 15 a group: they merge dense classes before the lists are searched.
     """
     design = exact_design(bits)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = checkpointed(fps.select(F.col("fp").alias("node"), F.col("fp").alias("w0"), F.col("fp").alias("root"), F.lit(False).alias("linked")).repartition(n, "node"))
     if not bits:
         return state.select("node", "root", "linked")
-    masks = [_signed(~(((1 << bits) - 1) << at) & (1 << 64) - 1) for at in range(0, 64, bits)]
-    near_ones = state.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("node").bitwiseAND(F.lit(m)).alias("rest")) for i, m in enumerate(masks)])).alias("g"))
-    groups = checkpointed(near_ones.groupBy("g").agg(F.collect_list("node").alias("all")).filter(F.size("all") > 1).select("all"))
-    if not groups.isEmpty():
+    long = _long_lists(_postings(state, design), design)
+    if long is not None:
+        masks = [_signed(~(((1 << bits) - 1) << at) & (1 << 64) - 1) for at in range(0, 64, bits)]
+        near_ones = state.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("node").bitwiseAND(F.lit(m)).alias("rest")) for i, m in enumerate(masks)])).alias("g"))
+        groups = near_ones.groupBy("g").agg(F.collect_list("node").alias("all")).filter(F.size("all") > 1)
         state = _merged(state, groups.select(F.array_min("all").alias("a"), F.explode("all").alias("b")))
     active = state
     while True:
-        found = checkpointed(_partners(active, design))
+        found = checkpointed(_partners(active, design, long))
         if found.isEmpty():
             return state.select("node", "root", "linked")
         state = _merged(state, found.select(F.col("root").alias("a"), F.col("other").alias("b")))

@@ -85,8 +85,8 @@ def test_odd_rows(make, spark):
     assert langid.identify(odd.limit(0), model).collect() == []
     assert langid.fit(docs.limit(0), F.lit(True)) is None
     assert {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
-    with pytest.raises(ValueError):
-        langid.identify(odd.selectExpr("*", "1 AS rejected"), model)
+    replaced = langid.identify(odd.selectExpr("*", "1 AS Rejected"), model)
+    assert replaced.columns == rows.columns and replaced.filter("rejected").count() == rows.filter("rejected").count()
 
 
 def test_rejection(spark):

@@ -64,5 +64,7 @@ def test_odd_rows(make, spark):
     empty = quality.fit(docs, labels.limit(0))
     assert {r["the_score"] for r in quality.score(docs, empty, score_col="the_score").collect()} == {0.5}
     assert quality.score(docs.limit(0), model, score_col="s2").collect() == []
+    again = quality.score(out, model, score_col="The_Score")
+    assert again.columns == [*docs.columns, "The_Score"] and {r["The_Score"] for r in again.collect()} == set(by.values())
     with pytest.raises(ValueError):
         quality.score(docs, model, score_col="TEXT")
