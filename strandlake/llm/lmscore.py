@@ -27,7 +27,7 @@ from .common import as_bytes, checkpointed, fresh, map_texts, near, slices, with
 #: Weight of the pair model where the word before is known.
 PAIR = 0.6
 #: Bytes of text in a block of documents, and for each bucket of the counts; rows of a block.
-BLOCK, BUCKET, ROWS = 8_000_000, 16_000_000, 100_000
+BLOCK, BUCKET, ROWS = 4_000_000, 8_000_000, 100_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
