@@ -176,7 +176,7 @@ def dealt(distinct: DataFrame, most: int) -> DataFrame:
     counts = starts.groupBy("prefix").agg(F.count("*").alias("n"))
     common = near(checkpointed(counts.filter(F.col("n") > most)))
     shared = starts.join(common, "prefix")
-    last = shared.groupBy("key").agg(F.max(F.struct("depth", "prefix", "n")).alias("last"))
+    last = near(checkpointed(shared.groupBy("key").agg(F.max(F.struct("depth", "prefix", "n")).alias("last"))))
     rest = distinct.join(last, "key", "left").withColumn("above", F.coalesce(F.col("last.depth") + 1, F.lit(0))).filter(F.size("chain") > F.col("above"))
     slot = F.pmod(F.xxhash64(F.get("chain", F.col("above"))), F.ceil(F.col("last.n") / most)).cast("string")
     piece = F.when(F.col("last").isNull(), F.get("chain", F.lit(0))).otherwise(F.concat_ws("-", F.col("last.prefix"), slot))
@@ -214,6 +214,8 @@ def trees(distinct: DataFrame, most: int = 64, encode: Callable[[], Encoder] | N
     return dealt(distinct, most).groupBy("piece").applyInArrow(build, TREE)
 
 
+#: Bytes of turns with pieces of their own up to which all tasks get them; else they are joined to the pieces that name them.
+SHARED_BYTES = 16_000_000
 SAID = "key string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, position_sum long"
 
 
@@ -224,20 +226,25 @@ def read_back(pieces: DataFrame) -> DataFrame:
     """
     names = F.array_distinct(F.flatten(F.transform("segments", lambda s: s["ancestors"]["piece"])))
     wanted = pieces.select("piece", F.explode(names).alias("at")).filter("at != piece")
-    one = F.get("segments", F.lit(0))
-    told = pieces.select(F.col("piece").alias("at"), F.struct(F.col("piece").alias("piece"), "text", "position_ids", one["loss_start"].alias("loss_start"), one["loss_end"].alias("loss_end")).alias("trunk"))
-    trunks = wanted.join(told, "at").groupBy("piece").agg(F.collect_list("trunk").alias("trunks"))
-    joined = pieces.join(trunks, "piece", "left").select("piece", "text", "segments", "conversations", "position_ids", "trunks")
+    one, total = F.get("segments", F.lit(0)), F.aggregate("position_ids", F.lit(0).cast("long"), lambda x, y: x + y)
+    told = pieces.select(F.col("piece").alias("at"), "text", total.alias("positions"), one["loss_start"].alias("loss_start"), one["loss_end"].alias("loss_end"))
+    told = checkpointed(told.join(near(checkpointed(wanted.select("at").distinct())), "at"))
+    columns = ["piece", "text", "segments", "conversations", "position_ids"]
+    if (told.agg(F.sum(F.octet_length("text") + 200)).first()[0] or 0) <= SHARED_BYTES:
+        known = pieces.sparkSession.sparkContext.broadcast({r["at"]: (r["text"], r["positions"], r["loss_start"], r["loss_end"]) for r in told.collect()})
+        joined = pieces.select(*columns, F.lit(None).cast("array<struct<at:string,text:string,positions:long,loss_start:long,loss_end:long>>").alias("trunks"))
+    else:
+        known = None
+        trunks = wanted.join(told, "at").groupBy("piece").agg(F.collect_list(F.struct(*told.columns)).alias("trunks"))
+        joined = pieces.join(trunks, "piece", "left").select(*columns, "trunks")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for name, text, segments, ends, ids, trunks in zip(*(batch.column(c) for c in batch.schema.names)):
                 segments, ids = segments.as_py(), ids.values.to_numpy()
-                texts = {name.as_py(): (text.as_py(), ids, 0, 0)}
-                for t in trunks if trunks.is_valid else ():
-                    texts[t["piece"].as_py()] = t["text"].as_py(), t["position_ids"].values.to_numpy(), t["loss_start"].as_py(), t["loss_end"].as_py()
-                own = texts[name.as_py()][0]
+                name, own = name.as_py(), text.as_py()
+                outer = known.value if known is not None else {t["at"]: (t["text"], t["positions"], t["loss_start"], t["loss_end"]) for t in trunks.as_py() or ()}
                 for end in ends.as_py():
                     path, at = [], end["segment"]
                     while at >= 0:
@@ -245,13 +252,13 @@ def read_back(pieces: DataFrame) -> DataFrame:
                         at = segments[at]["parent"]
                     path.reverse()
                     last = path[-1]
-                    outside = [texts[i["piece"]] for i in last["ancestors"] if i["piece"] != name.as_py()]
-                    said = [texts[i["piece"]][0][i["start"] : i["end"]] for i in last["ancestors"]] + [own[last["start"] : last["end"]]]
-                    positions = [texts[i["piece"]][1][i["start"] : i["end"]] for i in last["ancestors"]] + [ids[last["start"] : last["end"]]]
+                    outside = [outer[i["piece"]] for i in last["ancestors"] if i["piece"] != name]
+                    inside = [i for i in last["ancestors"] if i["piece"] == name] + [last]
+                    said = [t[0] for t in outside] + [own[i["start"] : i["end"]] for i in inside]
+                    total = sum(t[1] for t in outside) + sum(int(ids[i["start"] : i["end"]].sum(dtype=np.int64)) for i in inside)
                     loss = "".join(unescape(x) for x in [*(t[a:b] for t, _, a, b in outside), *(own[s["loss_start"] : s["loss_end"]] for s in path)])
                     alone = "".join(said)
                     turns = read_turns(alone)
-                    total = sum(int(p.sum(dtype=np.int64)) for p in positions)
                     words = "".join(f"{role}\n{t}\n" for role, t in turns)
                     out.append((end["key"], len(turns), hashlib.sha256(words.encode("utf-8")).hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8")).hexdigest(), len(alone), total))
             types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]

@@ -70,8 +70,9 @@ def test_query(spark):
     assert {r["conv_id"]: tuple(r[f] for f in FIELDS) for r in got} == expected([*rows, *queries.MARKED]) and len(got) == len({r[0] for r in rows}) + 1
 
 
-@pytest.mark.parametrize("most", [1, 2, 64])
-def test_odd_rows_and_hot_turns(spark, most):
+@pytest.mark.parametrize("most,shared", [(1, 0), (2, 10**6), (64, 10**6)])
+def test_odd_rows_and_hot_turns(spark, monkeypatch, most, shared):
+    monkeypatch.setattr(chat, "SHARED_BYTES", shared)
     rows = [(i, t, r, x) for i in range(12) for t, r, x in ((0, "user", "hi"), (1, "assistant", f"answer {i // 2}"), (2, "user", "hi" if i < 4 else str(i)))]
     rows += [(50, 0, None, None), (51, None, "assistant", None), (None, 0, "user", "null id"), (52, 0, "user", "x" * 100_000), (53, 0, "user", "twice"), (53, 0, "user", "twice"), (54, 0, "user", "hi")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS key", "2 AS tree", "3 AS chain")
