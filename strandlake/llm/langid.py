@@ -186,16 +186,18 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 1_000, bound: float = 0.999) -> Model | None:
+def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 1_000, bound: float = 0.999, languages: int = 500) -> Model | None:
     """Models of the languages of the rows that ``where`` admits; None if there are none.
 
     About ``rows`` documents of each language are taken, by a hash of their id (a language with
-    fewer: all). Four fifths of them are counted; the rest calibrate the temperature of the scores
+    fewer: all); of more than ``languages`` different values the most frequent ones are learnt (ties: the first
+    by code point), so what reaches the driver is bounded. Four fifths of them are counted; the rest calibrate the temperature of the scores
     and the bound of rejection, the ``bound`` quantile of their cross-entropies.
     Rows with a null text or language teach nothing.
     """
     known = docs.filter(F.coalesce(where, F.lit(False))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = {r["lang"]: r["n"] for r in top.collect()}
     if not sizes:
         return None
     shares = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))])

@@ -3,7 +3,7 @@
 Every row gets a 60-bit hash of its id. Whether a row is taken depends on its source's hash
 threshold alone, so nothing is ever sorted: the sizes are summed by (source, hash bucket), the
 bucket in which the running sum crosses the source's budget is found, and only the rows of that
-boundary bucket are summed again at the next ten bits of the hash, and so on. Budgets are nested:
+boundary bucket are summed again at the next bits of the hash, and so on. Budgets are nested:
 a larger budget takes every row that a smaller one takes.
 """
 

@@ -53,6 +53,27 @@ def test_query_whole_table(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_taken_rows_are_those_of_the_sorted_hash_order(spark):
+    """What thresholds find without sorting, found by sorting."""
+    docs = spark.read.parquet(str(DATA / "sf0.01/documents.parquet")).select("doc_id", "source", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), 4).alias("h"))
+    told = {r["doc_id"]: r for r in queries.op6_source_mixing(spark, str(DATA / "sf0.01")).collect()}
+    by = {}
+    for r in docs.collect():
+        by.setdefault(r["source"], []).append((r["h"], r["doc_id"]))
+    for rows in by.values():
+        one = told[rows[0][1]]
+        whole = int(one["target"] // one["source_size"]) if one["source_size"] else 0
+        left, more = one["target"] - whole * one["source_size"], set()
+        for _, i in sorted(rows):
+            n = told[i]["size"]
+            if n > left:
+                more |= {i} if n < 2 * left else set()
+                break
+            left -= n
+            more.add(i)
+        assert {i: told[i]["taken"] for _, i in rows} == {i: told[i]["size"] * (whole + (i in more)) for _, i in rows}
+
+
 def test_budgets_are_nested(spark):
     docs = spark.read.parquet(str(DATA / "sf0.01/documents.parquet"))
     small, large = ({r["doc_id"] for r in mix(docs, share=s).filter("copies > 0").collect()} for s in (0.2, 0.5))

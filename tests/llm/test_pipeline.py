@@ -83,6 +83,29 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, str(DATA / "sf0.001")).count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
 
+ODD = [(1, "a plain text of some words that is like no other one in this small table"), (1, "a plain text of some words that is like no other one in this small table"), (1, "quite another text under the same id, and its words differ all the way to the end"), (None, "no id here but still some words that nobody else has said before this line"), (None, None), (2, None), (3, ""), (4, "word " * 30_000), (None, "no id at all, again, and other words than those of the line above, I think")]
+
+
+def test_stages_on_odd_rows(spark, make):
+    """Nulls, repeated ids and rows, empty and long texts: each stage gives what its docstring says."""
+    sf = str(DATA / "sf0.001")
+    docs = make(*ODD, extra=False)
+    rows = {n: f(spark, docs, sf) for n, f in corpus_pipeline.STAGES}
+    got = {n: [(r["doc_id"], r["text"]) for r in rows[n].collect()] for n in list(rows)[:-1]}
+    assert all(rows[n].columns == COLUMNS for n in got)
+    assert set(got["quality_filter"]) <= set(ODD)
+    # Copies and texts without words are one class each; unlike texts stay, whatever their ids.
+    texts = [t or "" for _, t in got["near_dedup"]]
+    assert sorted(texts) == sorted({t or "" for _, t in ODD}) and (2, None) in got["near_dedup"]
+    assert len(got["substring_dedup"]) == len(ODD) and sorted(str(i) for i, _ in got["substring_dedup"]) == sorted(str(i) for i, _ in ODD)
+    assert set(got["source_mix"]) <= set(ODD) and rows["pack"].filter("start = 0").count() == len(ODD)
+
+
+def test_stages_on_an_empty_table(spark, make):
+    docs = make(*ODD, extra=False).limit(0)
+    assert all(f(spark, docs, str(DATA / "sf0.001")).collect() == [] for _, f in corpus_pipeline.STAGES)
+
+
 def test_the_rest_imports_without_this_part(tmp_path):
     root = Path(corpus_pipeline.__file__).parent
     for p in root.iterdir():
