@@ -107,12 +107,11 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprin
     return map_texts(docs, task, schema)
 
 
-def _tree(k: Column, bounds: list[int], low: int, high: int) -> Column:
-    """Number of ``bounds`` (descending) that are above ``k``, by binary search."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(k < bounds[mid], _tree(k, bounds, mid + 1, high)).otherwise(_tree(k, bounds, low, mid))
+def _above(k: Column, bounds: list[int]) -> Column:
+    """Number of ``bounds`` (descending) that are above ``k``, by binary search in one array."""
+    table = F.array(*[F.lit(b).cast("long") for b in bounds])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))]) if bounds else F.array(F.lit(1))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(table, at + step - 1) > k, F.lit(False)), at + step).otherwise(at))
 
 
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
@@ -127,16 +126,17 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(k.alias("k"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     quantiles = rows.approxQuantile("k", [i / n for i in range(1, n)], max(0.1 / n, 2e-5)) if n > 1 else []
     bounds = sorted({int(q) for q in quantiles}, reverse=True)
-    rows = rows.withColumn("part", _tree(F.col("k"), bounds, 0, len(bounds)))
+    rows = rows.withColumn("part", _above(F.col("k"), bounds))
     heads = {r["part"]: r["k"] for r in rows.groupBy("part").agg(F.max("k").alias("k")).collect()}
-    filled = sorted(heads)
-    head = F.create_map(*[x for p in filled for x in (F.lit(p), F.lit(heads[p]).cast("long"))]) if filled else None
-    before = F.create_map(*[x for i, p in enumerate(filled) for x in (F.lit(p), F.lit(filled[i - 1]))]) if filled else None
-    if head is None:
+    if not heads:
         return rows.select("part", F.lit(False).alias("tail"), "k", "id", "text")
+    # By range: the first id in it, and the range before it that has rows (for the first one: the last).
+    filled = sorted(heads)
+    last = dict(zip(filled, [filled[-1], *filled]))
+    head, before = (F.array(*[F.lit(x.get(p)).cast(t) for p in range(len(bounds) + 1)]) for x, t in ((heads, "long"), (last, "int")))
     own = F.struct(F.col("part"), F.lit(False).alias("tail"))
-    also = F.struct(F.element_at(before, F.col("part")).alias("part"), F.lit(True).alias("tail"))
-    places = F.when(F.col("k") == F.element_at(head, F.col("part")), F.array(own, also)).otherwise(F.array(own))
+    also = F.struct(F.get(before, F.col("part")).alias("part"), F.lit(True).alias("tail"))
+    places = F.when(F.col("k") == F.get(head, F.col("part")), F.array(own, also)).otherwise(F.array(own))
     dealt = rows.select("k", "id", "text", F.explode(places).alias("at")).select(F.col("at.part").alias("part"), F.col("at.tail").alias("tail"), "k", "id", "text")
     return dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "tail", F.col("k").desc(), "text")
 
