@@ -6,8 +6,10 @@ Sums are of whole numbers, times are milliseconds, bytes are hexadecimal text, s
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,7 @@ from .plans.tables import REPLAY, events, lineitem, orders
 from .plans.topology import Topology
 from .records import decode_headers, encode_headers, to_raw
 from .sources import framing
-from .sources.codecs import BlobCodec, FrameCodec, GzipCodec, JsonCodec
+from .sources.codecs import BlobCodec, FrameCodec, GzipCodec, JsonCodec, infer_json
 from .streaming import dsl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -505,3 +507,60 @@ def topology_whole_in_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame
     for batch in (~odd, odd):
         out = built.run_batch("events", df.filter(batch))
     return out["totals"]
+
+
+@query("SELECT event_id, event_type, p AS part FROM E")
+def blob_many_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of many rows each, cut at a small limit; a record over the limit would be missing."""
+    rows = R.select(events(spark, sf_dir), "event_id", "event_type").withColumns({"__key": F.lit(None).cast("binary"), "__timestamp": F.lit(0).cast("long")})
+    codec = BlobCodec(4096, schema=rows.select("event_id", "event_type").schema)
+    sent = codec.encode(rows).filter(F.octet_length("value") <= 4096)
+    return codec.decode(sent).select("event_id", "event_type", F.col("__partition").alias("part"))
+
+
+@query("SELECT event_id, event_type, cents FROM E")
+def json_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of JSON records whose schema is taken from the records themselves."""
+    raw = JsonCodec().encode(R.select(events(spark, sf_dir), "event_id", "event_type", "cents"))
+    return JsonCodec(infer_json(raw)).decode(raw).select("event_id", "event_type", "cents")
+
+
+@query("SELECT event_id, 2 * cents AS twice FROM E WHERE event_id % 2 = 0")
+def custom_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A custom operator over Arrow batches."""
+
+    def make():
+        def process(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            kept = batch.filter(pc.equal(pc.bit_wise_and(batch.column("event_id"), 1), 0))
+            yield pa.RecordBatch.from_arrays([kept.column("event_id"), pc.multiply(kept.column("cents"), 2)], ["event_id", "twice"])
+
+        return process
+
+    return R.arrow_operator(events(spark, sf_dir).select("event_id", "cents"), make, "event_id long, twice long")
+
+
+class _Running(S.Processor):
+    """Rows and cents of a partition so far, one row for each batch."""
+
+    def __init__(self) -> None:
+        self.n = self.total = 0
+
+    def process(self, rows: pa.Table) -> list[pa.Table]:
+        self.n += len(rows)
+        self.total += pc.sum(rows.column("cents")).as_py() or 0
+        return [pa.table({"part": pa.array([rows.column("__partition")[0].as_py()], pa.int32()), "n": [self.n], "total": [self.total]})]
+
+    def snapshot(self) -> bytes:
+        return json.dumps([self.n, self.total]).encode()
+
+    def restore(self, data: bytes) -> None:
+        self.n, self.total = json.loads(data)
+
+
+@query("SELECT p AS part, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM E GROUP BY p")
+def custom_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a custom processor says after the second of two batches, its state carried over."""
+    df = events(spark, sf_dir)
+    operator = S.Custom(_Running, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("total", T.LongType())]))
+    _, state = operator.process([df.filter(F.col("event_id") % 2 == 0)], {})
+    return operator.process([df.filter(F.col("event_id") % 2 == 1)], state)[0]
