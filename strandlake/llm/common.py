@@ -124,4 +124,4 @@ def near(df: DataFrame, limit: int = 100_000) -> DataFrame:
 
     For a written or otherwise cheap ``df``: its rows are counted.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df.coalesce(8)) if df.limit(limit + 1).count() <= limit else df

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, near
+from .common import checkpointed
+
+#: Nodes up to which a round's merges are broadcast (16 bytes each).
+SMALL = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,12 +30,15 @@ def components(edges: DataFrame) -> DataFrame:
 
         first = e.union(e.select("b", "a")).groupBy("a").agg(F.min(order("b")).alias("m"))
         step = checkpointed(first.select("a", F.least("m", order("a"))["id"].alias("to")))
-        if step.isEmpty():
+        many = step.limit(SMALL + 1).count()
+        if not many:
             break
-        step = near(step)
+        small = many <= SMALL
+        step = F.broadcast(step.coalesce(8)) if small else step
         steps.append(step)
         end = [step.select(F.col("a").alias(f"k{i}"), F.col("to").alias(f"to{i}")) for i in range(2)]
         e = checkpointed(e.join(end[0], F.col("a") == F.col("k0")).join(end[1], F.col("b") == F.col("k1")).select(F.col("to0").alias("a"), F.col("to1").alias("b")).filter("a != b").distinct())
+        e = e.coalesce(8) if small else e
     total = given.select(F.col("a").alias("node")).union(given.select("b")).distinct().withColumn("root", F.col("node"))
     for step in steps:
         total = total.join(step.withColumnRenamed("a", "k"), F.col("root") == F.col("k"), "left").select("node", F.coalesce("to", "root").alias("root"))

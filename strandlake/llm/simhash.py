@@ -16,7 +16,7 @@ whose fingerprints are all of one class fall away, and else only what is not of
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import combinations
 
@@ -102,7 +102,7 @@ class Design:
     lists: tuple[tuple[int, tuple[int, ...]], ...]
     shared: int
     bits: int
-    long: int = 256
+    long: int = 16_384
 
 
 def exact_design(bits: int = 4) -> Design:
@@ -174,26 +174,26 @@ def _merged(state: DataFrame, edges: DataFrame) -> DataFrame:
     return checkpointed(joined.select("node", *[c for c in state.columns if c.startswith("w")], F.coalesce("now", "root").alias("root"), (F.col("linked") | F.col("now").isNotNull()).alias("linked")))
 
 
-def linked_classes(fps: DataFrame, bits: int = 4) -> DataFrame:
+def linked_classes(fps: DataFrame, bits: int = 4, long: int = Design.long) -> DataFrame:
     """node, root, linked for the different numbers in ``fps.fp``: roots are equal if and only if links of at most ``bits`` <= 4 bits connect them.
 
     ``linked``: whether it has a link. If there are long lists, the links within groups of ``bits`` neighbouring
     bits come first, of which a fingerprint has at most 15 a group: they merge dense classes before the lists are searched.
     """
-    design = exact_design(bits)
+    design = replace(exact_design(bits), long=long)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = checkpointed(fps.select(F.col("fp").alias("node"), F.col("fp").alias("w0"), F.col("fp").alias("root"), F.lit(False).alias("linked")).repartition(n, "node"))
     if not bits:
         return state.select("node", "root", "linked")
-    long = _long_lists(_postings(state, design), design)
-    if long is not None:
+    lists = _long_lists(_postings(state, design), design)
+    if lists is not None:
         masks = [_signed(~(((1 << bits) - 1) << at) & (1 << 64) - 1) for at in range(0, 64, bits)]
         near_ones = state.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("node").bitwiseAND(F.lit(m)).alias("rest")) for i, m in enumerate(masks)])).alias("g"))
         groups = near_ones.groupBy("g").agg(F.collect_list("node").alias("all")).filter(F.size("all") > 1)
         state = _merged(state, groups.select(F.array_min("all").alias("a"), F.explode("all").alias("b")))
     active = state
     while True:
-        found = checkpointed(_partners(active, design, long))
+        found = checkpointed(_partners(active, design, lists))
         if found.isEmpty():
             return state.select("node", "root", "linked")
         state = _merged(state, found.select(F.col("root").alias("a"), F.col("other").alias("b")))

@@ -80,13 +80,13 @@ def near_fingerprints():
     return set(base) | {b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in base for n in (1, 2, 3, 4, 4, 5, 6) for _ in range(4)} | {b ^ 0x0101010100000000 for b in base} | {0, (1 << 64) - 1}
 
 
-@pytest.mark.parametrize("long", [256, 3])
+@pytest.mark.parametrize("long", [16_384, 3])
 def test_every_fingerprint_with_a_link_is_found(spark, long):
     fps = near_fingerprints()
     df = spark.createDataFrame([(signed(x),) for x in fps], "node long").selectExpr("node", "node AS w0", "node AS root")
     design = dataclasses.replace(exact_design(), long=long)
     lists = _long_lists(_postings(df, design), design)
-    assert (lists is None) == (long == 256)
+    assert (lists is None) == (long == 16_384)
     got = _partners(df, design, lists).collect()
     linked = {signed(a) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 4}
     assert {r["node"] for r in got} == linked and len(got) == len(linked)
@@ -110,7 +110,7 @@ def test_many_variants_of_one_fingerprint(spark):
     center = np.uint64(0x0123456789ABCDEF)
     fps = np.unique(np.append(np.bitwise_xor.reduce(flips, axis=1) ^ center, [center, ~center]))
     assert len(fps) > 4_000
-    got = linked_classes(spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)})))
+    got = linked_classes(spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)})), long=256)
     assert sorted(r["count"] for r in got.groupBy("root").count().collect()) == [1, len(fps) - 1]
 
 
