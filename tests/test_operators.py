@@ -9,6 +9,7 @@ from strandlake import Aggregate, Aggregation, Derived, LakeError, filter_rows,
 from strandlake.functions.coerce import coerce, fixed_list, fixed_width, unsigned
 from strandlake.operators.stateful import Custom, GroupBy, IntervalJoin, Processor
 from strandlake.plans.replay import replay_group_by, replay_join
+from strandlake.plans.storage import written
 from strandlake.records import ENVELOPE, ORIGINAL, RESERVED, as_records, decode_headers, encode_headers, restore
 
 SCHEMA = T.StructType([T.StructField("user", T.StringType()), T.StructField("amount", T.LongType()), *ENVELOPE.fields])
@@ -166,7 +167,7 @@ def test_incremental_and_replayed_windows_equal_the_simulation(spark, seed):
     for i, rows in enumerate(batches):
         expected = sim.feed(rows)
         out, state = op.process([batch(spark, *rows)], state)
-        state = {k: v.localCheckpoint() for k, v in state.items()}
+        state = {k: written(v) for k, v in state.items()}
         assert {(r["__partition"], r["user"], r["__window_start"]): (r["total"], r["n"]) for r in out.collect()} == expected
         want += [(i, *k, *v) for k, v in expected.items()]
     rows = batch(spark, *batches[0]).withColumn("batch", F.lit(0))
@@ -196,7 +197,7 @@ def test_incremental_join_equals_replay(spark, seed):
             sides[s] = batch(spark, *rows)
             frames[s].append(sides[s].withColumn("batch", F.lit(b)).select("user", "amount", "batch", *RESERVED))
         out, state = op.process([sides["l"], sides["r"]], state)
-        state = {k: v.localCheckpoint() for k, v in state.items()}
+        state = {k: written(v) for k, v in state.items()}
         seen += [(b, r["left_amount"], r["right_amount"], r["__partition"]) for r in out.collect()]
     whole = {s: frames[s][0].union(frames[s][1]).union(frames[s][2]).union(frames[s][3]) for s in "lr"}
     replayed = replay_join(whole["l"], whole["r"], "user", "user", window)
