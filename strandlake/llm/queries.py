@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, chunking, langid, lmscore, mixing, packing, quality, simhash, substrings
+from . import ann, chat, chunking, clusters, langid, lmscore, mixing, packing, quality, secrets, simhash, substrings, tandem
 from .common import WORD, fold, load
 
 #: The tokenizer of the packing query. Tokenizer files are never part of this repository.
@@ -76,6 +76,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.lloyd(load(spark, sf_dir, "embeddings"), k=16, rounds=3, width=64, scale=64, seed="1:")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(load(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tandem.report(load(spark, sf_dir, "documents"), exponent=4, least=6, change=tandem.repeated)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,9 +101,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_nearest_neighbours,
         op9_language_id,
         op10_substring_dedup,
+        op11_centroid_clustering,
+        op12_secret_scan,
+        op13_periodic_runs,
     )
 }
 
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """Rounds of Lloyd, one table expression each."""
+    finite = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64"
+    parts = [
+        f"kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {finite})",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS m FROM kept ORDER BY sha256('1:' || vec_id), v LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        d = "CAST(list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+        parts.append(f"a{i} AS (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS best FROM (SELECT kept.*, c, {d} AS d FROM kept CROSS JOIN c{i}) GROUP BY r)")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS m FROM
+                (SELECT best.c AS c, j, CAST(sum(v[j]) AS BIGINT) AS s, count(*) AS n FROM a{i} CROSS JOIN (SELECT unnest(range(1, 65)) AS j) GROUP BY best.c, j) GROUP BY c)""")
+            parts.append(f"c{i + 1} AS (SELECT c, coalesce(s{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN s{i} USING (c))")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+            CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON best.c = c"""
+
+
 SQL: dict[str, str] = {
     "op2_chat_format": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -111,4 +145,5 @@ SQL: dict[str, str] = {
         gone AS (SELECT doc_id, list(DISTINCT i) AS g FROM (SELECT doc_id, unnest(range(s, s + 20)) AS i FROM again) GROUP BY doc_id),
         kept AS (SELECT w.doc_id, len(words) AS n, coalesce(len(g), 0) AS r, CASE WHEN g IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(g, i)) END AS k FROM w LEFT JOIN gone USING (doc_id))
         SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept""",
+    "op11_centroid_clustering": _lloyd_sql(16, 3),
 }
