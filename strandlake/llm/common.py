@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -115,6 +116,28 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that writes a frame as a table and reads it again; these tables go when the block ends.
+
+    For loops. A checkpointed frame keeps the size that was estimated for its plan. Joins multiply the sizes of their sides, so in a
+    loop that joins what it made before, these estimates come to have millions of digits, and planning takes longer than
+    the work. A written table's size is that of its files, by which Spark also decides what it broadcasts.
+    """
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def put(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield put
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import scratch, written
 
-#: Nodes up to which a round's merges are broadcast (16 bytes each).
-SMALL = 100_000
+#: Edges up to which a round's tables are made by 8 tasks (16 bytes an edge).
+SMALL = 1_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,29 +17,29 @@ def components(edges: DataFrame) -> DataFrame:
     Each round contracts the graph: every node is merged into the one of itself and its neighbours
     that comes first in a random order, new in each round. A minimum over neighbours combines before
     the shuffle, so a node with very many edges is no hot spot. The rounds needed grow with the
-    logarithm of the number of nodes; their merges are followed from node to root at the end. Edges to oneself and repeated edges do no harm; edges with
-    a null end are dropped; no edges give no rows.
+    logarithm of the number of nodes; their merges are followed from node to root at the end. Edges to oneself and
+    repeated edges do no harm; edges with a null end are dropped; no edges give no rows.
     """
-    given = checkpointed(edges.select("a", "b").dropna().distinct())
-    e, steps = given.filter("a != b"), []
-    while True:
-        turn = len(steps)
-
-        def order(c: str):
-            return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
-
-        first = e.union(e.select("b", "a")).groupBy("a").agg(F.min(order("b")).alias("m"))
-        step = checkpointed(first.select("a", F.least("m", order("a"))["id"].alias("to")))
-        many = step.limit(SMALL + 1).count()
-        if not many:
-            break
-        small = many <= SMALL
-        step = F.broadcast(step.coalesce(8)) if small else step
-        steps.append(step)
-        end = [step.select(F.col("a").alias(f"k{i}"), F.col("to").alias(f"to{i}")) for i in range(2)]
-        e = checkpointed(e.join(end[0], F.col("a") == F.col("k0")).join(end[1], F.col("b") == F.col("k1")).select(F.col("to0").alias("a"), F.col("to1").alias("b")).filter("a != b").distinct())
-        e = e.coalesce(8) if small else e
-    total = given.select(F.col("a").alias("node")).union(given.select("b")).distinct().withColumn("root", F.col("node"))
-    for step in steps:
-        total = total.join(step.withColumnRenamed("a", "k"), F.col("root") == F.col("k"), "left").select("node", F.coalesce("to", "root").alias("root"))
-    return checkpointed(total)
+    spark = edges.sparkSession
+    with scratch(spark) as put:
+        given = put(edges.select("a", "b").dropna().distinct())
+        small = given.count() <= SMALL
+        narrow = (lambda df: df.coalesce(8)) if small else (lambda df: df)
+        e, steps = given.filter("a != b"), []
+        while True:
+            turn = len(steps)
+
+            def order(c: str):
+                return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
+
+            first = e.union(e.select("b", "a")).groupBy("a").agg(F.min(order("b")).alias("m"))
+            step = put(narrow(first.select("a", F.least("m", order("a"))["id"].alias("to"))))
+            if step.isEmpty():
+                break
+            steps.append(step)
+            end = [step.select(F.col("a").alias(f"k{i}"), F.col("to").alias(f"to{i}")) for i in range(2)]
+            e = put(narrow(e.join(end[0], F.col("a") == F.col("k0")).join(end[1], F.col("b") == F.col("k1")).select(F.col("to0").alias("a"), F.col("to1").alias("b")).filter("a != b").distinct()))
+        total = given.select(F.col("a").alias("node")).union(given.select("b")).distinct().withColumn("root", F.col("node"))
+        for step in steps:
+            total = total.join(step.withColumnRenamed("a", "k"), F.col("root") == F.col("k"), "left").select("node", F.coalesce("to", "root").alias("root"))
+        return written(narrow(total))

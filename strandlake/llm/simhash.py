@@ -15,8 +15,7 @@ whose fingerprints are all of one class fall away, and else only what is not of
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpointed, fresh, map_texts, near, slices, without
+from .common import as_bytes, fresh, map_texts, scratch, slices, without, written
 from .components import components
 
 SEED = 42
@@ -72,10 +71,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _bytes_mask(positions: Sequence[int]) -> int:
-    return _signed(sum(255 << 8 * p for p in positions))
-
-
 def _triples() -> list[tuple[int, ...]]:
     """20 sets of three of the eight positions: any four positions hold one of them.
 
@@ -89,115 +84,152 @@ def _triples() -> list[tuple[int, ...]]:
     return out
 
 
-@dataclass(frozen=True)
-class Design:
-    """Posting lists over fingerprints of several 64-bit words, and what a pair must reach.
+#: Lists of more entries than this are split.
+LONG = 256
+#: Rounds of pivots before long lists are searched; they spare comparisons, and what they leave is found all the same.
+PIVOT_ROUNDS = 3
+
+
+def _finer(mask: int) -> list[int]:
+    """The masks by which a long list of ``mask`` (its shared bits) is split; any pair of at most 4 different bits meets in one of the parts.
 
-    ``lists``: (word, positions of the bytes in it) of each kind of list. A list of over ``long`` entries is
-    split by each further byte of that word. ``shared``, ``bits``: least number of shared positional
-    bytes, largest number of different bits.
+    Three bytes: with each of the other five, as a fourth byte is shared. Four bytes: of the eight half bytes in the rest at least four are
+    shared, hence three of one of the 20 sets. Lists of seven shared bytes and half bytes are not split.
     """
+    free = [p for p in range(8) if not mask >> 8 * p & 255]
+    if len(free) == 5:
+        return [mask | 255 << 8 * p for p in free]
+    if len(free) == 4 and not any(mask >> 4 * h & 15 for p in free for h in (2 * p, 2 * p + 1)):
+        halves = [h for p in free for h in (2 * p, 2 * p + 1)]
+        return [mask | sum(15 << 4 * halves[i] for i in three) for three in _triples()]
+    return []
+
+
+#: Lists by level: the shared bits of each kind of list, and of those that split it.
+_LEVELS = [[sum(255 << 8 * p for p in at) for at in _triples()]]
+for _ in range(2):
+    _LEVELS.append(sorted({m for mask in _LEVELS[-1] for m in _finer(mask)}))
+
+
+def _linked(a: Column, b: Column, bits: int) -> Column:
+    """The count filter and the verification of a pair: shared positional bytes, then different bits."""
+    x = a.bitwiseXOR(b)
+    spread = x
+    for shift in (4, 2, 1):
+        spread = spread.bitwiseOR(F.shiftrightunsigned(spread, shift))
+    different = F.bit_count(spread.bitwiseAND(F.lit(0x0101010101010101)))  # a bit for each byte that differs
+    return (different <= bits) & (F.bit_count(x) <= bits)
+
+
+def _entries(nodes: DataFrame) -> DataFrame:
+    """Entries (mask, bytes, node, root) of the first level's lists."""
+    lists = F.explode(F.array(*[F.lit(_signed(m)) for m in _LEVELS[0]])).alias("mask")
+    return nodes.select("node", "root", lists).withColumn("bytes", F.col("node").bitwiseAND(F.col("mask")))
+
+
+def _split(entries: DataFrame) -> DataFrame:
+    """Each entry of a long list, once for each finer list."""
+    pairs = [(_signed(m), _signed(f)) for level in _LEVELS[:2] for m in level for f in _finer(m)]
+    finer = entries.sparkSession.createDataFrame(pairs, "was long, mask long")  # 1,500 rows
+    out = entries.withColumnRenamed("mask", "was").drop("bytes").join(F.broadcast(finer), "was").drop("was")
+    return out.withColumn("bytes", F.col("node").bitwiseAND(F.col("mask")))
+
+
+def _long_lists(nodes: DataFrame, long: int, put: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """(mask, bytes) of the lists with over ``long`` entries, a table for each level that has some and can be split further."""
+    out, entries = [], _entries(nodes)
+    for level in _LEVELS[:2]:
+        found = put(entries.groupBy("mask", "bytes").agg(F.count("*").alias("n")).filter(F.col("n") > long).select("mask", "bytes", F.lit(True).alias("long")))
+        if found.isEmpty():
+            break
+        out.append(found)
+        entries = _split(entries.join(found, ["mask", "bytes"]).drop("long"))
+    return out
 
-    words: int
-    lists: tuple[tuple[int, tuple[int, ...]], ...]
-    shared: int
-    bits: int
-    long: int = 16_384
 
+def _dealt(nodes: DataFrame, lists: list[DataFrame]) -> list[DataFrame]:
+    """The entries of the short lists, and of those of each further level: lists that are short, or can't be split."""
+    out, entries = [], _entries(nodes)
+    for long in lists:
+        marked = entries.join(long, ["mask", "bytes"], "left")
+        out.append(marked.filter("long is null").drop("long"))
+        entries = _split(marked.filter("long").drop("long"))
+    return [*out, entries]
 
-def exact_design(bits: int = 4) -> Design:
-    """For 64-bit fingerprints; it loses no pair of at most ``bits`` <= 4 different bits."""
-    if not 0 <= bits <= 4:
-        raise ValueError("four shared bytes are guaranteed for at most 4 bits")
-    return Design(1, tuple((0, t) for t in _triples()), 8 - bits, bits)
-
-
-def _kept(design: Design) -> Column:
-    """The count filter and the verification of a pair (l, r)."""
-    shared = different = F.lit(0)
-    for k in range(design.words):
-        x = F.col(f"l.w{k}").bitwiseXOR(F.col(f"r.w{k}"))
-        spread = x
-        for shift in (4, 2, 1):
-            spread = spread.bitwiseOR(F.shiftrightunsigned(spread, shift))
-        shared = shared + 8 - F.bit_count(spread.bitwiseAND(F.lit(0x0101010101010101)))  # a bit for each byte that differs
-        different = different + F.bit_count(x)
-    return (shared >= design.shared) & (different <= design.bits)
-
-
-def _long_lists(every: DataFrame, design: Design) -> DataFrame | None:
-    """(list, bytes) of the lists with over ``design.long`` entries; None if there are none."""
-    long = checkpointed(every.groupBy("list", "bytes").agg(F.count("*").alias("n")).filter(F.col("n") > design.long).select("list", "bytes", F.lit(True).alias("long")))
-    return None if long.isEmpty() else near(long)
-
-
-def _postings(nodes: DataFrame, design: Design) -> DataFrame:
-    """Entries (list, bytes, node, root, words) of the lists."""
-    entries = [F.struct(F.lit(i).alias("list"), F.col(f"w{w}").bitwiseAND(F.lit(_bytes_mask(at))).alias("bytes")) for i, (w, at) in enumerate(design.lists)]
-    words = [f"w{k}" for k in range(design.words)]
-    return nodes.select("node", "root", *words, F.explode(F.array(*entries)).alias("e")).select("e.list", "e.bytes", "node", "root", *words)
-
-
-def _split(every: DataFrame, long: DataFrame, design: Design) -> tuple[DataFrame, DataFrame]:
-    """The entries of other lists, and those of ``long`` ones by a further byte, with the main class of each list that has several."""
-    words = [f"w{k}" for k in range(design.words)]
-    marked = every.join(long, ["list", "bytes"], "left")
-    finer = None
-    for i, (w, at) in enumerate(design.lists):
-        cut = F.array(*[F.struct(F.lit(8 * i + p + len(design.lists)).alias("list"), F.col(f"w{w}").bitwiseAND(F.lit(_bytes_mask((*at, p)))).alias("bytes")) for p in range(8) if p not in at])
-        finer = F.when(F.col("list") == i, cut) if finer is None else finer.when(F.col("list") == i, cut)
-    split = marked.filter("long").select("node", "root", *words, F.explode(finer).alias("e")).select("e.list", "e.bytes", "node", "root", *words)
-    of_class = split.groupBy("list", "bytes", "root").agg(F.count("*").alias("n"))
-    main = of_class.groupBy("list", "bytes").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
-    return marked.filter("long is null").drop("long"), split.join(near(checkpointed(main)), ["list", "bytes"])
-
-
-def _partners(nodes: DataFrame, design: Design, long: DataFrame | None = None) -> DataFrame:
+
+def _with_main(entries: DataFrame) -> DataFrame:
+    """Entries of lists that have several classes, with the largest class of each as ``main``."""
+    of_class = entries.groupBy("mask", "bytes", "root").agg(F.count("*").alias("n"))
+    main = of_class.groupBy("mask", "bytes").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
+    return entries.join(main, ["mask", "bytes"])
+
+
+def _partners(nodes: DataFrame, bits: int, lists: list[DataFrame]) -> DataFrame:
     """(node, root, other) for every node with a link to a node of another class: other is one such class."""
-    every, found = _postings(nodes, design), []
-    for k, entries in enumerate((every,) if long is None else _split(every, long, design)):
-        left = (entries.filter("root != main") if k else entries).alias("l")
-        right = entries.alias("r")
+    found = []
+    for level, entries in enumerate(_dealt(nodes, lists)):
+        entries = _with_main(entries) if level else entries
+        left, right = (entries.filter("root != main") if level else entries).alias("l"), entries.alias("r")
         once = F.col("l.node") < F.col("r.node")
-        once = once | (F.col("r.root") == F.col("r.main")) if k else once
-        same = (F.col("l.list") == F.col("r.list")) & (F.col("l.bytes") == F.col("r.bytes"))
-        pairs = left.join(right, same & once & (F.col("l.root") != F.col("r.root")) & _kept(design))
+        once = once | (F.col("r.root") == F.col("r.main")) if level else once
+        same = (F.col("l.mask") == F.col("r.mask")) & (F.col("l.bytes") == F.col("r.bytes"))
+        pairs = left.join(right, same & once & (F.col("l.root") != F.col("r.root")) & _linked(F.col("l.node"), F.col("r.node"), bits))
         ends = [F.struct(F.col(f"{a}.node").alias("node"), F.col(f"{a}.root").alias("root"), F.col(f"{b}.root").alias("other")) for a, b in ("lr", "rl")]
         found.append(pairs.select(F.inline(F.array(*ends))))
     return reduce(DataFrame.union, found).groupBy("node", "root").agg(F.min("other").alias("other"))
 
 
-def _merged(state: DataFrame, edges: DataFrame) -> DataFrame:
+def _pivots(nodes: DataFrame, bits: int, long: DataFrame) -> DataFrame:
+    """Edges (a, b) between classes in long lists: each list's entries outside its main class with the one of them that is nearest to their most frequent bytes."""
+    entries = _with_main(_entries(nodes).join(long, ["mask", "bytes"], "left_semi")).filter("root != main")
+    each = entries.select("mask", "bytes", F.posexplode(F.array(*[F.shiftrightunsigned("node", 8 * p).bitwiseAND(F.lit(255)) for p in range(8)])).alias("at", "byte"))
+    counted = each.groupBy("mask", "bytes", "at", "byte").agg(F.count("*").alias("n"))
+    best = counted.groupBy("mask", "bytes", "at").agg(F.max(F.struct("n", "byte"))["byte"].alias("byte"))
+    centre = best.groupBy("mask", "bytes").agg(F.bit_or(F.expr("shiftleft(byte, 8 * at)")).alias("centre"))
+    distance = F.bit_count(F.col("node").bitwiseXOR(F.col("centre")))
+    pivot = entries.join(centre, ["mask", "bytes"]).groupBy("mask", "bytes").agg(F.min(F.struct(distance.alias("d"), "node", "root")).alias("p"))
+    linked = entries.join(pivot, ["mask", "bytes"]).filter((F.col("root") != F.col("p.root")) & _linked(F.col("node"), F.col("p.node"), bits))
+    return linked.select(F.col("root").alias("a"), F.col("p.root").alias("b")).distinct()
+
+
+def _merged(state: DataFrame, edges: DataFrame, put: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``state`` with the classes that edges(a, b) of roots connect merged."""
     moved = components(edges).select(F.col("node").alias("was"), F.col("root").alias("now"))
-    joined = state.join(near(moved), F.col("root") == F.col("was"), "left")
-    return checkpointed(joined.select("node", *[c for c in state.columns if c.startswith("w")], F.coalesce("now", "root").alias("root"), (F.col("linked") | F.col("now").isNotNull()).alias("linked")))
+    joined = state.join(moved, F.col("root") == F.col("was"), "left")
+    return put(joined.select("node", F.coalesce("now", "root").alias("root"), (F.col("linked") | F.col("now").isNotNull()).alias("linked")))
 
 
-def linked_classes(fps: DataFrame, bits: int = 4, long: int = Design.long) -> DataFrame:
+def linked_classes(fps: DataFrame, bits: int = 4, long: int = LONG) -> DataFrame:
     """node, root, linked for the different numbers in ``fps.fp``: roots are equal if and only if links of at most ``bits`` <= 4 bits connect them.
 
-    ``linked``: whether it has a link. If there are long lists, the links within groups of ``bits`` neighbouring
-    bits come first, of which a fingerprint has at most 15 a group: they merge dense classes before the lists are searched.
+    ``linked``: whether it has a link. If there are long lists, links within groups of ``bits`` neighbouring bits, of which a
+    fingerprint has at most 15 a group, and links to the lists' pivots come first: they merge dense classes before the lists are searched.
     """
-    design = replace(exact_design(bits), long=long)
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    state = checkpointed(fps.select(F.col("fp").alias("node"), F.col("fp").alias("w0"), F.col("fp").alias("root"), F.lit(False).alias("linked")).repartition(n, "node"))
-    if not bits:
-        return state.select("node", "root", "linked")
-    lists = _long_lists(_postings(state, design), design)
-    if lists is not None:
-        masks = [_signed(~(((1 << bits) - 1) << at) & (1 << 64) - 1) for at in range(0, 64, bits)]
-        near_ones = state.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("node").bitwiseAND(F.lit(m)).alias("rest")) for i, m in enumerate(masks)])).alias("g"))
-        groups = near_ones.groupBy("g").agg(F.collect_list("node").alias("all")).filter(F.size("all") > 1)
-        state = _merged(state, groups.select(F.array_min("all").alias("a"), F.explode("all").alias("b")))
-    active = state
-    while True:
-        found = checkpointed(_partners(active, design, lists))
-        if found.isEmpty():
-            return state.select("node", "root", "linked")
-        state = _merged(state, found.select(F.col("root").alias("a"), F.col("other").alias("b")))
-        active = checkpointed(state.join(near(found.select(F.col("node").alias("again"))), F.col("node") == F.col("again"), "left_semi"))
+    if not 0 <= bits <= 4:
+        raise ValueError("four shared bytes are guaranteed for at most 4 bits")
+    spark = fps.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with scratch(spark) as put:
+        state = put(fps.select(F.col("fp").alias("node"), F.col("fp").alias("root"), F.lit(False).alias("linked")).repartition(n, "node"))
+        lists = _long_lists(state, long, put) if bits else []
+        if lists:
+            masks = [_signed(~(((1 << bits) - 1) << at) & (1 << 64) - 1) for at in range(0, 64, bits)]
+            near_ones = state.select("node", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("node").bitwiseAND(F.lit(m)).alias("rest")) for i, m in enumerate(masks)])).alias("g"))
+            groups = near_ones.groupBy("g").agg(F.collect_list("node").alias("all")).filter(F.size("all") > 1)
+            state = _merged(state, groups.select(F.array_min("all").alias("a"), F.explode("all").alias("b")), put)
+            for _ in range(PIVOT_ROUNDS):
+                edges = put(_pivots(state, bits, lists[0]))
+                if edges.isEmpty():
+                    break
+                state = _merged(state, edges, put)
+        active = state
+        while bits:
+            found = put(_partners(active, bits, lists))
+            if found.isEmpty():
+                break
+            state = _merged(state, found.select(F.col("root").alias("a"), F.col("other").alias("b")), put)
+            active = put(state.join(found.select(F.col("node").alias("again")), F.col("node") == F.col("again"), "left_semi"))
+        return written(state)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
@@ -207,14 +239,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bit
     other. Repeated rows come out repeatedly. A null id counts as larger than all others, so a
     component id is null only if all its ids are. An empty table gives no rows.
     """
-    rows = checkpointed(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "fp"))
-    distinct = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    rows = written(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "fp"))
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")))
     # Most fingerprints have no link: only those that have one meet by their root.
     linked = linked_classes(distinct.select("fp"), bits).filter("linked").select("node", "root")
-    linked = checkpointed(distinct.join(near(linked), F.col("fp") == F.col("node"), "left").select("fp", "least", "root"))
-    smallest = near(checkpointed(linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("smallest"))))
-    with_link = linked.filter("root is not null").join(smallest, "root").select(F.col("fp").alias("k"), F.col("smallest").alias("component_id"))
-    named = with_link.union(linked.filter("root is null").select("fp", "least"))
+    rooted = written(distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", "root"))
+    smallest = rooted.filter("root is not null").groupBy("root").agg(F.min("least").alias("smallest"))
+    with_link = rooted.filter("root is not null").join(smallest, "root").select(F.col("fp").alias("k"), F.col("smallest").alias("component_id"))
+    named = with_link.union(rooted.filter("root is null").select("fp", "least"))
     return rows.join(named, F.col("fp") == F.col("k")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -232,9 +264,9 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Rows with the same id and text are of the same class, so the two tell which class's row it is.
     key, chosen_hash, text_hash = fresh(docs, "chosen_id", "chosen_hash", "text_hash")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    rows = checkpointed(fingerprints(rows, "text").select("id", "h", "fp"))
-    first = checkpointed(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")))
-    roots = near(linked_classes(first.select("fp"), bits).filter("linked"))
+    rows = written(fingerprints(rows, "text").select("id", "h", "fp"))
+    first = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")))
+    roots = linked_classes(first.select("fp"), bits).filter("linked")
     first = first.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
     chosen = first.select(F.col("first.id").alias(key), F.col("first.h").alias(chosen_hash))
     docs = docs.withColumn(text_hash, F.xxhash64(text_col))

@@ -1,4 +1,3 @@
-import dataclasses
 import itertools
 import random
 
@@ -8,8 +7,9 @@ import pytest
 import xxhash
 
 from strandlake.llm import queries
+from strandlake.llm.common import scratch
 from strandlake.llm.components import components
-from strandlake.llm.simhash import _long_lists, _partners, _postings, classes, exact_design, fingerprint, first_of_each, linked_classes
+from strandlake.llm.simhash import _LEVELS, _finer, _long_lists, _partners, _triples, classes, fingerprint, first_of_each, linked_classes
 from tests.conftest import DATA
 
 
@@ -70,7 +70,7 @@ def same_classes(got, want):
 
 
 def test_any_four_positions_hold_a_list():
-    triples = [set(at) for _, at in exact_design().lists]
+    triples = [set(at) for at in _triples()]
     assert len(triples) == 20 and all(any(t <= set(four) for t in triples) for four in itertools.combinations(range(8), 4))
 
 
@@ -80,19 +80,33 @@ def near_fingerprints():
     return set(base) | {b ^ sum(1 << k for k in rng.sample(range(64), n)) for b in base for n in (1, 2, 3, 4, 4, 5, 6) for _ in range(4)} | {b ^ 0x0101010100000000 for b in base} | {0, (1 << 64) - 1}
 
 
-@pytest.mark.parametrize("long", [16_384, 3])
-def test_every_fingerprint_with_a_link_is_found(spark, long):
+@pytest.mark.parametrize("long,levels", [(256, 0), (8, 2), (1, 2)])
+def test_every_fingerprint_with_a_link_is_found(spark, long, levels):
     fps = near_fingerprints()
-    df = spark.createDataFrame([(signed(x),) for x in fps], "node long").selectExpr("node", "node AS w0", "node AS root")
-    design = dataclasses.replace(exact_design(), long=long)
-    lists = _long_lists(_postings(df, design), design)
-    assert (lists is None) == (long == 16_384)
-    got = _partners(df, design, lists).collect()
+    df = spark.createDataFrame([(signed(x),) for x in fps], "node long").selectExpr("node", "node AS root")
+    with scratch(spark) as put:
+        lists = _long_lists(df, long, put)
+        assert len(lists) == levels
+        got = _partners(df, 4, lists).collect()
     linked = {signed(a) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 4}
     assert {r["node"] for r in got} == linked and len(got) == len(linked)
     assert all(0 < ((r["node"] ^ r["other"]) & (1 << 64) - 1).bit_count() <= 4 for r in got)
 
 
+def test_finer_lists_lose_no_pair():
+    """Any four different bits leave a list of every level that holds the pair."""
+    rng = random.Random(2)
+    for _ in range(400):
+        x = sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4)))
+        masks = [m for m in _LEVELS[0] if not m & x]
+        for _ in range(2):
+            assert masks
+            for m in masks:
+                assert any(not f & x for f in _finer(m))
+            masks = [f for m in masks for f in _finer(m) if not f & x]
+        assert masks and all(_finer(m) == [] for m in masks)
+
+
 @pytest.mark.parametrize("bits", [4, 3, 1, 0])
 def test_linked_classes(spark, bits):
     fps = near_fingerprints()
@@ -102,18 +116,29 @@ def test_linked_classes(spark, bits):
     assert {r["node"] for r in got if r["linked"]} == {x for p in pairs for x in p}
 
 
-def test_many_variants_of_one_fingerprint(spark):
-    """Thousands of fingerprints within four bits of one: millions of links, none written out, one class."""
+@pytest.mark.parametrize("count,centred", [(190_000, True), (6_000, False)])
+def test_many_variants_of_one_fingerprint(spark, count, centred):
+    """Fingerprints within four bits of one, which is there or not: many millions of links, none written out, few classes."""
     rng = np.random.default_rng(1)
-    flips = (np.uint64(1) << rng.integers(64, size=(6_000, 4), dtype=np.uint64))
+    flips = np.uint64(1) << rng.integers(64, size=(count, 4), dtype=np.uint64)
     flips[rng.random(flips.shape) < 0.2] = 0
     center = np.uint64(0x0123456789ABCDEF)
     fps = np.unique(np.append(np.bitwise_xor.reduce(flips, axis=1) ^ center, [center, ~center]))
-    assert len(fps) > 4_000
-    got = linked_classes(spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)})), long=256)
+    assert len(fps) > 100_000 or not centred
+    if not centred:
+        fps = fps[np.bitwise_count(fps ^ center) != 0]
+    got = linked_classes(spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)})))
+    # Every two of those with at most two flips are linked, and every other one with one of these.
     assert sorted(r["count"] for r in got.groupBy("root").count().collect()) == [1, len(fps) - 1]
 
 
+def test_estimates_do_not_grow_with_the_rounds(spark):
+    """A path is contracted in many rounds."""
+    got = components(spark.range(3000).selectExpr("id AS a", "id + 1 AS b"))
+    assert {r["count"] for r in got.groupBy("root").count().collect()} == {3001}
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
