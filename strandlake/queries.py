@@ -23,7 +23,7 @@ from .plans.topology import Topology
 from .records import decode_headers, encode_headers, to_raw
 from .sources import framing
 from .sources.codecs import BlobCodec, FrameCodec, GzipCodec, JsonCodec, infer_json
-from .streaming import dsl
+from .streaming import bounded, dsl, keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -564,3 +564,96 @@ def custom_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     operator = S.Custom(_Running, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("total", T.LongType())]))
     _, state = operator.process([df.filter(F.col("event_id") % 2 == 0)], {})
     return operator.process([df.filter(F.col("event_id") % 2 == 1)], state)[0]
+
+
+# Streams: each table is fed in three pieces, and the state between them lies in Spark's store.
+
+PIECES = 3
+
+
+def _in_pieces(df: DataFrame, number: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    feed = bounded.Feed(df, F.expr(number))
+    return bounded.run(operator(feed.frame), feed, batches=PIECES)
+
+
+_E3 = "E3 AS (SELECT event_id, user_id, event_type, value, cents, t, p, event_id % 3 AS batch FROM E )"
+
+
+@query(f"""WITH {_E3}, B AS (SELECT DISTINCT p, batch FROM E3)
+ SELECT B.batch AS batch, B.p AS __partition, event_type, CAST(sum(cents) AS BIGINT) AS total, count(*) AS n FROM B JOIN E3 ON E3.p = B.p AND E3.batch <= B.batch GROUP BY B.batch, B.p, event_type""")
+def live_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_pieces(events(spark, sf_dir), "event_id % 3", lambda df: keyed.group_by(df, ["event_type"], *_TOTALS))
+
+
+@query(f"""WITH {_E3}, B AS (SELECT p, batch, max(m) OVER (PARTITION BY p ORDER BY batch) AS st FROM (SELECT p, batch, max(t) AS m FROM E3 GROUP BY p, batch)),
+ W AS (SELECT *, t - ((t % {DAY}) + {DAY}) % {DAY} AS ws FROM E3)
+ SELECT B.batch AS batch, B.p AS __partition, event_type, ws AS __window_start, ws + {DAY} AS __window_end, CAST(sum(cents) AS BIGINT) AS total, count(*) AS n
+ FROM B JOIN W ON W.p = B.p AND W.batch <= B.batch AND ws + {DAY} >= st - {3 * DAY} GROUP BY B.batch, B.p, event_type, ws""")
+def live_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_pieces(events(spark, sf_dir), "event_id % 3", lambda df: keyed.group_by(df, ["event_type"], *_TOTALS, size=DAY, retention=3 * DAY))
+
+
+@query(f"""WITH {_E3}, T AS (SELECT p, batch, max(m) OVER (PARTITION BY p ORDER BY batch) AS st FROM (SELECT p, batch, max(t) AS m FROM E3 WHERE event_type IN ('click', 'purchase') GROUP BY p, batch)),
+ C AS (SELECT *, max(t) OVER (PARTITION BY p, batch) AS latest FROM E3 WHERE event_type = 'click'),
+ P AS (SELECT *, max(t) OVER (PARTITION BY p, batch) AS latest FROM E3 WHERE event_type = 'purchase')
+ SELECT C.event_id AS left_event_id, P.event_id AS right_event_id, greatest(C.batch, P.batch) AS batch
+ FROM C JOIN P ON C.p = P.p AND C.user_id = P.user_id AND abs(C.t - P.t) <= {HOUR * 12} JOIN T ON T.p = C.p AND T.batch = greatest(C.batch, P.batch)
+ WHERE C.batch = P.batch OR CASE WHEN C.batch < P.batch THEN C.latest ELSE P.latest END >= st - {HOUR * 12}""")
+def live_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_pieces(events(spark, sf_dir), "event_id % 3", lambda df: keyed.interval_join(*_clicks(df), "user_id", "user_id", 12 * HOUR)).select("left_event_id", "right_event_id", "batch")
+
+
+def _table_changes(df: DataFrame, kind: str, gone: int) -> DataFrame:
+    rows = df.filter(F.col("event_type") == kind)
+    return rows.select(F.col("user_id").alias("key"), "cents", F.col("event_id").alias("version"), (F.col("event_id") % gone == 0).alias("deleted"))
+
+
+@query("""SELECT coalesce(a.user_id, b.user_id) AS key, a.cents AS left_cents, b.cents AS right_cents FROM
+ (SELECT * FROM (SELECT * FROM E WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_id % 5 <> 0) a FULL JOIN
+ (SELECT * FROM (SELECT * FROM E WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_id % 7 <> 0) b ON a.user_id = b.user_id""")
+def live_table_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two changelogs with tombstones, whose rows come in any order; the signed changes of the join add up to its current rows."""
+    changes = _in_pieces(events(spark, sf_dir), "2 - event_id % 3", lambda df: keyed.table_join(_table_changes(df, "click", 5), _table_changes(df, "view", 7), how="full"))
+    return keyed.settled_rows(changes.drop("batch"))
+
+
+@query("""SELECT o_orderkey AS key, o_totalprice AS left_o_totalprice, c.segment AS right_segment FROM
+ (SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 100 + 1 ELSE o_custkey END AS fk FROM orders WHERE o_orderkey % 10 <> 7) o LEFT JOIN
+ (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 9 <> 0) c ON o.fk = c.c_custkey""")
+def live_foreign_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and customers as changelogs: orders move to other customers or go, customers change or go; the join is kept up."""
+    steps = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("version")
+    o = orders(spark, sf_dir).select(F.col("o_orderkey").alias("key"), "o_totalprice", "o_custkey", steps)
+    o = o.filter("version = 0 or (version = 1 and key % 3 = 0) or (version = 2 and key % 10 = 7)")
+    o = o.select("key", "o_totalprice", F.when((F.col("key") % 3 == 0) & (F.col("version") > 0), F.col("o_custkey") % 100 + 1).otherwise(F.col("o_custkey")).alias("fk"), "version", (F.col("version") == 2).alias("deleted"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"), "c_mktsegment", steps)
+    c = c.filter("version = 0 or (version = 1 and key % 4 = 0) or (version = 2 and key % 9 = 0)")
+    c = c.select("key", F.when(F.col("version") > 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("segment"), "version", (F.col("version") == 2).alias("deleted"))
+    feeds = [bounded.Feed(df, F.col("version")) for df in (o, c)]
+    joined = keyed.foreign_join(feeds[0].frame, feeds[1].frame, F.col("fk"), how="left")
+    return keyed.settled_rows(bounded.run(joined, *feeds, batches=PIECES).select("key", "left_o_totalprice", "right_segment", "change"))
+
+
+@query("SELECT c.user_id AS key, c.event_id, v.event_id AS version_event_id FROM E c ASOF JOIN (SELECT user_id, t, max(event_id) AS event_id FROM E WHERE event_type = 'view' GROUP BY user_id, t) v ON c.user_id = v.user_id AND c.t >= v.t WHERE c.event_type = 'purchase'")
+def live_as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions come up to the whole time late, and correct what was shown before."""
+
+    def joined(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col("user_id").alias("key"), F.col("__timestamp").alias("ts"), "event_id", "event_type")
+        views = rows.filter("event_type = 'view'").select("key", "ts", "event_id", F.col("event_id").alias("version"))
+        return keyed.as_of_join(rows.filter("event_type = 'purchase'").select("key", "ts", "event_id"), views, 3650 * DAY)
+
+    changes = _in_pieces(events(spark, sf_dir), "event_id % 3", joined)
+    return keyed.settled_rows(changes.select("key", "event_id", "version_event_id", "change"))
+
+
+@query(f"""WITH S AS (SELECT user_id, t, cents, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id) AS g FROM
+ (SELECT user_id, event_id, t, cents, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= {HOUR} THEN 0 ELSE 1 END AS fresh FROM E ))
+ SELECT user_id AS key, min(t) AS window_start, max(t) AS window_end, CAST(sum(cents) AS BIGINT) AS total, count(*) AS n FROM S GROUP BY user_id, g""")
+def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that late records extend and connect."""
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return keyed.sessions(df.select(F.col("user_id").alias("key"), F.col("__timestamp").alias("ts"), "cents"), HOUR, *_TOTALS)
+
+    return keyed.settled_rows(_in_pieces(events(spark, sf_dir), "event_id % 3", grouped).drop("batch"))
