@@ -122,9 +122,10 @@ def _linked(a: Column, b: Column, bits: int) -> Column:
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
-    """Entries (mask, bytes, node, root) of the first level's lists."""
+    """Entries (node, root, mask, bytes) of the first level's lists."""
     lists = F.explode(F.array(*[F.lit(_signed(m)) for m in _LEVELS[0]])).alias("mask")
-    return nodes.select("node", "root", lists).withColumn("bytes", F.col("node").bitwiseAND(F.col("mask")))
+    kept = [c for c in ("node", "root") if c in nodes.columns]
+    return nodes.select(*kept, lists).withColumn("bytes", F.col("node").bitwiseAND(F.col("mask")))
 
 
 def _split(entries: DataFrame) -> DataFrame:
@@ -135,25 +136,29 @@ def _split(entries: DataFrame) -> DataFrame:
     return out.withColumn("bytes", F.col("node").bitwiseAND(F.col("mask")))
 
 
-def _long_lists(nodes: DataFrame, long: int, put: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
-    """(mask, bytes) of the lists with over ``long`` entries, a table for each level that has some and can be split further."""
+#: A level's lists that are split: (mask, bytes) of the long ones, and their entries (node, mask, bytes).
+Long = tuple[DataFrame, DataFrame]
+
+
+def _long_lists(nodes: DataFrame, long: int, put: Callable[[DataFrame], DataFrame]) -> list[Long]:
+    """The lists with over ``long`` entries, of each level that has some and can be split further. Their entries are made once and kept."""
     out, entries = [], _entries(nodes)
     for level in _LEVELS[:2]:
         found = put(entries.groupBy("mask", "bytes").agg(F.count("*").alias("n")).filter(F.col("n") > long).select("mask", "bytes", F.lit(True).alias("long")))
         if found.isEmpty():
             break
-        out.append(found)
-        entries = _split(entries.join(found, ["mask", "bytes"]).drop("long"))
+        inside = put(entries.join(found, ["mask", "bytes"], "left_semi").select("node", "mask", "bytes"))
+        out.append((found, inside))
+        entries = _split(inside)
     return out
 
 
-def _dealt(nodes: DataFrame, lists: list[DataFrame]) -> list[DataFrame]:
+def _dealt(nodes: DataFrame, lists: list[Long]) -> list[DataFrame]:
     """The entries of the short lists, and of those of each further level: lists that are short, or can't be split."""
     out, entries = [], _entries(nodes)
-    for long in lists:
-        marked = entries.join(long, ["mask", "bytes"], "left")
-        out.append(marked.filter("long is null").drop("long"))
-        entries = _split(marked.filter("long").drop("long"))
+    for found, inside in lists:
+        out.append(entries.join(found, ["mask", "bytes"], "left_anti"))
+        entries = _split(inside).join(nodes.select("node", "root"), "node")
     return [*out, entries]
 
 
@@ -164,7 +169,7 @@ def _with_main(entries: DataFrame) -> DataFrame:
     return entries.join(main, ["mask", "bytes"])
 
 
-def _partners(nodes: DataFrame, bits: int, lists: list[DataFrame]) -> DataFrame:
+def _partners(nodes: DataFrame, bits: int, lists: list[Long]) -> DataFrame:
     """(node, root, other) for every node with a link to a node of another class: other is one such class."""
     found = []
     for level, entries in enumerate(_dealt(nodes, lists)):
@@ -179,9 +184,9 @@ def _partners(nodes: DataFrame, bits: int, lists: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, found).groupBy("node", "root").agg(F.min("other").alias("other"))
 
 
-def _pivots(nodes: DataFrame, bits: int, long: DataFrame) -> DataFrame:
+def _pivots(nodes: DataFrame, bits: int, long: Long) -> DataFrame:
     """Edges (a, b) between classes in long lists: each list's entries outside its main class with the one of them that is nearest to their most frequent bytes."""
-    entries = _with_main(_entries(nodes).join(long, ["mask", "bytes"], "left_semi")).filter("root != main")
+    entries = _with_main(long[1].join(nodes.select("node", "root"), "node")).filter("root != main")
     each = entries.select("mask", "bytes", F.posexplode(F.array(*[F.shiftrightunsigned("node", 8 * p).bitwiseAND(F.lit(255)) for p in range(8)])).alias("at", "byte"))
     counted = each.groupBy("mask", "bytes", "at", "byte").agg(F.count("*").alias("n"))
     best = counted.groupBy("mask", "bytes", "at").agg(F.max(F.struct("n", "byte"))["byte"].alias("byte"))
