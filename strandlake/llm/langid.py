@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, map_texts, slices, without
+from .common import as_bytes, map_texts, slices, without, written
 
 ORDER = 4
 START, END = "\x02", "\x03"
@@ -186,23 +186,29 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 1_000, bound: float = 0.999, languages: int = 500) -> Model | None:
+#: Documents that a language gives at least, if it has them.
+FEW = 20
+
+
+def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = 1_000, bound: float = 0.999, most: int = 200_000) -> Model | None:
     """Models of the languages of the rows that ``where`` admits; None if there are none.
 
-    About ``rows`` documents of each language are taken, by a hash of their id (a language with
-    fewer: all); of more than ``languages`` different values the most frequent ones are learnt (ties: the first
-    by code point), so what reaches the driver is bounded. Four fifths of them are counted; the rest calibrate the temperature of the scores
-    and the bound of rejection, the ``bound`` quantile of their cross-entropies.
+    About ``rows`` documents of each language are taken, by a hash of their id (a language with fewer: all). If
+    there are so many languages that these were over ``most`` documents, each gives an equal part of ``most``, but 20 documents
+    at least, so every language is learnt. Four fifths are counted; the rest calibrate the temperature of the scores and the bound of
+    rejection, the ``bound`` quantile of their cross-entropies. A language that gives under 20 documents is counted whole, and never rejected.
     Rows with a null text or language teach nothing.
     """
     known = docs.filter(F.coalesce(where, F.lit(False))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    sizes = {r["lang"]: r["n"] for r in top.collect()}
-    if not sizes:
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = sizes.count()
+    if not languages:
         return None
-    shares = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))])
+    each = min(rows, max(FEW, most // languages))
     h = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("text")), F.lit("lang")), 34)
-    sample = known.withColumn("h", h).filter(F.col("h") < F.element_at(shares, F.col("lang")) * F.lit(float(1 << 30)))
+    sample = known.withColumn("h", h).join(sizes.withColumnRenamed("lang", "l"), F.col("lang") == F.col("l")).drop("l")
+    sample = sample.filter(F.col("h") < F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")) * F.lit(float(1 << 30)))
+    counts_too = F.least("n", F.lit(each)) < FEW
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = defaultdict(Counter)
@@ -216,14 +222,14 @@ def fit(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str =
                     out[lang, g] += n
         yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in out], pa.string()), "gram": pa.array([k[1] for k in out], pa.string()), "n": pa.array(list(out.values()), pa.int64())})
 
-    counted = map_texts(sample.filter("h % 5 > 0").select("text", "lang"), count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    counted = map_texts(sample.filter((F.col("h") % 5 > 0) | counts_too).select("text", "lang"), count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, gram, n in zip(counted["lang"], counted["gram"], counted["n"]):
         counts[lang][gram] = n
     if not counts:
         return None
     model = estimate(counts)
-    _calibrate(model, sample.filter("h % 5 = 0").select("text", "lang"), bound)
+    _calibrate(model, sample.filter((F.col("h") % 5 == 0) & ~counts_too).select("text", "lang"), bound)
     return model
 
 

@@ -94,3 +94,15 @@ def test_rejection(spark):
     model = langid.fit(docs, F.lit(True))
     noise = spark.createDataFrame([(1, "qzx wvk jjq xkcd zqw vbn kjh " * 20)], "doc_id long, text string")
     assert langid.identify(noise, model).head()["lang_pred"] == "und"
+
+
+def test_no_language_is_left_out(spark):
+    """Many languages of few documents each: all are learnt, also where they share a small budget."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(3 * i + j, f"{letters[i % 26]}{letters[i // 26]}q{letters[i // 26]}{letters[i % 26]} " * 6, f"l{i:03}") for i in range(600) for j in range(1 + i % 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (200_000, 100):
+        model = langid.fit(docs, F.lit(True), most=most)
+        assert len(model.languages) == 600
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model, reject=False).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.99
