@@ -6,6 +6,7 @@ Sums are of whole numbers, times are milliseconds, bytes are hexadecimal text, s
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from .functions.aggregates import Aggregate, Aggregation
 from .operators import relational as R
 from .operators import stateful as S
+from .operators import table_functions
 from .plans import replay
 from .plans.tables import REPLAY, events, lineitem, orders
 from .plans.topology import Topology
@@ -483,19 +485,6 @@ def store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, sf_dir).group_by_key().count("n").range(10, 20)
 
 
-@query("""SELECT user_id, CAST(sum(cents) AS BIGINT) AS total, p AS __partition FROM E WHERE batch <= 1 GROUP BY user_id, p
- HAVING count(*) FILTER (WHERE batch = 1) > 0 OR p IN (SELECT p FROM E WHERE batch = 1)""")
-def topology_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches through one topology: what it shows after the second."""
-    t = Topology()
-    totals = t.add_group_by("totals", ["user_id"], [Aggregation("cents", "total", SUM)], t.add_source("events", "events", FrameCodec()))
-    t.add_sink("out", "totals", FrameCodec(), totals)
-    built, df = t.build(), events(spark, sf_dir)
-    for b in range(2):
-        out = built.run_batch("events", df.filter(F.expr(f"event_id div {REPLAY}L") == b))
-    return out["totals"]
-
-
 @query("SELECT user_id, CAST(sum(cents) AS BIGINT) AS total, p AS __partition FROM E GROUP BY user_id, p HAVING p IN (SELECT p FROM E WHERE coalesce(event_id % 2 = 1, false))")
 def topology_whole_in_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event, in two batches through one topology: what it shows after the second."""
@@ -657,3 +646,53 @@ def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         return keyed.sessions(df.select(F.col("user_id").alias("key"), F.col("__timestamp").alias("ts"), "cents"), HOUR, *_TOTALS)
 
     return keyed.settled_rows(_in_pieces(events(spark, sf_dir), "event_id % 3", grouped).drop("batch"))
+
+
+@query("SELECT event_id, event_type, cents, t AS ts, p AS part FROM E")
+def log_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events sent to an offset log by a stream of three micro-batches, and read back as a bounded topic."""
+    from .plans.storage import shared_folder
+    from .sources.log import OffsetLog
+
+    spark.dataSource.register(OffsetLog)
+    codec = JsonCodec()
+    rows = R.select(events(spark, sf_dir), "event_id", "event_type", "cents")
+    schema = rows.select("event_id", "event_type", "cents").schema
+    raw, folder = codec.encode(rows).drop("offset"), f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    feed = bounded.Feed(raw, F.pmod(F.xxhash64("value"), F.lit(PIECES)))
+    for i in range(PIECES):
+        feed.push(i)
+        feed.frame.writeStream.format("offset_log").option("folder", folder).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    back = JsonCodec(schema).decode(spark.read.format("offset_log").option("folder", folder).load())
+    return back.select("event_id", "event_type", "cents", F.col("__timestamp").alias("ts"), F.col("__partition").alias("part"))
+
+
+class _Visits:
+    """Numbers a user's visits: a new one begins after an hour without an event."""
+
+    def __init__(self) -> None:
+        self.visit, self.last = 0, None
+
+    def row(self, r) -> list[tuple]:
+        if self.last is None or r["t"] - self.last > HOUR:
+            self.visit += 1
+        self.last = r["t"]
+        return [(r["user_id"], r["event_id"], self.visit)]
+
+
+@query(f"""SELECT user_id, event_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id) AS BIGINT) AS visit FROM
+ (SELECT user_id, event_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= {HOUR} THEN 0 ELSE 1 END AS fresh FROM E )""")
+def table_function_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A custom operator with state, in SQL, by partition and in order."""
+    table_functions.register(spark, "visits", _Visits, "user_id long, event_id long, visit long")
+    rows = events(spark, sf_dir).select("user_id", "event_id", F.col("__timestamp").alias("t"))
+    return spark.sql("SELECT * FROM visits(TABLE({rows}) PARTITION BY user_id ORDER BY (t, event_id))", rows=rows)
+
+
+@query("SELECT CASE WHEN cents > 5000 THEN 'large' ELSE 'click' END AS branch, event_id, cents FROM E WHERE cents > 5000 OR event_type = 'click'")
+def table_function_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event to the first branch that accepts it, in SQL."""
+    branches = {"large": lambda r: r["cents"] > 5000, "click": lambda r: r["event_type"] == "click"}
+    rows = events(spark, sf_dir).select("event_id", "cents", "event_type")
+    table_functions.register(spark, "routed", table_functions.splitter(branches, rows.select("event_id", "cents").schema))
+    return spark.sql("SELECT * FROM routed(TABLE({rows}))", rows=rows)

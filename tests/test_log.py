@@ -1,0 +1,125 @@
+"""The offset log: round trips, bounded reads, streams, and writers that die between write and commit."""
+
+import os
+from collections import Counter
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from strandlake.sources.log import OffsetLog, Store, StreamWriter, write_runs
+from strandlake.streaming import bounded
+
+
+@pytest.fixture(scope="module")
+def log(spark):
+    spark.dataSource.register(OffsetLog)
+    spark.dataSource.register(Dying)
+    return spark
+
+
+class DyingWriter(StreamWriter):
+    """Dies once before its commit, and once after it, as files beside the log say."""
+
+    def commit(self, messages, batchId):  # noqa: N803
+        marks = [f"{self.folder}/{m}-{batchId}" for m in ("before", "after")]
+        if batchId == 1 and not os.path.exists(marks[0]):
+            open(marks[0], "w").close()
+            raise RuntimeError("died before the commit")
+        super().commit(messages, batchId)
+        if batchId == 1 and not os.path.exists(marks[1]):
+            open(marks[1], "w").close()
+            raise RuntimeError("died after the commit")
+
+    def abort(self, messages, batchId):  # noqa: N803
+        return None  # a process that died cleans up nothing
+
+
+class Dying(OffsetLog):
+    @classmethod
+    def name(cls):
+        return "dying_log"
+
+    def streamWriter(self, schema, overwrite):  # noqa: N802
+        return DyingWriter(self._folder(), "w")
+
+
+def records(spark, n=500):
+    return spark.range(n).select(
+        F.when(F.col("id") % 7 > 0, F.col("id").cast("string").cast("binary")).alias("key"), F.concat(F.lit("v"), F.col("id")).cast("binary").alias("value"), (F.col("id") * 10).alias("timestamp"),
+        (F.col("id") % 3).cast("int").alias("partition"), F.array(F.struct(F.lit("h").alias("key"), F.lit(None).cast("binary").alias("value"))).alias("headers"), F.col("id"),
+    )
+
+
+RAW_NAMES = ["key", "value", "timestamp", "partition", "headers"]
+
+
+def read(spark, folder, **options):
+    return spark.read.format("offset_log").option("folder", folder).options(**options).load()
+
+
+def test_bounded_round_trip_and_offsets(log, tmp_path):
+    folder = str(tmp_path / "t")
+    df = records(log)
+    for part in (df.filter("id < 200"), df.filter("id >= 200").repartition(5), df.limit(0)):
+        part.select(RAW_NAMES).write.format("offset_log").option("folder", folder).mode("append").save()
+    got = read(log, folder)
+    assert Counter(map(str, got.select(RAW_NAMES).collect())) == Counter(map(str, df.select(RAW_NAMES).collect()))
+    for p, n in ((0, 167), (1, 167), (2, 166)):
+        assert sorted(r["offset"] for r in got.filter(f"partition = {p}").collect()) == list(range(n))
+    some = read(log, folder, **{"from": '{"0": 30, "1": 500, "2": 160}', "to": '{"0": 41}'})
+    assert sorted((r["partition"], r["offset"]) for r in some.collect()) == [(0, o) for o in range(30, 41)] + [(2, o) for o in range(160, 166)]
+    whole = {(r["partition"], r["offset"]): bytes(r["value"]) for r in got.collect()}
+    assert all(whole[r["partition"], r["offset"]] == bytes(r["value"]) for r in some.collect())
+
+
+def test_runs_are_cut_and_uncommitted_files_count_for_nothing(log, tmp_path):
+    folder = str(tmp_path / "t")
+    batches = records(log, 100).withColumn("offset", F.lit(0).cast("long")).select(*RAW_NAMES, "offset").toArrow().to_batches(max_chunksize=20)
+    told = write_runs(folder, iter(batches), rows=10)
+    assert sum(r["rows"] for r in told.runs) == 100 and len(told.runs) > 5
+    assert pq.ParquetFile(f"{folder}/data/{told.runs[0]['file']}").num_row_groups == len(told.runs)
+    assert read(log, folder).collect() == [] and Store(folder).ends() == {}
+    store = Store(folder)
+    assert store.commit("w", 4, [dict(r) for r in told.runs]) and not store.commit("w", 4, [dict(r) for r in told.runs]) and store.commit("w", 5, [])
+    assert read(log, folder).count() == 100 and store.ends() == {0: 34, 1: 33, 2: 33} and len(store.listed()) == 2
+
+
+def test_streams_both_ways(log, tmp_path):
+    folder, feed = str(tmp_path / "t"), bounded.Feed(records(log), F.col("id") % 4)
+    progress, out = str(tmp_path / "c"), str(tmp_path / "d")
+    stream = log.readStream.format("offset_log").option("folder", folder).load()
+    seen = []
+    for i in range(4):
+        feed.push(i)
+        feed.frame.select(RAW_NAMES).writeStream.format("offset_log").option("folder", folder).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+        stream.writeStream.foreachBatch(lambda rows, _: seen.extend(rows.collect())).option("checkpointLocation", out).trigger(availableNow=True).start().awaitTermination()
+    assert Counter(bytes(r["value"]) for r in seen) == Counter(bytes(r["value"]) for r in records(log).collect())
+    assert len({(r["partition"], r["offset"]) for r in seen}) == 500
+
+
+def test_nothing_twice_or_lost_when_the_writer_dies(log, tmp_path):
+    folder, feed = str(tmp_path / "t"), bounded.Feed(records(log), F.col("id") % 3)
+    deaths = 0
+    for i in [0, 1, 1, 1, 2]:
+        feed.push(i)
+        query = feed.frame.select(RAW_NAMES).writeStream.format("dying_log").option("folder", folder).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+        except Exception as e:
+            assert "died" in str(e)
+            deaths += 1
+    assert deaths == 2
+    got = read(log, folder)
+    assert Counter(bytes(r["value"]) for r in got.collect()) == Counter(bytes(r["value"]) for r in records(log).collect())
+    named = {r["file"] for r in Store(folder).runs()}
+    assert named < {f for f in os.listdir(f"{folder}/data") if f.endswith(".parquet")}  # what the first death left is there, and not read
+
+
+def test_errors(log, tmp_path):
+    with pytest.raises(Exception, match="needs a partition"):
+        records(log, 3).withColumn("partition", F.lit(None).cast("int")).select(RAW_NAMES).write.format("offset_log").option("folder", str(tmp_path / "e")).mode("append").save()
+    with pytest.raises(Exception, match="option folder"):
+        log.read.format("offset_log").load().collect()
+    with pytest.raises(Exception, match="not overwritten"):
+        records(log, 3).select(RAW_NAMES).write.format("offset_log").option("folder", str(tmp_path / "e")).mode("overwrite").save()
