@@ -75,7 +75,8 @@ def json_schema(previous: str, candidate: str, mode: Mode) -> list[str]:
     """Whether the reader's schema admits every document that the writer's schema describes.
 
     Writers are taken to write declared properties only, so a new optional property does no harm. An integer is a
-    number. ``allOf`` is joined, ``anyOf`` and ``oneOf`` are read as alternatives, local references are followed; of
+    number. A reader must take each part of its ``allOf``, a writer keeps to all parts of its own; ``anyOf`` and ``oneOf`` are alternatives
+    beside the other keywords; local references are followed; of
     other keywords that restrict, a reader may not have one that the writer hasn't just so.
     """
     try:
@@ -88,15 +89,23 @@ def json_schema(previous: str, candidate: str, mode: Mode) -> list[str]:
     return out
 
 
+#: Words that restrict documents in ways that aren't compared: a reader's must be the writer's too.
+_AS_WRITTEN = (
+    "pattern", "format", "multipleOf", "uniqueItems", "not", "patternProperties", "propertyNames", "dependencies", "dependentRequired", "dependentSchemas",
+    "contains", "minContains", "maxContains", "prefixItems", "additionalItems", "unevaluatedItems", "unevaluatedProperties", "if", "then", "else",
+)
+
+
 class _Containment:
     """Search for documents that a writer's schema describes and a reader's doesn't."""
 
     def __init__(self, reader_root: Any, writer_root: Any):
         self.roots = {True: reader_root, False: writer_root}
         self.open: set[tuple[int, int]] = set()
+        self.joined: dict[tuple[int, int], tuple] = {}
 
     def plain(self, schema: Any, reads: bool) -> dict:
-        """A schema as an object, its reference followed and its ``allOf`` joined."""
+        """A schema as an object, its reference followed; of a writer's ``allOf`` the parts are joined to one."""
         hops = 0
         while isinstance(schema, dict) and "$ref" in schema:
             target: Any = self.roots[reads]
@@ -107,14 +116,38 @@ class _Containment:
                 raise ValueError("a reference leads back to itself")
         if isinstance(schema, bool):
             return {} if schema else {"enum": []}
-        for part in schema.get("allOf", []):
-            part = self.plain(part, reads)
-            joined = {**part, **{k: v for k, v in schema.items() if k != "allOf"}}
-            joined["properties"] = {**part.get("properties", {}), **schema.get("properties", {})}
-            joined["required"] = [*part.get("required", []), *schema.get("required", [])]
-            schema = {k: v for k, v in joined.items() if v or k not in ("properties", "required")}
+        if not reads and "allOf" in schema:
+            whole = {k: v for k, v in schema.items() if k != "allOf"}
+            for part in schema["allOf"]:
+                whole = self.both(whole, self.plain(part, False))
+            return whole
         return schema
 
+    def both(self, a: dict, b: dict) -> dict:
+        """What a writer gives that keeps to both. Of two patterns and the like the first is kept: that gives more, so nothing is wrongly let through."""
+        if not a or not b:
+            return a or b
+        if (id(a), id(b)) not in self.joined:
+            out = {**b, **a}
+            for word, sign in (*_LEAST, *_MOST):
+                if word in a and word in b:
+                    out[word] = sign * max(sign * a[word], sign * b[word])
+            if "type" in a and "type" in b:
+                out["type"] = sorted(self.kinds({"type": a["type"]}) & self.kinds({"type": b["type"]}))
+            lists = [x["enum"] if "enum" in x else [x["const"]] for x in (a, b) if "enum" in x or "const" in x]
+            if lists:
+                out.pop("const", None)
+                out["enum"] = [v for v in lists[0] if all(v in x for x in lists)]
+            mine, other = a.get("properties", {}), b.get("properties", {})
+            if mine or other:
+                out["properties"] = {n: {"allOf": [mine[n], other[n]]} if n in mine and n in other else mine.get(n, other.get(n)) for n in {**mine, **other}}
+            if "required" in a or "required" in b:
+                out["required"] = [*a.get("required", []), *b.get("required", [])]
+            if "items" in a and "items" in b:
+                out["items"] = {"allOf": [a["items"], b["items"]]}
+            self.joined[id(a), id(b)] = (a, b, out)
+        return self.joined[id(a), id(b)][2]
+
     @staticmethod
     def kinds(schema: dict) -> set[str]:
         """JSON types that a schema admits."""
@@ -136,13 +169,30 @@ class _Containment:
         finally:
             self.open.discard(key)
 
+    def _within(self, reader: Any, w: dict, at: str) -> list[str]:
+        """One part of a reader's schema against a writer's that is plain already."""
+        key = (id(reader), id(w))
+        if key in self.open:
+            return []
+        self.open.add(key)
+        try:
+            return self._compared(self.plain(reader, True), w, at)
+        finally:
+            self.open.discard(key)
+
     def _compared(self, r: dict, w: dict, at: str) -> list[str]:
         for word in ("anyOf", "oneOf"):
             if word in w:
-                return [e for x in w[word] for e in self.of(r, x, at)]
-        for word in ("anyOf", "oneOf"):
+                # Each alternative gives documents together with what stands beside it.
+                beside = {k: v for k, v in w.items() if k != word}
+                return [e for x in w[word] for e in (self._compared(r, self.both(beside, self.plain(x, False)), at) if beside else self.of(r, x, at))]
+        for word in ("allOf", "anyOf", "oneOf"):
             if word in r:
-                return [] if any(not self.of(x, w, at) for x in r[word]) else [f"{at} fits no alternative of the reader"]
+                beside = {k: v for k, v in r.items() if k != word}
+                out = self._compared(beside, w, at)
+                if word == "allOf":
+                    return out + [e for x in r[word] for e in self._within(x, w, at)]
+                return out if any(not self._within(x, w, at) for x in r[word]) else [*out, f"{at} fits no alternative of the reader"]
         out = []
         strange = self.kinds(w) - self.kinds(r)
         if strange:
@@ -155,7 +205,7 @@ class _Containment:
         for word, sign in (*_LEAST, *_MOST):
             if word in r and not (word in w and sign * w[word] >= sign * r[word]):
                 out.append(f"{at} may lie beyond the reader's {word}")
-        for word in ("pattern", "format", "multipleOf", "uniqueItems", "not"):
+        for word in _AS_WRITTEN:
             if r.get(word) and r[word] != w.get(word):
                 out.append(f"{at} need not meet the reader's {word}")
         if "object" in self.kinds(w) & self.kinds(r):

@@ -417,3 +417,27 @@ def proto_file(**messages):
 ])
 def test_protobuf_compatibility(old, new, want):
     assert both(compatibility.protobuf, proto_file(**old), proto_file(**new)) == want
+
+
+@pytest.mark.parametrize(
+    "reader,writer,fits",
+    [
+        ({"type": "object", "required": ["a"], "anyOf": [{}]}, {"type": "object"}, False),
+        ({"type": "object", "required": ["a"], "oneOf": [{}]}, {"type": "object", "required": ["a"]}, True),
+        ({"allOf": [{"minimum": 5}], "minimum": 1}, {"minimum": 1}, False),
+        ({"allOf": [{"minimum": 5}], "minimum": 1}, {"minimum": 5}, True),
+        ({"minimum": 5}, {"allOf": [{"minimum": 0}, {"minimum": 5}]}, True),
+        ({"minimum": 6}, {"allOf": [{"minimum": 0}, {"minimum": 5}]}, False),
+        ({"patternProperties": {"^x": {"type": "string"}}}, {"type": "object"}, False),
+        ({"contains": {"type": "string"}}, {"type": "array"}, False),
+        ({"dependentRequired": {"a": ["b"]}}, {"type": "object"}, False),
+        ({"dependentRequired": {"a": ["b"]}}, {"type": "object", "dependentRequired": {"a": ["b"]}}, True),
+        ({"type": "integer", "minimum": 2}, {"type": "integer", "anyOf": [{"minimum": 3}, {"enum": [2, 4], "minimum": 2}]}, True),
+        ({"type": "integer", "minimum": 3}, {"minimum": 3, "anyOf": [{"type": "integer"}, {"type": "string"}]}, False),
+        ({"enum": [1, 2]}, {"allOf": [{"enum": [1, 2, 3]}, {"enum": [2, 5]}]}, True),
+        ({"properties": {"a": {"minimum": 3}}}, {"allOf": [{"properties": {"a": {"minimum": 4}}}, {"properties": {"a": {"minimum": 0}}}]}, True),
+        ({"properties": {"n": {"anyOf": [{"type": "null"}, {"$ref": "#"}]}}, "type": "object"}, {"type": "object", "title": "t", "properties": {"n": {"title": "t", "anyOf": [{"type": "null"}, {"$ref": "#"}]}}}, True),
+    ],
+)
+def test_json_schema_alternatives_and_parts(reader, writer, fits):
+    assert (compatibility.json_schema(json.dumps(writer), json.dumps(reader), Mode.BACKWARD) == []) is fits
