@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from .functions.aggregates import Aggregate, Aggregation
 from .operators import relational as R
 from .operators import stateful as S
-from .operators import table_functions
+from .operators import folds, table_functions
 from .plans import replay
 from .plans.tables import REPLAY, events, lineitem, orders
 from .plans.topology import Topology
@@ -696,3 +696,24 @@ def table_function_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("event_id", "cents", "event_type")
     table_functions.register(spark, "routed", table_functions.splitter(branches, rows.select("event_id", "cents").schema))
     return spark.sql("SELECT * FROM routed(TABLE({rows}))", rows=rows)
+
+
+@query(f"""WITH A AS (SELECT DISTINCT user_id, t - {HOUR} AS s FROM E UNION SELECT DISTINCT user_id, t + 1 AS s FROM E )
+ SELECT A.user_id AS key, s AS window_start, s + {HOUR} AS window_end, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM A JOIN E ON A.user_id = E.user_id AND E.t BETWEEN s AND s + {HOUR} GROUP BY 1, 2""")
+def live_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record-aligned windows that late records change."""
+
+    def windows(df: DataFrame) -> DataFrame:
+        return keyed.sliding(df.select(F.col("user_id").alias("key"), F.col("__timestamp").alias("ts"), "cents"), HOUR, Aggregation("cents", "n", COUNT), Aggregation("cents", "total", SUM), retention=3650 * DAY)
+
+    return keyed.settled_rows(_in_pieces(events(spark, sf_dir), "event_id % 3", windows).drop("batch"))
+
+
+_PATH = T.StructType([T.StructField("n", T.LongType()), T.StructField("path", T.StringType())])
+
+
+@query("SELECT user_id, count(*) AS n, string_agg(event_type, '>' ORDER BY t, event_id) AS path FROM E GROUP BY user_id")
+def fold_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold over each user's events in order of time, merged over tasks."""
+    rows = events(spark, sf_dir).select("user_id", F.col("__timestamp").alias("t"), "event_id", "event_type")
+    return folds.fold(rows, "user_id", ["t", "event_id"], (0, None), lambda s, r: (s[0] + 1, r["event_type"] if s[1] is None else f"{s[1]}>{r['event_type']}"), _PATH, lambda a, b: (a[0] + b[0], f"{a[1]}>{b[1]}"))

@@ -556,6 +556,131 @@ def sessions(df: DataFrame, gap: int, *aggregations: Aggregation, key: str = "ke
     return out.select(F.col("__k").alias(key), "window_start", "window_end", *[a.result(F.col(f"__s{i}"), df.schema).alias(a.output) for i, a in enumerate(aggregations)], CHANGE)
 
 
+class _Fold(_Keyed):
+    """A key's state, a batch's rows folded into it in order."""
+
+    def __init__(self, zero: tuple, step: Callable, schema: T.StructType, order: list[str], names: list[str]):
+        self.zero, self.step, self.schema, self.order, self.names = zero, step, schema, order, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("folded", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        old = tuple(self.state.get()) if self.state.exists() else None
+        now, make = old or self.zero, Row(*self.names)
+        for row in sorted((r.asDict() for r in rows), key=lambda r: [(r[o] is not None, r[o]) for o in self.order]):
+            now = self.step(now, row)
+        self.state.update(now)
+        if now != old:
+            if old is not None:
+                yield make(key[0], *old, -1)
+            yield make(key[0], *now, 1)
+
+
+def fold(df: DataFrame, key: str, order: Sequence[str], zero: tuple, step: Callable[[tuple, dict], tuple], schema: T.StructType) -> DataFrame:
+    """A fold over each key's rows as they come (a batch's rows in ``order``), as signed changes: key, the columns of ``schema``, ``change``.
+
+    ``step(state, row)`` as of ``operators.folds.fold``, which does the same for bounded frames. Null keys take no part.
+    """
+    require(df, key, *order)
+    kind = T.StructField(key, df.schema[key].dataType)
+    out = T.StructType([kind, *schema.fields, T.StructField(CHANGE, T.IntegerType())])
+    return df.filter(F.col(key).isNotNull()).groupBy(key).transformWithState(_Fold(zero, step, schema, list(order), out.names), out, "append", "None")
+
+
+class _Sliding(_Keyed):
+    """A key's times in order, and the aggregates of the records of each time, as far back as windows may still change."""
+
+    def __init__(self, difference: int, functions: list[Aggregate], value: T.StructType, retention: int, names: list[str]):
+        self.difference, self.functions, self.value, self.retention, self.names = difference, functions, value, retention, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.index = handle.getValueState("index", "latest bigint, times array<bigint>")
+        self.moments = handle.getMapState("moments", "ts bigint", self.value)
+
+    def _windows(self, times: list[int], at: Callable[[int], tuple], low: int, high: int, merged: Callable) -> dict[int, tuple]:
+        """The windows that start from ``low`` to ``high``: their aggregates by start."""
+        d, out = self.difference, {}
+        starts = {t - d for t in times[bisect_left(times, low + d) : bisect_right(times, high + d)]}
+        starts |= {t + 1 for t in times[bisect_left(times, low - 1) : bisect_right(times, high - 1)]}
+        for s in starts:
+            inside = times[bisect_left(times, s) : bisect_right(times, s + d)]
+            if inside:
+                state = at(inside[0])
+                for t in inside[1:]:
+                    state = merged(state, at(t))
+                out[s] = state
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        folds = [None if f is Aggregate.COUNT else _fold(f) for f in self.functions]
+        merged = lambda a, b: tuple(x + y if f is None else f(x, y) for f, x, y in zip(folds, a, b))
+        latest, times = (lambda s: (s[0], list(s[1])))(self.index.get()) if self.index.exists() else (None, [])
+        floor = float("-inf") if latest is None else latest - self.retention
+        new: dict[int, tuple] = {}
+        loaded: dict[int, tuple] = {}
+
+        def at(t: int) -> tuple:
+            if t not in loaded:
+                loaded[t] = tuple(self.moments.getValue((t,)))
+            return loaded[t]
+
+        make = Row(*self.names)
+        with decimal.localcontext(prec=76):
+            for row in rows:
+                ts = row[1]
+                if ts >= floor:
+                    mine = tuple(1 if f is None else f(None, v) for f, v in zip(folds, tuple(row)[2:]))
+                    new[ts] = merged(new[ts], mine) if ts in new else mine
+            # A record changes the windows that hold it: those that start up to the difference before it. Such stretches are compared before and after.
+            spans: list[list[int]] = []
+            for ts in sorted(new):
+                if spans and ts - self.difference <= spans[-1][1] + 1:
+                    spans[-1][1] = ts + 1
+                else:
+                    spans.append([ts - self.difference, ts + 1])
+            before = [self._windows(times, at, low, high, merged) for low, high in spans]
+            for ts, state in new.items():
+                if self.moments.containsKey((ts,)):
+                    state = merged(at(ts), state)
+                else:
+                    insort(times, ts)
+                loaded[ts] = state
+                self.moments.updateValue((ts,), state)
+            for (low, high), old in zip(spans, before):
+                now = self._windows(times, at, low, high, merged)
+                for s in sorted(old.keys() | now.keys()):
+                    if old.get(s) != now.get(s):
+                        if s in old:
+                            yield make(key[0], s, *old[s], -1)
+                        if s in now:
+                            yield make(key[0], s, *now[s], 1)
+        latest = max([*new, *([latest] if latest is not None else [])], default=latest)
+        if latest is not None:
+            keep = bisect_left(times, latest - self.retention - self.difference - 1)
+            for t in times[:keep]:
+                self.moments.removeKey((t,))
+            self.index.update((latest, times[keep:]))
+
+
+def sliding(df: DataFrame, difference: int, *aggregations: Aggregation, retention: int, key: str = "key", time: str = "ts") -> DataFrame:
+    """Windows of a streaming frame that are aligned to records, as signed changes: those that end at a record, and those that begin right after one and aren't empty.
+
+    Both ends belong to a window, ``difference`` milliseconds apart. Columns: key, window_start, window_end, outputs, ``change``. A record that is more than
+    ``retention`` before what its key had seen before the batch is left out, so windows older than that don't change any more.
+    Null keys and times take no part. Doubles are added up in order of time.
+    """
+    require(df, key, time, *[a.input for a in aggregations])
+    if difference < 0 or retention < 0:
+        raise LakeError("a window's difference and retention are not negative")
+    value = T.StructType([T.StructField(f"{a.function.value}_{i}", a.state_type(df.schema), True) for i, a in enumerate(aggregations)])
+    inputs = [(F.lit(None).cast("int") if a.function is Aggregate.COUNT else F.col(a.input).cast(a.state_type(df.schema))).alias(f"__v{i}") for i, a in enumerate(aggregations)]
+    slim = df.select(F.col(key).alias("__k"), F.col(time).cast("long").alias("__t"), *inputs).filter("__k is not null and __t is not null")
+    schema = T.StructType([T.StructField("__k", df.schema[key].dataType), T.StructField("window_start", T.LongType()), *[T.StructField(f"__s{i}", f.dataType) for i, f in enumerate(value)], T.StructField(CHANGE, T.IntegerType())])
+    out = slim.groupBy("__k").transformWithState(_Sliding(difference, [a.function for a in aggregations], value, retention, schema.names), schema, "append", "None")
+    return out.select(F.col("__k").alias(key), "window_start", (F.col("window_start") + difference).alias("window_end"), *[a.result(F.col(f"__s{i}"), df.schema).alias(a.output) for i, a in enumerate(aggregations)], CHANGE)
+
+
 def settled_rows(changes: DataFrame) -> DataFrame:
     """The rows that are left when all signed changes of a bounded frame are added up, each as often as it counts; without ``change``."""
     names = [c for c in changes.columns if c != CHANGE]

@@ -6,11 +6,13 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.errors import LakeError
 from strandlake.functions.aggregates import Aggregate, Aggregation
+from strandlake.operators import folds
 from strandlake.plans import replay
 from strandlake.streaming import bounded, keyed
 
@@ -203,6 +205,56 @@ def test_sessions_equal_recomputation(spark, gap):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("difference", [0, 9, 60])
+def test_sliding_windows_equal_recomputation(spark, difference):
+    rng = random.Random(difference)
+    rows = [(rng.choice(["a", "b"]), rng.randrange(400), rng.randrange(100), rng.randrange(BATCHES)) for _ in range(90)]
+    f = feed(spark.createDataFrame(rows, "key string, ts long, v long, batch long"))
+    changes = bounded.run(keyed.sliding(f.frame, difference, Aggregation("v", "n", COUNT), Aggregation("v", "total", SUM), retention=1000), f, batches=BATCHES)
+    got = sorted(tuple(r) for r in keyed.settled_rows(changes.drop("batch")).collect())
+    want = []
+    for key in "ab":
+        mine = [(t, v) for k, t, v, _ in rows if k == key]
+        for s in {t - difference for t, _ in mine} | {t + 1 for t, _ in mine}:
+            inside = [v for t, v in mine if s <= t <= s + difference]
+            if inside:
+                want.append((key, s, s + difference, len(inside), sum(inside)))
+    assert got == sorted(want)
+
+
+TEXT = T.StructType([T.StructField("n", T.LongType()), T.StructField("path", T.StringType())])
+
+
+def test_folds_carry_state(spark):
+    """In order within a batch and from batch to batch; a bounded fold, plain and merged, says the same."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b"]), i, rng.choice("xyz"), i * BATCHES // 300) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, ts long, v string, batch long")
+    step = lambda s, r: (s[0] + 1, s[1] + r["v"])
+    want = {k: (sum(r[0] == k for r in rows), "".join(r[2] for r in rows if r[0] == k)) for k in ("hot", "a", "b")}
+    f = feed(df)
+    changes = bounded.run(keyed.fold(f.frame, "key", ["ts"], (0, ""), step, TEXT), f, batches=BATCHES)
+    assert {r["key"]: (r["n"], r["path"]) for r in keyed.settled_rows(changes.drop("batch")).collect()} == want
+    for merge in (None, lambda a, b: (a[0] + b[0], a[1] + b[1])):
+        got = folds.fold(df.repartition(7), "key", ["ts"], (0, ""), step, TEXT, merge)
+        assert {r["key"]: (r["n"], r["path"]) for r in got.collect()} == want
+    assert folds.fold(df.limit(0), "key", ["ts"], (0, ""), step, TEXT).collect() == []
+    null = spark.createDataFrame([(None, 2, "b", 0), (None, 1, "a", 0), ("k", 1, "c", 0)], df.schema)
+    assert sorted(((r["key"], r["path"]) for r in folds.fold(null, "key", ["ts"], (0, ""), step, TEXT, lambda a, b: (a[0] + b[0], a[1] + b[1])).collect()), key=repr) == [("k", "c"), (None, "ab")]
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    df = spark.range(20_000).selectExpr("'hot' AS key", "id AS ts", "'x' AS v")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        seen = folds.fold(df, "key", ["ts"], (0, ""), lambda s, r: (s[0] + 1, str(TaskContext.get().partitionId())), TEXT, lambda a, b: (max(a[0], b[0]), f"{a[1]},{b[1]}"))
+        n, tasks = seen.select("n", "path").head()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert n < 10_000 and len(set(tasks.split(","))) > 4
+
+
 def test_errors(spark):
     df = records(spark, 1, 1)
     for call in (lambda: keyed.group_by(df, []), lambda: keyed.group_by(df, ["k"], size=5, retention=1), lambda: keyed.table_join(df, df, how="outer"), lambda: keyed.foreign_join(df, df, F.col("k"), how="full"), lambda: keyed.as_of_join(df, df, -1), lambda: keyed.interval_join(df, df, "k", "v", 1)):
