@@ -1,8 +1,11 @@
+import math
+import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strandlake.llm import langid, queries
@@ -106,3 +109,58 @@ def test_no_language_is_left_out(spark):
         assert len(model.languages) == 600
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model, reject=False).collect()}
     assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.99
+
+
+class Plain:
+    """Interpolated Kneser-Ney in plain Python: probabilities by recursion, as its definition has them."""
+
+    def __init__(self, counts):
+        self.levels = {4: counts}
+        for n in (3, 2, 1):
+            self.levels[n] = Counter(g[1:] for g in self.levels[n + 1])
+        self.discount, self.sums, self.kinds = {}, {}, {}
+        for n, c in self.levels.items():
+            ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+            self.discount[n] = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.9)
+            self.sums[n], self.kinds[n] = Counter(), Counter()
+            for g, v in c.items():
+                self.sums[n][g[:-1]] += v
+                self.kinds[n][g[:-1]] += 1
+        self.known = {}
+
+    def probability(self, g):
+        if not g:
+            return 1 / 0x110000
+        if g not in self.known:
+            n, lower = len(g), self.probability(g[1:])
+            total = self.sums[n][g[:-1]]
+            d = self.discount[n]
+            self.known[g] = (max(self.levels[n][g] - d, 0) + d * self.kinds[n][g[:-1]] * lower) / total if total else lower
+        return self.known[g]
+
+
+def test_query_equals_plain_python(spark):
+    """Learnt from the same documents: the language of least cross-entropy, and that cross-entropy."""
+    docs = {r["doc_id"]: r for r in spark.read.parquet(str(DATA / "sf0.01" / "documents.parquet")).collect()}
+    words = lambda text: [w.decode().lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
+    cut = lambda w: [("\x02\x02\x02" + w + "\x03")[i : i + 4] for i in range(len(w) + 1)]
+    counts = defaultdict(Counter)
+    for i, r in docs.items():
+        told = xxhash.xxh64_intdigest(b"lang", xxhash.xxh64_intdigest(str(i).encode(), 42)) >> 34
+        if zlib.crc32(str(i).encode()) % 4 != 2 and r["lang"] is not None and told % 5 > 0:
+            for w in words(r["text"]):
+                counts[r["lang"]].update(cut(w))
+    models = {lang: Plain(c) for lang, c in counts.items()}
+    by_word = {}
+    for r in queries.op9_language_id(spark, str(DATA / "sf0.01")).collect():
+        mine = words(docs[r["doc_id"]]["text"])
+        if not any(map(str.isalpha, "".join(mine))):
+            assert r["lang_pred"] == "und"
+            continue
+        for w in mine:
+            if w not in by_word:
+                by_word[w] = {lang: sum(math.log(m.probability(g)) for g in cut(w)) for lang, m in models.items()}
+        length = sum(len(w) + 1 for w in mine)
+        entropy = {lang: -sum(by_word[w][lang] for w in mine) / length for lang in models}
+        best = min(entropy.values())
+        assert r["cross_entropy"] == pytest.approx(best, rel=1e-4) and entropy[r["lang_pred"]] == pytest.approx(best, rel=1e-5)

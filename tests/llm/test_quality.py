@@ -1,7 +1,12 @@
+import math
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import xxhash
 
 from strandlake.llm import quality, queries
 from strandlake.llm.quality import BITS, Ftrl, Words, dots, features, train
@@ -68,3 +73,70 @@ def test_odd_rows(make, spark):
     assert again.columns == [*docs.columns, "The_Score"] and {r["The_Score"] for r in again.collect()} == set(by.values())
     with pytest.raises(ValueError):
         quality.score(docs, model, score_col="TEXT")
+
+
+class Plain:
+    """The classifier in plain Python: one feature, one row, one number after the other."""
+
+    M, ALL = 0x9E3779B1, 2**32 - 1
+
+    @staticmethod
+    def shape(word):
+        kinds = ["A" if 65 <= c <= 90 else "a" if 97 <= c <= 122 or c >= 128 else "0" if 48 <= c <= 57 else chr(c) for c in word]
+        return "".join(k for i, k in enumerate(kinds) if not i or k != kinds[i - 1])[:12].encode("latin-1")
+
+    def features(self, text):
+        """Feature numbers of a text, repeats included, and its number of words."""
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+        out, u1, s1, s2, before = [], 0, 0, 0, None
+        for w in words:
+            u, s = xxhash.xxh32_intdigest(w), 1 if w == before else xxhash.xxh32_intdigest(self.shape(w))
+            two = (u * 0x85EBCA6B + 1 & self.ALL) ^ (u1 * self.M & self.ALL)
+            shapes = (s * 0xC2B2AE35 + 3 & self.ALL) ^ (s1 * self.M & self.ALL)
+            three = (shapes ^ (s2 * 0x27D4EB2F & self.ALL)) + 7 & self.ALL
+            out += [((x ^ x >> 15) * self.M & self.ALL) >> 14 for x in (u, two, s ^ 0x5BD1E995, shapes, three)]
+            u1, s2, s1, before = u, s1, s, w
+        return out, len(words)
+
+    def learn(self, rows, alpha=1.0, beta=1.0, l1=0.0005, l2=0.01):
+        z, n = defaultdict(float), defaultdict(float)
+
+        def weight(f):
+            return 0.0 if abs(z[f]) <= l1 else (math.copysign(l1, z[f]) - z[f]) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+        made = []
+        for text, y in rows:
+            fs, k = self.features(text)
+            made.append(([(f, c / k) for f, c in sorted(Counter(fs).items())] + [("bias", 1.0)], y))
+        for _ in range(3):
+            for xs, y in made:
+                w = {f: weight(f) for f, _ in xs}
+                p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[f] * x for f, x in xs)))))
+                for f, x in xs:
+                    g = (p - y) * x
+                    z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * w[f]
+                    n[f] += g * g
+        self.weights = {f: weight(f) for f in z}
+        return self
+
+    def score(self, text):
+        fs, k = self.features(text)
+        z = self.weights.get("bias", 0.0) + (sum(self.weights.get(f, 0.0) for f in fs) / k if k else 0.0)
+        return 1 / (1 + math.exp(-z))
+
+
+def test_query_equals_plain_python(spark):
+    """Learnt from the same rows in the same order, scores agree; weights are kept as 32-bit numbers."""
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table(DATA / "sf0.01" / "documents.parquet").to_pylist()}
+    labels = {}
+    for r in pq.read_table(DATA / "sf0.01" / "labels.parquet").to_pylist():
+        if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            labels[r["doc_id"]] = max(r["quality"], labels.get(r["doc_id"], 0))
+    assert 50 < len(labels) < 1500  # one shard, all rows
+    order = lambda i: (xxhash.xxh64_intdigest(b"fit", xxhash.xxh64_intdigest(str(i).encode(), 42)) >> 34, docs[i].encode())
+    model = Plain().learn([(docs[i], labels[i]) for i in sorted((i for i in labels if docs.get(i) is not None), key=order)])
+    got = {r["doc_id"]: r for r in queries.op1_quality_classifier(spark, str(DATA / "sf0.01")).collect()}
+    assert set(got) == set(docs)
+    for i, text in docs.items():
+        assert got[i]["score"] == pytest.approx(model.score(text), abs=2e-5)
+        assert got[i]["predicted"] == (got[i]["score"] >= 0.3) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
