@@ -22,10 +22,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shingles
 from .common import as_bytes, fresh, map_texts, scratch, slices, without, written
 from .components import components
 
@@ -260,20 +261,30 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, jaccard: float | None = None, width: int = 5) -> DataFrame:
     """One row of each class of near-duplicates, all columns kept: the one with the smallest id.
 
-    Of its rows with that id, one stays, whatever classes other rows with the id are in. Rows without
+    Texts are near-duplicates if their fingerprints differ in at most ``bits`` bits, and, with ``jaccard``, also if the
+    sets of their shingles of ``width`` words are that similar (see :mod:`.shingles`). Of its rows with that id, one stays, whatever classes
+    other rows with the id are in; of rows that agree in id and text the one whose columns' hash is smallest. Rows without
     an id: one stays of each class that has no other.
     """
     # Rows with the same id and text are of the same class, so the two tell which class's row it is.
-    key, chosen_hash, text_hash = fresh(docs, "chosen_id", "chosen_hash", "text_hash")
+    key, chosen_hash, text_hash, row_hash, place = fresh(docs, "chosen_id", "chosen_hash", "text_hash", "row_hash", "place")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     rows = written(fingerprints(rows, "text").select("id", "h", "fp"))
-    first = written(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")))
-    roots = linked_classes(first.select("fp"), bits).filter("linked")
-    first = first.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
+    first = written(rows.groupBy("fp", "h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")))
+    roots = linked_classes(first.select("fp").distinct(), bits).filter("linked")
+    first = first.join(roots, F.col("fp") == F.col("node"), "left").select("h", "first", F.coalesce("root", "fp").alias("root"))
+    if jaccard is not None:
+        first = written(first)
+        texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+        state = shingles.classes(texts, first.select("h", "first.id", "root"), width, jaccard)
+        first = first.drop("root").join(state, "h")
+    first = first.groupBy("root").agg(F.min(F.struct("first.none", "first.id", "h")).alias("first"))
     chosen = first.select(F.col("first.id").alias(key), F.col("first.h").alias(chosen_hash))
-    docs = docs.withColumn(text_hash, F.xxhash64(text_col))
     same = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(text_hash) == F.col(chosen_hash))
-    return docs.join(chosen, same, "left_semi").dropDuplicates([id_col, text_hash]).drop(text_hash)
+    kept = docs.withColumn(text_hash, F.xxhash64(text_col)).join(chosen, same, "left_semi")
+    # Few ids are there twice, so their rows are numbered without the texts' being sorted by anything else.
+    order = Window.partitionBy(id_col, text_hash).orderBy(row_hash)
+    return kept.withColumn(row_hash, F.xxhash64(*docs.columns)).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select(*docs.columns)

@@ -12,6 +12,7 @@ from strandlake.llm import quality
 from strandlake.llm.common import fold
 from strandlake.llm.simhash import classes
 from tests.conftest import DATA
+from tests.llm.test_shingles import alike, plain
 from tests.llm.test_packing import check
 from tests.llm.test_substrings import brute
 
@@ -46,8 +47,19 @@ def test_quality_stage(spark, stages):
 
 
 def test_near_dedup_stage(stages):
-    groups = {r["component_id"] for r in classes(stages["quality_filter"]).collect()}
-    assert sorted(r["doc_id"] for r in stages["near_dedup"].collect()) == sorted(groups)
+    """The first of each class that fingerprints within four bits, or shingle sets of similarity 0.8, connect: by all pairs."""
+    before = {r["doc_id"]: r["text"] for r in stages["quality_filter"].collect()}
+    root = {r["doc_id"]: r["component_id"] for r in classes(stages["quality_filter"]).collect()}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in alike({i: plain(t) for i, t in before.items()}):
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert sorted(r["doc_id"] for r in stages["near_dedup"].collect()) == sorted({find(i) for i in root})
 
 
 def test_substring_stage(stages):
