@@ -199,7 +199,7 @@ class BuiltTopology:
                 df.write.mode("overwrite").parquet(f"{path}/{name}/{part}")
 
     def restore(self, spark, path: str, parts: Mapping[str, Sequence[str]], partition: int | None = None) -> None:
-        """State read again from ``path``: the parts of each node; names of nodes that aren't here are ignored.
+        """State read again from ``path`` and kept apart from it: the parts of each node; names of nodes that aren't here are ignored.
 
         With ``partition`` only that partition's state is taken from there, in place of what is here; other partitions keep theirs.
         """
@@ -208,7 +208,7 @@ class BuiltTopology:
                 continue
             read = {p: spark.read.parquet(f"{path}/{name}/{p}") for p in state}
             if partition is None:
-                self.state[name] = read
+                self.state[name] = {p: written(df) for p, df in read.items()}
                 continue
             here = self.state.setdefault(name, {})
             for part, df in read.items():
@@ -216,7 +216,7 @@ class BuiltTopology:
                 taken = df.filter(F.col(column).eqNullSafe(F.lit(partition))) if column else df
                 if column and part in here:
                     taken = here[part].filter(~F.col(column).eqNullSafe(F.lit(partition))).unionByName(taken)
-                here[part] = taken
+                here[part] = written(taken)
 
     def parts(self) -> dict[str, list[str]]:
         """What :meth:`restore` needs to know of a snapshot."""
@@ -228,7 +228,7 @@ class BuiltTopology:
             for part, df in state.items():
                 column = _partition_of(df)
                 if column:
-                    self.state[name][part] = df.filter(~F.col(column).eqNullSafe(F.lit(partition)))
+                    self.state[name][part] = written(df.filter(~F.col(column).eqNullSafe(F.lit(partition))))
 
     def close(self) -> None:
         self.state.clear()

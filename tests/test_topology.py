@@ -72,6 +72,21 @@ def test_state_across_runs_snapshot_release(spark, tmp_path):
     assert built.run_batches({"other": raw(spark)}) == {}
 
 
+def test_snapshots_may_replace_what_was_restored(spark, tmp_path):
+    """Restored and released state doesn't read the snapshot any more, and carries no plan along."""
+    path, built = str(tmp_path / "s"), pipeline().build()
+    built.run_batch("tx", raw(spark, (tx("a", 5), 1, 0), (tx("b", 9), 3, 1)))
+    built.snapshot(path)
+    for turn in range(3):
+        built.restore(spark, path, built.parts())
+        built.restore(spark, path, built.parts(), partition=1)
+        built.release(7)
+        built.snapshot(path)
+        plan = next(s for s in built.state.values() if "groups" in s)["groups"]._jdf.queryExecution().logical().toString()
+        assert len(plan.strip().splitlines()) == 1, plan
+    assert values(built.run_batch("tx", raw(spark, (tx("a", 6), 4, 0), (tx("b", 7), 4, 1)))["totals"].collect()) == ['{"user":"a","total":11}', '{"user":"b","total":16}']
+
+
 def test_fanout_merge_join_and_pass_through(spark):
     t = Topology()
     a, b = t.add_source("a", "ta", JsonCodec(ROW)), t.add_source("b", "tb", JsonCodec(ROW))
