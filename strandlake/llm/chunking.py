@@ -117,7 +117,7 @@ def _above(k: Column, bounds: list[int]) -> Column:
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """The rows dealt out in ranges of descending id and sorted there, so that each lies before the next.
 
-    Columns: part, tail, k (the id, null as the least), id, text. Each range ends with the rows of
+    Columns: part, tail, k (the id, null as the least possible one, after it), id, text. Each range ends with the rows of
     the first id of the next range, marked as tail (the last range: with the first of all). Rows
     with equal ids are in the order of their texts. The texts are shuffled once.
     """
@@ -138,7 +138,7 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     also = F.struct(F.get(before, F.col("part")).alias("part"), F.lit(True).alias("tail"))
     places = F.when(F.col("k") == F.get(head, F.col("part")), F.array(own, also)).otherwise(F.array(own))
     dealt = rows.select("k", "id", "text", F.explode(places).alias("at")).select(F.col("at.part").alias("part"), F.col("at.tail").alias("tail"), "k", "id", "text")
-    return dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "tail", F.col("k").desc(), "text")
+    return dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "tail", F.col("k").desc(), F.col("id").isNull(), "text")
 
 
 def edited(text: str, following: str) -> str:
