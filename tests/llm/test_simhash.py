@@ -163,3 +163,15 @@ def test_one_row_of_each_class_whatever_the_ids(make):
     a, b, c, d = "one text without an id", "another that is unlike it", "the third one under an id", "and a fourth under the same"
     docs = make((None, a), (None, a), (None, b), (5, c), (5, d), (None, c), (6, d), (5, c))
     assert sorted((str(r["doc_id"]), r["text"]) for r in first_of_each(docs).collect()) == sorted([("None", a), ("None", b), ("5", c), ("5", d)])
+
+
+@pytest.mark.parametrize("few", [0, 20, 500_000])
+def test_few_edges_are_finished_by_a_task(spark, monkeypatch, few):
+    """Whether rounds or a task end it, the roots are the same classes; a path takes one task, not a round for each doubling."""
+    monkeypatch.setattr("strandlake.llm.components.FEW", few)
+    tables, write = [], type(spark.range(0).write).parquet
+    monkeypatch.setattr(type(spark.range(0).write), "parquet", lambda *a, **k: (tables.append(a[1]), write(*a, **k))[1])
+    edges = [(i, i + 1) for i in range(-40, 40)] + [(100, 101), (101, 100), (7, 7), (300, 300), (2**62, -(2**62))]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame([*edges, (None, 1)], "a long, b long")).collect()}
+    same_classes(got, union(edges, {x for e in edges for x in e}))
+    assert few < 500_000 or len(tables) == 3
