@@ -96,3 +96,33 @@ def test_odd_rows(make):
     kept = first_of_each(docs, jaccard=0.8)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "7", "8", "None"]
     assert first_of_each(docs.limit(0), jaccard=0.8).collect() == []
+
+
+def test_a_full_bucket_hides_no_pair(spark):
+    """340 texts with most shingles in common, of which only 20 pairs are just alike, the others just not: all share buckets with very many."""
+    rng = random.Random(5)
+    core, texts = [f"c{i}" for i in range(600)], []
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    for k in range(320):
+        mine = own(80)
+        texts.append(" ".join(core + mine))
+        if k < 20:
+            texts.append(" ".join(core + mine[:10] + own(70)))
+    pairs = alike({i: plain(t) for i, t in enumerate(texts)})
+    assert pairs == {(2 * k, 2 * k + 1) for k in range(20)}
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, h long, text string")
+    got = {r["h"]: r["root"] for r in shingles.classes(docs, docs.selectExpr("h", "id", "h AS root")).collect()}
+    assert len(got) == len(texts) and len(set(got.values())) == len(texts) - 20 and all(got[a] == got[b] for a, b in pairs)
+
+
+@pytest.mark.parametrize("common", [0, 300])
+def test_prefixes_of_alike_sets_meet(common):
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n, m = rng.integers(1, 200), rng.integers(0, 25)
+        base = np.unique(rng.integers(400, size=n, dtype=np.uint64))
+        other = np.unique(np.concatenate([base[rng.random(len(base)) < 0.93], rng.integers(400, size=m, dtype=np.uint64)]))
+        known = np.arange(common, dtype=np.uint64), rng.integers(4, 90, size=common)
+        shared = len(np.intersect1d(base, other))
+        if shared >= 0.8 * (len(base) + len(other) - shared):
+            assert np.intersect1d(shingles.prefix(base, known, 0.8), shingles.prefix(other, known, 0.8)).size
