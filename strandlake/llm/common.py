@@ -89,7 +89,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def _release(spark: SparkSession) -> None:
+def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of plans that nothing refers to any more."""
     spark._jvm.System.gc()
 
@@ -112,7 +112,7 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    _release(spark)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -270,7 +270,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an id: one stays of each class that has no other.
     """
     # Rows with the same id and text are of the same class, so the two tell which class's row it is.
-    key, chosen_hash, text_hash, row_hash, place = fresh(docs, "chosen_id", "chosen_hash", "text_hash", "row_hash", "place")
+    key, own, chosen_hash, text_hash, row_hash, place = fresh(docs, "chosen_id", "own_id", "chosen_hash", "text_hash", "row_hash", "place")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     rows = written(fingerprints(rows, "text").select("id", "h", "fp"))
     first = written(rows.groupBy("fp", "h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")))
@@ -282,9 +282,10 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         state = shingles.classes(texts, first.select("h", "first.id", "root"), width, jaccard)
         first = first.drop("root").join(state, "h")
     first = first.groupBy("root").agg(F.min(F.struct("first.none", "first.id", "h")).alias("first"))
-    chosen = first.select(F.col("first.id").alias(key), F.col("first.h").alias(chosen_hash))
-    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(text_hash) == F.col(chosen_hash))
-    kept = docs.withColumn(text_hash, F.xxhash64(text_col)).join(chosen, same, "left_semi")
+    # An id in a struct equals itself also if null, so the texts are dealt out once, by the same two columns for the join and the window.
+    chosen = first.select(F.struct(F.col("first.id").alias("id")).alias(key), F.col("first.h").alias(chosen_hash))
+    same = (F.col(own) == F.col(key)) & (F.col(text_hash) == F.col(chosen_hash))
+    kept = docs.withColumns({own: F.struct(F.col(id_col).alias("id")), text_hash: F.xxhash64(text_col)}).join(chosen, same, "left_semi")
     # Few ids are there twice, so their rows are numbered without the texts' being sorted by anything else.
-    order = Window.partitionBy(id_col, text_hash).orderBy(row_hash)
+    order = Window.partitionBy(own, text_hash).orderBy(row_hash)
     return kept.withColumn(row_hash, F.xxhash64(*docs.columns)).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select(*docs.columns)

@@ -126,3 +126,33 @@ def test_prefixes_of_alike_sets_meet(common):
         shared = len(np.intersect1d(base, other))
         if shared >= 0.8 * (len(base) + len(other) - shared):
             assert np.intersect1d(shingles.prefix(base, known, 0.8), shingles.prefix(other, known, 0.8)).size
+
+
+def test_edits_of_one_text_are_few_pairs(spark, monkeypatch):
+    """Edits that are alike to one text, but not to each other: pairs that are verified, and rows of the lists, grow with them and not with their square."""
+    rng, proposed = random.Random(6), []
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(base)] + [edited(rng, base, 3) for _ in range(400)]
+    pairs = alike({i: plain(t) for i, t in enumerate(texts)})
+    assert len({i for p in pairs for i in p}) > 350 and len(pairs) < 40_000
+    rest = shingles._rest
+
+    def counted(*args):
+        proposed.append(rest(*args).count())
+        return rest(*args)
+
+    monkeypatch.setattr(shingles, "_rest", counted)
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, h long, text string")
+    got = {r["h"]: r["root"] for r in shingles.classes(docs, docs.selectExpr("h", "id", "h AS root")).collect()}
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert len(set(got.values())) == len({find(i) for i in root}) and all(got[a] == got[b] for a, b in pairs)
+    assert proposed and max(proposed) < 3 * len(texts)
