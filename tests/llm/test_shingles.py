@@ -156,3 +156,44 @@ def test_edits_of_one_text_are_few_pairs(spark, monkeypatch):
         root[max(a, b)] = min(a, b)
     assert len(set(got.values())) == len({find(i) for i in root}) and all(got[a] == got[b] for a, b in pairs)
     assert proposed and max(proposed) < 3 * len(texts)
+
+
+def test_parities_differ_at_most_as_often_as_sets():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 60, 400, 3000):
+        base = rng.integers(1 << 63, size=n, dtype=np.uint64)
+        other = np.concatenate([base[n // 9 :], rng.integers(1 << 63, size=n // 7, dtype=np.uint64)])
+        differ = int(np.bitwise_count((shingles.parities(base) ^ shingles.parities(other)).view(np.uint64)).sum())
+        assert differ <= n // 9 + n // 7 and (n > 400 or differ >= 0.6 * (n // 9 + n // 7))
+        assert len(shingles.parities(base)) == shingles.PARITIES and (shingles.parities(base) == shingles.parities(base[::-1])).all()
+
+
+def test_texts_that_only_share_a_passage_send_no_sets(spark, monkeypatch):
+    """Their lists meet (nothing counts as frequent here), but of such pairs' texts no sets are made; those of alike pairs are."""
+    rng, asked = random.Random(9), []
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own(60)
+    texts = [" ".join(own(150) + passage + own(150)) for _ in range(80)]
+    texts += [edited(rng, texts[k].split(), 3) for k in (0, 1)]
+    sets = shingles._sets
+
+    def counted(df, width):
+        asked.append(df.count())
+        return sets(df, width)
+
+    monkeypatch.setattr(shingles, "_sets", counted)
+    monkeypatch.setattr(shingles, "COMMON", 10**9)
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, h long, text string")
+    got = {r["h"]: r["root"] for r in shingles.classes(docs, docs.selectExpr("h", "id", "h AS root")).collect()}
+    assert got[0] == got[80] and got[1] == got[81] and len(set(got.values())) == 80
+    assert asked and sum(asked) < 20
+
+
+def test_the_most_frequent_shingles_are_told(spark, monkeypatch):
+    texts = ["a b c d e f"] * 9 + ["g h i j k l"] * 6 + ["m n o p q r s"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "h long, text string")
+    monkeypatch.setattr(shingles, "COMMON", 2)
+    for most, counts in ((7, [3, 3, 3, 6, 6, 9, 9]), (6, [6, 6, 9, 9]), (3, [9, 9]), (1, [])):
+        monkeypatch.setattr(shingles, "MOST", most)
+        keys, n = shingles._common(df, 5, 1)
+        assert sorted(n.tolist()) == counts and (np.diff(keys.astype(object)) > 0).all()
