@@ -13,7 +13,10 @@ from __future__ import annotations
 import decimal
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
+from zlib import crc32
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -298,101 +301,211 @@ def _both_sides(out: DataFrame, key: Column, left: DataFrame, a: list[str], an:
     return parts.select(key, *[F.col(f"__l.`{c}`").alias(n) for c, n in zip(a, an)], *[F.col(f"__r.`{c}`").alias(n) for c, n in zip(b, bn)], CHANGE)
 
 
+#: Groups of keys of a foreign-key join, by hash: one visit to the store serves all rows that a batch has for a group. As long as a checkpoint lasts, this stays.
+GROUPS = 4096
+#: Rows of a leaf at most, and rows of an output frame.
+LEAF = 8192
+
+
+def _group(text: str) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(GROUPS)).cast("int").alias("g")
+
+
+def _identity(df: DataFrame, key: str) -> Column:
+    """A key as a text that is equal if and only if the keys are."""
+    kind, value = df.schema[key].dataType, F.col(key)
+    if isinstance(kind, (T.StringType, T.IntegralType)):
+        return value.cast("string")
+    return F.to_json(F.struct((value + F.lit(0).cast(kind) if isinstance(kind, T.FractionalType) else value).alias("k")), _JSON)  # -0.0 is 0.0
+
+
+class _Leaves:
+    """A group's entries: map state from a leaf to the entries whose last key part hashes to it, as arrays. A leaf is read and written whole, and leaves double as they fill."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, keys: str, values: str):
+        self.width = len(keys.split())
+        self.leaves = handle.getMapState(name, "leaf int", ", ".join([f"{n} array<string>" for n in keys.split()] + [f"{v} array<{'bigint' if v == 'version' else 'string'}>" for v in values.split()]))
+        self.size = handle.getValueState(f"{name}_size", "leaves int, entries bigint")
+
+    def open(self) -> None:
+        """For the group at hand."""
+        told = self.size.get()
+        self.known = told is not None
+        self.n, self.entries = told or (1, 0)
+        self.was = self.n, self.entries
+
+    def leaf(self, key: tuple, n: int | None = None) -> int:
+        n = n or self.n
+        return crc32(key[-1].encode()) % n if n > 1 else 0
+
+    def dealt(self, keys) -> dict[int, list[tuple]]:
+        out: dict[int, list[tuple]] = {}
+        for key in keys:
+            out.setdefault(self.leaf(key), []).append(key)
+        return out
+
+    def get(self, leaf: int) -> dict[tuple, tuple]:
+        columns = self.leaves.getValue((leaf,)) if self.known else None
+        return {} if columns is None else dict(zip(zip(*columns[: self.width]), zip(*columns[self.width :])))
+
+    def put(self, leaf: int, entries: dict[tuple, tuple], before: int) -> None:
+        self.entries += len(entries) - before
+        if entries:
+            self.leaves.updateValue((leaf,), (*map(list, zip(*entries)), *map(list, zip(*entries.values()))))
+        elif before:
+            self.leaves.removeKey((leaf,))
+
+    def close(self) -> None:
+        while self.entries > self.n * LEAF:
+            self.known = True
+            for leaf in range(self.n):
+                whole, moved = self.get(leaf), {}
+                for key in [k for k in whole if self.leaf(k, 2 * self.n) != leaf]:
+                    moved[key] = whole.pop(key)
+                if moved:
+                    self.put(leaf, whole, len(whole) + len(moved))
+                    self.put(leaf + self.n, moved, 0)
+            self.n *= 2
+        if (self.n, self.entries) != self.was:
+            self.size.update((self.n, self.entries))
+
+
+def _frames(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    while part := list(islice(rows, LEAF)):
+        yield pd.DataFrame(dict(zip(names, map(list, zip(*part)))))
+
+
 class _Subscriber(_Keyed):
-    """A primary key's current row and the foreign key that it names: tells the foreign keys who names them now, and who no more."""
+    """Primary keys' versions and the places of their rows (which foreign key, or nowhere): tells the places whose row is there now, and whose no more."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("row", "version bigint, foreign_key string, payload string")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        old = tuple(self.row.get()) if self.row.exists() else (None, None, None)
-        now = old
-        for _, _, version, text, foreign in rows:
-            if now[0] is None or version >= now[0]:
-                now = (version, foreign if text is not None else None, text)
-        if now == old:
-            return
-        self.row.update(now)
-        make = Row("fk", "pk", "v", "payload")
-        if old[1] is not None and old[1] != now[1]:
-            yield make(old[1], key[0], None, None)
-        if now[1] is not None:
-            yield make(now[1], key[0], now[0], now[2])
-        # A row that names nothing is its own foreign key's affair: outer joins show it with no partner.
-        if old[2] is not None and old[1] is None:
-            yield make(None, key[0], None, None)
-        if now[2] is not None and now[1] is None:
-            yield make(None, key[0], now[0], now[2])
+        self.rows = _Leaves(handle, "rows", "pk", "version place")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new: dict[tuple, tuple] = {}
+        for df in rows:
+            for pk, version, foreign, text in zip(*(df[c].tolist() for c in ("pk", "v", "fk", "payload"))):
+                old = new.get((pk,))
+                if old is None or version >= old[0]:
+                    # Where nothing is named, each primary key has a place of its own, so that null is no hot key.
+                    new[(pk,)] = version, None if text is None else f"-{pk}" if foreign is None else f"+{foreign}", text
+        yield from _frames(self._told(new), ["fk", "pk", "payload"])
+
+    def _told(self, new: dict[tuple, tuple]) -> Iterator[tuple]:
+        self.rows.open()
+        for leaf, keys in self.rows.dealt(new).items():
+            kept = self.rows.get(leaf)
+            before = len(kept)
+            for k in keys:
+                version, place, text = new[k]
+                was, left = kept.get(k, (version, None))
+                if version < was:
+                    continue
+                kept[k] = version, place  # a tombstone stays, with its version: older rows may still come
+                if left is not None and left != place:
+                    yield left, k[0], None
+                if place is not None:
+                    yield place, k[0], text
+            self.rows.put(leaf, kept, before)
+        self.rows.close()
 
 
 class _Subscriptions(_Keyed):
-    """A foreign key's row, and who names it with what: an inverted index from foreign to primary keys."""
+    """Foreign keys' rows, and who names them with what: an inverted index from foreign to primary keys."""
 
-    def __init__(self, primary: T.DataType, how: str):
-        self.primary, self.how = primary, how
+    def __init__(self, how: str):
+        self.how = how
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("row", "version bigint, payload string")
-        self.named = handle.getMapState("subscriptions", T.StructType([T.StructField("pk", self.primary)]), "version bigint, payload string")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        make = Row("pk", "__l", "__r", CHANGE)
-        before = self.row.get()[1] if self.row.exists() else None
-        version, after = tuple(self.row.get()) if self.row.exists() else (None, None)
-        orders: dict = {}
-        for _, side, pk, v, text in rows:
-            if side == 1:
-                if version is None or v >= version:
-                    version, after = v, text
-            else:
-                pk = bytes(pk) if isinstance(pk, bytearray) else pk
-                # A row goes before it comes anew: of a batch's orders that with a text counts.
-                if pk not in orders or text is not None:
-                    orders[pk] = (v, text)
-        if version is not None:
-            self.row.update((version, after))
+        self.rows = _Leaves(handle, "rows", "fk", "version payload")
+        self.named = _Leaves(handle, "subscriptions", "fk pk", "payload")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        orders: dict[tuple, str | None] = {}
+        others: dict[tuple, tuple] = {}
+        for df in rows:
+            for side, fk, pk, version, text in zip(*(df[c].tolist() for c in ("side", "fk", "pk", "v", "payload"))):
+                if side == 0:
+                    orders[(fk, pk)] = text
+                elif (fk,) not in others or version >= others[(fk,)][0]:
+                    others[(fk,)] = version, text
+        yield from _frames(self._shown(orders, others), ["__l", "__r", CHANGE])
+
+    def _foreign(self, new: dict[tuple, tuple]) -> tuple[dict[str, str | None], dict[str, str | None]]:
+        """The group's foreign rows before the batch, and those that it changes."""
+        before, changed = {}, {}
+        self.rows.open()
+        dealt = self.rows.dealt(new)
+        for leaf in range(self.rows.n):
+            kept = self.rows.get(leaf)
+            n = len(kept)
+            before.update((fk, text) for (fk,), (_, text) in kept.items())
+            for k in dealt.get(leaf, []):
+                version, text = kept.get(k, (None, None))
+                if version is None or new[k][0] >= version:
+                    kept[k] = new[k]
+                    if new[k][1] != text:
+                        changed[k[0]] = new[k][1]
+            if leaf in dealt:
+                self.rows.put(leaf, kept, n)
+        self.rows.close()
+        return before, changed
+
+    def _shown(self, orders: dict[tuple, str | None], others: dict[tuple, tuple]) -> Iterator[tuple]:
+        before, changed = self._foreign(others)
         shows = lambda text: text is not None or self.how == "left"
-        # The old row of each whose own row changes, then everyone's if the foreign row changed.
-        for pk, (v, text) in orders.items():
-            old = self.named.getValue((pk,))[1] if self.named.containsKey((pk,)) else None
-            if old is not None and shows(before):
-                yield make(pk, old, before, -1)
-            if text is None:
-                self.named.removeKey((pk,))
-            else:
-                self.named.updateValue((pk,), (v, text))
-                if shows(after):
-                    yield make(pk, text, after, 1)
-        if before != after:
-            for (pk,), (_, text) in [(tuple(k), tuple(v)) for k, v in self.named.iterator()]:
-                if pk not in orders:
-                    if shows(before):
-                        yield make(pk, text, before, -1)
-                    if shows(after):
-                        yield make(pk, text, after, 1)
+        self.named.open()
+        dealt = self.named.dealt(orders)
+        # The old row of each whose own row changes, then everyone's of the foreign rows that changed.
+        for leaf in range(self.named.n) if changed else list(dealt):
+            kept, mine = self.named.get(leaf), dealt.get(leaf, [])
+            n = len(kept)
+            for k in mine:
+                was, text = before.get(k[0]), orders[k]
+                now = changed.get(k[0], was)
+                if kept.get(k) == (text,) and was == now:
+                    continue
+                if k in kept and shows(was):
+                    yield kept[k][0], was, -1
+                if text is None:
+                    kept.pop(k, None)
+                else:
+                    kept[k] = (text,)
+                    if shows(now):
+                        yield text, now, 1
+            if changed:
+                for k, (text,) in kept.items():
+                    if k[0] in changed and k not in orders:
+                        was, now = before.get(k[0]), changed[k[0]]
+                        if shows(was):
+                            yield text, was, -1
+                        if shows(now):
+                            yield text, now, 1
+            if mine:
+                self.named.put(leaf, kept, n)
+        self.named.close()
 
 
 def foreign_join(left: DataFrame, right: DataFrame, foreign_key: Column, key: str = "key", right_key: str = "key", how: str = "inner", left_prefix: str = "left_", right_prefix: str = "right_") -> DataFrame:
     """A table's changelog joined by a foreign key with another's, kept up as both change (inner or left), as signed changes.
 
     A first operator, by primary key, sends each row to the foreign key that it names, and leaves the one named before; a second, by foreign
-    key, keeps the rows that name it, so a change of the other table's row reaches just these. Rows of a left join that name nothing
+    key, keeps the rows that name it, so a change of the other table's row is shown for just these. Both keep their rows by groups of keys (``GROUPS``), in
+    leaves of at most ``LEAF`` rows or so that are read and written whole. Rows of a left join that name nothing
     are dealt by primary key. Columns: key, both sides' columns prefixed, ``change``.
     """
     if how not in ("inner", "left"):
         raise LakeError(f"a foreign-key join is inner or left, not {how}")
     (a, an), (b, bn) = _values(left, key, "left", left_prefix), _values(right, right_key, "right", right_prefix)
-    primary = left.schema[key].dataType
-    one = _changes(left, key, 0, a, foreign_key.cast("string").alias("fk")).filter("__k is not null")
-    sent_schema = T.StructType([T.StructField("fk", T.StringType()), T.StructField("pk", primary), T.StructField("v", T.LongType()), T.StructField("payload", T.StringType())])
-    sent = one.groupBy("__k").transformWithState(_Subscriber(), sent_schema, "append", "None")
-    # Where nothing is named, each primary key has a place of its own, so that null is no hot key.
-    nowhere = F.concat(F.lit("-"), F.coalesce(F.col("pk").cast("string"), F.lit("")))
-    sent = sent.select(F.coalesce(F.concat(F.lit("+"), "fk"), nowhere).alias("fk"), F.lit(0).alias("side"), "pk", "v", "payload")
-    other = _changes(right, right_key, 1, b).filter("__k is not null").select(F.concat(F.lit("+"), F.col("__k").cast("string")).alias("fk"), "side", F.lit(None).cast(primary).alias("pk"), "v", "payload")
-    schema = T.StructType([T.StructField("pk", primary), T.StructField("__l", T.StringType()), T.StructField("__r", T.StringType()), T.StructField(CHANGE, T.IntegerType())])
-    out = sent.union(other).groupBy("fk").transformWithState(_Subscriptions(primary, how), schema, "append", "None")
-    return _both_sides(out, F.col("pk").alias(key), left, a, an, right, b, bn)
+    # The key goes along in the row's text. A row without a version comes before all others.
+    version = F.coalesce("v", F.lit(-(2**63))).alias("v")
+    one = _changes(left, key, 0, [*a, key], _identity(left, key).alias("pk"), foreign_key.cast("string").alias("fk")).filter("__k is not null")
+    sent = one.select(_group("pk"), "pk", version, "fk", "payload").groupBy("g").transformWithStateInPandas(_Subscriber(), "fk string, pk string, payload string", "append", "None")
+    sent = sent.select(_group("fk"), F.lit(0).alias("side"), "fk", "pk", F.lit(0).cast("long").alias("v"), "payload")
+    other = _changes(right, right_key, 1, b).filter("__k is not null").withColumn("fk", F.concat(F.lit("+"), F.col("__k").cast("string")))
+    other = other.select(_group("fk"), "side", "fk", F.lit(None).cast("string").alias("pk"), version, "payload")
+    out = sent.union(other).groupBy("g").transformWithStateInPandas(_Subscriptions(how), f"__l string, __r string, {CHANGE} int", "append", "None")
+    return _both_sides(out, F.col(f"__l.`{key}`").alias(key), left, [*a, key], an, right, b, bn)
 
 
 class _Versions(_Keyed):

@@ -151,6 +151,35 @@ def test_foreign_joins_equal_recomputation_after_every_batch(spark, how):
         assert got == sorted(map(str, want)), upto
 
 
+def test_a_foreign_key_that_all_rows_name_lies_in_leaves(spark, tmp_path, monkeypatch):
+    """20,000 rows name one key, a third move to another, some go, and both keys' rows change: all in one group, whose leaves double; each is one entry of the store."""
+    monkeypatch.setattr(keyed, "GROUPS", 1)
+    n, checkpoint = 20_000, str(tmp_path / "c")
+    steps = spark.range(n).selectExpr("id AS key", "explode(sequence(0, 2)) AS version").filter("version = 0 or version = 1 and key % 3 = 0 or version = 2 and key % 5 = 0")
+    left = steps.selectExpr("key", "3 * key AS amount", "if(version > 0 and key % 3 = 0, 2, 1) AS ref", "version", "version = 2 AS deleted")
+    right = spark.createDataFrame([(1, "a", 0, False), (1, "b", 1, False), (2, "c", 1, False), (2, None, 2, True), (3, "d", 0, False)], "key int, name string, version int, deleted boolean")
+    feeds = [bounded.Feed(df, F.col("version")) for df in (left, right)]
+    changes = bounded.run(keyed.foreign_join(feeds[0].frame, feeds[1].frame, F.col("ref"), how="left"), *feeds, batches=3, checkpoint=checkpoint)
+    got = keyed.settled_rows(changes.select("key", "left_amount", "left_ref", "right_name", "change"))
+    want = spark.range(n).filter("id % 5 <> 0").selectExpr("id", "3 * id", "if(id % 3 = 0, 2, 1)", "if(id % 3 = 0, null, 'b')")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    leaves = keyed.read_map(spark, checkpoint, "subscriptions", operatorId=0).selectExpr("leaf", "size(pk) AS n").collect()
+    assert 1 < len(leaves) <= 4 and sum(r["n"] for r in leaves) == 16_000 and max(r["n"] for r in leaves) < keyed.LEAF
+
+
+@pytest.mark.parametrize("kind,keys", [("double", [-0.0, 0.0, float("nan"), 1.5]), ("binary", [b"\xff", b"\xfe", b"a", b"b"]), ("date", ["2020-01-01", "2020-01-02", "2020-01-03", "2020-01-04"])])
+def test_keys_of_a_foreign_join_keep_their_type(spark, kind, keys):
+    """Keys of any type come back as they were; -0.0 is 0.0, and a row without a version comes before all others."""
+    rows = [(str(k) if kind == "date" else k, i, None if i < 4 else 2**53 + i, "x") for i, k in enumerate(keys + keys)]
+    left = spark.createDataFrame(rows, f"key {'string' if kind == 'date' else kind}, n int, version long, ref string").withColumn("key", F.col("key").cast(kind))
+    right = spark.createDataFrame([("x", "r", 1)], "key string, name string, version long")
+    feeds = [bounded.Feed(df, F.lit(0)) for df in (left, right)]
+    got = keyed.settled_rows(bounded.run(keyed.foreign_join(feeds[0].frame, feeds[1].frame, F.col("ref")), *feeds).select("key", "left_n", "right_name", "change"))
+    want = left.filter("n >= 5" if kind == "double" else "n >= 4").selectExpr("key", "n", "'r'")
+    assert got.schema["key"].dataType == left.schema["key"].dataType
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 @pytest.mark.parametrize("how,history", [("inner", 10_000), ("left", 10_000), ("left", 60)])
 def test_as_of_joins_equal_recomputation(spark, how, history):
     """Versions and records come late, up to the history and beyond it."""
